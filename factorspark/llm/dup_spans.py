@@ -34,18 +34,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import SLICE_BYTES, U64, mix, powers, prefix_hash, ragged, span_hash, utf8
+from .arrays import SLICE_BYTES, U64, binary, mix, powers, prefix_hash, ragged, span_hash, utf8
 
 GRAM = 20
+#: Parts of a bucket that are suffix-sorted one after another, which bounds a task's memory.
+PARTS = 8
 _HIGH, _LOW = U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """Snippets of a group: anchor hash, snippet hash, first window, number of windows, row."""
     out = []
-    a = 0
-    while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
+    for a, b in _row_slices(offsets):
         low = offsets[a]
         part, ends = data[low : offsets[b]], offsets[a : b + 1] - low
         n = len(part)
@@ -69,18 +69,18 @@ def _windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             stop[:-1] = change[1:] | ~fits[1:]
             last = np.flatnonzero(fits & stop)
             out.append((grams[anchor[first]], span_hash(prefix, first, last + length), first + low, last - first + 1, row[first] + a))
-        a = b
     if not out:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _slot(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor >> U64(32)) % U64(buckets)) << U64(32) | (anchor & _LOW)
+    return ((anchor >> U64(32)) % U64(buckets * PARTS)) << U64(32) | (anchor & _LOW)
 
 
-def _cuts(slot: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(slot >> U64(32), np.arange(buckets + 1, dtype=U64))
+def _cuts(slot: np.ndarray, buckets: int, parts: int = 1) -> np.ndarray:
+    """Where each bucket (or part of one) begins in ordered slots, and the end."""
+    return np.searchsorted((slot >> U64(32)) // U64(PARTS // parts), np.arange(buckets * parts + 1, dtype=U64))
 
 
 class _Group:
@@ -123,7 +123,7 @@ def _ask(length: int, buckets: int):
         slot, many = _Group(table, length, buckets).anchors()
         cut = _cuts(slot, buckets)
         rows = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-        low = (slot & _LOW).astype(np.uint32)
+        low = (slot & _LOW).astype(np.uint32) ^ ((slot >> U64(32)) % U64(PARTS) << U64(29)).astype(np.uint32)
         return pa.table({"bucket": pa.array(rows, pa.int32()), "g": pa.array([key[0].as_py()] * len(rows), pa.int32()), "anchors": pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary()), "many": pa.array([np.packbits(many[cut[k] : cut[k + 1]]).tobytes() for k in rows], pa.binary())})
 
     return ask
@@ -148,17 +148,21 @@ def _share(table: pa.Table) -> pa.Table:
 def _send(length: int, buckets: int):
     def send(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         names = ("bucket", "g", "ids", "counts", "snippets")
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        types = (pa.int32(), pa.int32(), *[pa.list_(pa.binary())] * 3)
         out = {n: [] for n in names}
         if docs.num_rows:
             group = _Group(docs, length, buckets)
             entry, _, _ = group.entries(dict(zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True)))
-            cut = _cuts(group.slot[entry], buckets)
-            for k in range(buckets):
-                if cut[k] < cut[k + 1]:
-                    own = entry[cut[k] : cut[k + 1]]
-                    text = group.data[ragged(group.first[own], group.count[own] + length - 1)]
-                    for n, x in zip(names, (k, key[0].as_py(), group.ids[group.row[own]].astype(np.int64).tobytes(), group.count[own].astype(np.uint8).tobytes(), zlib.compress(text.tobytes(), 1)), strict=True):
+            cut = _cuts(group.slot[entry], buckets, PARTS)
+            for k in range(0, buckets * PARTS, PARTS):
+                if cut[k] < cut[k + PARTS]:
+                    ids, counts, snippets = [], [], []
+                    for low, high in zip(cut[k : k + PARTS], cut[k + 1 : k + PARTS + 1], strict=True):
+                        own = entry[low:high]
+                        ids.append(group.ids[group.row[own]].astype(np.int64).tobytes())
+                        counts.append(group.count[own].astype(np.uint8).tobytes())
+                        snippets.append(zlib.compress(group.data[ragged(group.first[own], group.count[own] + length - 1)].tobytes(), 1))
+                    for n, x in zip(names, (k // PARTS, key[0].as_py(), ids, counts, snippets), strict=True):
                         out[n].append(x)
         return pa.table({n: pa.array(out[n], t) for n, t in zip(names, types, strict=True)})
 
@@ -182,47 +186,59 @@ def prefix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def covered_windows(doc: np.ndarray, count: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+    """For each snippet (its document, its number of windows, its bytes), a bit for each window that a
+    snippet of a smaller document also has."""
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    content = span_hash(prefix_hash(data), start, start + size)
+    # equal snippets are suffix-sorted once, for the smallest id
+    order = np.lexsort((doc, content))
+    new = np.ones(len(order), bool)
+    new[1:] = content[order][1:] != content[order][:-1]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    head = order[new]
+    by_id = np.argsort(doc[head], kind="stable")
+    head = head[by_id]
+    place = np.empty(len(head), np.int64)
+    place[by_id] = np.arange(len(head))
+    kind = place[kind]
+    text = data[ragged(start[head], size[head])]
+    begin = np.cumsum(count[head]) - count[head]
+    window = ragged(np.cumsum(size[head]) - size[head], count[head])
+    owner = np.repeat(doc[head], count[head])
+    rank = prefix_ranks(text, length)[window]
+    # suffix order, equal prefixes in order of position and so of id: the first of a run has the
+    # smallest id, and a previous smaller position of the others lies in the run
+    sa = np.argsort(rank, kind="stable")
+    first = np.ones(len(sa), bool)
+    first[1:] = rank[sa][1:] != rank[sa][:-1]
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(sa)), 0))
+    covered = np.zeros(len(sa), bool)
+    covered[sa] = owner[sa[lead]] < owner[sa]
+    bit = (np.arange(len(window)) - np.repeat(begin, count[head])).astype(U64)
+    mask = np.bitwise_or.reduceat(np.where(covered, U64(1) << bit, U64(0)), begin)
+    full = (U64(1) << count.astype(U64)) - U64(1)
+    return np.where(doc > doc[head][kind], full, mask[kind]).astype(np.uint32)
+
+
 def _match(length: int):
     def match(table: pa.Table) -> pa.Table:
-        ids = [np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()]
-        doc = np.concatenate(ids)
-        count = np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()]).astype(np.int64)
-        data = np.frombuffer(b"".join(zlib.decompress(x) for x in table["snippets"].to_pylist()), np.uint8)
-        size = count + length - 1
-        start = np.cumsum(size) - size
-        content = span_hash(prefix_hash(data), start, start + size)
-        # equal snippets are suffix-sorted once, for the smallest id
-        order = np.lexsort((doc, content))
-        new = np.ones(len(order), bool)
-        new[1:] = content[order][1:] != content[order][:-1]
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        head = order[new]
-        by_id = np.argsort(doc[head], kind="stable")
-        head = head[by_id]
-        place = np.empty(len(head), np.int64)
-        place[by_id] = np.arange(len(head))
-        kind = place[kind]
-        text = data[ragged(start[head], size[head])]
-        at = np.cumsum(size[head]) - size[head]
-        window = ragged(at, count[head])
-        owner = doc[head][np.repeat(np.arange(len(head)), count[head])]
-        rank = prefix_ranks(text, length)[window]
-        # suffix order, equal prefixes in order of position and so of id: the first of a run has the
-        # smallest id, and a previous smaller position of the others lies in the run
-        sa = np.argsort(rank, kind="stable")
-        first = np.ones(len(sa), bool)
-        first[1:] = rank[sa][1:] != rank[sa][:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(sa)), 0))
-        covered = np.zeros(len(sa), bool)
-        covered[sa] = owner[sa[lead]] < owner[sa]
-        bit = np.arange(len(window)) - np.repeat(np.cumsum(count[head]) - count[head], count[head])
-        mask = np.bitwise_or.reduceat(np.where(covered, U64(1) << bit.astype(U64), U64(0)), np.cumsum(count[head]) - count[head])
-        full = (U64(1) << count.astype(U64)) - U64(1)
-        answer = np.where(doc > doc[head][kind], full, mask[kind]).astype(np.uint32)
-        ends = np.cumsum([len(x) for x in ids])
-        masks = [answer[e - len(x) : e].tobytes() for e, x in zip(ends, ids, strict=True)]
-        return pa.table({"bucket": table["bucket"], "g": table["g"], "masks": pa.array(masks, pa.binary())})
+        rows = {c: table[c].to_pylist() for c in ("ids", "counts", "snippets")}
+        masks: list[list[bytes]] = [[] for _ in range(table.num_rows)]
+        for part in range(PARTS):
+            ids = [np.frombuffer(x[part], np.int64) for x in rows["ids"]]
+            doc = np.concatenate(ids)
+            if not len(doc):
+                continue
+            count = np.concatenate([np.frombuffer(x[part], np.uint8) for x in rows["counts"]]).astype(np.int64)
+            data = np.frombuffer(b"".join([zlib.decompress(x[part]) for x in rows["snippets"]]), np.uint8)
+            answer = covered_windows(doc, count, data, length)
+            ends = np.cumsum([len(x) for x in ids])
+            for mask, e, x in zip(masks, ends, ids, strict=True):
+                mask.append(answer[e - len(x) : e].tobytes())
+        return pa.table({"bucket": table["bucket"], "g": table["g"], "masks": pa.array([b"".join(m) for m in masks], pa.binary())})
 
     return match
 
@@ -230,6 +246,49 @@ def _match(length: int):
 _OUT = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
+def _row_slices(offsets: np.ndarray) -> list[tuple[int, int]]:
+    out, a = [], 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def _hits(group: _Group, shared: dict[int, bytes], masks: dict[int, bytes]) -> np.ndarray:
+    """1 at each byte of the group's texts where a covered window starts."""
+    hit = np.zeros(len(group.data), np.int8)
+    entry, occurrence, kind = group.entries(shared)
+    if len(entry):
+        own = np.frombuffer(b"".join(masks[k] for k in sorted(masks)), np.uint32)[kind].astype(U64)
+        count = group.count[occurrence]
+        later = group.ids[group.row[occurrence]] > group.ids[group.row[entry]][kind]
+        own = np.where(later, (U64(1) << count.astype(U64)) - U64(1), own)
+        some = own > 0
+        first, count, own = group.first[occurrence][some], count[some], own[some]
+        for low in range(0, len(first), 1 << 16):
+            f, c, o = (x[low : low + (1 << 16)] for x in (first, count, own))
+            where = ragged(f, c)
+            hit[where[(np.repeat(o, c) >> (where - np.repeat(f, c)).astype(U64)) & U64(1) > 0]] = 1
+    return hit
+
+
+def _cover(group: _Group, hit: np.ndarray, a: int, b: int) -> list[pa.Array]:
+    """n_bytes, spans and kept of the rows a to b."""
+    offsets = group.offsets[a : b + 1] - group.offsets[a]
+    data, hit = (x[group.offsets[a] : group.offsets[b]] for x in (group.data, hit))
+    n, length = len(data), group.length
+    total = np.concatenate((np.zeros(length, np.int32), np.cumsum(hit, dtype=np.int32)))
+    covered = total[length:] > total[:n]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(covered & (edge[:n] | ~np.concatenate(([False], covered))[:n]))
+    end = np.flatnonzero(covered & (edge[1:] | ~np.concatenate((covered, [False]))[1:])) + 1
+    row = np.searchsorted(offsets, start, "right") - 1
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start - offsets[row]), pa.array(end - offsets[row])], ["start", "end"]))
+    return [pa.array(np.diff(offsets)), spans, binary(data[~covered], np.concatenate(([0], np.cumsum(~covered)))[offsets])]
+
+
 def _mark(length: int, buckets: int):
     def mark(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         group = _Group(docs, length, buckets)
@@ -239,37 +298,10 @@ def _mark(length: int, buckets: int):
                 shared[k] = bits
             else:
                 masks[k] = mask
-        entry, occurrence, kind = group.entries(shared)
-        n = len(group.data)
-        hit = np.zeros(n + length + 1, np.int8)
-        if len(entry):
-            mask = np.frombuffer(b"".join(masks[k] for k in sorted(masks)), np.uint32)
-            own = mask[kind].astype(U64)
-            count = group.count[occurrence]
-            later = group.ids[group.row[occurrence]] > group.ids[group.row[entry]][kind]
-            own = np.where(later, (U64(1) << count.astype(U64)) - U64(1), own)
-            some = own > 0
-            first, count, own = group.first[occurrence][some], count[some], own[some]
-            where = ragged(first, count)
-            bit = where - np.repeat(first, count)
-            where = where[(np.repeat(own, count) >> bit.astype(U64)) & U64(1) > 0]
-            hit[where] = 1
-        gone = np.cumsum(hit, dtype=np.int32)
-        covered = np.zeros(n, bool)
-        if n:
-            covered = gone[:n] - np.concatenate((np.zeros(length, np.int32), gone))[:n] > 0
-        row = np.repeat(np.arange(len(group.ids)), np.diff(group.offsets))
-        edge = np.zeros(n + 1, bool)
-        edge[group.offsets] = True
-        before = np.concatenate(([False], covered))[:n]
-        after = np.concatenate((covered, [False]))[1 : n + 1]
-        start = np.flatnonzero(covered & (~before | edge[:n]))
-        end = np.flatnonzero(covered & (~after | edge[1 : n + 1])) + 1
-        base = group.offsets[row[start]] if len(start) else np.zeros(0, np.int64)
-        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[start], np.arange(len(group.ids) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(start - base), pa.array(end - base)], ["start", "end"]))
-        stay = np.concatenate(([0], np.cumsum(~covered)))[group.offsets]
-        kept = pa.Array.from_buffers(pa.binary(), len(group.ids), [None, pa.py_buffer(stay.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(group.data[~covered]))])
-        return pa.table({"doc_id": group.table["doc_id"], "n_bytes": pa.array(np.diff(group.offsets)), "spans": spans, "kept": kept})
+        hit = _hits(group, shared, masks)
+        parts = [_cover(group, hit, *x) for x in _row_slices(group.offsets)]
+        names = ["doc_id", "n_bytes", "spans", "kept"]
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([group.table["doc_id"].combine_chunks().slice(a, b - a), *x], names=names) for (a, b), x in zip(_row_slices(group.offsets), parts, strict=True)])
 
     return mark
 
@@ -280,12 +312,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 31}")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = 2 * n, 2 * n
+    groups, buckets = 2 * n, n
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition(n, "g")
     asked = texts.groupBy("g").applyInArrow(_ask(length, buckets), "bucket int, g int, anchors binary, many binary")
     shared = asked.groupBy("bucket").applyInArrow(_share, "bucket int, g int, bits binary")
-    sent = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send(length, buckets), "bucket int, g int, ids binary, counts binary, snippets binary")
+    sent = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send(length, buckets), "bucket int, g int, ids array<binary>, counts array<binary>, snippets array<binary>")
     masks = sent.groupBy("bucket").applyInArrow(_match(length), "bucket int, g int, masks binary")
     answers = shared.select("bucket", "g", "bits", F.lit(None).cast("binary").alias("masks")).unionByName(masks.select("bucket", "g", F.lit(None).cast("binary").alias("bits"), "masks"))
     return texts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_mark(length, buckets), _OUT)
