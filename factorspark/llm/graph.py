@@ -19,10 +19,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_ids(df: DataFrame, ids: DataFrame, on: str, count: int | None = None) -> DataFrame:
-    """Rows of `df` whose `on` is among the distinct `ids`: broadcast up to BROADCAST_IDS of them, a shuffle beyond."""
-    count = ids.count() if count is None else count
-    return df.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, on, "left_semi")
+def with_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of `df` whose `on` is (left_semi) or is not (left_anti) among `ids`: a broadcast of up to
+    BROADCAST_IDS ids, a shuffle of more."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
 def tiles(df: DataFrame, count: Column, member: Column, most: int) -> DataFrame:

@@ -110,6 +110,14 @@ def _covers(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cuts(value: np.ndarray, steps: int) -> np.ndarray:
+    """Thresholds half way between neighbouring values, at about `steps` quantiles."""
+    values = np.unique(value)
+    at = np.unique(np.searchsorted(values, np.quantile(value, np.linspace(0, 1, steps), method="lower")))
+    at = at[at + 1 < len(values)]
+    return (values[at] + values[at + 1]) / 2
+
+
 def _grow(x: np.ndarray, bad: np.ndarray, steps: int = 24) -> Rule:
     """Adds the test with the largest gain until the rule covers none of the others."""
     rule, inside = (), np.ones(len(x), bool)
@@ -119,7 +127,7 @@ def _grow(x: np.ndarray, bad: np.ndarray, steps: int = 24) -> Rule:
             break
         best, gain = None, 1e-9
         for f in range(x.shape[1]):
-            for t in np.unique(np.quantile(x[inside, f], np.linspace(0, 1, steps))):
+            for t in _cuts(x[inside, f], steps):
                 for above in (True, False):
                     test = Test(f, above, float(t))
                     held = inside & test.holds(x)

@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -93,6 +94,12 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+@F.pandas_udf("string")
+def redacted(text: pd.Series) -> pd.Series:
+    """The column's texts without secrets; NULL stays NULL."""
+    return text.map(lambda t: redact(t, found) if t and (found := find_secrets(t)) else t)
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, spans (array of kind, start, end, in order), digest (SHA-256 of the spans of
     the kinds assign, access and hex as kind:start:end, joined by commas), redacted (the text without secrets)."""
