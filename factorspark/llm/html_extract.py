@@ -256,9 +256,11 @@ def altered(blocks: list[Block], labels: list[int], rng: np.random.Generator) ->
     return out, marks
 
 
-def train_labeller(pages: list[str], copies: int = 2, longest: int = 60, seed: int = 7) -> Labeller:
-    """Trains on `pages` and `copies` altered copies of each; training reads at most `longest` blocks of one."""
+def train_labeller(pages: list[str], examples: int = 1000, longest: int = 60, seed: int = 7) -> Labeller:
+    """Trains on `pages` and altered copies of them, about `examples` in all; training reads at most
+    `longest` blocks in a row of one."""
     rng = np.random.default_rng(seed)
+    copies = max(2, examples // max(1, len(pages)) - 1)
     data = []
     for page in pages:
         blocks = parse_blocks(page or "")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # The kinds in order, their keywords and expressions.
 KINDS = ("assign", "access", "hex", "crc")
@@ -94,7 +94,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redacted(text: pd.Series) -> pd.Series:
     """The column's texts without secrets; NULL stays NULL."""
     return text.map(lambda t: redact(t, found) if t and (found := find_secrets(t)) else t)

@@ -16,7 +16,9 @@ by a hash of the id; label, language, source and id are no inputs of a score.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,29 +43,37 @@ _VERB = re.compile("|".join(sorted(VERBS)))
 SHORTEST, LONGEST = 4, 8
 
 
-def _candidates(text: str) -> set[str]:
-    """Whole words (`=word`) and word beginnings of a text."""
-    out = set()
-    for word in set(_WORD.findall(text.lower())):
-        out.add("=" + word)
-        out.update(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))
-    return out
+def _entries(word: str) -> list[str]:
+    """The whole word (`=word`) and its beginnings."""
+    return ["=" + word, *(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """Per entry: toxic and clean documents, and a bit for each context (the words around) in toxic ones."""
+    clean: Counter = Counter()
+    toxic: Counter = Counter()
+    contexts: dict[str, int] = {}
 
     def rows() -> pa.RecordBatch:
-        names = list(counts[0].keys() | counts[1].keys())
-        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())], names=["entry", "toxic", "clean"])
-        for c in counts:
+        names = list(clean.keys() | toxic.keys())
+        bits = [contexts.get(n, 0) for n in names]
+        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[n] for n in names], pa.int64()) for c in (toxic, clean)], pa.array([b - (1 << 64) if b >> 63 else b for b in bits], pa.int64())], names=["entry", "toxic", "clean", "contexts"])
+        for c in (clean, toxic, contexts):
             c.clear()
         return batch
 
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            counts[label == 1].update(_candidates(text or ""))
-            if len(counts[0]) + len(counts[1]) > 300_000:
+            words = _WORD.findall((text or "").lower())
+            if label != 1:
+                clean.update({e for w in set(words) for e in _entries(w)})
+            else:
+                toxic.update({e for w in set(words) for e in _entries(w)})
+                for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                    bit = 1 << (zlib.crc32(f"{before} {after}".encode()) & 63)
+                    for e in _entries(word):
+                        contexts[e] = contexts.get(e, 0) | bit
+            if len(clean) + len(toxic) > 300_000:
                 yield rows()
     yield rows()
 
@@ -170,14 +180,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, support: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, held_out, score, and the number of each output symbol."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chance: float = 5e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, held_out, score, and the number of each output symbol.
+
+    A lexicon entry needs so many toxic documents that chance alone, at the labels' share of toxic ones,
+    would give it with a probability under `chance`, as many different contexts (so that copies of one
+    document do not add up), and at least 20 toxic documents for each clean one.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sample = labelled_sample(texts, labels.where(~held_out()), "toxic", most).select("doc_id", "text", "label")
-    counts = sample.mapInArrow(_count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pure = counts.where((F.col("toxic") >= support) & (F.col("toxic") >= 20 * F.col("clean")))
-    entries = choose_entries([tuple(r) for r in pure.orderBy(F.desc("toxic"), "entry").limit(20_000).collect()])
+    counts = sample.mapInArrow(_count, "entry string, toxic long, clean long, contexts long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    share = sample.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
+    support = max(4, math.ceil(math.log(chance) / math.log(min(max(share, 1e-6), 0.9))))
+    pure = counts.where((F.least("toxic", "contexts") >= support) & (F.col("toxic") >= 20 * F.col("clean")))
+    entries = choose_entries([tuple(r) for r in pure.select("entry", "toxic", "clean").orderBy(F.desc("toxic"), "entry").limit(20_000).collect()])
     grammar = spark.sparkContext.broadcast(Grammar(entries))
     schema = "doc_id long, " + ", ".join(f"{s} long" for s in SYMBOLS)
     rows = sample.select("doc_id", "text").mapInArrow(_symbols(grammar), schema).join(sample.select("doc_id", "label"), "doc_id").toPandas()
