@@ -1,36 +1,37 @@
 """Cross-section operators: one date (or one date and group) is a partition.
 
-Statistics are aggregated per date and joined back. They are one row per date, so the join is small, but it
-is left to the optimizer to broadcast, as the number of dates is the data's own.
+Statistics are window aggregates over the date's partition, so any number of them in a row costs one
+exchange by date and the input is read once. A date has one row per code, so partitions are even.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.columns import div, row_mean
 from .panel import last_known
 
 
-def winsorize(df: DataFrame, columns: list[str], by: str = "time", lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+def _over(by: str | list[str]) -> WindowSpec:
+    return Window.partitionBy(*([by] if isinstance(by, str) else by))
+
+
+def winsorize(df: DataFrame, columns: list[str], by: str | list[str] = "time", lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """Clips each column to its quantiles (linear interpolation) of the date; NULL stays NULL."""
-    stats = df.groupBy(by).agg(*[F.percentile(c, F.array(F.lit(lower), F.lit(upper))).alias(f"_{c}") for c in columns])
+    bounds = {f"_{c}": F.percentile(c, F.array(F.lit(lower), F.lit(upper))).over(_over(by)) for c in columns}
     clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_{c}")[1]), F.col(f"_{c}")[0]))
-    return df.join(stats, by).withColumns({c: clip(c) for c in columns}).drop(*[f"_{c}" for c in columns])
+    return df.withColumns(bounds).withColumns({c: clip(c) for c in columns}).drop(*bounds)
 
 
-def fill_median(df: DataFrame, columns: list[str], by: str = "time") -> DataFrame:
+def fill_median(df: DataFrame, columns: list[str], by: str | list[str] = "time") -> DataFrame:
     """NULL becomes the date's median."""
-    stats = df.groupBy(by).agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in columns])
-    return df.join(stats, by).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+    return df.withColumns({c: F.coalesce(F.col(c), F.percentile(c, 0.5).over(_over(by))) for c in columns})
 
 
 def zscore(df: DataFrame, columns: list[str], by: str | list[str] = "time", eps: float = 1e-6) -> DataFrame:
     """(x - mean) / (sample deviation + eps) per date."""
-    by = [by] if isinstance(by, str) else by
-    stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s{c}") for c in columns])
-    out = df.join(stats, by).withColumns({c: div(F.col(c) - F.col(f"_m{c}"), F.col(f"_s{c}") + eps) for c in columns})
-    return out.drop(*[f"_{k}{c}" for c in columns for k in "ms"])
+    over = _over(by)
+    return df.withColumns({c: div(F.col(c) - F.avg(c).over(over), F.stddev_samp(c).over(over) + eps) for c in columns})
 
 
 def clean_panel(factor: DataFrame, price_keys: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99, eps: float = 1e-6) -> DataFrame:
@@ -40,38 +41,29 @@ def clean_panel(factor: DataFrame, price_keys: DataFrame, columns: list[str], lo
     return zscore(fill_median(winsorize(filled, columns, "time", lower, upper), columns), columns, "time", eps)
 
 
-def mad_bounds(df: DataFrame, column: str, by: list[str], k: float) -> DataFrame:
-    """Adds `_low` and `_high`: the median -/+ k median absolute deviations, per group."""
-    mid = df.groupBy(*by).agg(F.percentile(column, 0.5).alias("_mid"))
-    df = df.join(mid, by)
-    gap = df.groupBy(*by).agg(F.percentile(F.abs(F.col(column) - F.col("_mid")), 0.5).alias("_gap"))
-    return df.join(gap, by).withColumn("_low", F.col("_mid") - k * F.col("_gap")).withColumn("_high", F.col("_mid") + k * F.col("_gap"))
-
-
-def mad_winsorize(df: DataFrame, column: str, by: list[str] | str = "time", k: float = 5.0) -> DataFrame:
-    """Clips a column to k median absolute deviations around the median of its group."""
-    by = [by] if isinstance(by, str) else by
-    out = mad_bounds(df, column, by, k)
-    clipped = F.when(F.col(column).isNotNull(), F.greatest(F.least(F.col(column), F.col("_high")), F.col("_low")))
-    return out.withColumn(column, clipped).drop("_mid", "_gap", "_low", "_high")
+def mad_winsorize(df: DataFrame, column: str | list[str], by: str | list[str] = "time", k: float = 5.0) -> DataFrame:
+    """Clips columns to k median absolute deviations around the median of their group."""
+    columns, over = [column] if isinstance(column, str) else column, _over(by)
+    df = df.withColumns({f"_mid{c}": F.percentile(c, 0.5).over(over) for c in columns})
+    df = df.withColumns({f"_gap{c}": F.percentile(F.abs(F.col(c) - F.col(f"_mid{c}")), 0.5).over(over) * k for c in columns})
+    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_mid{c}") + F.col(f"_gap{c}")), F.col(f"_mid{c}") - F.col(f"_gap{c}")))
+    return df.withColumns({c: clip(c) for c in columns}).drop(*[f"_{n}{c}" for c in columns for n in ("mid", "gap")])
 
 
-def mad_standardize(df: DataFrame, columns: list[str], by: str = "time", k: float = 5.0) -> DataFrame:
+def mad_standardize(df: DataFrame, columns: list[str], by: str | list[str] = "time", k: float = 5.0) -> DataFrame:
     """Median fill, MAD clip, then (x - mean) / sample deviation."""
-    df = fill_median(df, columns, by)
-    for c in columns:
-        df = mad_winsorize(df, c, by, k)
-    return zscore(df, columns, by, 0.0)
+    return zscore(mad_winsorize(fill_median(df, columns, by), columns, by, k), columns, by, 0.0)
 
 
-def regression_residual(df: DataFrame, y: str, x: str, weight: Column, by: str = "time") -> DataFrame:
+def regression_residual(df: DataFrame, y: str, x: str, weight: Column, by: str | list[str] = "time") -> DataFrame:
     """Adds `residual` of y on (1, x) with weights, per date; NULL where x does not vary."""
+    over, w, a, b = _over(by), F.col("_w"), F.col(x), F.col(y)
+    total = lambda c: F.sum(c).over(over)
     rows = df.withColumn("_w", F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), weight))
-    w, a, b = F.col("_w"), F.col(x), F.col(y)
-    sums = rows.groupBy(by).agg(F.sum(w).alias("_sw"), F.sum(w * a).alias("_sx"), F.sum(w * b).alias("_sy"), F.sum(w * a * a).alias("_sxx"), F.sum(w * a * b).alias("_sxy"))
-    slope = div(F.col("_sw") * F.col("_sxy") - F.col("_sx") * F.col("_sy"), F.col("_sw") * F.col("_sxx") - F.col("_sx") * F.col("_sx"))
-    sums = sums.select(by, slope.alias("_b"), "_sw", "_sx", "_sy").withColumn("_a", div(F.col("_sy") - F.col("_b") * F.col("_sx"), F.col("_sw")))
-    return rows.join(sums.select(by, "_a", "_b"), by).withColumn("residual", b - F.col("_a") - F.col("_b") * a).drop("_w", "_a", "_b")
+    rows = rows.withColumns({"_sw": total(w), "_sx": total(w * a), "_sy": total(w * b), "_sxx": total(w * a * a), "_sxy": total(w * a * b)})
+    rows = rows.withColumn("_b", div(F.col("_sw") * F.col("_sxy") - F.col("_sx") * F.col("_sy"), F.col("_sw") * F.col("_sxx") - F.col("_sx") * F.col("_sx")))
+    fitted = div(F.col("_sy") - F.col("_b") * F.col("_sx"), F.col("_sw")) + F.col("_b") * a
+    return rows.withColumn("residual", b - fitted).drop("_w", "_sw", "_sx", "_sy", "_sxx", "_sxy", "_b")
 
 
 def group_relative(df: DataFrame, value: str, weight: Column, by: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ def panel(unit: str = "week") -> str:
     return f"""px AS (SELECT l_suppkey AS code, CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS time, sum(l_extendedprice) / sum(l_quantity) AS close, min(l_extendedprice / l_quantity) AS open,
         sum(l_extendedprice) AS market_cap, sum(l_extendedprice * (1 - l_discount)) AS cap, sum(l_quantity) AS turnover_ratio,
         sum(l_extendedprice) / nullif(sum(l_extendedprice * l_tax), 0) AS pb_ratio, sum(l_extendedprice) / nullif(sum(l_extendedprice * l_discount), 0) AS pe_ratio,
-        sum(l_extendedprice) / nullif(round(sum(l_quantity * (l_discount - l_tax)), 6), 0) AS pcf_ratio, 100 * avg(l_discount) AS dv_ratio FROM lineitem GROUP BY 1, 2),
+        sum(l_extendedprice) / nullif(round(sum(l_quantity * (l_discount - l_tax)), 6), 0) AS pcf_ratio, round(100 * avg(l_discount), 6) AS dv_ratio FROM lineitem GROUP BY 1, 2),
     cal AS (SELECT time, row_number() OVER (ORDER BY time) AS t FROM (SELECT DISTINCT time FROM px)),
     p0 AS (SELECT px.*, cal.t, lag(close) OVER (PARTITION BY code ORDER BY cal.t) AS pre_close FROM px JOIN cal USING (time)),
     p AS (SELECT *, close / pre_close - 1 AS ret FROM p0),

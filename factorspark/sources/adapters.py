@@ -29,7 +29,7 @@ def panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
         div(F.sum(ext), F.sum(ext * tax)).alias("pb_ratio"),
         div(F.sum(ext), F.sum(ext * disc)).alias("pe_ratio"),
         div(F.sum(ext), F.round(F.sum(qty * (disc - tax)), 6)).alias("pcf_ratio"),
-        (100 * F.avg(disc)).alias("dv_ratio"),
+        F.round(100 * F.avg(disc), 6).alias("dv_ratio"),
     )
     rows = rows.join(F.broadcast(ordinals(rows)), "time")  # one row per trading day
     before = F.lag("close").over(Window.partitionBy("code").orderBy("t"))

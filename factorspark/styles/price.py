@@ -6,7 +6,7 @@ daily panels; weekly and monthly panels pass their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import by_code, div, half_life_weights, lagged_sum, last_rows, decay, row_mean
 from ..operators.calendar import snap_map
@@ -20,8 +20,9 @@ def size(valuation: DataFrame, k: float = 5.0) -> DataFrame:
     df = valuation.select("code", "time", F.col("circulating_market_cap").alias("cap")).withColumn("LNCAP", F.log(F.col("cap") + 1))
     df = regression_residual(df.withColumn("_cube", F.pow("LNCAP", F.lit(3.0))), "_cube", "LNCAP", F.sqrt("cap"))
     df = mad_winsorize(df, "residual", "time", k)
-    stats = df.groupBy("time").agg(F.avg("residual").alias("_m"), F.stddev_pop("residual").alias("_s"))
-    return df.join(stats, "time").select("code", "time", "LNCAP", div(F.col("residual") - F.col("_m"), F.col("_s")).alias("MIDCAP"))
+    over = Window.partitionBy("time")
+    midcap = div(F.col("residual") - F.avg("residual").over(over), F.stddev_pop("residual").over(over))
+    return df.select("code", "time", "LNCAP", midcap.alias("MIDCAP"))
 
 
 def with_market(prices: DataFrame, index: DataFrame | None = None) -> DataFrame:
