@@ -189,9 +189,11 @@ for _name, _col, _out in (("rolling_beta", "beta", "BETA"), ("hist_sigma", "sigm
     Q[_name] = _sql([PW, RM, beta("rm", 52, 13, 13)], "code, time", [f"{_col} AS {_out}"], "FROM fit WHERE ret IS NOT NULL AND beta IS NOT NULL")
 _L = repr(0.5 ** (1 / 10))
 Q["daily_std"] = _sql([PW, f"e0 AS (SELECT *, var_samp(ret) OVER (PARTITION BY code) AS seed, sum((ret IS NULL)::INT) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM d), e1 AS (SELECT *, count(ret) OVER o AS n FROM e0 WINDOW o AS (PARTITION BY code, run ORDER BY t ROWS UNBOUNDED PRECEDING)), e2 AS (SELECT *, sum(ret * ret * pow({_L}, -n)) OVER (PARTITION BY code, run ORDER BY t ROWS UNBOUNDED PRECEDING) AS tail FROM e1)"], "code, time", [f"sqrt(pow({_L}, n) * (seed + (1 - {_L}) * tail)) AS Daily_std"], "FROM e2 WHERE ret IS NOT NULL AND seed IS NOT NULL")
-_pts = ", ".join(["lag(pc, 51) OVER o", *[f"lag(c, {4 * k}) OVER o" for k in range(12, 0, -1)], "c"])
+_pts = ", ".join(f"{x} AS p{k}" for k, x in enumerate(["lag(pc, 51) OVER o", *[f"lag(c, {4 * k}) OVER o" for k in range(12, 0, -1)], "c"]))
+_pad = [f"coalesce({', '.join(f'p{j}' for j in range(k, -1, -1))}, NULL)" for k in range(14)]
+_rest = ", ".join(f"CASE WHEN {a} IS NOT NULL THEN {b} END" for a, b in zip(_pad, _pad[1:], strict=False))
 Q["cumulative_range"] = _sql([PW, """h0 AS (SELECT code, time, t, close, pre_close, last_value(close IGNORE NULLS) OVER o AS lc, last_value(CASE WHEN close IS NOT NULL THEN t END IGNORE NULLS) OVER o AS ct, last_value(pre_close IGNORE NULLS) OVER o AS lp, last_value(CASE WHEN pre_close IS NOT NULL THEN t END IGNORE NULLS) OVER o AS pt FROM d WINDOW o AS (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING)),
-    h1 AS (SELECT code, time, t, CASE WHEN t - ct <= 2 THEN lc END AS c, CASE WHEN t - pt <= 2 THEN lp END AS pc FROM h0)""", f"h2 AS (SELECT code, time, t, list_filter([{_pts}], lambda x: x IS NOT NULL)[2:] AS z FROM h1 WINDOW o AS (PARTITION BY code ORDER BY t))"], "code, time", ["ln(list_max(z)) - ln(list_min(z)) AS Cumulative_range"], "FROM h2 WHERE t >= 52 AND len(z) > 0")
+    h1 AS (SELECT code, time, t, CASE WHEN t - ct <= 2 THEN lc END AS c, CASE WHEN t - pt <= 2 THEN lp END AS pc FROM h0)""", f"h2 AS (SELECT code, time, t, {_pts} FROM h1 WINDOW o AS (PARTITION BY code ORDER BY t)), h3 AS (SELECT code, time, t, [{_rest}] AS z FROM h2)"], "code, time", ["ln(list_max(z)) - ln(list_min(z)) AS Cumulative_range"], "FROM h3 WHERE t >= 52 AND list_max(z) IS NOT NULL")
 _m = [f"lag(m, {3 * k}) OVER o" if k else "m" for k in range(12)]
 TURN = f"u0 AS (SELECT code, time, t, CASE WHEN count(x) {over(3)} = 3 THEN sum(x) {over(3)} END AS m FROM d), u1 AS (SELECT code, time, t, ln(m) AS Monthly_share_turnover, CASE WHEN t >= 36 THEN ln({mean_of(*_m[:3])}) END AS Quarterly_share_turnover, CASE WHEN t >= 36 THEN ln({mean_of(*_m)}) END AS Annual_share_turnover FROM u0 WINDOW o AS (PARTITION BY code ORDER BY t))"
 for _name in ("Monthly", "Quarterly", "Annual"):

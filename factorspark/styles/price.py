@@ -44,14 +44,16 @@ def daily_std(prices: DataFrame, calendar: DataFrame, half_life: float = 42) ->
 
 def cumulative_range(prices: DataFrame, calendar: DataFrame, step: int = 21, count: int = 12, limit: int = 10) -> DataFrame:
     """Log range of the prices every `step` rows over `count` steps. The first known point is the base of the
-    returns and not itself in the range; unknown points add nothing."""
+    returns; the range is that of the points after it, of which unknown ones repeat the point before."""
     dense = dense_panel(prices, calendar, ["close", "pre_close"])
     dense = dense.withColumns({"close": fill_limited("close", limit), "pre_close": fill_limited("pre_close", limit)})
     points = [F.lag("pre_close", step * count - 1).over(by_code()), *sampled_lags(F.col("close"), step, count)[::-1]]
-    known = F.filter(F.array(*points), lambda x: x.isNotNull())
-    rest = F.slice(known, 2, F.greatest(F.size(known) - 1, F.lit(0)))
-    out = dense.withColumn("_rest", rest).where((F.col("t") >= step * count) & (F.size("_rest") > 0))
-    return out.select("code", "time", (F.log(F.array_max("_rest")) - F.log(F.array_min("_rest"))).alias("Cumulative_range"))
+    names = [f"_p{k}" for k in range(count + 1)]
+    dense = dense.withColumns(dict(zip(names, points, strict=True)))
+    padded = [F.coalesce(*names[k::-1]) for k in range(count + 1)]
+    dense = dense.withColumn("_rest", F.array(*[F.when(before.isNotNull(), now) for before, now in zip(padded, padded[1:], strict=False)]))
+    out = dense.withColumn("Cumulative_range", F.log(F.array_max("_rest")) - F.log(F.array_min("_rest")))
+    return out.where((F.col("t") >= step * count) & F.col("Cumulative_range").isNotNull()).select("code", "time", "Cumulative_range")
 
 
 def turnover(valuation: DataFrame, calendar: DataFrame, month: int = 21, months: int = 12) -> DataFrame:
