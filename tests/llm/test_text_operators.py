@@ -177,7 +177,7 @@ def test_decontamination_finds_passages_with_substitutions(spark, data):
         words = text.split()
         for at in range(3 + k % 5, len(words), 9):
             words[at] = "other"
-        planted[5_000_000 + k] = (item, "Before it. " + " ".join(words).upper() + " after it")
+        planted[5_000_000 + k] = (item, "Before it. " + " ".join(words).encode().upper().decode() + " after it")
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(d, t) for d, (_, t) in planted.items()], "doc_id long, text string"))
     benchmark = spark.createDataFrame(items + [(900, None), (901, ""), (902, "too short"), (None, items[0][1])], "item_id long, text string")
     found = {r.doc_id: (r.contaminated, r["items"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
