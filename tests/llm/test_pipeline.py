@@ -31,3 +31,47 @@ def test_run_is_the_stages(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, data)
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, data).collect()))
+
+
+def best_run(doc, item):
+    """Most equal words in a positive run over all shifts: +1 for equal, -4 for another."""
+    best = 0
+    for shift in range(-len(item) + 1, len(doc)):
+        low, high = max(0, -shift), min(len(item), len(doc) - shift)
+        equal = [item[k] == doc[k + shift] for k in range(low, high)]
+        if sum(equal) < 13:
+            continue
+        score = run = 0
+        for same in equal:
+            score, run = score + (1 if same else -4), run + same
+            if score <= 0:
+                score = run = 0
+            best = max(best, run)
+    return best
+
+
+def test_run_equals_plain_versions(spark, data):
+    from tokenizers import Tokenizer as Library
+
+    from factorspark.llm.toxicity import toxicity_scores
+
+    from .test_text_operators import PATH, brute_links, plain_secrets
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    toxic = {r.doc_id for r in toxicity_scores(docs, spark.read.parquet(f"{data}/labels.parquet")).collect() if r.score >= 0.7}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
+    first = {int(d) for d, _, group in brute_links(rows, 5) if int(d) == group}
+    fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+    items = [fold(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    library, want = Library.from_file(PATH), []
+    for doc, text in rows:
+        if doc not in first or any(best_run(fold(text), i) >= min(13, len(i)) for i in items if len(i) >= 9 and len(set(i) & set(fold(text))) >= 5):
+            continue
+        kept, at = [], 0
+        for start, kind, end in plain_secrets(text or ""):
+            if start >= at:
+                kept += [text[at:start], f"<{('assign', 'access', 'hex')[kind]}>"]
+            at = max(at, end)
+        ids = library.encode("".join(kept) + (text or "")[at:], add_special_tokens=False).ids
+        want.append((doc, len(ids), ",".join(map(str, ids))))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, data).select("doc_id", "n_tokens", "ids").collect())) == sorted(want)
