@@ -36,16 +36,22 @@ def padded_change(value: str, n: int) -> Column:
     return div(F.col(value), F.lag(F.col(value), n).over(by_code())) - 1
 
 
-def decayed_changes(df: DataFrame, value: str, n: int, terms: int = 4) -> DataFrame:
-    """Adds `change`: the sum over i < terms of the n-step change i * n rows before, over i + 1; unknown is 0.
+def decayed_changes(df: DataFrame, values: dict[str, str], n: int, terms: int = 4) -> DataFrame:
+    """Adds for each `name: column` the sum over i < terms of the column's n-step change i * n rows before,
+    over i + 1; unknown changes are 0. Needs dense rows.
 
-    Rows of dates on which no code has a change at all are dropped, as there is nothing to compare.
+    A name is NULL before the code's first value and on dates before any code has a change.
     """
-    df = df.withColumn("_known", last_known(value))
-    df = df.withColumn("_change", padded_change("_known", n))
-    lags = [F.coalesce(F.lag("_change", i * n).over(by_code()), F.lit(0.0)) / (i + 1) for i in range(terms)]
-    total = lags[0]
-    for x in lags[1:]:
-        total = total + x
-    some = df.where(F.col("_change").isNotNull()).agg(F.min("t").alias("_first"))
-    return df.withColumn("change", total).join(F.broadcast(some)).where(F.col("t") >= F.col("_first")).drop("_known", "_change", "_first")
+    df = df.withColumns({f"_k{name}": last_known(c) for name, c in values.items()})
+    df = df.withColumns({f"_c{name}": padded_change(f"_k{name}", n) for name in values})
+    first = df.agg(*[F.min(F.when(F.col(f"_c{name}").isNotNull(), F.col("t"))).alias(f"_f{name}") for name in values])
+    df = df.withColumns({f"_s{name}": _decayed(f"_c{name}", n, terms) for name in values}).join(F.broadcast(first))  # one row
+    df = df.withColumns({name: F.when((F.col("t") >= F.col(f"_f{name}")) & F.col(f"_k{name}").isNotNull(), F.col(f"_s{name}")) for name in values})
+    return df.drop(*[f"_{x}{name}" for x in "kcfs" for name in values])
+
+
+def _decayed(change: str, n: int, terms: int) -> Column:
+    total = F.coalesce(F.col(change), F.lit(0.0))
+    for i in range(1, terms):
+        total = total + F.coalesce(F.lag(change, i * n).over(by_code()), F.lit(0.0)) / (i + 1)
+    return total

@@ -93,10 +93,7 @@ def enterprise_multiple(finance: DataFrame, valuation: DataFrame, calendar: Data
 
 def sentiment(reports: DataFrame, valuation: DataFrame, calendar: DataFrame, n: int = 63, scale: float = 1e4) -> DataFrame:
     """Decayed changes of the mean forecast, per market cap and as it is."""
-    mean = forecast(reports, None, calendar, "np", "mean", "m", scale)
-    out = None
-    for name, rows in (("Pred_EP_chg", _with(mean, valuation, "market_cap").select("code", "time", div("m", "market_cap").alias("v"))), ("Pred_EPS_chg", mean.select("code", "time", F.col("m").alias("v")))):
-        dense = densify(rows.join(F.broadcast(calendar), "time"), calendar)
-        part = decayed_changes(dense, "v", n).select("code", "time", F.col("change").alias(name))
-        out = part if out is None else out.join(part, ["code", "time"], "full_outer")
-    return out
+    mean = forecast(reports, None, calendar, "np", "mean", "m", scale).join(valuation.select("code", "time", "market_cap"), ["code", "time"], "left")
+    both = mean.select("code", "time", div("m", "market_cap").alias("ep"), F.col("m").alias("eps")).join(F.broadcast(calendar), "time")
+    out = decayed_changes(densify(both, calendar), {"Pred_EP_chg": "ep", "Pred_EPS_chg": "eps"}, n)
+    return out.where("Pred_EP_chg is not null or Pred_EPS_chg is not null").select("code", "time", "Pred_EP_chg", "Pred_EPS_chg")
