@@ -2,10 +2,13 @@
 
 Two transducers are composed over each clause (text between sentence marks, line ends or semicolons). The
 lexicon transducer maps words to classes: insult, threat, target, negation, report. Its insults are
-learned: words and word beginnings that labelled toxic documents have and clean ones do not. The grammar
-transducer reads the classes from left to right; its state holds whether a negation stands just before and
-whether the clause reports speech, and it writes one symbol per insult or threat: plain, aimed (a target in
-the clause), negated, reported or threat. The number of each symbol in a document is weighted; the weights
+learned: words and word beginnings that labelled toxic documents have and clean ones do not. Learned too are
+suspects: beginnings that go on in many ways and that toxic documents have far more often than clean ones,
+so that one proves little and several prove much. The grammar transducer reads the classes from left to
+right; its state holds whether a negation stands just before and whether the clause reports speech, and it
+writes one symbol per insult or threat: plain, aimed (a target in the clause), negated, reported or threat.
+A suspect is written as such; negated or reported it is passed over. The number of each symbol in a document
+is weighted, that of suspects in steps, at the second, third and fourth; the weights
 are fitted to the labels by logistic regression with a prior that holds aimed insults and threats to be
 worse and negated and reported ones to be milder than plain ones.
 
@@ -34,11 +37,13 @@ NEGATIONS = frozenset("not no never isn't aren't don't wasn't nicht kein keine n
 REPORTS = frozenset("said says say quoted quote called calls claimed claims wrote reported according sagte sagt nannte dit disait écrit dijo dice llamó".split())
 VERBS = frozenset("kill hurt destroy beat punish töten schlagen verletzen tuer frapper matar golpear".split())
 INTENTS = frozenset("will gonna shall must werde werden vais va voy vamos".split())
-SYMBOLS = ("plain", "aimed", "negated", "reported", "threat")
-PRIOR = np.array([3.0, 4.0, 2.0, 2.0, 3.0])
+SYMBOLS = ("plain", "aimed", "negated", "reported", "threat", "suspect")
+STEPS = (2, 3, 4)
+PRIOR = np.array([3.0, 4.0, 2.0, 2.0, 3.0, 2.0, 2.0, 2.0])
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_CLAUSE_END = re.compile(r"[.!?;\n]")
+CLAUSE_MARKS = ".!?;\n"
+_CLAUSE_END = re.compile(f"[{CLAUSE_MARKS}]")
 _VERB = re.compile("|".join(sorted(VERBS)))
 SHORTEST, LONGEST = 4, 8
 
@@ -78,38 +83,56 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def choose_entries(counts: list[tuple[str, int, int]]) -> list[str]:
-    """Insults among (entry, toxic documents, clean documents): a word where one word makes up most of a
-    beginning's documents, else the longest beginning that keeps nearly all documents of the shorter one."""
-    support = {e: t for e, t, _ in counts}
-    words = {e[1:]: t for e, t in support.items() if e[0] == "="}
-    stems = {e: t for e, t in support.items() if e[0] != "="}
-    chosen: dict[str, None] = {}
+def choose_entries(pure: list[tuple[str, int]], mixed: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
+    """Insults among the pure entries and suspects among the mixed beginnings, both (entry, toxic documents).
+
+    Insults are a word where one word makes up most of a beginning's documents, else the longest beginning
+    that keeps nearly all documents of the shorter one; suspects are such beginnings without a word that
+    makes up most of them, and take in what lies under them.
+    """
+    words = {e[1:]: t for e, t in pure if e[0] == "="}
+    stems = {e: t for e, t in pure if e[0] != "="}
+    loose = dict(mixed)
+    begins = loose | stems
+    insults: dict[str, None] = {}
     done: set[str] = set()
     for word, n in sorted(words.items()):
+        beginnings = [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)]
         # a word of its own, unless its beginning goes on in many other ways
-        if all(n >= 0.5 * stems.get(word[:k], 0) for k in range(SHORTEST, min(LONGEST, len(word)) + 1)):
-            chosen["=" + word] = None
-            done.update(word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1))
-    for stem, n in sorted(stems.items(), key=lambda x: (len(x[0]), x[0])):
-        if stem in done or any(stem.startswith(c) for c in chosen if c[0] != "="):
-            continue
-        best = stem
-        while longer := [s for s, m in stems.items() if len(s) == len(best) + 1 and s.startswith(best) and m >= 0.9 * n]:
-            best = longer[0]
-        if best not in done:
-            chosen[best] = None
-    return list(chosen)
+        if all(n >= 0.5 * begins.get(b, 0) for b in beginnings):
+            insults["=" + word] = None
+            done.update(beginnings)
+
+    def longest(stem: str, among: dict[str, int]) -> str:
+        n = among[stem]
+        while longer := [s for s, m in among.items() if len(s) == len(stem) + 1 and s.startswith(stem) and m >= 0.9 * n]:
+            stem = longer[0]
+        return stem
+
+    suspects: dict[str, None] = {}
+    for stem in sorted(loose, key=lambda s: (len(s), s)):
+        if stem not in done and not stem.startswith(tuple(suspects)):
+            best = longest(stem, loose)
+            if best not in done:
+                suspects[best] = None
+    chosen: dict[str, None] = {}
+    for stem in sorted(stems, key=lambda s: (len(s), s)):
+        if stem not in done and not stem.startswith((*chosen, *suspects)):
+            best = longest(stem, stems)
+            if best not in done:
+                chosen[best] = None
+    return [*insults, *chosen], list(suspects)
 
 
 class Grammar:
     """The composed transducers: from a text to the number of each output symbol."""
 
-    def __init__(self, entries: list[str]):
+    def __init__(self, entries: list[str], suspects: list[str] | None = None):
+        self.suspects = tuple(suspects or ())
         self.words = frozenset(e[1:] for e in entries if e[0] == "=")
         self.stems = frozenset(e for e in entries if e[0] != "=")
         self.lengths = sorted({len(s) for s in self.stems})
-        parts = sorted({e.lstrip("=") for e in entries} | VERBS, key=lambda s: (-len(s), s))
+        parts = sorted({e.lstrip("=") for e in entries} | set(self.suspects) | VERBS, key=lambda s: (-len(s), s))
         self.hint = re.compile("|".join(map(re.escape, parts)))
 
     def insult(self, word: str) -> bool:
@@ -130,6 +153,8 @@ class Grammar:
                 out["reported" if reported else "negated" if negated > 0 else "aimed" if aimed else "plain"] += 1
             elif word in VERBS and intent > 0 and aimed:
                 out["reported" if reported else "negated" if negated > 0 else "threat"] += 1
+            elif negated <= 0 and not reported and word.startswith(self.suspects):
+                out["suspect"] += 1
             negated -= 1
             intent -= 1
         return out
@@ -138,8 +163,7 @@ class Grammar:
         """How often each of SYMBOLS is written; clauses without a hint of the lexicon are passed over."""
         low, at, total = text.lower(), 0, Counter()
         while hit := self.hint.search(low, at):
-            start = max((m.end() for m in _CLAUSE_END.finditer(low, max(0, hit.start() - 2000), hit.start())), default=max(0, hit.start() - 2000))
-            start = max(start, at)
+            start = max(at, *(low.rfind(mark, at, hit.start()) + 1 for mark in CLAUSE_MARKS))
             end = _CLAUSE_END.search(low, hit.end())
             at = end.end() if end else len(low)
             total += self.clause(_WORD.findall(low, start, at))
@@ -147,13 +171,15 @@ class Grammar:
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(counts, 3).astype(float)
+    """Each symbol's number, up to 3; for suspects, the last, whether each of STEPS is reached."""
+    return np.column_stack((np.minimum(counts[:, :-1], 3), counts[:, -1:] >= np.array(STEPS))).astype(float)
 
 
 def fit(counts: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[float, np.ndarray]:
     """Intercept and weights at the posterior's maximum, by Newton steps on at most the sample's rows."""
     x = np.column_stack((np.ones(len(counts)), _features(counts)))
-    mean, strength = np.concatenate(([-2.0], PRIOR)), np.array([0.01, *[2.0] * len(SYMBOLS)])
+    mean, strength = np.concatenate(([-2.0], PRIOR)), np.array([0.01, *[2.0] * len(PRIOR)])
+    strength[-len(STEPS) :] = 0.5
     w = mean.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -185,7 +211,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chan
 
     A lexicon entry needs so many toxic documents that chance alone, at the labels' share of toxic ones,
     would give it with a probability under `chance`, as many different contexts (so that copies of one
-    document do not add up), and at least 20 toxic documents for each clean one.
+    document do not add up), and at least 20 toxic documents for each clean one. A suspect needs that many too,
+    four times the labels' odds of toxic to clean documents, and that chance would give its share of toxic
+    documents with a probability under `chance` (Chernoff's bound).
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -193,15 +221,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chan
     counts = sample.mapInArrow(_count, "entry string, toxic long, clean long, contexts long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     share = sample.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
     support = max(4, math.ceil(math.log(chance) / math.log(min(max(share, 1e-6), 0.9))))
-    pure = counts.where((F.least("toxic", "contexts") >= support) & (F.col("toxic") >= 20 * F.col("clean")))
-    entries = choose_entries([tuple(r) for r in pure.select("entry", "toxic", "clean").orderBy(F.desc("toxic"), "entry").limit(20_000).collect()])
-    grammar = spark.sparkContext.broadcast(Grammar(entries))
+    toxic, clean, usual = F.col("toxic").cast("double"), F.col("clean").cast("double"), min(max(share, 1e-6), 1 - 1e-6)
+    surprise = toxic * F.log(toxic / ((toxic + clean) * usual)) + F.when(clean > 0, clean * F.log(clean / ((toxic + clean) * (1 - usual)))).otherwise(0.0)
+    strong = toxic >= 20 * clean
+    weak = ~F.startswith("entry", F.lit("=")) & (toxic * (1 - usual) >= 4 * usual * clean) & (surprise >= -math.log(chance))
+    kinds = counts.where(F.least("toxic", "contexts") >= support).where(strong | weak).select("entry", "toxic", strong.alias("strong"))
+    found = kinds.orderBy(F.desc("toxic"), "entry").limit(20_000).collect()
+    entries, suspects = choose_entries([(r.entry, r.toxic) for r in found if r.strong], [(r.entry, r.toxic) for r in found if not r.strong])
+    grammar = spark.sparkContext.broadcast(Grammar(entries, suspects))
     schema = "doc_id long, " + ", ".join(f"{s} long" for s in SYMBOLS)
     rows = sample.select("doc_id", "text").mapInArrow(_symbols(grammar), schema).join(sample.select("doc_id", "label"), "doc_id").toPandas()
     rows = rows.sort_values(list(rows.columns))
     intercept, weights = fit(rows[list(SYMBOLS)].to_numpy().reshape(-1, len(SYMBOLS)), rows["label"].to_numpy(float))
     total = F.lit(intercept)
-    for symbol, weight in zip(SYMBOLS, weights.tolist(), strict=True):
-        total = total + F.lit(weight) * F.least(F.col(symbol), F.lit(3))
+    numbers = [F.least(F.col(s), F.lit(3)) for s in SYMBOLS[:-1]] + [(F.col(SYMBOLS[-1]) >= n).cast("int") for n in STEPS]
+    for number, weight in zip(numbers, weights.tolist(), strict=True):
+        total = total + F.lit(weight) * number
     scored = texts.mapInArrow(_symbols(grammar), schema)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-total))).alias("score"), *SYMBOLS)

@@ -151,7 +151,7 @@ def test_toxicity_held_out_accuracy(spark):
     sf = DATA.replace("0.001", "0.1")
     out = queries.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     hits = sum(r.predicted == 1 and r.toxic == 1 for r in out)
-    assert hits >= 0.85 * sum(r.toxic == 1 for r in out) and hits >= 0.9 * sum(r.predicted == 1 for r in out)
+    assert hits >= 0.85 * sum(r.toxic == 1 for r in out) and hits >= 0.95 * sum(r.predicted == 1 for r in out)
 
 
 def test_toxicity_edges(spark, data):
@@ -165,7 +165,15 @@ def test_toxicity_edges(spark, data):
 
 
 def test_grammar_scores_clauses():
-    grammar = toxicity.Grammar(["=idiot", "lowei"])
-    assert grammar.symbols("You idiot. What an idiot! He is not an idiot; they said idiot") == [1, 1, 1, 1, 0]
-    assert grammar.symbols("I will kill you. I will kill time.\nloweihaft") == [1, 0, 0, 0, 1]
-    assert grammar.symbols("an idiotic overloweih") == [0, 0, 0, 0, 0]
+    grammar = toxicity.Grammar(["=idiot", "lowei"], ["snar"])
+    assert grammar.symbols("You idiot. What an idiot! He is not an idiot; they said idiot") == [1, 1, 1, 1, 0, 0]
+    assert grammar.symbols("I will kill you. I will kill time.\nloweihaft") == [1, 0, 0, 0, 1, 0]
+    assert grammar.symbols("an idiotic overloweih") == [0, 0, 0, 0, 0, 0]
+    assert grammar.symbols("snarly snark. not snarly; they said snark") == [0, 0, 0, 0, 0, 2]
+    assert grammar.symbols("they said " + "so and " * 1000 + "idiot") == [0, 0, 0, 1, 0, 0]
+
+
+def test_beginnings_that_go_on_in_many_ways_are_suspects():
+    pure = [("=scum", 50), ("scum", 50), ("=snarly", 8), ("snarly", 8), ("=snarks", 9), ("snarks", 9), ("grumb", 30), ("grumbe", 29), ("=grumbex", 6)]
+    assert toxicity.choose_entries(pure, [("snar", 40), ("snark", 15), ("scum", 50)]) == (["=scum", "grumbe"], ["snar"])
+    assert toxicity.choose_entries([], []) == ([], [])
