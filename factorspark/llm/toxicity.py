@@ -54,16 +54,18 @@ def _entries(word: str) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per entry: toxic and clean documents, and a bit for each context (the words around) in toxic ones."""
+    """Per entry: toxic and clean documents, and in toxic ones a bit for each context (the words around) and one
+    for each whole word."""
     clean: Counter = Counter()
     toxic: Counter = Counter()
     contexts: dict[str, int] = {}
+    ways: dict[str, int] = {}
 
     def rows() -> pa.RecordBatch:
         names = list(clean.keys() | toxic.keys())
-        bits = [contexts.get(n, 0) for n in names]
-        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[n] for n in names], pa.int64()) for c in (toxic, clean)], pa.array([b - (1 << 64) if b >> 63 else b for b in bits], pa.int64())], names=["entry", "toxic", "clean", "contexts"])
-        for c in (clean, toxic, contexts):
+        bits = [pa.array([b - (1 << 64) if b >> 63 else b for b in (held.get(n, 0) for n in names)], pa.int64()) for held in (contexts, ways)]
+        batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[n] for n in names], pa.int64()) for c in (toxic, clean)], *bits], names=["entry", "toxic", "clean", "contexts", "ways"])
+        for c in (clean, toxic, contexts, ways):
             c.clear()
         return batch
 
@@ -76,8 +78,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 toxic.update({e for w in set(words) for e in _entries(w)})
                 for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
                     bit = 1 << (zlib.crc32(f"{before} {after}".encode()) & 63)
+                    way = 1 << (zlib.crc32(word.encode()) & 63)
                     for e in _entries(word):
                         contexts[e] = contexts.get(e, 0) | bit
+                        ways[e] = ways.get(e, 0) | way
             if len(clean) + len(toxic) > 300_000:
                 yield rows()
     yield rows()
@@ -128,11 +132,12 @@ class Grammar:
     """The composed transducers: from a text to the number of each output symbol."""
 
     def __init__(self, entries: list[str], suspects: list[str] | None = None):
-        self.suspects = tuple(suspects or ())
+        self.suspects = frozenset(suspects or ())
+        self.begins = sorted({len(s) for s in self.suspects})
         self.words = frozenset(e[1:] for e in entries if e[0] == "=")
         self.stems = frozenset(e for e in entries if e[0] != "=")
         self.lengths = sorted({len(s) for s in self.stems})
-        parts = sorted({e.lstrip("=") for e in entries} | set(self.suspects) | VERBS, key=lambda s: (-len(s), s))
+        parts = sorted({e.lstrip("=") for e in entries} | self.suspects | VERBS, key=lambda s: (-len(s), s))
         self.hint = re.compile("|".join(map(re.escape, parts)))
 
     def insult(self, word: str) -> bool:
@@ -153,7 +158,7 @@ class Grammar:
                 out["reported" if reported else "negated" if negated > 0 else "aimed" if aimed else "plain"] += 1
             elif word in VERBS and intent > 0 and aimed:
                 out["reported" if reported else "negated" if negated > 0 else "threat"] += 1
-            elif negated <= 0 and not reported and word.startswith(self.suspects):
+            elif negated <= 0 and not reported and any(word[:n] in self.suspects for n in self.begins):
                 out["suspect"] += 1
             negated -= 1
             intent -= 1
@@ -212,19 +217,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chan
     A lexicon entry needs so many toxic documents that chance alone, at the labels' share of toxic ones,
     would give it with a probability under `chance`, as many different contexts (so that copies of one
     document do not add up), and at least 20 toxic documents for each clean one. A suspect needs that many too,
-    four times the labels' odds of toxic to clean documents, and that chance would give its share of toxic
+    as many different words that begin with it, four times the labels' odds of toxic to clean documents, and that chance would give its share of toxic
     documents with a probability under `chance` (Chernoff's bound).
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sample = labelled_sample(texts, labels.where(~held_out()), "toxic", most).select("doc_id", "text", "label")
-    counts = sample.mapInArrow(_count, "entry string, toxic long, clean long, contexts long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    counts = sample.mapInArrow(_count, "entry string, toxic long, clean long, contexts long, ways long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("contexts")).alias("contexts"), F.bit_count(F.bit_or("ways")).alias("ways"))
     share = sample.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
     support = max(4, math.ceil(math.log(chance) / math.log(min(max(share, 1e-6), 0.9))))
     toxic, clean, usual = F.col("toxic").cast("double"), F.col("clean").cast("double"), min(max(share, 1e-6), 1 - 1e-6)
     surprise = toxic * F.log(toxic / ((toxic + clean) * usual)) + F.when(clean > 0, clean * F.log(clean / ((toxic + clean) * (1 - usual)))).otherwise(0.0)
     strong = toxic >= 20 * clean
-    weak = ~F.startswith("entry", F.lit("=")) & (toxic * (1 - usual) >= 4 * usual * clean) & (surprise >= -math.log(chance))
+    weak = (F.col("ways") >= support) & (toxic * (1 - usual) >= 4 * usual * clean) & (surprise >= -math.log(chance))
     kinds = counts.where(F.least("toxic", "contexts") >= support).where(strong | weak).select("entry", "toxic", strong.alias("strong"))
     found = kinds.orderBy(F.desc("toxic"), "entry").limit(20_000).collect()
     entries, suspects = choose_entries([(r.entry, r.toxic) for r in found if r.strong], [(r.entry, r.toxic) for r in found if not r.strong])
