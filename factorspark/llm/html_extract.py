@@ -1,7 +1,8 @@
 """Main text of web pages by a recurrent block labeller (operator 3).
 
 A lenient parser cuts a page into leaf blocks: runs of text between block-level tags, with the path of open
-tags. Scripts, styles, comments and form controls never make blocks. Each block has a vector of its tag
+tags. Scripts, styles, comments and form controls never make blocks: a RAW element ends at its own literal end
+tag, whatever stands in it, and an UNSHOWN one with its parent at the latest. Formulas are text. Each block has a vector of its tag
 path (hashed tag names, class, id and role words), a vector of its hashed words, and a few measures. A
 bidirectional LSTM in numpy reads the vectors of a page in order, so each label depends on the whole page,
 and classifies every block as main text or not.
@@ -34,14 +35,17 @@ PATHS, WORDS, MEASURES, HIDDEN, BATCH = 96, 24, 6, 16, 128
 INPUTS = PATHS + WORDS + MEASURES
 
 # HTML element kinds and the usual names of page parts.
-RAW = frozenset("script style title textarea noscript template svg iframe select option button object math".split())
+RAW = frozenset("script style title textarea noscript iframe".split())
+UNSHOWN = frozenset("template svg select optgroup option button object annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split())
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mspace msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split()) | MATH
+CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 MAIN = frozenset("article main content post entry story body-text maincontent post-content entry-content article-body".split())
 OTHER = frozenset("nav aside footer header form menu sidebar comment comments reply notice notices cookie cookies consent banner ad ads advert adverts advertisement sponsored promo newsletter subscribe related share social breadcrumb breadcrumbs login signup search copyright widget pagination toolbar popup modal".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _PART = re.compile(r"[\s_]+")
 
@@ -59,7 +63,7 @@ def parse_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
-    linked, raw, links = 0, "", 0
+    at = linked = links = hidden = 0
 
     def close() -> None:
         nonlocal text, linked
@@ -70,39 +74,45 @@ def parse_blocks(page: str) -> list[Block]:
                 blocks.append(Block(joined, path, linked))
         text, linked = [], 0
 
-    for token in _TOKEN.finditer(page):
+    def cut(low: int) -> None:
+        nonlocal links, hidden
+        links -= sum(t == "a" for t, _ in stack[low:])
+        hidden -= sum(t in UNSHOWN for t, _ in stack[low:])
+        del stack[low:]
+
+    while token := _TOKEN.match(page, at):
+        at = token.end()
         tag = token[2]
         if tag is None:
             piece = token[0]
-            if not raw and piece[0] != "<" or piece == "<" and not raw:
+            if not hidden and (piece[0] != "<" or piece == "<"):
                 text.append(piece)
                 linked += len(piece) if links else 0
             continue
         tag = tag.lower()
-        if raw:
-            raw = "" if token[1] and tag == raw else raw
-            continue
         if tag not in INLINE:
             close()
         elif tag == "br":
             text.append(" ")
         if token[1]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[at:])):
-                links -= sum(t == "a" for t, _ in stack[at:])
-                del stack[at:]
+            low = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if low is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[low:])):
+                cut(low)
             continue
         if tag in RAW:
-            raw = "" if token[0].endswith("/>") else tag
+            if not token[0].endswith("/>"):
+                end = _ENDS[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
-        if tag in VOID:
+        if tag in VOID or token[0].endswith("/>") and (hidden or tag in UNSHOWN or tag in MATH):
             continue
-        if tag not in INLINE:
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] in CLOSES.get(tag, {"p"})):
-                links -= stack.pop()[0] == "a"
+        closes = CLOSES.get(tag, set() if tag in UNSHOWN else {"p"})
+        while stack and tag not in INLINE and (stack[-1][0] in closes or stack[-1][0] in INLINE and tag not in UNSHOWN):
+            cut(len(stack) - 1)
         names = " ".join(x for m in _NAMES.findall(token[3]) for x in m if x).lower() if token[3] and "=" in token[3] else ""
         stack.append((tag, f"{tag} {names}" if names else tag))
         links += tag == "a"
+        hidden += tag in UNSHOWN
     close()
     return blocks
 

@@ -40,6 +40,23 @@ def test_labeller_uses_names_and_context(spark, data):
     assert alone == [html_extract.extract(labeller, [p])[0] for p in pages[:30]]
 
 
+def test_raw_and_hidden_elements_end():
+    article = "<article><p>Text</p></article>"
+    for before in (
+        "<script>for(i=0;i<n;i++){t+=i}</script>", "<script>a = '<!--';</script>", "<STYLE>a<b</Style >", "<title>a <b</title>", "<textarea>a <!-- b</textarea>", "<script>x = '</scripts>'</script>",
+        "<datalist><option value=a><option value=b></datalist>", "<select><option>a<option>b</select>", "<select><optgroup><option>a<optgroup><option>b</select>", "<div><button>Send</div>", "<div><object>old</div>", "<svg><path/><text>s</text></svg>",
+    ):
+        assert [(b.text, b.path) for b in html_extract.parse_blocks(before + article)] == [("Text", ("article", "p"))], before
+    for kept, want in (
+        ("<p>Area <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math> holds.</p>", ["Area a=2 holds."]),
+        ("<p>One <b>two <button>Send</button> three</b> four</p>", ["One two", "three four"]),
+        ("<p>a <option>x</p><p>b</p>", ["a", "b"]),
+    ):
+        assert [b.text for b in html_extract.parse_blocks(kept)] == want
+        assert {b.path for b in html_extract.parse_blocks(kept)} == {("p",)}
+    assert html_extract.parse_blocks("<script>never ends <p>x</p>") == []
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     net = html_extract.Labeller(1)
