@@ -1,16 +1,20 @@
 """Benchmark decontamination by spaced seeds (operator 9).
 
-Texts are lower-cased (A-Z) and cut into words at ASCII white space. Each fixed mask picks some of SPAN
-words in a row and ignores the others, so a substituted word at an ignored place leaves the hash equal.
-Benchmark seeds are looked up at every position of every document; a hit names a benchmark item and the
-shift between the two texts. On that shift the words are compared one by one, with +1 for an equal word
-and -4 for another, and the best run decides: a document is contaminated by an item if the run has
-`words` equal words or more, or all words of a shorter item of at least SPAN words. A run's score stays
-positive only with four equal words in five, so a run tolerates one substitution in five.
+Texts are lower-cased (A-Z) and cut into words at ASCII white space. A document is contaminated by an item if,
+on one shift between the two texts, at least four in five of all the item's words are equal, or `words` words
+or more are equal in a stretch of the item in which four in five words are equal. So one substitution in five
+is tolerated, wherever it stands; items of fewer than five words have to be there whole.
+
+Each fixed mask picks some words of a row of words and ignores the others, so that a substituted word at an
+ignored place leaves the hash equal. The masks of SPAN words ignore any two places, and every match of an
+item of SPAN words or more has SPAN words in a row with at most two substitutions, but for one case at 15 words
+that has a mask of its own. Shorter items have masks of their own length that ignore each place in turn.
+Benchmark seeds are looked up at every position of every document; a hit names an item and the shift, and
+there the words are compared one by one.
 
 The benchmark is cut into blocks of at most BLOCK_BYTES of text, read and broadcast one at a time: memory
 is bounded whatever the benchmark's size, and every document meets every block. NULL and empty texts are
-clean; items of fewer than SPAN words are not looked for. Rows are returned as they come, one per input
+clean, and items without words are in no document. An item with a NULL id is named NULL. Rows are returned as they come, one per input
 row, with repeated ids kept; other columns are dropped.
 """
 
@@ -24,9 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, Words, lower_ascii, mix, slices, utf8
 
-# Which of SPAN words in a row each mask keeps.
-MASKS = ("110110101", "101011011", "111001101")
 SPAN = 9
+# Which words in a row each mask keeps. Masks of SPAN words serve all items from SPAN words on, the
+# others items of just their length.
+MASKS = ("111000110", "101100101", "100011011", "010111100", "011011001", "001110110", "010101011", "110110010")
+MASKS += tuple("1" * n for n in range(1, 5)) + tuple("1" * k + "0" + "1" * (n - k - 1) for n in range(5, SPAN) for k in range(n)) + ("111111000111111",)
 BLOCK_BYTES = 8 << 20
 _BITS = 22
 
@@ -36,35 +42,52 @@ def _words(texts: pa.Array) -> Words:
     return Words(lower_ascii(data), offsets)
 
 
-def _seeds(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _seeds(words: Words, masks: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask: positions and hashes of its windows."""
     n = len(words.hash)
-    at = np.flatnonzero(words.row[SPAN - 1 :] == words.row[: n - SPAN + 1]) if n >= SPAN else np.zeros(0, np.int64)
-    for k, mask in enumerate(MASKS):
+    for k in masks:
+        span = len(MASKS[k])
+        at = np.flatnonzero(words.row[span - 1 :] == words.row[: n - span + 1]) if n >= span else np.zeros(0, np.int64)
         total = np.full(len(at), k + 1, U64)
-        for j, keep in enumerate(mask):
+        for j, keep in enumerate(MASKS[k]):
             if keep == "1":
                 total = total * U64(0x9E3779B97F4A7C15) + words.hash[at + j]
         yield at, mix(total)
 
 
+def equal_words(equal: np.ndarray, length: int, least: int) -> int:
+    """Most equal words in a stretch of an overlap with an item of `length` words, or in all of it, in which
+    four in five words are equal; 0 if the item is shorter and not there by that, and too few are equal."""
+    count = np.concatenate(([0], np.cumsum(equal)))
+    score = 5 * count - 4 * np.arange(len(count))
+    # the longest stretch up to each place starts where the score was first as low
+    run = int((count - count[np.searchsorted(-np.minimum.accumulate(score), -score)]).max())
+    whole = int(count[-1])
+    return max(run, whole) if 5 * whole >= 4 * length else run if run >= least else 0
+
+
 class _Block:
     """Words and seeds of one block of benchmark items."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str]):
+        self.ids = ids
         self.words = _words(pa.array(texts, pa.string()))
-        found = list(_seeds(self.words))
+        length = np.diff(self.words.first)
+        self.masks = [k for k, mask in enumerate(MASKS) if (length >= SPAN if len(mask) == SPAN else length == len(mask)).any()]
+        found = [(np.zeros(0, np.int64), np.zeros(0, U64))]
+        for k, (at, seed) in zip(self.masks, _seeds(self.words, self.masks), strict=True):
+            own = len(MASKS[k]) == SPAN or length[self.words.row[at]] == len(MASKS[k])
+            found.append((at[own], seed[own]) if own is not True else (at, seed))
         at, seed = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         order = np.argsort(seed, kind="stable")
         self.at, self.seed = at[order], seed[order]
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.seed >> U64(64 - _BITS)] = True
 
-    def overlaps(self, words: Words, least: int) -> list[tuple[int, int, int]]:
-        """(row, item, equal words) for each row and item with a long enough run."""
+    def overlaps(self, words: Words, least: int) -> list[tuple[int, int | None, int]]:
+        """(row, item's id, equal words) for each row and item that contaminates it."""
         shifts = []
-        for at, seed in _seeds(words):
+        for at, seed in _seeds(words, self.masks):
             hit = np.flatnonzero(self.maybe[seed >> U64(64 - _BITS)])
             low, high = np.searchsorted(self.seed, seed[hit], "left"), np.searchsorted(self.seed, seed[hit], "right")
             while (more := np.flatnonzero(low < high)).size:
@@ -79,23 +102,16 @@ class _Block:
             start = max(a, words.first[row] - shift)
             stop = min(b, words.first[row + 1] - shift)
             equal = self.words.hash[start:stop] == words.hash[start + shift : stop + shift]
-            score = run = top = 0
-            for same in equal.tolist():
-                score += 1 if same else -4
-                run += same
-                if score <= 0:
-                    score = run = 0
-                top = max(top, run)
-            if top >= min(least, int(b - a)):
+            if top := equal_words(equal, int(b - a), least):
                 best[row, item] = max(top, best.get((row, item), 0))
-        return [(row, int(self.ids[item]), n) for (row, item), n in best.items()]
+        return [(row, self.ids[item], n) for (row, item), n in best.items()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Per document: doc_id, items (ids of the benchmark items in it, ascending), n_equal (most equal words
-    in a run), contaminated."""
+    """Per document: doc_id, items (ids of the benchmark items in it, ascending, NULL last), n_equal (most
+    equal words of one in a stretch), contaminated."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("item_text")).where("item is not null and item_text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("item_text")).where("item_text is not null")
     size = items.agg(F.sum(F.octet_length("item_text").cast("long"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_equal"))

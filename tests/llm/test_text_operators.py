@@ -194,6 +194,38 @@ def test_decontamination_finds_passages_with_substitutions(spark, data):
     assert not decontaminate.contaminated(docs, benchmark.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_tolerates_one_in_five_anywhere(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    items = {n: words(n) for n in range(1, 41)}
+    docs, want = [], {}
+
+    def put(item, text):
+        want[len(docs)] = [item] if item else []
+        docs.append((len(docs), " ".join([*words(rng.randrange(4)), *text, *words(rng.randrange(4))])))
+
+    def other(n, *places):
+        return ["x" if k in places else w for k, w in enumerate(items[n])]
+
+    for n in range(1, 41):
+        put(n, items[n])
+        for at in range(min(n, 18)):
+            put(n if n >= 5 else 0, other(n, at))
+        for _ in range(20):
+            most = rng.sample(range(n), n // 5)
+            put(n, other(n, *most))
+    for low in range(13):  # all runs of substitutions in 15 words
+        put(15, other(15, *range(low, low + 3)))
+    put(40, items[40][20:36])
+    put(40, [w if k not in (1, 6, 11) else "x" for k, w in enumerate(items[40][20:36])])
+    put(0, [w if k not in (1, 6, 11, 13) else "x" for k, w in enumerate(items[40][20:36])])
+    put(0, items[40][:12])
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(None, "an item that has no id"), (99, " ")], "item_id long, text string")
+    docs.append((len(docs), "see: An item that has no ID"))
+    want[len(docs) - 1] = [None]
+    assert {r.doc_id: r["items"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()} == want
+
+
 def test_decontamination_in_blocks(spark, data, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(tuple, decontaminate.contaminated(docs, benchmark).select("doc_id", "contaminated", "n_equal").collect()))
