@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -62,6 +63,20 @@ def fit_classifier(rows: DataFrame, columns: list[str], label: str = "class_labe
     return lambda df: model.transform(prepare(df.dropna(subset=columns))).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction"), model
 
 
+def fit_windows(rows: DataFrame, spans: DataFrame, fit: Callable, columns: list[str], time: str = "time", **options) -> list[tuple[int, DataFrame, object]]:
+    """(window_id, scored rows of the test day, model) of every window of `walk_forward`, in order: the loop
+    runs over windows, and each fit is distributed over the window's rows."""
+    out = []
+    rows = rows.persist()
+    for span in spans.orderBy("window_id").collect():  # one row per training window
+        own = rows.withColumn("window_id", F.lit(span["window_id"]))
+        train = time_split(own.where(F.col(time).between(F.lit(span["start"]), F.lit(span["end"]))), ["window_id"], time=time)
+        score, model = fit(train, columns, **options)
+        out.append((span["window_id"], score(own.where(F.col(time) == F.lit(span["test"]))), model))
+    rows.unpersist()
+    return out
+
+
 def feature_importance(spark, model, columns: list[str]) -> DataFrame:
     """(feature, importance), by gain."""
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double")

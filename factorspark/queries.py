@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -184,23 +185,26 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xsection.zscore(ev, ["close"])
 
 
-def _boosted(x: Tables, fit: Callable) -> tuple[DataFrame, object, list[str]]:
-    columns = ["turnover_ratio", "dv_ratio", "ret"]
-    rows = evaluate.labels(x.p, 3)
-    span = training.walk_forward(x.cal, 40, 20, 5).where("window_id = 0")
-    train = training.time_split(rows.join(F.broadcast(span), (F.col("time") >= F.col("start")) & (F.col("time") <= F.col("end"))), ["window_id"])
-    score, model = fit(train, columns, rounds=10)
-    test = rows.join(F.broadcast(span.select("test")), F.col("time") == F.col("test"))
-    return training.rank_portfolio(score(test)).select("code", "time", "return_ratio", "class_label", "score", "rank"), model, columns
+TRAINED = ["turnover_ratio", "dv_ratio", "ret"]
 
 
-style("boosted_regression", lambda x: _boosted(x, training.fit_regression)[0], "month")
-style("boosted_classifier", lambda x: _boosted(x, training.fit_classifier)[0], "month")
+def _boosted(x: Tables, fit: Callable) -> list[tuple[int, DataFrame, object]]:
+    """Every walk-forward window's id, scored test day and model."""
+    return training.fit_windows(evaluate.labels(x.p, 3), training.walk_forward(x.cal, 40, 20, 5), fit, TRAINED, rounds=10)
+
+
+def _portfolios(x: Tables, fit: Callable) -> DataFrame:
+    scored = reduce(DataFrame.unionByName, (out for _, out, _ in _boosted(x, fit)))
+    return training.rank_portfolio(scored).select("window_id", "code", "time", "return_ratio", "class_label", "score", "rank")
+
+
+style("boosted_regression", lambda x: _portfolios(x, training.fit_regression), "month")
+style("boosted_classifier", lambda x: _portfolios(x, training.fit_classifier), "month")
 
 
 def _importance(x: Tables) -> DataFrame:
-    _, model, columns = _boosted(x, training.fit_regression)
-    return training.feature_importance(x.spark, model, columns)
+    found = (training.feature_importance(x.spark, model, TRAINED).select(F.lit(k).alias("window_id"), "*") for k, _, model in _boosted(x, training.fit_regression))
+    return reduce(DataFrame.unionByName, found)
 
 
 style("feature_importance", _importance, "month")

@@ -198,3 +198,18 @@ def test_boosted_trees_rank_a_clear_signal(spark):
     assert training.rank_portfolio(score(df), top=1).agg(F.min("a")).first()[0] >= 8
     score, _ = training.fit_classifier(df, ["a", "b"], rounds=5)
     assert training.class_metrics(score(df).withColumn("all", F.lit(1)), "class_label", "score", ["all"]).first().auc > 0.99
+
+
+def test_boosted_queries_train_and_score_every_window(spark, data):
+    from factorspark.queries import QUERIES, Tables
+
+    spans = training.walk_forward(Tables(spark, data, "month").cal, 40, 20, 5).collect()
+    assert len(spans) > 1
+    want = {(s.window_id, s.test) for s in spans}
+    for name in ("boosted_regression", "boosted_classifier"):
+        rows = QUERIES[name](spark, data).collect()
+        assert {(r.window_id, r.time) for r in rows} == want
+        for k, _ in want:
+            assert sorted(r["rank"] for r in rows if r.window_id == k) == list(range(1, 1 + sum(r.window_id == k for r in rows)))
+    found = QUERIES["feature_importance"](spark, data).collect()
+    assert sorted((r.window_id, r.feature) for r in found) == sorted((s.window_id, c) for s in spans for c in ("turnover_ratio", "dv_ratio", "ret"))
