@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over `documents`, each one operator of factorspark.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-`documents`. Stages work on whatever their predecessor kept. Rows that share an id are handled as one
-document: they go together, and near-dedup leaves one row of an id.
+`documents`. Stages work on whatever their predecessor kept. Each row is judged by its own text and
+goes or stays by itself, whether its id is NULL or shared with other rows.
 """
 
 from __future__ import annotations
@@ -21,27 +21,38 @@ from factorspark.llm.toxicity import toxicity_scores
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 REJECT = 0.7
+ROW = "_row"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return with_ids(docs, checkpointed(ids.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key of each row, fixed by a checkpoint."""
+    return checkpointed(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return with_ids(rows, checkpointed(keys.select(ROW)), ROW, "left_anti").select([c for c in rows.columns if c != ROW])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a toxicity score of REJECT or more."""
-    return _without(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= REJECT))
+    rows = _keyed(docs)
+    return _without(rows, toxicity_scores(rows, table(spark, sf_dir, "labels"), key_col=ROW).where(F.col("score") >= REJECT))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of documents with a similarity of 0.8 or more on five-word shingles."""
-    kept = _without(docs, near_duplicates(docs, k=5, percent=80).where("doc_id <> component_id"))
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return kept if again.isEmpty() else kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Keeps one row of each group with a similarity of 0.8 or more on five-word shingles: that of the smallest id
+    (NULL last), and of rows with that id the first by row key."""
+    rows = _keyed(docs)
+    found = checkpointed(near_duplicates(rows, k=5, percent=80, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))
+    first = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(least.alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    return _without(rows, found.join(first, ROW, "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _keyed(docs)
+    return _without(rows, contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated").withColumnRenamed("doc_id", ROW))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

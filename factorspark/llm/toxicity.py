@@ -202,7 +202,8 @@ def _symbols(grammar):
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 count = [grammar.value.symbols(t) if t else [0] * len(SYMBOLS) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array([c[k] for c in count], pa.int64()) for k in range(len(SYMBOLS))]], names=["doc_id", *SYMBOLS])
+                names = part.schema.names[:-1]  # the text is last
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), *[pa.array([c[k] for c in count], pa.int64()) for k in range(len(SYMBOLS))]], names=[*names, *SYMBOLS])
 
     return symbols
 
@@ -211,8 +212,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chance: float = 5e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, held_out, score, and the number of each output symbol.
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chance: float = 5e-6, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """Per document: doc_id, `key_col` (a long, if given), held_out, score, and the number of each output symbol.
 
     A lexicon entry needs so many toxic documents that chance alone, at the labels' share of toxic ones,
     would give it with a probability under `chance`, as many different contexts (so that copies of one
@@ -242,5 +243,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chan
     numbers = [F.least(F.col(s), F.lit(3)) for s in SYMBOLS[:-1]] + [(F.col(SYMBOLS[-1]) >= n).cast("int") for n in STEPS]
     for number, weight in zip(numbers, weights.tolist(), strict=True):
         total = total + F.lit(weight) * number
-    scored = texts.mapInArrow(_symbols(grammar), schema)
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-total))).alias("score"), *SYMBOLS)
+    keys = [key_col] if key_col else []
+    rows = docs.select(*keys, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = rows.mapInArrow(_symbols(grammar), "".join(f"`{k}` long, " for k in keys) + schema)
+    return scored.select("doc_id", *keys, F.coalesce(held_out(), F.lit(False)).alias("held_out"), (1 / (1 + F.exp(-total))).alias("score"), *SYMBOLS)

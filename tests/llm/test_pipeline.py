@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from factorspark.llm import secrets
 from factorspark.llm.bpe import Tokenizer
@@ -26,6 +28,25 @@ def test_stages_take_effect(spark, data):
         assert tokenizer.decode(ids) == (rows[r.doc_id].text or "") and len(ids) == r.n_tokens
 
 
+def test_rows_are_judged_by_themselves(spark, data):
+    """NULL and shared ids: a bad row goes alone, copies go but one, and different texts stay."""
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(40))
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first().text
+    rows = [(None, item), (None, words("a")), (7, item), (7, words("b")), (7, words("c")), (None, words("d")), (None, words("d")), (9, words("e")), (None, words("e")), (9, words("e")), (8, words("e")), (5, None), (5, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], spark.read.parquet(f"{data}/documents.parquet").schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, data).collect()]
+    assert sorted(map(str, kept)) == sorted(str(r) for r in rows if r[1] != item)
+    once = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()]
+    assert sorted(map(str, once)) == sorted(map(str, [(7, item), (None, words("a")), (7, words("b")), (7, words("c")), (None, words("d")), (8, words("e")), (5, None), (5, None)]))
+
+
+def test_toxic_rows_go_alone(spark, data, monkeypatch):
+    docs = spark.createDataFrame([(None, "bad"), (None, "good"), (3, "bad"), (3, "good")], "doc_id long, text string")
+    keys = lambda d, labels, key_col: d.select(key_col, (F.col("text") == "bad").cast("double").alias("score"))
+    monkeypatch.setattr(corpus_pipeline, "toxicity_scores", keys)
+    assert sorted(map(str, (tuple(r) for r in corpus_pipeline.drop_toxic(spark, docs, data).collect()))) == ["(3, 'good')", "(None, 'good')"]
+
+
 def test_run_is_the_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
