@@ -11,7 +11,8 @@ sampled key boundaries, and each key range merges its pieces of all runs with a
 comparison per level for each capture. The ranges in order are the globally ordered capture histories.
 
 Defined results: a NULL html is an empty payload, a NULL url an empty one; line breaks in a url are
-percent-encoded; equal page_ids are records of their own. Files hold at most RECORDS records.
+percent-encoded; equal page_ids are records of their own. A NULL page_id has an empty urn, is dated as page 0 and read
+back as NULL, first among equal keys; its record is always a response, and no revisit names it. Files hold at most RECORDS records.
 """
 
 from __future__ import annotations
@@ -51,12 +52,12 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     page = page.join(kept, "digest", "left")
     revisit = (F.col("size") >= least) & (F.col("page_id") < F.col("owner"))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    date = F.date_format(F.timestamp_seconds(F.lit(1_577_836_800) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(1_577_836_800) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = [
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         ("WARC-Target-URI", url),
         ("WARC-Date", date),
-        ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), "page_id", F.lit(">"))),
+        ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         ("WARC-Payload-Length", F.col("size").cast("string")),
         ("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -99,8 +100,14 @@ def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = stop + 4
 
 
-def _page(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _page(urn: str) -> int | None:
+    page = urn.removeprefix("<urn:page:").removesuffix(">")
+    return int(page) if page else None
+
+
+def _order(page: int | None) -> tuple[bool, int]:
+    """Sort key of a page_id: NULL first, as in Spark."""
+    return page is not None, page or 0
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +122,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{path}: the payload at byte {at} does not match its digest")
                 url = fields["WARC-Target-URI"]
                 rows.append((path, url_key(url), fields["WARC-Date"], _page(fields["WARC-Record-ID"]), url, fields["WARC-Type"], _page(fields["WARC-Refers-To"]) if revisit else None, size, digest, at))
-            rows.sort(key=lambda r: (*r[1:4], r[9]))
+            rows.sort(key=lambda r: (*r[1:3], _order(r[3]), r[9]))
             names = [c.split()[0] for c in _INDEX.split(", ")]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_schema())
 
@@ -174,7 +181,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     table = pa.Table.from_batches(held)
-    keys = list(zip(*(table[c].to_pylist() for c in ("url_key", "timestamp", "page_id", "offset")), range(table.num_rows), strict=True))
+    url, time, page, offset = (table[c].to_pylist() for c in ("url_key", "timestamp", "page_id", "offset"))
+    keys = list(zip(url, time, map(_order, page), offset, range(table.num_rows), strict=True))
     runs: dict[str, list[tuple]] = {}
     for key, run in zip(keys, table["run"].to_pylist(), strict=True):
         runs.setdefault(run, []).append(key)

@@ -155,6 +155,16 @@ def test_warc_round_trip(spark, data):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_of_null_ids(spark):
+    rows = [(None, "u", "a"), (None, "u", "a"), (0, "u", "a"), (5, "u", "a"), (None, None, None), (None, "u", "own"), (None, "u", "own")]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    have = [(r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in out]
+    want = [(None, "u", 1, "response", None)] * 2 + [(0, "u", 1, "revisit", 5), (5, "u", 1, "response", None), (None, "", 0, "response", None)] + [(None, "u", 3, "response", None)] * 2
+    assert sorted(map(str, have)) == sorted(map(str, want))
+    keys = [(r.url_key, r.timestamp, r.page_id is not None, r.page_id or 0) for r in out]
+    assert keys == sorted(keys)
+
+
 def test_loser_tree_merges():
     rng = random.Random(4)
     for runs in (0, 1, 2, 3, 7, 16, 33):
