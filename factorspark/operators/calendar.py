@@ -44,15 +44,16 @@ def shift_days(df: DataFrame, calendar: DataFrame, n: int, time: str = "time") -
 
 
 def snap_map(calendar: DataFrame) -> DataFrame:
-    """(day, time): for every calendar day up to the last trading day, the first trading day on or after it.
+    """(day, time, t): for every day from the first to the last trading day, the first trading day on or after it."""
+    before = F.lag("time").over(Window.orderBy("time"))
+    spans = calendar.select("time", "t", F.coalesce(F.date_add(before, 1), F.col("time")).alias("_from"))
+    return spans.select("time", "t", F.explode(F.sequence("_from", "time")).alias("day"))
 
-    Days before the first trading day map to it for `HEAD` years back."""
-    before = F.coalesce(F.lag("time").over(Window.orderBy("time")), F.add_months("time", -12 * HEAD))
-    spans = calendar.select("time", F.date_add(before, 1).alias("_from"))
-    return spans.select("time", F.explode(F.sequence("_from", "time")).alias("day"))
 
-
-HEAD = 10
+def snapped(df: DataFrame, calendar: DataFrame, date_col: str) -> DataFrame:
+    """Adds (time, t), the first trading day on or after `date_col`; rows after the last trading day are dropped."""
+    day = F.greatest(F.col(date_col), calendar.agg(F.min("time")).scalar())
+    return df.withColumn("day", day).where(F.col(date_col).isNotNull()).join(F.broadcast(snap_map(calendar)), "day").drop("day")
 
 
 def period_ends(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
@@ -71,3 +72,20 @@ def rebalance_dates(spark: SparkSession, start: dt.date, end: dt.date) -> DataFr
     dates = [dt.date(y, m, 1) for y in range(start.year - 1, end.year + 1) for m in (5, 9) if dt.date(y, m, 1) < end]
     first = max((d for d in dates if d <= start), default=start)
     return spark.createDataFrame([(d,) for d in dates if d >= first], "time date")
+
+
+def rebalance_of(calendar: DataFrame) -> DataFrame:
+    """The rebalancing dates of a whole calendar: May 1 and Sep 1 before its last day, from the last one on or before
+    its first day on."""
+    span = calendar.agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    years = span.select("first", "last", F.explode(F.sequence(F.year("first") - 1, F.year("last"))).alias("_y"))
+    dates = years.select("first", "last", F.explode(F.array(*[F.make_date("_y", F.lit(m), F.lit(1)) for m in (5, 9)])).alias("time")).where("time < last")
+    start = dates.where("time <= first").agg(F.max("time"))
+    return dates.where(F.col("time") >= start.scalar()).select("time")
+
+
+def month_starts(calendar: DataFrame) -> DataFrame:
+    """(time, month_start): the first trading day of each day's month."""
+    days = calendar.select("time").distinct()
+    first = days.groupBy(F.trunc("time", "month").alias("_m")).agg(F.min("time").alias("month_start"))
+    return days.withColumn("_m", F.trunc("time", "month")).join(F.broadcast(first), "_m").drop("_m")

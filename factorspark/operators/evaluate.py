@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -13,8 +15,16 @@ def _code() -> WindowSpec:
     return Window.partitionBy("code").orderBy("t")
 
 
-def forward_return(prices: DataFrame, n: int, cost: str = "open", close: str = "close") -> DataFrame:
-    """Adds `forward`: close n rows ahead over the cost one row ahead, less 1; rows without it are dropped."""
+def forward_return(prices: DataFrame, n: int, cost: str = "open", close: str = "close", calendar: DataFrame | None = None, start: dt.date | None = None, end: dt.date | None = None, fill: bool = True) -> DataFrame:
+    """Adds `forward`: close n rows ahead over the cost one row ahead, less 1; rows without it are dropped.
+
+    With a `calendar`, only prices from `start` to `end` are looked at; with `fill`, those of the n trading days after
+    `end` too, as far as there are any."""
+    if start is not None:
+        prices = prices.where(F.col("time") >= F.lit(start))
+    if end is not None:
+        last = calendar.where(F.col("time") <= F.lit(end)).agg(F.max("t") + (n if fill else 0))
+        prices = prices.where(F.col("t") <= last.scalar())
     out = prices.withColumn("forward", div(F.lead(close, n).over(_code()), F.lead(cost, 1).over(_code())) - 1)
     return out.where("forward is not null")
 

@@ -5,30 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import by_code, div
-from .panel import asof_align, last_known
+from .calendar import snapped
+from .panel import last_known
 
 LOOK_BACK = 1095
+EXACT = "decimal(24,8)"
 
 
-def expanding_forecast(reports: DataFrame, calendar: DataFrame, value: str, ahead: int = 0, least: int = 5, look_back: int = LOOK_BACK) -> DataFrame:
+def forecast_days(reports: DataFrame, values: list[str]) -> DataFrame:
+    """(code, year, time, n, and for each value its count k_, sum s_ and sum of squares ss_): forecasts of a day for a
+    target year, so a much covered code is no long window. Sums are exact, so their order does not matter."""
+    sums = []
+    for v in values:
+        sums += [F.count(v).alias(f"k_{v}"), F.sum(F.col(v).cast(EXACT)).alias(f"s_{v}"), F.sum((F.col(v) * F.col(v)).cast(EXACT)).alias(f"ss_{v}")]
+    return reports.groupBy("code", "year", "time").agg(F.count("*").alias("n"), *sums)
+
+
+def expanding_forecast(days: DataFrame, calendar: DataFrame, value: str, ahead: int = 0, least: int = 5, look_back: int = LOOK_BACK) -> DataFrame:
     """(code, time, mean, std): statistics of all forecasts for the year `ahead` years on, up to each day.
 
-    Reports are (code, time, year, value), `year` being the target. Within the calendar year of target -
-    `ahead`, each trading day has the mean and population deviation of the target's forecasts so far, from
-    the `look_back` trading days before that year's end on, once there are `least` of them (NULLs count). Days are summed first, so a much covered code is no long window.
+    `days` are those of `forecast_days`, `year` being the target. Within the calendar year of target - `ahead`,
+    each trading day has the mean and population deviation of the target's forecasts so far, from the `look_back`
+    trading days before that year's end on, once there are `least` of them (NULLs count).
     """
-    ends = calendar.groupBy(F.year("time").alias("own")).agg(F.max("t").alias("_end"))
-    first = ends.join(F.broadcast(calendar.select(F.col("t").alias("_t"), F.col("time").alias("_first"))), F.greatest(F.col("_end") - (look_back - 1), F.lit(1)) == F.col("_t")).select("own", "_first")
-    rows = reports.withColumn("own", F.col("year") - ahead).join(F.broadcast(first), "own").where((F.col("time") >= F.col("_first")) & (F.year("time") <= F.col("own")))
-    v = F.col(value)
-    daily = rows.groupBy("code", "own", "time").agg(F.count("*").alias("_n"), F.count(v).alias("_k"), F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"))
+    ends = calendar.groupBy(F.year("time").alias("own")).agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
+    start = calendar.select(F.col("t").alias("_t"), F.col("time").alias("_first"))
+    years = ends.join(F.broadcast(start), F.greatest(F.col("_high") - (look_back - 1), F.lit(1)) == F.col("_t")).drop("_t")
+    rows = days.withColumn("own", F.col("year") - ahead).join(F.broadcast(years), "own").where((F.col("time") >= F.col("_first")) & (F.year("time") <= F.col("own")))
     over = Window.partitionBy("code", "own").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = daily.select("code", "own", "time", F.sum("_n").over(over).alias("n"), F.sum("_k").over(over).alias("k"), F.sum("_s").over(over).alias("s"), F.sum("_ss").over(over).alias("ss"))
+    total = lambda c: F.sum(c).over(over)
+    so_far = rows.select("code", "own", "_low", "_high", "time", total("n").alias("n"), total(f"k_{value}").alias("k"), total(f"s_{value}").cast("double").alias("s"), total(f"ss_{value}").cast("double").alias("ss"))
     mean = div("s", "k")
     spread = F.sqrt(F.greatest(div("ss", "k") - mean * mean, F.lit(0.0)))
-    known = so_far.where(F.col("n") >= least).select(F.struct("code", "own").alias("code"), F.col("time").alias("day"), mean.alias("mean"), spread.alias("std"))
-    aligned = asof_align(known, calendar, "day", ["mean", "std"], "day")
-    return aligned.where(F.year("time") == F.col("code.own")).select("code.code", "time", "mean", "std")
+    known = so_far.where(F.col("n") >= least).select("code", "own", "_low", "_high", F.col("time").alias("_on"), mean.alias("mean"), spread.alias("std"))
+    # what is known before the year stands on its first trading day
+    at = snapped(known, calendar, "_on").withColumn("t", F.greatest("t", "_low")).where("t <= _high")
+    at = at.groupBy("code", "own", "t", "_high").agg(*[F.max_by(c, "_on").alias(c) for c in ("mean", "std")])
+    grid = at.groupBy("code", "own", "_high").agg(F.min("t").alias("_from")).select("code", "own", F.explode(F.sequence("_from", "_high")).alias("t"))
+    dense = grid.join(at.drop("_high"), ["code", "own", "t"], "left").join(F.broadcast(calendar), "t")
+    fill = Window.partitionBy("code", "own").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return dense.select("code", "time", *[F.last(c, ignorenulls=True).over(fill).alias(c) for c in ("mean", "std")])
 
 
 def padded_change(value: str, n: int) -> Column:
@@ -44,10 +60,10 @@ def decayed_changes(df: DataFrame, values: dict[str, str], n: int, terms: int =
     """
     df = df.withColumns({f"_k{name}": last_known(c) for name, c in values.items()})
     df = df.withColumns({f"_c{name}": padded_change(f"_k{name}", n) for name in values})
-    first = df.agg(*[F.min(F.when(F.col(f"_c{name}").isNotNull(), F.col("t"))).alias(f"_f{name}") for name in values])
-    df = df.withColumns({f"_s{name}": _decayed(f"_c{name}", n, terms) for name in values}).join(F.broadcast(first))  # one row
-    df = df.withColumns({name: F.when((F.col("t") >= F.col(f"_f{name}")) & F.col(f"_k{name}").isNotNull(), F.col(f"_s{name}")) for name in values})
-    return df.drop(*[f"_{x}{name}" for x in "kcfs" for name in values])
+    first = {name: df.agg(F.min(F.when(F.col(f"_c{name}").isNotNull(), F.col("t")))).scalar() for name in values}
+    df = df.withColumns({f"_s{name}": _decayed(f"_c{name}", n, terms) for name in values})
+    df = df.withColumns({name: F.when((F.col("t") >= first[name]) & F.col(f"_k{name}").isNotNull(), F.col(f"_s{name}")) for name in values})
+    return df.drop(*[f"_{x}{name}" for x in "kcs" for name in values])
 
 
 def _decayed(change: str, n: int, terms: int) -> Column:

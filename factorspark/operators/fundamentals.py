@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.columns import div
+from .panel import dedupe_last, join_statements
 
 
 def _periods() -> WindowSpec:
@@ -28,6 +29,41 @@ def ttm(df: DataFrame, columns: list[str], rows: int = 4, cumulative: bool = Tru
     return single.withColumns({f"{c}_ttm": total(c) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+def half_year_ttm(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds `<c>_ttm` for amounts that are filed for half-years: in June and December rows, the sum of the last two
+    half-years, of which June's is the year to date and December's that less June's; NULL in other rows."""
+    half = F.month("statDate").isin(6, 12)
+    over = Window.partitionBy("code", half).orderBy("statDate")
+    single = df.withColumns({f"_{c}": F.when(F.month("statDate") == 6, F.col(c)).otherwise(F.col(c) - F.lag(c).over(over)) for c in columns})
+    return single.withColumns({f"{c}_ttm": F.when(half, F.col(f"_{c}") + F.lag(f"_{c}").over(over)) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def parent_profit() -> Column:
+    """Net profit of the parent's owners: comprehensive income to the parent less other comprehensive income."""
+    return F.coalesce("compr_inc_attr_p", F.lit(0.0)) - F.coalesce("oth_compr_income", F.lit(0.0))
+
+
+def combine_statements(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFrame:
+    """One row per (code, statDate) of the three statements' last filings, with np_parent_company_owners."""
+    last = [dedupe_last(df, ["code", "statDate"], ["pubDate"]) for df in (income, balance, cashflow)]
+    return join_statements(last).withColumn("np_parent_company_owners", parent_profit())
+
+
+def trailing(finance: DataFrame) -> DataFrame:
+    """Statements with all trailing sums: of year-to-date amounts, of half-yearly net profit, and of the cash increase,
+    which is filed per quarter."""
+    out = ttm(finance, ["operating_revenue", "total_operating_revenue", "total_operating_cost", "np_parent_company_owners", "operating_cost"])
+    return ttm(half_year_ttm(out, ["net_profit"]), ["cash_equivalent_increase"], cumulative=False)
+
+
+def capital_expenditure() -> Column:
+    """Cash paid for long-term assets less the year's change in long-term debt without interest, which is that from the
+    first to the last of the rows that the code has for the year."""
+    debt = F.coalesce("longterm_account_payable", F.lit(0.0)) + F.coalesce("specific_account_payable", F.lit(0.0))
+    year = _year().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.col("fix_intan_other_asset_acqui_cash") - (F.last(debt).over(year) - F.first(debt).over(year))
+
+
 def second_half(df: DataFrame, columns: list[str]) -> DataFrame:
     """In years of exactly two rows, the second row's columns become its own half's: itself less the first."""
     n = F.count("*").over(Window.partitionBy("code", F.year("statDate")))

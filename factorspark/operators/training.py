@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import div
 from .evaluate import average_rank
+from .panel import with_industry
+from .xsection import dummies, zscore
 
 
 def walk_forward(calendar: DataFrame, train: int, step: int, embargo: int = 1) -> DataFrame:
@@ -77,9 +79,24 @@ def fit_windows(rows: DataFrame, spans: DataFrame, fit: Callable, columns: list[
     return out
 
 
+def walk_forward_run(rows: DataFrame, spans: DataFrame, columns: list[str], kind: str = "regression", **options) -> dict[str, DataFrame]:
+    """Trains and scores every window: `portfolio` has the ranked test days, `importance` the features of each window
+    by gain, and `metrics` a row per window with its span, its test day's metrics and its importances."""
+    fit = {"regression": fit_regression, "classifier": fit_classifier}[kind]
+    runs = fit_windows(rows, spans, fit, columns, **options)
+    spark = rows.sparkSession
+    scored = reduce(DataFrame.unionByName, (out for _, out, _ in runs))
+    importance = reduce(DataFrame.unionByName, (feature_importance(spark, model, columns).select(F.lit(k).alias("window_id"), "*") for k, _, model in runs))
+    found = regression_metrics(scored, "return_ratio", "score", ["window_id"]) if kind == "regression" else class_metrics(scored, "class_label", "score", ["window_id"])
+    listed = importance.groupBy("window_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("importance"), "feature"))), lambda x: F.struct(x.feature.alias("feature"), (-x.col1).alias("importance"))).alias("importances"))
+    metrics = spans.join(found, "window_id").join(listed, "window_id")
+    return {"portfolio": rank_portfolio(scored), "importance": importance, "metrics": metrics}
+
+
 def feature_importance(spark, model, columns: list[str]) -> DataFrame:
-    """(feature, importance), by gain."""
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    """(feature, importance), by gain, the largest first."""
+    rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), "feature string, importance double")
 
 
 def regression_metrics(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
@@ -106,9 +123,8 @@ def rank_portfolio(scored: DataFrame, score: str = "score", by: str = "time", to
 
 
 def training_table(descriptors: DataFrame, columns: list[str], industry: DataFrame, values: list[str], labelled: DataFrame) -> DataFrame:
-    """Z-scored descriptors and industry dummies with labels: code, time, columns, dummies, country, label columns."""
-    from .xsection import dummies, zscore
-
-    rows = dummies(descriptors.select("code", "time", *columns).join(industry.select("code", "L1"), "code", "left"), "L1", values)
+    """Z-scored descriptors and industry dummies with labels: code, time, columns, dummies, country, label columns.
+    The industry is that of the code, or of the day if the industry table varies in time."""
+    rows = dummies(with_industry(descriptors.select("code", "time", *columns), industry, how="left"), "L1", values)
     inputs: list[Column | str] = [*columns, *[f"L1_{v}" for v in values], "country"]
     return zscore(rows, inputs).drop("L1").join(labelled.select("code", "time", "close", "close_future", "return_ratio", "class_label"), ["code", "time"], "left")

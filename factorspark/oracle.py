@@ -22,22 +22,32 @@ def panel(unit: str = "week") -> str:
 
 FINANCE = """q AS (SELECT l_suppkey AS code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q, sum(l_extendedprice) AS e, sum(l_extendedprice * l_discount) AS d, sum(l_extendedprice * l_tax) AS x, sum(l_quantity) AS n FROM lineitem GROUP BY 1, 2),
     f0 AS (SELECT code, year(q) * 4 + quarter(q) AS k, last_day(q + INTERVAL 2 MONTH) AS statDate,
-        sum(e) OVER y AS operating_revenue, sum(e - d) OVER y AS operating_cost, sum(d) OVER y AS net_profit, sum(d - x) OVER y AS np_parent_company_owners,
-        sum(n) OVER y AS net_operate_cash_flow, sum(-x) OVER y AS net_invest_cash_flow, sum(n * 2) OVER y AS capex, sum(x * 0.1) OVER y AS depreciation, n AS cash_equivalent_increase,
-        sum(e) OVER a AS total_assets, sum((e - d) * 0.6) OVER a AS total_liability, sum(x) OVER a AS total_non_current_liability, sum(d * 0.5) OVER a AS shortterm_loan,
+        sum(e) OVER y AS operating_revenue, sum(e + x) OVER y AS total_operating_revenue, sum(e - d) OVER y AS operating_cost, sum(e - d + x) OVER y AS total_operating_cost, sum(d) OVER y AS compr_inc_attr_p,
+        CASE WHEN (year(q) * 4 + quarter(q)) % 5 <> 0 THEN sum(x) OVER y END AS oth_compr_income, CASE WHEN quarter(q) IN (2, 4) THEN sum(d) OVER y END AS net_profit,
+        sum(n) OVER y AS net_operate_cash_flow, sum(-x) OVER y AS net_invest_cash_flow, sum(n * 2) OVER y AS fix_intan_other_asset_acqui_cash, sum(x * 0.06) OVER y AS fixed_assets_depreciation,
+        sum(x * 0.03) OVER y AS intangible_assets_amortization, sum(x * 0.01) OVER y AS defferred_expense_amortization, n AS cash_equivalent_increase,
+        sum(e) OVER a AS total_assets, sum((e - d) * 0.6) OVER a AS total_liability, sum(x) OVER a AS total_non_current_liability, CASE WHEN (year(q) * 4 + quarter(q)) % 7 <> 0 THEN sum(x * 0.25) OVER a END AS non_current_liability_in_one_year,
+        sum(d * 0.5) OVER a AS shortterm_loan, CASE WHEN code % 2 <> 0 THEN sum(d * 0.1) OVER a END AS longterm_account_payable, sum(x * 0.2) OVER a AS specific_account_payable, CASE WHEN code % 3 = 0 THEN sum(n * 20) OVER a END AS oth_eqt_tools_p_shr,
         sum(n) OVER a AS cash_and_equivalents_at_end, sum(n * 3) OVER a AS paidin_capital
         FROM q WINDOW y AS (PARTITION BY code, year(q) ORDER BY q), a AS (PARTITION BY code ORDER BY q)),
     f1 AS (SELECT *, statDate + CAST(20 + (7 * code + 11 * k) % 90 AS INT) AS pubDate FROM f0 WHERE (code * 31 + k) % 97 <> 0),
     filings AS (SELECT * FROM f1 UNION ALL SELECT * REPLACE (pubDate + 5 AS pubDate, operating_revenue * 1.01 AS operating_revenue) FROM f1 WHERE (code + k) % 13 = 0),
     fin0 AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY code, statDate ORDER BY pubDate DESC) = 1),
-    fin AS (SELECT *, make_date(CAST(year(statDate) + (month(statDate) = 12)::INT AS INT), CASE month(statDate) WHEN 6 THEN 9 WHEN 9 THEN 11 ELSE 5 END, 1) AS due FROM fin0)"""
+    fin AS (SELECT *, coalesce(compr_inc_attr_p, 0) - coalesce(oth_compr_income, 0) AS np_parent_company_owners, make_date(CAST(year(statDate) + (month(statDate) = 12)::INT AS INT), CASE month(statDate) WHEN 6 THEN 9 WHEN 9 THEN 11 ELSE 5 END, 1) AS due FROM fin0)"""
 
 
-def ttm(*columns: str, single: tuple[str, ...] = ()) -> str:
+def _trailing() -> str:
     """CTE `tt`: fin with `<c>_ttm`."""
-    values = [f"CASE WHEN quarter(statDate) = 1 THEN {c} ELSE {c} - lag({c}) OVER o END AS _{c}" for c in columns] + [f"{c} AS _{c}" for c in single]
-    sums = [f"CASE WHEN count(_{c}) OVER o4 = 4 THEN sum(_{c}) OVER o4 END AS {c}_ttm" for c in (*columns, *single)]
-    return f"t0 AS (SELECT *, {', '.join(values)} FROM fin WINDOW o AS (PARTITION BY code ORDER BY statDate)), tt AS (SELECT *, {', '.join(sums)} FROM t0 WINDOW o4 AS (PARTITION BY code ORDER BY statDate ROWS 3 PRECEDING))"
+    yearly = ("operating_revenue", "total_operating_revenue", "total_operating_cost", "np_parent_company_owners", "operating_cost")
+    values = [f"CASE WHEN quarter(statDate) = 1 THEN {c} ELSE {c} - lag({c}) OVER o END AS _{c}" for c in yearly] + ["cash_equivalent_increase AS _cash_equivalent_increase"]
+    sums = [f"CASE WHEN count(_{c}) OVER o4 = 4 THEN sum(_{c}) OVER o4 END AS {c}_ttm" for c in (*yearly, "cash_equivalent_increase")]
+    return f"""t0 AS (SELECT *, {', '.join(values)} FROM fin WINDOW o AS (PARTITION BY code ORDER BY statDate)),
+    h0 AS (SELECT code, statDate, CASE WHEN month(statDate) = 6 THEN net_profit ELSE net_profit - lag(net_profit) OVER o END AS hp FROM fin WHERE month(statDate) IN (6, 12) WINDOW o AS (PARTITION BY code ORDER BY statDate)),
+    h1 AS (SELECT code, statDate, CASE WHEN count(hp) OVER o = 2 THEN sum(hp) OVER o END AS net_profit_ttm FROM h0 WINDOW o AS (PARTITION BY code ORDER BY statDate ROWS 1 PRECEDING)),
+    tt AS (SELECT t0.*, net_profit_ttm, {', '.join(sums)} FROM t0 LEFT JOIN h1 ON h1.code = t0.code AND h1.statDate = t0.statDate WINDOW o4 AS (PARTITION BY t0.code ORDER BY t0.statDate ROWS 3 PRECEDING))"""
+
+
+TTM = _trailing()
 
 
 def asof(source: str, date: str, columns: list[str], order: str, name: str = "al") -> str:
@@ -48,9 +58,18 @@ def asof(source: str, date: str, columns: list[str], order: str, name: str = "al
     {name} AS (SELECT g.code, g.time, g.t, {fill} FROM (SELECT code, cal.t, cal.time FROM (SELECT code, min(t) AS f FROM {name}0 GROUP BY code) JOIN cal ON cal.t >= f) g LEFT JOIN {name}0 z ON z.code = g.code AND z.t = g.t)"""
 
 
-def _sql(parts: list[str], keys: str, values: list[str], source: str) -> str:
-    shown = [*[k.strip() for k in keys.split(",") if k.strip()], *[f"round({v.split(' AS ')[0]}, 6) + 0 AS {v.split(' AS ')[-1]}" for v in values]]
-    return ("WITH " + ",\n    ".join(parts) + "\n" if parts else "") + f"SELECT {', '.join(shown)} {source}"
+class Sql(str):
+    """A query, and the same without rounding, to be read by another."""
+
+    exact: str
+
+
+def _sql(parts: list[str], keys: str, values: list[str], source: str) -> Sql:
+    names = [k.strip() for k in keys.split(",") if k.strip()]
+    head = "WITH " + ",\n    ".join(parts) + "\n" if parts else ""
+    out = Sql(head + f"SELECT {', '.join([*names, *[f'round({v.rsplit(" AS ", 1)[0]}, 6) + 0 AS {v.rsplit(" AS ", 1)[-1]}' for v in values]])} {source}")
+    out.exact = head + f"SELECT {', '.join([*names, *values])} {source}"
+    return out
 
 
 def over(n: int, by: str = "code") -> str:
@@ -96,16 +115,20 @@ def forecast(value: str, ahead: int = 0, shift: int = 0) -> str:
     return f"""{rep},
     ends AS (SELECT year(time) AS own, max(t) AS e FROM cal GROUP BY 1), starts AS (SELECT own, time AS first FROM ends JOIN cal ON cal.t = greatest(e - 1094, 1)),
     rows0 AS (SELECT code, rep.time, own, {value} AS v FROM rep JOIN starts ON own = year - {ahead} WHERE time >= first AND year(time) <= own),
-    days AS (SELECT code, own, time, count(*) AS n, count(v) AS k, sum(v) AS s, sum(v * v) AS ss FROM rows0 GROUP BY ALL),
-    so AS (SELECT code, own, time, sum(n) OVER o AS n, sum(k) OVER o AS k, sum(s) OVER o AS s, sum(ss) OVER o AS ss FROM days WINDOW o AS (PARTITION BY code, own ORDER BY time ROWS UNBOUNDED PRECEDING)),
+    days AS (SELECT code, own, time, count(*) AS n, count(v) AS k, sum(CAST(v AS DECIMAL(24, 8))) AS s, sum(CAST(v * v AS DECIMAL(24, 8))) AS ss FROM rows0 GROUP BY ALL),
+    so AS (SELECT code, own, time, sum(n) OVER o AS n, sum(k) OVER o AS k, CAST(sum(s) OVER o AS DOUBLE) AS s, CAST(sum(ss) OVER o AS DOUBLE) AS ss FROM days WINDOW o AS (PARTITION BY code, own ORDER BY time ROWS UNBOUNDED PRECEDING)),
     known AS (SELECT code * 10000 + own AS code, time AS day, s / k AS mean, sqrt(greatest(ss / k - (s / k) * (s / k), 0)) AS std FROM so WHERE n >= 5),
     {asof("known", "day", ["mean", "std"], "day", "fa")},
     fc AS (SELECT code // 10000 AS code, time, t, mean, std FROM fa WHERE year(time) = code % 10000)"""
 
 
+DATES = """SELECT time FROM (SELECT make_date(CAST(y AS INT), m, 1) AS time FROM (SELECT unnest(range(year(min(time)) - 1, year(max(time)) + 1)) AS y FROM cal), (VALUES (5), (9)) v(m))
+    WHERE time < (SELECT max(time) FROM cal) AND time >= (SELECT max(make_date(CAST(y AS INT), m, 1)) FROM (SELECT unnest(range(year(min(time)) - 1, year(min(time)) + 1)) AS y, min(time) AS f FROM cal), (VALUES (5), (9)) v(m) WHERE make_date(CAST(y AS INT), m, 1) <= f)"""
+
+
 def slopes(source: str, columns: list[str], periods: int, more_than: int, name: str) -> str:
     """CTE `name`: minus the trend over the mean at each rebalancing date."""
-    dates = "(VALUES " + ", ".join(f"(DATE '{y}-0{m}-01')" for y in range(1996, 2002) for m in (5, 9) if (1996, 9) <= (y, m) and (y, m) <= (2001, 5)) + ") AS v(time)"
+    dates = f"({DATES})"
     num = ", ".join(f"count({c}) OVER (PARTITION BY code, r.time ORDER BY s.statDate ROWS UNBOUNDED PRECEDING) AS _{c}" for c in columns)
     agg = ", ".join(f"CASE WHEN count({c}) > {more_than} THEN -regr_slope({c}, CASE WHEN {c} IS NOT NULL THEN _{c} END) / nullif(avg({c}), 0) END AS {c}" for c in columns)
     return f"""{name}r AS (SELECT time, statDate FROM (SELECT DISTINCT statDate FROM {source}) JOIN {dates} ON statDate < time QUALIFY row_number() OVER (PARTITION BY time ORDER BY statDate DESC) <= {periods}),
@@ -125,16 +148,23 @@ Q["trade_day_shift"] = f"WITH {PW} SELECT a.time, a.t, coalesce(b.time, a.time +
 Q["period_ends"] = f"WITH {FINANCE} SELECT statDate FROM fin UNION SELECT last_day(CAST(x AS DATE) + INTERVAL 2 MONTH) FROM range(DATE '1994-04-01', DATE '2002-01-02', INTERVAL 3 MONTH) r(x)"
 Q["disclosure_deadline"] = f"WITH {FINANCE} SELECT DISTINCT statDate, due AS deadline FROM fin"
 Q["on_time_filings"] = f"WITH {FINANCE} SELECT code, statDate, due AS pubDate FROM fin WHERE pubDate < due"
-Q["rebalance_dates"] = "SELECT DISTINCT make_date(y::INT, m, 1) AS time FROM (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem), (VALUES (5), (9)) v(m) WHERE make_date(y::INT, m, 1) BETWEEN DATE '1996-09-01' AND DATE '2001-06-14'"
+Q["rebalance_dates"] = f"WITH {PW} {DATES}"
 
 # selection, completeness, alignment
 Q["select_panel"] = _sql([PW], "code, time", ["close"], f"FROM p JOIN ind USING (code) WHERE L1 <> 'ASIA' AND time BETWEEN {D0} AND {D1}")
 Q["dedupe_last"] = _sql([FINANCE], "code, statDate, pubDate", ["operating_revenue"], "FROM fin")
-Q["completeness_filter"] = f"WITH {FINANCE} SELECT code FROM fin WHERE code % 5 <> 0 AND statDate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY code HAVING count(*) = 12"
-Q["asof_align"] = _sql([PW, FINANCE, "s AS (SELECT code, pubDate, statDate, total_assets, CASE WHEN k % 3 <> 0 THEN net_profit END AS net_profit FROM fin)", asof("s", "pubDate", ["total_assets", "net_profit"], "statDate")], "code, time", ["total_assets", "net_profit"], "FROM al")
-Q["backfill_calendar"] = f"""WITH {PW}, b AS (SELECT code, t, CASE WHEN turnover_ratio > 100 THEN 'high' ELSE 'low' END AS band FROM p WHERE t % 3 = 0), g AS (SELECT code, time, t FROM (SELECT DISTINCT code FROM b), cal)
+Q["completeness_filter"] = f"WITH {FINANCE} SELECT code FROM fin WHERE statDate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY code HAVING count(*) = 12"
+Q["asof_align"] = _sql([PW, FINANCE, asof("fin", "pubDate", ["total_assets", "net_profit"], "statDate")], "code, time", ["total_assets", "net_profit"], "FROM al")
+Q["backfill_calendar"] = f"""WITH {PW}, b AS (SELECT code, t, CASE WHEN turnover_ratio > 100 THEN 'high' ELSE 'low' END AS band FROM p), g AS (SELECT code, time, t FROM (SELECT DISTINCT code FROM b), cal)
     SELECT code, time, coalesce(first_value(band IGNORE NULLS) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'other') AS band FROM g LEFT JOIN b USING (code, t)"""
-Q["statement_join"] = _sql([FINANCE], "code, statDate", ["net_profit", "total_assets", "capex"], "FROM fin WHERE code % 7 <> 0 AND k % 2 = 0")
+Q["statement_join"] = _sql([FINANCE], "code, statDate", ["net_profit", "total_assets", "fix_intan_other_asset_acqui_cash", "np_parent_company_owners"], "FROM fin")
+Q["select_statements"] = _sql([FINANCE], "code, statDate, pubDate", ["total_assets"], f"FROM fin WHERE statDate IN (SELECT DISTINCT statDate FROM fin WHERE statDate <= {D1} ORDER BY 1 DESC LIMIT 9)")
+Q["select_reports"] = f"SELECT l_suppkey AS code, year(l_shipdate)::INT AS year, count(*) AS n, round(max(l_extendedprice * (1 - l_discount)), 6) + 0 AS np FROM lineitem WHERE year(l_shipdate) IN (1998, 1999) AND l_shipdate BETWEEN {D0} AND {D1} GROUP BY ALL"
+Q["code_prefix"] = _sql([PW], "code, time", ["close"], "FROM p WHERE left(code::VARCHAR, 1) IN ('1', '3', '6')")
+Q["listed_before"] = "SELECT l_suppkey AS code FROM lineitem GROUP BY 1 HAVING min(l_shipdate) <= DATE '1995-01-20'"
+INDP = "ip AS (SELECT p.code, p.time, n_name AS industry, r_name AS L1 FROM p JOIN supplier ON s_suppkey = p.code JOIN nation ON n_nationkey = (s_nationkey + year(p.time)) % 25 JOIN region ON n_regionkey = r_regionkey)"
+MONTH = "mn AS (SELECT time, min(time) OVER (PARTITION BY date_trunc('month', time)) AS mon FROM cal)"
+Q["industry_month_start"] = _sql([PW, INDP, MONTH], "p.code, p.time, industry, L1", ["close"], "FROM p JOIN mn ON mn.time = p.time JOIN ip ON ip.code = p.code AND ip.time = mon")
 Q["industry_map"] = f"WITH {PW} SELECT code, industry, CASE WHEN industry LIKE 'A%' THEN 'other' ELSE L1 END AS L1 FROM ind"
 Q["fill_limited"] = _sql([PW, "z AS (SELECT code, time, t, last_value(close IGNORE NULLS) OVER o AS c, last_value(CASE WHEN close IS NOT NULL THEN t END IGNORE NULLS) OVER o AS seen FROM d WINDOW o AS (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING))"], "code, time", ["CASE WHEN t - seen <= 2 THEN c END AS close"], "FROM z")
 
@@ -165,7 +195,7 @@ def cleaned(source: str, columns: list[str], clip: tuple[float, float]) -> list[
     return [f"c0 AS (SELECT p.code, p.time, {last} FROM p LEFT JOIN {source} s ON s.code = p.code AND s.time = p.time)", WINS.format(c="c1", keys="code, time", clips=clips, qs=qs, src="c0"), filled("c1", columns, "c2"), f"cl AS (SELECT code, time, {', '.join(zscore('c2', columns))} FROM c2)"]
 
 
-Q["clean_panel"] = _sql([PW, "s AS (SELECT code, time, CASE WHEN t % 4 <> 0 THEN ret END AS ret, dv_ratio FROM p)", *cleaned("s", ["ret", "dv_ratio"], (0.05, 0.95))], "code, time", ["ret", "dv_ratio"], "FROM cl")
+Q["clean_panel"] = _sql([PW, *cleaned("p", ["ret", "dv_ratio"], (0.05, 0.95))], "code, time", ["ret", "dv_ratio"], "FROM cl")
 Q["mad_winsorize"] = _sql([PW, mad("p", "turnover_ratio", 2.0)], "code, time", ["turnover_ratio"], "FROM md")
 Q["mad_standardize"] = _sql([PW, "s AS (SELECT code, time, ret, turnover_ratio FROM p)", filled("s", ["ret", "turnover_ratio"], "f"), mad("f", "ret", 2.0), mad("md", "turnover_ratio", 2.0, name="me")], "code, time", zscore("me", ["ret", "turnover_ratio"], "0"), "FROM me")
 SIZE = f"""s0 AS (SELECT code, time, ln(cap + 1) AS l, sqrt(cap) AS w FROM p), s1 AS (SELECT time, sum(w) AS sw, sum(w * l) AS sx, sum(w * l * l * l) AS sy, sum(w * l * l) AS sxx, sum(w * l * l * l * l) AS sxy FROM s0 GROUP BY time),
@@ -205,6 +235,7 @@ Q["seasonality"] = _sql([PW, f"""k0 AS (SELECT code, t, close, last_value(close
     bk AS (SELECT time, time - 365 * i::INT AS day FROM cal, range(1, 4) v(i) WHERE time - 365 * i::INT >= (SELECT min(time) FROM cal)), bs AS (SELECT bk.time, cal.t AS f FROM bk ASOF JOIN cal ON bk.day <= cal.time),
     se AS (SELECT code, time, avg(r) AS v FROM bs JOIN k1 ON k1.t = f GROUP BY ALL)"""], "code, time", ["v AS Seasonality"], "FROM se WHERE v IS NOT NULL")
 Q["industry_momentum"] = _sql([PW, strength(26, 13, 52), "j AS (SELECT rs.code, rs.time, rs, L1, sqrt(cap) AS w FROM rs JOIN p ON p.code = rs.code AND p.time = rs.time JOIN ind ON ind.code = rs.code WHERE rs IS NOT NULL)"], "code, time", ["sum(w * rs) OVER (PARTITION BY time, L1) / sum(w) OVER (PARTITION BY time, L1) - rs AS Industry_Momentum"], "FROM j")
+Q["industry_momentum_varying"] = _sql([PW, INDP, strength(26, 13, 52), "mn AS (SELECT time, min(time) OVER (PARTITION BY date_trunc('month', time)) AS mon FROM (SELECT DISTINCT rs.time FROM rs JOIN p ON p.code = rs.code AND p.time = rs.time WHERE rs IS NOT NULL))", "j AS (SELECT rs.code, rs.time, rs, L1, sqrt(cap) AS w FROM rs JOIN p ON p.code = rs.code AND p.time = rs.time JOIN mn ON mn.time = rs.time JOIN ip ON ip.code = rs.code AND ip.time = mon WHERE rs IS NOT NULL)"], "code, time", ["sum(w * rs) OVER (PARTITION BY time, L1) / sum(w) OVER (PARTITION BY time, L1) - rs AS Industry_Momentum"], "FROM j")
 for _name, _out, _win, _h, _sign in (("relative_strength", "Relative_strength", 12, 6, ""), ("longterm_strength", "Longterm_Relative_strength", 36, 12, "-")):
     Q[_name] = _sql([PM, strength(_win, _h, _win), f"m AS (SELECT code, time, CASE WHEN count(rs) {over(3)} = 3 THEN avg(rs) {over(3)} END AS v FROM rs)"], "code, time", [f"{_sign}v AS {_out}"], "FROM m WHERE v IS NOT NULL")
 for _name, _out, _win, _h, _sign in (("hist_alpha", "Hist_alpha", 12, 6, ""), ("longterm_alpha", "Longterm_Alpha", 36, 12, "-")):
@@ -213,22 +244,22 @@ Q["panel_rolling_apply"] = _sql([PM, "g2 AS (SELECT code, time, t FROM (SELECT D
 
 # statements and forecasts
 ON = lambda where="true", source="fin": f"ot AS (SELECT * EXCLUDE (pubDate) RENAME (due AS pubDate) FROM {source} WHERE pubDate < due AND {where})"
-Q["ttm"] = _sql([FINANCE, ttm("operating_revenue", "net_profit")], "code, statDate", ["operating_revenue_ttm", "net_profit_ttm"], "FROM tt")
-Q["pcf_ratio"] = _sql([PW, FINANCE, ttm(single=("cash_equivalent_increase",))], "code, time", ["close * paidin_capital / nullif(cash_equivalent_increase_ttm, 0) AS pcf"], "FROM tt JOIN p USING (code) WHERE time > statDate AND time <= statDate + 7")
-Q["leverage"] = _sql([PW, FINANCE, ON("month(statDate) IN (6, 12)"), "o2 AS (SELECT *, coalesce(total_non_current_liability, 0) AS LD FROM ot)", asof("o2", "pubDate", ["LD", "total_assets", "total_liability"], "statDate"), "j AS (SELECT al.code, al.time, LD, total_assets, total_liability, market_cap, pb_ratio FROM al JOIN p ON p.code = al.code AND p.time = al.time)"], "code, time", ["(market_cap + LD) / market_cap AS Market_Leverage", "(market_cap / pb_ratio + LD) / market_cap AS Book_Leverage", "total_liability / nullif(total_assets, 0) AS Debt_to_asset_ratio"], "FROM j")
+Q["ttm"] = _sql([FINANCE, TTM], "code, statDate", ["operating_revenue_ttm", "net_profit_ttm", "total_operating_cost_ttm", "np_parent_company_owners_ttm", "cash_equivalent_increase_ttm"], "FROM tt")
+Q["pcf_ratio"] = _sql([PW, FINANCE, TTM], "code, time", ["close * paidin_capital / nullif(cash_equivalent_increase_ttm, 0) AS pcf"], "FROM tt JOIN p USING (code) WHERE time > statDate AND time <= statDate + 7")
+Q["leverage"] = _sql([PW, FINANCE, ON("month(statDate) IN (6, 12)"), "o2 AS (SELECT *, coalesce(total_non_current_liability, 0) AS LD, coalesce(oth_eqt_tools_p_shr, 0) AS PE FROM ot)", asof("o2", "pubDate", ["LD", "PE", "total_assets", "total_liability"], "statDate"), "j AS (SELECT al.code, al.time, LD, PE, total_assets, total_liability, market_cap, pb_ratio FROM al JOIN p ON p.code = al.code AND p.time = al.time)"], "code, time", ["(market_cap + (PE + LD)) / market_cap AS Market_Leverage", "(market_cap / pb_ratio + (PE + LD)) / market_cap AS Book_Leverage", "total_liability / nullif(total_assets, 0) AS Debt_to_asset_ratio"], "FROM j")
 _V = {"vs": "operating_revenue_ttm", "ve": "net_profit_ttm", "vc": "cash_equivalent_increase_ttm"}
 _names = {"vs": "Variation_in_Sales", "ve": "Variation_in_Earning", "vc": "Variation_in_Cashflow"}
 _var = ", ".join(f"CASE WHEN count({c}) OVER o = 6 THEN 4 * stddev_pop({c}) OVER o / nullif(avg({c}) OVER o, 0) END AS {n}" for n, c in _V.items())
 _fillp = ", ".join(f"coalesce({n}, median({n}) OVER (PARTITION BY pubDate)) AS {n}" for n in _V)
-Q["earnings_variability"] = _sql([PW, FINANCE, ttm("operating_revenue", "net_profit", single=("cash_equivalent_increase",)), ON("month(statDate) IN (6, 12)", "tt"), f"v0 AS (SELECT code, statDate, pubDate, {_var} FROM ot WINDOW o AS (PARTITION BY code ORDER BY statDate ROWS 5 PRECEDING)), v1 AS (SELECT * FROM v0 WHERE vs IS NOT NULL OR ve IS NOT NULL OR vc IS NOT NULL), v2 AS (SELECT * REPLACE ({_fillp}) FROM v1)", mad("v2", "vs", 5.0, "pubDate", "ma"), mad("ma", "ve", 5.0, "pubDate", "mb"), mad("mb", "vc", 5.0, "pubDate", "mc"), f"v3 AS (SELECT code, statDate, pubDate, {', '.join(zscore('mc', list(_V), '0', 'pubDate'))} FROM mc)", asof("v3", "pubDate", list(_V), "statDate")], "code, time", [f"{n} AS {o}" for n, o in _names.items()], "FROM al")
-_half = ", ".join(f"CASE WHEN c2 = 2 AND r2 = 2 THEN {c} - lag({c}) OVER y ELSE {c} END AS {n}" for n, c in (("DA", "depreciation"), ("CFO", "net_operate_cash_flow"), ("CFI", "net_invest_cash_flow"), ("NI", "net_profit")))
+Q["earnings_variability"] = _sql([PW, FINANCE, TTM, ON("month(statDate) IN (6, 12)", "tt"), f"v0 AS (SELECT code, statDate, pubDate, {_var} FROM ot WINDOW o AS (PARTITION BY code ORDER BY statDate ROWS 5 PRECEDING)), v1 AS (SELECT * FROM v0 WHERE vs IS NOT NULL OR ve IS NOT NULL OR vc IS NOT NULL), v2 AS (SELECT * REPLACE ({_fillp}) FROM v1)", mad("v2", "vs", 5.0, "pubDate", "ma"), mad("ma", "ve", 5.0, "pubDate", "mb"), mad("mb", "vc", 5.0, "pubDate", "mc"), f"v3 AS (SELECT code, statDate, pubDate, {', '.join(zscore('mc', list(_V), '0', 'pubDate'))} FROM mc)", asof("v3", "pubDate", list(_V), "statDate")], "code, time", [f"{n} AS {o}" for n, o in _names.items()], "FROM al")
+_half = ", ".join(f"CASE WHEN c2 = 2 AND r2 = 2 THEN {c} - lag({c}) OVER y ELSE {c} END AS {n}" for n, c in (("D1", "fixed_assets_depreciation"), ("D2", "intangible_assets_amortization"), ("D3", "defferred_expense_amortization"), ("CFO", "net_operate_cash_flow"), ("CFI", "net_invest_cash_flow"), ("NI", "net_profit")))
 Q["accruals"] = _sql([PW, FINANCE, ON("quarter(statDate) IN (2, 4)"), f"""a0 AS (SELECT *, count(*) OVER (PARTITION BY code, year(statDate)) AS c2, row_number() OVER (PARTITION BY code, year(statDate) ORDER BY statDate) AS r2 FROM ot), a1 AS (SELECT *, {_half} FROM a0 WINDOW y AS (PARTITION BY code, year(statDate) ORDER BY statDate)),
-    a2 AS (SELECT *, (total_assets - cash_and_equivalents_at_end) - (total_liability - (total_non_current_liability + shortterm_loan)) AS noa FROM a1),
+    a2 AS (SELECT *, coalesce(D1, 0) + coalesce(D2, 0) + coalesce(D3, 0) AS DA, (total_assets - cash_and_equivalents_at_end) - (total_liability - (coalesce(non_current_liability_in_one_year, 0) + total_non_current_liability + shortterm_loan)) AS noa FROM a1),
     a3 AS (SELECT code, statDate, pubDate, -((noa - lag(noa) OVER (PARTITION BY code ORDER BY statDate)) - DA) / nullif(total_assets, 0) AS ab, -(NI - (CFO + CFI) + DA) / nullif(total_assets, 0) AS acf FROM a2)""", asof("a3", "pubDate", ["ab", "acf"], "statDate")], "code, time", ["ab AS ABS", "acf AS ACF"], "FROM al")
-Q["profitability"] = _sql([PW, FINANCE, ttm("operating_revenue", "operating_cost", "np_parent_company_owners"), ON(source="tt"), "b0 AS (SELECT code, pubDate, avg(operating_revenue_ttm / nullif(total_assets, 0)) AS ATO, avg((operating_revenue_ttm - operating_cost_ttm) / nullif(total_assets, 0)) AS GP, avg((operating_revenue_ttm - operating_cost_ttm) / nullif(operating_revenue_ttm, 0)) AS GPM, avg(np_parent_company_owners_ttm / nullif(total_assets, 0)) AS ROA FROM ot GROUP BY ALL)", asof("b0", "pubDate", ["ATO", "GP", "GPM", "ROA"], "pubDate")], "code, time", ["ATO", "GP", "GPM", "ROA"], "FROM al")
-Q["investment_quality"] = _sql([PW, FINANCE, ON(), slopes("ot", ["total_assets", "paidin_capital"], 21, 6, "sa"), "dec AS (SELECT * FROM ot WHERE month(statDate) = 12)", slopes("dec", ["capex"], 5, 2, "sb"), "both_of AS (SELECT code, time AS pubDate, coalesce(total_assets, 0) AS ta, coalesce(paidin_capital, 0) AS pc, coalesce(capex, 0) AS ce FROM sa FULL JOIN sb USING (code, time))", asof("both_of", "pubDate", ["ta", "pc", "ce"], "pubDate")], "code, time", ["ta AS Total_Assets_Growth_Rate", "pc AS Issuance_growth", "ce AS Capital_expenditure_growth"], "FROM al")
-Q["growth_slopes"] = _sql([PW, FINANCE, ttm("np_parent_company_owners", "operating_revenue"), ON(source="tt"), slopes("ot", ["np_parent_company_owners_ttm", "operating_revenue_ttm"], 21, 8, "sa"), "s2 AS (SELECT code, time AS pubDate, np_parent_company_owners_ttm AS eg, operating_revenue_ttm AS og FROM sa)", asof("s2", "pubDate", ["eg", "og"], "pubDate")], "code, time", ["eg AS Earning_Growth_Rate", "og AS OP_Growth_Rate"], "FROM al")
-Q["enterprise_multiple"] = _sql([PW, FINANCE, ttm("operating_revenue", "operating_cost"), ON(source="tt"), "o2 AS (SELECT *, operating_revenue_ttm - operating_cost_ttm AS eb FROM ot)", asof("o2", "pubDate", ["eb"], "statDate")], "p.code, p.time", ["eb / nullif(market_cap, 0) AS Enterprise_multiple"], "FROM al JOIN p ON p.code = al.code AND p.time = al.time")
+Q["profitability"] = _sql([PW, FINANCE, TTM, ON(source="tt"), "b0 AS (SELECT code, pubDate, avg(total_operating_revenue_ttm / nullif(total_assets, 0)) AS ATO, avg((total_operating_revenue_ttm - total_operating_cost_ttm) / nullif(total_assets, 0)) AS GP, avg((total_operating_revenue_ttm - total_operating_cost_ttm) / nullif(total_operating_revenue_ttm, 0)) AS GPM, avg(np_parent_company_owners_ttm / nullif(total_assets, 0)) AS ROA FROM ot GROUP BY ALL)", asof("b0", "pubDate", ["ATO", "GP", "GPM", "ROA"], "pubDate")], "code, time", ["ATO", "GP", "GPM", "ROA"], "FROM al")
+Q["investment_quality"] = _sql([PW, FINANCE, ON(), slopes("ot", ["total_assets", "paidin_capital"], 21, 6, "sa"), "dec AS (SELECT *, fix_intan_other_asset_acqui_cash AS capex FROM ot WHERE month(statDate) = 12)", slopes("dec", ["capex"], 5, 2, "sb"), "both_of AS (SELECT code, time AS pubDate, coalesce(total_assets, 0) AS ta, coalesce(paidin_capital, 0) AS pc, coalesce(capex, 0) AS ce FROM sa FULL JOIN sb USING (code, time))", asof("both_of", "pubDate", ["ta", "pc", "ce"], "pubDate")], "code, time", ["ta AS Total_Assets_Growth_Rate", "pc AS Issuance_growth", "ce AS Capital_expenditure_growth"], "FROM al")
+Q["growth_slopes"] = _sql([PW, FINANCE, TTM, ON(source="tt"), slopes("ot", ["np_parent_company_owners_ttm", "operating_revenue_ttm"], 21, 8, "sa"), "s2 AS (SELECT code, time AS pubDate, np_parent_company_owners_ttm AS eg, operating_revenue_ttm AS og FROM sa)", asof("s2", "pubDate", ["eg", "og"], "pubDate")], "code, time", ["eg AS Earning_Growth_Rate", "og AS OP_Growth_Rate"], "FROM al")
+Q["enterprise_multiple"] = _sql([PW, FINANCE, TTM, ON(source="tt"), "o2 AS (SELECT *, operating_revenue_ttm - operating_cost_ttm AS eb FROM ot)", asof("o2", "pubDate", ["eb"], "statDate")], "p.code, p.time", ["eb / nullif(market_cap, 0) AS Enterprise_multiple"], "FROM al JOIN p ON p.code = al.code AND p.time = al.time")
 Q["value_ratios"] = _sql([PW], "code, time", ["1 / pb_ratio AS Book_to_price", "1 / pe_ratio AS Earning_to_price", "1 / nullif(pcf_ratio, 0) AS Cash_earning_to_price"], "FROM p")
 Q["dividend"] = _sql([PW], "code, time", ["dv_ratio AS Dividend_to_Price"], "FROM p")
 Q["forecast_dividend"] = _sql([PW, forecast("rd")], "code, time", ["mean AS Forecast_Dividend_to_Price"], "FROM fc")
@@ -250,6 +281,7 @@ Q["sentiment_change"] = _sql([PW, forecast("np"), "ep AS (SELECT fc.code, fc.t,
 # evaluation
 FWD = "fw AS (SELECT code, time, t, lead(close, {n}) OVER o / lead(open, 1) OVER o - 1 AS forward FROM p WINDOW o AS (PARTITION BY code ORDER BY t))"
 Q["forward_return"] = _sql([PW, FWD.format(n=4)], "code, time", ["forward"], "FROM fw WHERE forward IS NOT NULL")
+Q["forward_return_window"] = _sql([PW, f"pp AS (SELECT * FROM p WHERE time >= {D0} AND t <= (SELECT max(t) + 4 FROM cal WHERE time <= {D1}))", FWD.format(n=4).replace("FROM p ", "FROM pp ")], "code, time", ["forward"], "FROM fw WHERE forward IS NOT NULL")
 LAB = "lb AS (SELECT *, lead(close, 3) OVER (PARTITION BY code ORDER BY t) AS close_future, lead(close, 3) OVER (PARTITION BY code ORDER BY t) / close - 1 AS return_ratio FROM p)"
 Q["labels"] = _sql([PW, LAB], "code, time", ["close_future", "return_ratio"], ", (return_ratio > 0)::INT AS class_label FROM lb WHERE return_ratio IS NOT NULL")
 LONG = FWD.format(n=2) + ", lo AS (UNPIVOT (SELECT p.time, p.turnover_ratio, p.dv_ratio, p.ret, forward FROM p JOIN fw ON fw.code = p.code AND fw.time = p.time WHERE forward IS NOT NULL) ON turnover_ratio, dv_ratio, ret INTO NAME factor VALUE value)"
@@ -271,6 +303,7 @@ WIN = f"""sp AS ({_wf(40, 20, 5, 0)}), wr AS (SELECT lb.*, window_id, time - DAT
 Q["time_split"] = f"WITH {PM}, {LAB}, {WIN} SELECT window_id, is_train, count(*) AS n, min(time) AS first, max(time) AS last FROM ws GROUP BY ALL"
 _dm = ["turnover_ratio", "dv_ratio", "L1_AFRICA", "L1_AMERICA", "country"]
 Q["training_table"] = _sql([PM, LAB, "ds AS (SELECT p.code, p.time, turnover_ratio, dv_ratio, coalesce((L1 = 'AFRICA')::DOUBLE, 0) AS L1_AFRICA, coalesce((L1 = 'AMERICA')::DOUBLE, 0) AS L1_AMERICA, 1.0::DOUBLE AS country FROM p LEFT JOIN ind USING (code))", f"dz AS (SELECT code, time, {', '.join(zscore('ds', _dm))} FROM ds)", "jl AS (SELECT dz.*, lb.close, lb.close_future, lb.return_ratio, CASE WHEN lb.return_ratio IS NOT NULL THEN (lb.return_ratio > 0)::INT END AS class_label FROM dz LEFT JOIN (SELECT * FROM lb WHERE return_ratio IS NOT NULL) lb ON lb.code = dz.code AND lb.time = dz.time)"], "code, time, class_label", [*_dm, "close", "close_future", "return_ratio"], "FROM jl")
+Q["training_table_varying"] = _sql([PM, INDP, LAB, "ds AS (SELECT p.code, p.time, turnover_ratio, dv_ratio, coalesce((L1 = 'AFRICA')::DOUBLE, 0) AS L1_AFRICA, coalesce((L1 = 'AMERICA')::DOUBLE, 0) AS L1_AMERICA, 1.0::DOUBLE AS country FROM p LEFT JOIN ip ON ip.code = p.code AND ip.time = p.time)", f"dz AS (SELECT code, time, {', '.join(zscore('ds', _dm))} FROM ds)", "jl AS (SELECT dz.*, lb.close, lb.close_future, lb.return_ratio, CASE WHEN lb.return_ratio IS NOT NULL THEN (lb.return_ratio > 0)::INT END AS class_label FROM dz LEFT JOIN (SELECT * FROM lb WHERE return_ratio IS NOT NULL) lb ON lb.code = dz.code AND lb.time = dz.time)"], "code, time, class_label", [*_dm, "close", "close_future", "return_ratio"], "FROM jl")
 Q["regression_metrics"] = _sql([PM, LAB, WIN, "g AS (SELECT window_id, return_ratio AS y0, return_ratio - dv_ratio / 100 AS e FROM ws WHERE dv_ratio IS NOT NULL)"], "window_id", ["sqrt(avg(e * e)) AS rmse", "1 - avg(e * e) / nullif(var_pop(y0), 0) AS r2"], ", count(*) AS n FROM g GROUP BY window_id")
 
 
@@ -284,4 +317,44 @@ Q["portfolio_rank"] = _sql([PW], "code, time", ["turnover_ratio AS score"], ", r
 Q["event_panel"] = _sql(["ev AS (SELECT user_id AS code, CAST(ts AS DATE) AS time, 1 + avg(value) AS close FROM events GROUP BY ALL)"], "code, time", zscore("ev", ["close"]), "FROM ev")
 Q["descriptor_panel"] = _sql([PM, SIZE, "z1 AS (SELECT code, time, l AS LNCAP, (residual - avg(residual) OVER (PARTITION BY time)) / nullif(stddev_pop(residual) OVER (PARTITION BY time), 0) AS MIDCAP FROM md)", RM, beta("rm", 12, 6, 6), "z2 AS (SELECT code, time, beta AS BETA, sigma AS Hist_sigma FROM fit WHERE ret IS NOT NULL AND beta IS NOT NULL)", f"e0 AS (SELECT *, var_samp(ret) OVER (PARTITION BY code) AS seed, sum((ret IS NULL)::INT) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM d), e1 AS (SELECT *, count(ret) OVER o AS n FROM e0 WINDOW o AS (PARTITION BY code, run ORDER BY t ROWS UNBOUNDED PRECEDING)), e2 AS (SELECT *, sum(ret * ret * pow({0.5 ** (1 / 6)!r}, -n)) OVER (PARTITION BY code, run ORDER BY t ROWS UNBOUNDED PRECEDING) AS tail FROM e1), z3 AS (SELECT code, time, sqrt(pow({0.5 ** (1 / 6)!r}, n) * (seed + (1 - {0.5 ** (1 / 6)!r}) * tail)) AS Daily_std FROM e2 WHERE ret IS NOT NULL AND seed IS NOT NULL)", "z4 AS (SELECT code, time, 1 / pb_ratio AS Book_to_price, 1 / pe_ratio AS Earning_to_price, dv_ratio AS Dividend_to_Price FROM p)", "zz AS (SELECT * FROM z4 LEFT JOIN z1 USING (code, time) LEFT JOIN z2 USING (code, time) LEFT JOIN z3 USING (code, time))"], "code, time", ["LNCAP", "MIDCAP", "BETA", "Hist_sigma", "Daily_std", "Book_to_price", "Earning_to_price", "Dividend_to_Price"], "FROM zz")
 
+# workload A whole: the descriptors' own queries, not rounded, on the weekly price rows
+def weekly_momentum(source: str, window: int, half_life: int, mean: int, sign: str, name: str) -> Sql:
+    """Mean of the last strengths (`rs`) or intercepts (`alpha`)."""
+    if source == "rs":
+        parts = [PW, strength(window, half_life, window).replace("<= 0.1", "<= 0.3")]
+    else:
+        parts = [PW, "dm AS (SELECT d.*, m FROM d JOIN mkt USING (time))", beta("dm", window, half_life, half_life)]
+    table = "rs" if source == "rs" else "fit"
+    parts.append(f"m9 AS (SELECT code, time, CASE WHEN count({source}) {over(mean)} = {mean} THEN avg({source}) {over(mean)} END AS v FROM {table})")
+    return _sql(parts, "code, time", [f"{sign}v AS {name}"], "FROM m9 WHERE v IS NOT NULL")
+
+
+REVERSAL = _sql([PW, f"s0 AS (SELECT code, time, t, CASE WHEN count(ret) {over(6)} = 6 THEN ln(1 + avg(ret) {over(6)}) END AS g FROM d), s1 AS (SELECT code, time, {' + '.join(f'lag(g, {i}) OVER o * {w!r}' for i, w in enumerate(_w))} AS v FROM s0 WINDOW o AS (PARTITION BY code ORDER BY t))"], "code, time", ["v AS Short_Term_reversal"], "FROM s1 WHERE v IS NOT NULL")
+PARTS: list[tuple[str, list[str]]] = [
+    (Q["size_lncap"].exact, ["LNCAP"]), (Q["size_midcap"].exact, ["MIDCAP"]),
+    (Q["rolling_beta"].exact, ["BETA"]), (Q["hist_sigma"].exact, ["Hist_sigma"]), (Q["daily_std"].exact, ["Daily_std"]), (Q["cumulative_range"].exact, ["Cumulative_range"]),
+    (Q["turnover_monthly"].exact, ["Monthly_share_turnover"]), (Q["turnover_quarterly"].exact, ["Quarterly_share_turnover"]), (Q["turnover_annual"].exact, ["Annual_share_turnover"]), (Q["traded_value_ratio"].exact, ["Annualized_traded_value_ratio"]),
+    (REVERSAL.exact, ["Short_Term_reversal"]), (Q["seasonality"].exact, ["Seasonality"]), (Q["industry_momentum_varying"].exact, ["Industry_Momentum"]),
+    (weekly_momentum("rs", 26, 13, 3, "", "Relative_strength").exact, ["Relative_strength"]), (weekly_momentum("alpha", 26, 13, 3, "", "Hist_alpha").exact, ["Hist_alpha"]),
+    (Q["leverage"].exact, ["Market_Leverage", "Book_Leverage", "Debt_to_asset_ratio"]), (Q["earnings_variability"].exact, ["Variation_in_Sales", "Variation_in_Earning", "Variation_in_Cashflow"]),
+    (Q["forecast_ep_std"].exact, ["forecast_EP_std"]), (Q["accruals"].exact, ["ABS", "ACF"]), (Q["profitability"].exact, ["ATO", "GP", "GPM", "ROA"]),
+    (Q["investment_quality"].exact, ["Total_Assets_Growth_Rate", "Issuance_growth", "Capital_expenditure_growth"]), (Q["value_ratios"].exact, ["Book_to_price", "Earning_to_price", "Cash_earning_to_price"]),
+    (Q["forecast_ep_mean"].exact, ["forecast_EP_mean"]), (Q["enterprise_multiple"].exact, ["Enterprise_multiple"]),
+    (weekly_momentum("rs", 104, 52, 3, "-", "Longterm_Relative_strength").exact, ["Longterm_Relative_strength"]), (weekly_momentum("alpha", 104, 52, 3, "-", "Longterm_Alpha").exact, ["Longterm_Alpha"]),
+    (Q["growth_slopes"].exact, ["Earning_Growth_Rate", "OP_Growth_Rate"]), (Q["forecast_roe"].exact, ["roe_mean"]), (Q["sentiment_change"].exact, ["Pred_EP_chg", "Pred_EPS_chg"]),
+    (Q["dividend"].exact, ["Dividend_to_Price"]), (Q["forecast_dividend"].exact, ["Forecast_Dividend_to_Price"]),
+]
+ALL = [c for _, columns in PARTS for c in columns]
+GROUPS = {
+    "Size": ALL[:2], "Volatility": ALL[2:6], "Liquidity": ALL[6:10], "Momentum": ALL[10:15], "Quality": ALL[15:31], "Growth": ["Earning_Growth_Rate", "OP_Growth_Rate", "roe_mean"], "Sentiment": ["Pred_EP_chg", "Pred_EPS_chg"],
+    "Value": ["Book_to_price", "Earning_to_price", "Cash_earning_to_price", "forecast_EP_mean", "Enterprise_multiple", "Longterm_Relative_strength", "Longterm_Alpha"], "Dividend": ["Dividend_to_Price", "Forecast_Dividend_to_Price"],
+}
+RAW = [PW, *[f"x{k} AS MATERIALIZED ({text})" for k, (text, _) in enumerate(PARTS)], f"raw AS (SELECT p.code, p.time, {', '.join(ALL)} FROM p {' '.join(f'LEFT JOIN x{k} ON x{k}.code = p.code AND x{k}.time = p.time' for k in range(len(PARTS)))})"]
+Q["all_descriptors"] = _sql(RAW, "code, time", ALL, "FROM raw")
+CLEAN = [*RAW, *cleaned("raw", ALL, (0.01, 0.99))]
+Q["all_styles"] = _sql([*CLEAN, f"sy AS (SELECT code, time, {', '.join(f'{mean_of(*c)} AS {n}' for n, c in GROUPS.items())} FROM cl)"], "code, time", zscore("sy", list(GROUPS)), "FROM sy")
+ALL_IC = [*CLEAN, FWD.format(n=5), f"lo AS (UNPIVOT (SELECT cl.time, {', '.join(ALL)}, forward FROM cl JOIN fw ON fw.code = cl.code AND fw.time = cl.time WHERE forward IS NOT NULL) ON {', '.join(ALL)} INTO NAME factor VALUE value)", RANKS.format(src="lo"), f"ic AS (SELECT time, factor, {CORR.format(a='a', b='b')} AS ic FROM rk GROUP BY ALL)"]
+Q["all_factor_ic"] = _sql(ALL_IC, "time, factor", ["ic"], "FROM ic")
+Q["all_icir"] = _sql(ALL_IC, "factor", ["avg(ic) AS mean", "stddev_samp(ic) AS std", "min(ic) AS min", "max(ic) AS max", "avg(ic) / nullif(stddev_samp(ic), 0) AS icir"], ", count(ic) AS n FROM ic GROUP BY factor")
+
 ORACLE_SQL = Q

@@ -1,17 +1,60 @@
-"""Workload A: descriptors, cleaned, combined into styles and scored."""
+"""Workload A: all descriptors, cleaned, combined into styles and scored."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import by_code, div
+from ..operators.attribution import pure_factor_returns
 from ..operators.evaluate import factor_ic, forward_return, icir
+from ..operators.events import expanding_forecast
+from ..operators.panel import with_industry
 from ..operators.xsection import clean_panel, style_composite
-from ..styles import price
+from ..sources.io import write_table
+from ..styles import price, statements
 
-DESCRIPTORS = ["LNCAP", "MIDCAP", "BETA", "Hist_sigma", "Daily_std", "Book_to_price", "Earning_to_price", "Dividend_to_Price"]
-STYLES = {"size": ["LNCAP", "MIDCAP"], "volatility": ["BETA", "Hist_sigma", "Daily_std"], "value": ["Book_to_price", "Earning_to_price"], "dividend": ["Dividend_to_Price"]}
+STYLES = {
+    "Size": ["LNCAP", "MIDCAP"],
+    "Volatility": ["BETA", "Hist_sigma", "Daily_std", "Cumulative_range"],
+    "Liquidity": ["Monthly_share_turnover", "Quarterly_share_turnover", "Annual_share_turnover", "Annualized_traded_value_ratio"],
+    "Momentum": ["Short_Term_reversal", "Seasonality", "Industry_Momentum", "Relative_strength", "Hist_alpha"],
+    "Quality": [
+        "Market_Leverage", "Book_Leverage", "Debt_to_asset_ratio", "Variation_in_Sales", "Variation_in_Earning", "Variation_in_Cashflow", "forecast_EP_std", "ABS", "ACF",
+        "ATO", "GP", "GPM", "ROA", "Total_Assets_Growth_Rate", "Issuance_growth", "Capital_expenditure_growth",
+    ],
+    "Value": ["Book_to_price", "Earning_to_price", "Cash_earning_to_price", "forecast_EP_mean", "Enterprise_multiple", "Longterm_Relative_strength", "Longterm_Alpha"],
+    "Growth": ["Earning_Growth_Rate", "OP_Growth_Rate", "roe_mean"],
+    "Sentiment": ["Pred_EP_chg", "Pred_EPS_chg"],
+    "Dividend": ["Dividend_to_Price", "Forecast_Dividend_to_Price"],
+}
+DESCRIPTORS = [c for columns in STYLES.values() for c in columns]
+AT_ONCE = 3
+Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Window lengths in calendar steps and scales of amounts; the defaults are those of daily panels."""
+
+    beta: tuple[int, float] = (252, 63)
+    deviation: float = 42
+    range: tuple[int, int, int] = (21, 12, 10)
+    turnover: tuple[int, int] = (21, 12)
+    traded: tuple[int, float] = (252, 63)
+    reversal: tuple[int, float] = (21, 5)
+    seasons: tuple[int, int] = (5, 21)
+    industry: tuple[int, float, int] = (126, 21, 252)
+    strength: tuple[int, float, int] = (252, 126, 11)
+    longterm: tuple[int, float, int] = (750, 260, 11)
+    null_share: float = 0.1
+    variation: int = 10
+    change: int = 63
+    debt_scale: float = 1e8
+    forecast_scale: float = 1e4
 
 
 def slice_ic(prices: DataFrame, window: int, half_life: float, n: int = 2) -> DataFrame:
@@ -21,16 +64,89 @@ def slice_ic(prices: DataFrame, window: int, half_life: float, n: int = 2) -> Da
     return factor_ic(cleaned, forward_return(prices, n), names, "spearman")
 
 
-def descriptor_panel(prices: DataFrame, calendar: DataFrame, industry: DataFrame, window: int = 12, half_life: float = 6) -> DataFrame:
-    """The price descriptors side by side, joined on (code, time)."""
+def price_descriptors(prices: DataFrame, calendar: DataFrame, industry: DataFrame, w: Windows) -> list[DataFrame]:
+    """Tables (code, time, descriptors) from prices and valuations."""
+    long, half, mean = w.longterm
+    return [
+        price.size(prices),
+        price.market_beta(prices, *w.beta).drop("alpha"),
+        price.daily_std(prices, calendar, w.deviation),
+        price.cumulative_range(prices, calendar, *w.range),
+        price.turnover(prices, calendar, *w.turnover),
+        price.traded_value_ratio(prices, calendar, *w.traded),
+        price.reversal(prices, calendar, *w.reversal),
+        price.seasonality(prices, calendar, *w.seasons),
+        price.industry_momentum(prices, prices, industry, calendar, *w.industry),
+        price.relative_strength(prices, calendar, *w.strength, null_share=w.null_share),
+        price.smoothed_alpha(prices, calendar, *w.strength),
+        price.relative_strength(prices, calendar, long, half, mean, -1, "Longterm_Relative_strength", w.null_share),
+        price.smoothed_alpha(prices, calendar, long, half, mean, -1, "Longterm_Alpha"),
+        price.value_ratios(prices),
+        price.dividend(prices),
+    ]
+
+
+def statement_descriptors(prices: DataFrame, calendar: DataFrame, finance: DataFrame, dates: DataFrame, w: Windows) -> DataFrame:
+    """All descriptors from statements, by one alignment to the trading days."""
+    records = [statements.leverage_records(finance, w.debt_scale), statements.variability_records(finance, w.variation), statements.accrual_records(finance), statements.profit_records(finance), statements.investment_records(finance, dates), statements.growth_records(finance, dates), statements.enterprise_records(finance)]
+    rows = statements.aligned(records, calendar, prices, "market_cap", "pb_ratio")
+    rows = rows.withColumns(statements.leverage_columns() | {"Enterprise_multiple": statements.enterprise_column(w.debt_scale)})
+    return rows.select("code", "time", *[c for c in DESCRIPTORS if c in rows.columns])
+
+
+def forecast_descriptors(prices: DataFrame, calendar: DataFrame, days: DataFrame, w: Windows) -> list[DataFrame]:
+    """Tables of the descriptors from forecasts (`events.forecast_days`)."""
+    profit = expanding_forecast(days, calendar, "np").join(prices.select("code", "time", "market_cap"), ["code", "time"])
+    per_cap = lambda c: div(F.col(c) / w.forecast_scale, F.col("market_cap"))
+    return [
+        profit.select("code", "time", per_cap("mean").alias("forecast_EP_mean"), per_cap("std").alias("forecast_EP_std")),
+        statements.forecast(days.withColumn("year", F.col("year") + 2), None, calendar, "roe", "mean", "roe_mean", ahead=2),
+        statements.forecast(days, None, calendar, "rd", "mean", "Forecast_Dividend_to_Price"),
+        statements.sentiment(days, prices, calendar, w.change, w.forecast_scale),
+    ]
+
+
+def descriptor_panel(prices: DataFrame, calendar: DataFrame, window: int = 12, half_life: float = 6) -> DataFrame:
+    """Some price descriptors side by side, outer-joined on (code, time)."""
     parts = [price.size(prices), price.market_beta(prices, window, half_life).drop("alpha"), price.daily_std(prices, calendar, half_life), price.value_ratios(prices), price.dividend(prices)]
     return reduce(lambda a, b: a.join(b, ["code", "time"], "full_outer"), parts)
 
 
-def build_factors(prices: DataFrame, calendar: DataFrame, industry: DataFrame, n: int = 5, window: int = 252, half_life: float = 63) -> dict[str, DataFrame]:
-    """Descriptors, styles, their IC and ICIR."""
-    raw = descriptor_panel(prices, calendar, industry, window, half_life)
-    cleaned = clean_panel(raw, prices, DESCRIPTORS)
+def descriptor_table(prices: DataFrame, calendar: DataFrame, industry: DataFrame, finance: DataFrame, days: DataFrame, dates: DataFrame, w: Windows = Windows(), keep: Keep = lambda name, compute: compute()) -> DataFrame:
+    """(code, time) of the price rows with all DESCRIPTORS.
+
+    Tables bucketed by code are joined without an exchange, so all the sorts of a chain of joins run in one task; AT_ONCE
+    tables at a time are joined and kept, which bounds a task's memory.
+    """
+    parts = [*price_descriptors(prices, calendar, industry, w), statement_descriptors(prices, calendar, finance, dates, w), *forecast_descriptors(prices, calendar, days, w)]
+    keys = prices.select("code", "time")
+    beside = lambda tables: reduce(lambda a, b: a.join(b, ["code", "time"], "left"), tables, keys)
+    while len(parts) > 1:
+        level = len(parts)
+        parts = [keep(f"descriptors-{level}-{k}", lambda k=k, own=parts: beside(own[k : k + AT_ONCE])) for k in range(0, level, AT_ONCE)]
+    return parts[0].select("code", "time", *DESCRIPTORS)
+
+
+def style_returns(styles: DataFrame, prices: DataFrame, industry: DataFrame) -> DataFrame:
+    """Pure factor returns of the styles over the next trading day."""
+    ahead = prices.withColumn("next_ret", F.lead("ret").over(by_code())).withColumn("next_log", F.log(1 + F.col("next_ret")))
+    rows = styles.join(ahead.select("code", "time", F.col("circulating_market_cap").alias("cap"), "next_ret", "next_log"), ["code", "time"])
+    return pure_factor_returns(with_industry(rows, industry), list(STYLES))
+
+
+def build_factors(prices: DataFrame, calendar: DataFrame, industry: DataFrame, finance: DataFrame, days: DataFrame, dates: DataFrame, w: Windows = Windows(), n: int = 5, keep: Keep = lambda name, compute: compute()) -> dict[str, DataFrame]:
+    """Descriptors (raw and cleaned), styles, IC and ICIR of the descriptors, and the styles' pure factor returns.
+
+    Tables that several others read go through `keep(name, compute)`, such as `load_or_compute` with a path.
+    """
+    raw = descriptor_table(prices, calendar, industry, finance, days, dates, w, keep)
+    cleaned = keep("cleaned", lambda: clean_panel(raw, prices, DESCRIPTORS))
     styles = style_composite(cleaned, STYLES)
-    ic = factor_ic(styles, forward_return(prices, n), list(STYLES))
-    return {"descriptors": cleaned, "styles": styles, "ic": ic, "icir": icir(ic)}
+    ic = keep("ic", lambda: factor_ic(cleaned, forward_return(prices, n), DESCRIPTORS))
+    return {"descriptors": raw, "cleaned": cleaned, "styles": styles, "ic": ic, "icir": icir(ic), "returns": style_returns(styles, prices, industry)}
+
+
+def write_factors(built: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
+    """Writes the tables of `build_factors`, those of days by year."""
+    for name, df in built.items():
+        write_table(df, f"{folder}/{name}", form, by_year_of="time" if "time" in df.columns else None)

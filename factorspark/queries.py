@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.columns import by_code
 from .operators import attribution, calendar, evaluate, events, fundamentals, panel, rolling, training, xsection
-from .plans.factors import DESCRIPTORS, descriptor_panel, slice_ic
-from .sources import adapters
+from .plans.factors import Windows, build_factors, descriptor_panel, slice_ic
+from .sources import adapters, io
 from .styles import price, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,28 +33,51 @@ def query(fn: Query) -> Query:
 
 
 class Tables:
-    """The derived tables of a folder."""
+    """The derived tables of a folder, each written once per application and bucketed by code, so that the fact table
+    is read once for each of them and what works per code needs no exchange."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, unit: str = "week"):
-        self.spark, self.sf = spark, sf_dir
-        self.p = adapters.panel(spark, sf_dir, unit)
-        self.cal = calendar.ordinals(self.p)
+        self.spark, self.sf, self.unit = spark, sf_dir, unit
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # joins on (code, time) stay in a bucket
+
+    def keep(self, name: str, compute: Callable[[], DataFrame], by: str | None = "code", then: tuple[str, ...] = ()) -> DataFrame:
+        return io.staged(self.spark, f"{self.sf}/{name}", compute, by, then)
+
+    @property
+    def p(self) -> DataFrame:
+        return self.keep(f"panel-{self.unit}", lambda: adapters.panel(self.spark, self.sf, self.unit), then=("t",))
+
+    @property
+    def cal(self) -> DataFrame:
+        return self.keep(f"calendar-{self.unit}", lambda: calendar.ordinals(self.p), None)
 
     @property
     def industry(self) -> DataFrame:
         return adapters.industry(self.spark, self.sf)
 
+    @property
+    def industry_panel(self) -> DataFrame:
+        return self.keep(f"industry-{self.unit}", lambda: adapters.industry_panel(self.spark, self.sf, self.p), then=("time",))
+
+    @property
+    def filings(self) -> DataFrame:
+        return self.keep("filings", lambda: adapters.filings(self.spark, self.sf), then=("statDate",))
+
     @property
     def finance(self) -> DataFrame:
-        return adapters.finance(self.spark, self.sf)
+        return self.keep("finance", lambda: adapters.finance(self.filings), then=("statDate",))
 
     @property
     def reports(self) -> DataFrame:
         return adapters.reports(self.spark, self.sf)
 
+    @property
+    def days(self) -> DataFrame:
+        return self.keep("forecast-days", lambda: events.forecast_days(self.reports, ["np", "rd", "roe"]), then=("year", "time"))
+
     @property
     def dates(self) -> DataFrame:
-        return calendar.rebalance_dates(self.spark, START, END)
+        return self.keep(f"rebalance-{self.unit}", lambda: calendar.rebalance_of(self.cal), None)
 
 
 def style(name: str, fn: Callable[[Tables], DataFrame], unit: str = "week") -> None:
@@ -70,15 +92,20 @@ style("trade_day_shift", lambda x: calendar.shift_days(x.cal, x.cal, 5))
 style("period_ends", lambda x: panel.select_panel(x.finance, start=dt.date(1990, 1, 1), time="statDate").select("statDate").distinct().join(calendar.period_ends(x.spark, dt.date(1994, 5, 5), dt.date(2002, 2, 2)), "statDate", "full_outer"))
 style("disclosure_deadline", lambda x: x.finance.select("statDate", calendar.report_deadline().alias("deadline")).distinct())
 style("on_time_filings", lambda x: calendar.on_time(x.finance).select("code", "statDate", "pubDate"))
-style("rebalance_dates", lambda x: x.dates.join(x.cal.select(F.year("time").alias("y")).distinct(), F.year("time") == F.col("y"), "left_semi"))
+style("rebalance_dates", lambda x: x.dates)
 
 # selection, completeness, alignment
 style("select_panel", lambda x: panel.select_panel(x.p, x.industry.where("L1 <> 'ASIA'"), START, END, ["close"]))
 style("dedupe_last", lambda x: x.finance.select("code", "statDate", "pubDate", "operating_revenue"))
-style("completeness_filter", lambda x: panel.complete_codes([x.finance, x.finance.where("code % 5 <> 0")], calendar.period_ends(x.spark, dt.date(1996, 1, 1), dt.date(1998, 12, 31))))
-style("asof_align", lambda x: panel.asof_align(x.finance.withColumn("net_profit", F.when(F.col("k") % 3 != 0, F.col("net_profit"))), x.cal, "pubDate", ["total_assets", "net_profit"], "statDate"))
-style("backfill_calendar", lambda x: panel.backfill(x.p.withColumn("band", F.when(F.col("turnover_ratio") > 100, "high").otherwise("low")).where("t % 3 = 0"), x.cal, "band", "other"))
-style("statement_join", lambda x: panel.join_statements([x.finance.select("code", "statDate", "net_profit"), x.finance.where("code % 7 <> 0").select("code", "statDate", "total_assets"), x.finance.where("k % 2 = 0").select("code", "statDate", "total_assets", "capex")]))
+style("completeness_filter", lambda x: panel.complete_codes(adapters.statements(x.filings), calendar.period_ends(x.spark, dt.date(1996, 1, 1), dt.date(1998, 12, 31))))
+style("asof_align", lambda x: panel.asof_align(x.finance, x.cal, "pubDate", ["total_assets", "net_profit"], "statDate"))
+style("backfill_calendar", lambda x: panel.backfill(x.p.withColumn("band", F.when(F.col("turnover_ratio") > 100, "high").otherwise("low")), x.cal, "band", "other"))
+style("statement_join", lambda x: fundamentals.combine_statements(*adapters.statements(x.filings)).select("code", "statDate", "net_profit", "total_assets", "fix_intan_other_asset_acqui_cash", "np_parent_company_owners"))
+style("select_statements", lambda x: panel.select_statements(x.finance, end=END, count=9, fields=["total_assets"]))
+style("select_reports", lambda x: panel.select_reports(x.reports, [1998, 1999], start=START, end=END).groupBy("code", "year").agg(F.count("*").alias("n"), F.max("np").alias("np")))
+style("code_prefix", lambda x: panel.with_prefix(x.p.select("code", "time", "close"), ["1", "3", "6"]))
+style("listed_before", lambda x: panel.listed_before(adapters.listing(x.spark, x.sf), dt.date(1995, 1, 20)))
+style("industry_month_start", lambda x: panel.with_industry(x.p.select("code", "time", "close"), x.industry_panel, ("industry", "L1"), month_start=True))
 style("industry_map", lambda x: panel.map_category(x.industry, x.industry.where("industry not like 'A%'").select("industry", "L1").distinct(), "industry", "L1").select("code", "industry", "L1"))
 style("fill_limited", lambda x: panel.densify(x.p.select("code", "time", "t", "close"), x.cal).select("code", "time", panel.fill_limited("close", 2).alias("close")))
 
@@ -86,7 +113,7 @@ style("fill_limited", lambda x: panel.densify(x.p.select("code", "time", "t", "c
 style("winsorize_quantile", lambda x: xsection.winsorize(x.p.select("code", "time", "ret", "market_cap"), ["ret", "market_cap"], "time", 0.05, 0.95))
 style("median_fill", lambda x: xsection.fill_median(x.p.select("code", "time", "ret"), ["ret"]))
 style("zscore", lambda x: xsection.zscore(x.p.select("code", "time", "close", "turnover_ratio"), ["close", "turnover_ratio"]))
-style("clean_panel", lambda x: xsection.clean_panel(x.p.withColumn("ret", F.when(F.col("t") % 4 != 0, F.col("ret"))).select("code", "time", "ret", "dv_ratio"), x.p, ["ret", "dv_ratio"], 0.05, 0.95))
+style("clean_panel", lambda x: xsection.clean_panel(x.p.select("code", "time", "ret", "dv_ratio"), x.p, ["ret", "dv_ratio"], 0.05, 0.95))
 style("mad_winsorize", lambda x: xsection.mad_winsorize(x.p.select("code", "time", "turnover_ratio"), "turnover_ratio", "time", 2.0))
 style("mad_standardize", lambda x: xsection.mad_standardize(x.p.select("code", "time", "ret", "turnover_ratio"), ["ret", "turnover_ratio"], "time", 2.0))
 style("size_lncap", lambda x: price.size(x.p).select("code", "time", "LNCAP"))
@@ -109,6 +136,7 @@ style("traded_value_ratio", lambda x: price.traded_value_ratio(x.p, x.cal, W, H)
 style("short_term_reversal", lambda x: price.reversal(x.p, x.cal, 6, 3), "month")
 style("seasonality", lambda x: price.seasonality(x.p, x.cal, 3, 5))
 style("industry_momentum", lambda x: price.industry_momentum(x.p, x.p, x.industry, x.cal, 26, 13, 52))
+style("industry_momentum_varying", lambda x: price.industry_momentum(x.p, x.p, x.industry_panel, x.cal, 26, 13, 52))
 style("relative_strength", lambda x: price.relative_strength(x.p, x.cal, 12, 6, 3), "month")
 style("hist_alpha", lambda x: price.smoothed_alpha(x.p, x.cal, 12, 6, 3), "month")
 style("longterm_strength", lambda x: price.relative_strength(x.p, x.cal, 36, 12, 3, -1, "Longterm_Relative_strength"), "month")
@@ -116,8 +144,8 @@ style("longterm_alpha", lambda x: price.smoothed_alpha(x.p, x.cal, 36, 12, 3, -1
 style("panel_rolling_apply", lambda x: rolling.panel_rolling_apply(x.p.select("code", "time", "turnover_ratio"), "time", "code", "turnover_ratio", 4, lambda s: 4 * s.std(ddof=0) / s.mean()), "month")
 
 # statements and forecasts
-style("ttm", lambda x: fundamentals.ttm(x.finance, ["operating_revenue", "net_profit"]).select("code", "statDate", "operating_revenue_ttm", "net_profit_ttm"))
-style("pcf_ratio", lambda x: fundamentals.ttm(x.finance, ["cash_equivalent_increase"], cumulative=False).join(x.p.select("code", "time", "close"), "code").where("time > statDate and time <= date_add(statDate, 7)").select("code", "time", fundamentals.pcf_ratio(None, scale=1.0).alias("pcf")))
+style("ttm", lambda x: fundamentals.trailing(fundamentals.combine_statements(*adapters.statements(x.filings))).select("code", "statDate", "operating_revenue_ttm", "net_profit_ttm", "total_operating_cost_ttm", "np_parent_company_owners_ttm", "cash_equivalent_increase_ttm"))
+style("pcf_ratio", lambda x: x.finance.join(x.p.select("code", "time", "close"), "code").where("time > statDate and time <= date_add(statDate, 7)").select("code", "time", fundamentals.pcf_ratio(None, scale=1.0).alias("pcf")))
 style("leverage", lambda x: statements.leverage(x.finance, x.p, x.cal, 1.0))
 style("earnings_variability", lambda x: statements.earnings_variability(x.finance, x.cal, 6))
 style("accruals", lambda x: statements.accruals(x.finance, x.cal))
@@ -127,14 +155,15 @@ style("growth_slopes", lambda x: statements.growth(x.finance, x.dates, x.cal))
 style("enterprise_multiple", lambda x: statements.enterprise_multiple(x.finance, x.p, x.cal, 1.0))
 style("value_ratios", lambda x: price.value_ratios(x.p))
 style("dividend", lambda x: price.dividend(x.p))
-style("forecast_dividend", lambda x: statements.forecast(x.reports, None, x.cal, "rd", "mean", "Forecast_Dividend_to_Price"))
-style("forecast_ep_mean", lambda x: statements.forecast(x.reports, x.p, x.cal, "np", "mean", "forecast_EP_mean"))
-style("forecast_ep_std", lambda x: statements.forecast(x.reports, x.p, x.cal, "np", "std", "forecast_EP_std"))
-style("forecast_roe", lambda x: statements.forecast(x.reports.withColumn("year", F.col("year") + 2), None, x.cal, "roe", "mean", "roe_mean", ahead=2))
-style("sentiment_change", lambda x: statements.sentiment(x.reports, x.p, x.cal, 13, 1.0))
+style("forecast_dividend", lambda x: statements.forecast(x.days, None, x.cal, "rd", "mean", "Forecast_Dividend_to_Price"))
+style("forecast_ep_mean", lambda x: statements.forecast(x.days, x.p, x.cal, "np", "mean", "forecast_EP_mean"))
+style("forecast_ep_std", lambda x: statements.forecast(x.days, x.p, x.cal, "np", "std", "forecast_EP_std"))
+style("forecast_roe", lambda x: statements.forecast(x.days.withColumn("year", F.col("year") + 2), None, x.cal, "roe", "mean", "roe_mean", ahead=2))
+style("sentiment_change", lambda x: statements.sentiment(x.days, x.p, x.cal, 13, 1.0))
 
 # evaluation
 style("forward_return", lambda x: evaluate.forward_return(x.p, 4).select("code", "time", "forward"))
+style("forward_return_window", lambda x: evaluate.forward_return(x.p, 4, calendar=x.cal, start=START, end=END).select("code", "time", "forward"))
 style("labels", lambda x: evaluate.labels(x.p, 3).select("code", "time", "close_future", "return_ratio", "class_label"))
 COLUMNS = ["turnover_ratio", "dv_ratio", "ret"]
 for _kind in ("pearson", "spearman", "kendall"):
@@ -165,6 +194,7 @@ def _windowed(x: Tables) -> DataFrame:
 
 style("time_split", lambda x: _windowed(x).groupBy("window_id", "is_train").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last")), "month")
 style("training_table", lambda x: training.training_table(x.p, ["turnover_ratio", "dv_ratio"], x.industry, REGIONS[:2], evaluate.labels(x.p, 3)), "month")
+style("training_table_varying", lambda x: training.training_table(x.p, ["turnover_ratio", "dv_ratio"], x.industry_panel, REGIONS[:2], evaluate.labels(x.p, 3)), "month")
 style("regression_metrics", lambda x: training.regression_metrics(_windowed(x).withColumn("score", F.col("dv_ratio") / 100), "return_ratio", "score", ["window_id"]), "month")
 style("class_metrics", lambda x: training.class_metrics(_windowed(x).withColumn("score", F.col("dv_ratio") / 10), "class_label", "score", ["window_id"]), "month")
 style("portfolio_rank", lambda x: training.rank_portfolio(x.p.withColumn("score", F.col("turnover_ratio")), top=10).select("code", "time", "score", "rank"))
@@ -188,24 +218,31 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAINED = ["turnover_ratio", "dv_ratio", "ret"]
 
 
-def _boosted(x: Tables, fit: Callable) -> list[tuple[int, DataFrame, object]]:
-    """Every walk-forward window's id, scored test day and model."""
-    return training.fit_windows(evaluate.labels(x.p, 3), training.walk_forward(x.cal, 40, 20, 5), fit, TRAINED, rounds=10)
-
+def _run(x: Tables, kind: str) -> dict[str, DataFrame]:
+    """Every walk-forward window, trained and scored."""
+    return training.walk_forward_run(evaluate.labels(x.p, 3), training.walk_forward(x.cal, 40, 20, 5), TRAINED, kind, rounds=10)
 
-def _portfolios(x: Tables, fit: Callable) -> DataFrame:
-    scored = reduce(DataFrame.unionByName, (out for _, out, _ in _boosted(x, fit)))
-    return training.rank_portfolio(scored).select("window_id", "code", "time", "return_ratio", "class_label", "score", "rank")
 
+RANKED = ["window_id", "code", "time", "return_ratio", "class_label", "score", "rank"]
+style("boosted_regression", lambda x: _run(x, "regression")["portfolio"].select(RANKED), "month")
+style("boosted_classifier", lambda x: _run(x, "classifier")["portfolio"].select(RANKED), "month")
+style("feature_importance", lambda x: _run(x, "regression")["importance"], "month")
+style("walk_forward_regression", lambda x: _run(x, "regression")["metrics"].drop("importances"), "month")
+style("walk_forward_classifier", lambda x: _run(x, "classifier")["metrics"].drop("importances"), "month")
 
-style("boosted_regression", lambda x: _portfolios(x, training.fit_regression), "month")
-style("boosted_classifier", lambda x: _portfolios(x, training.fit_classifier), "month")
+# workload A whole
+WEEKLY = Windows(beta=(W, H), deviation=10, range=(4, 13, 2), turnover=(3, 12), traded=(W, H), reversal=(6, 3), seasons=(3, 5), industry=(26, 13, 52), strength=(26, 13, 3), longterm=(104, 52, 3), null_share=0.3, variation=6, change=13, debt_scale=1.0, forecast_scale=1.0)
 
 
-def _importance(x: Tables) -> DataFrame:
-    found = (training.feature_importance(x.spark, model, TRAINED).select(F.lit(k).alias("window_id"), "*") for k, _, model in _boosted(x, training.fit_regression))
-    return reduce(DataFrame.unionByName, found)
+def _factors(x: Tables) -> dict[str, DataFrame]:
+    keep = lambda name, compute: x.keep(f"factors-{name}", compute, "code" if name != "ic" else None)
+    return build_factors(x.p, x.cal, x.industry_panel, x.finance, x.days, x.dates, WEEKLY, keep=keep)
 
 
-style("feature_importance", _importance, "month")
-style("descriptor_panel", lambda x: descriptor_panel(x.p, x.cal, x.industry).select("code", "time", *DESCRIPTORS), "month")
+style("all_descriptors", lambda x: _factors(x)["descriptors"])
+style("all_styles", lambda x: _factors(x)["styles"])
+style("all_factor_ic", lambda x: _factors(x)["ic"])
+style("all_icir", lambda x: _factors(x)["icir"])
+style("style_returns", lambda x: _factors(x)["returns"])
+EIGHT = ["LNCAP", "MIDCAP", "BETA", "Hist_sigma", "Daily_std", "Book_to_price", "Earning_to_price", "Dividend_to_Price"]
+style("descriptor_panel", lambda x: descriptor_panel(x.p, x.cal).select("code", "time", *EIGHT), "month")

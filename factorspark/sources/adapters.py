@@ -1,7 +1,8 @@
 """Canonical tables derived from the star schema (suppliers as stocks).
 
-`panel`: prices and valuations per supplier and week or month. `finance`: statements per supplier and
-quarter. `reports`: analyst forecasts, one per line item. All are plain aggregations of `lineitem`.
+`panel`: prices and valuations per supplier and week or month. `income`, `balance`, `cashflow`: statements per
+supplier and quarter, and `finance`, the three joined. `reports`: analyst forecasts, one per line item. All are plain
+aggregations of `lineitem`.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import div
 from ..operators.calendar import ordinals
+from ..operators.fundamentals import combine_statements, trailing
+from . import schemas
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,20 @@ def industry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("code"), F.col("n_name").alias("industry"), F.col("r_name").alias("L1"))
 
 
+def industry_panel(spark: SparkSession, sf_dir: str, panel: DataFrame) -> DataFrame:
+    """code, time, industry, L1 that vary in time: the nation some places on from the supplier's, a place a year."""
+    nation = _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = nation.select(F.col("n_nationkey").alias("_key"), F.col("n_name").alias("industry"), F.col("r_name").alias("L1"))
+    own = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("_own"))
+    rows = panel.select("code", "time").join(own, "code").withColumn("_key", F.pmod(F.col("_own") + F.year("time"), F.lit(25)))
+    return rows.join(F.broadcast(nation), "_key").select("code", "time", "industry", "L1")
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code and list_date, the day of the first line item."""
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.min("l_shipdate").cast("date").alias("list_date"))
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw statements per supplier and quarter: a few periods missing, a few filed twice."""
     ext, qty, disc, tax = (F.col(f"l_{c}") for c in ("extendedprice", "quantity", "discount", "tax"))
@@ -52,23 +69,33 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = Window.partitionBy("code", F.year("q")).orderBy("q")
     ever = Window.partitionBy("code").orderBy("q")
     ytd, total = (lambda c: F.sum(c).over(year)), (lambda c: F.sum(c).over(ever))
+    half = F.quarter("q").isin(2, 4)
     out = q.select(
         "code",
         "k",
         F.last_day(F.add_months("q", 2)).alias("statDate"),
         ytd("e").alias("operating_revenue"),
+        ytd(F.col("e") + F.col("x")).alias("total_operating_revenue"),
         ytd(F.col("e") - F.col("d")).alias("operating_cost"),
-        ytd("d").alias("net_profit"),
-        ytd(F.col("d") - F.col("x")).alias("np_parent_company_owners"),
+        ytd(F.col("e") - F.col("d") + F.col("x")).alias("total_operating_cost"),
+        ytd("d").alias("compr_inc_attr_p"),
+        F.when(F.col("k") % 5 != 0, ytd("x")).alias("oth_compr_income"),
+        F.when(half, ytd("d")).alias("net_profit"),
         ytd("n").alias("net_operate_cash_flow"),
         ytd(-F.col("x")).alias("net_invest_cash_flow"),
-        ytd(F.col("n") * 2).alias("capex"),
-        ytd(F.col("x") * 0.1).alias("depreciation"),
+        ytd(F.col("n") * 2).alias("fix_intan_other_asset_acqui_cash"),
+        ytd(F.col("x") * 0.06).alias("fixed_assets_depreciation"),
+        ytd(F.col("x") * 0.03).alias("intangible_assets_amortization"),
+        ytd(F.col("x") * 0.01).alias("defferred_expense_amortization"),
         F.col("n").alias("cash_equivalent_increase"),
         total("e").alias("total_assets"),
         total((F.col("e") - F.col("d")) * 0.6).alias("total_liability"),
         total("x").alias("total_non_current_liability"),
+        F.when(F.col("k") % 7 != 0, total(F.col("x") * 0.25)).alias("non_current_liability_in_one_year"),
         total(F.col("d") * 0.5).alias("shortterm_loan"),
+        F.when(F.col("code") % 2 != 0, total(F.col("d") * 0.1)).alias("longterm_account_payable"),
+        total(F.col("x") * 0.2).alias("specific_account_payable"),
+        F.when(F.col("code") % 3 == 0, total(F.col("n") * 20)).alias("oth_eqt_tools_p_shr"),
         total("n").alias("cash_and_equivalents_at_end"),
         total(F.col("n") * 3).alias("paidin_capital"),
     )
@@ -77,16 +104,23 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(again)
 
 
-def finance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings with the last one of each (code, statDate)."""
-    from ..operators.panel import dedupe_last
+KEYS = ("code", "k", "statDate", "pubDate")
+
+
+def statements(filings: DataFrame) -> list[DataFrame]:
+    """Income, balance and cash-flow statements of the filings."""
+    return [filings.select(*KEYS, *[c for c in table.fieldNames() if c in filings.columns and c not in KEYS]) for table in (schemas.INCOME, schemas.BALANCE, schemas.CASHFLOW)]
+
 
-    return dedupe_last(filings(spark, sf_dir), ["code", "statDate"], ["pubDate"])
+def finance(filings: DataFrame) -> DataFrame:
+    """The three statements joined, with their trailing sums."""
+    return trailing(combine_statements(*statements(filings)))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts: code, time, target year, np, rd, roe."""
+    """Forecasts: code, time, quarter, target year, np, rd, roe."""
+    year = F.year("l_shipdate")
     return _table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("code"), F.col("l_shipdate").cast("date").alias("time"), F.year("l_shipdate").alias("year"),
+        F.col("l_suppkey").alias("code"), F.col("l_shipdate").cast("date").alias("time"), F.concat(year, F.lit("Q"), F.quarter("l_shipdate")).alias("quarter"), year.alias("year"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("np"), F.col("l_discount").alias("rd"), F.col("l_tax").alias("roe"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -57,3 +59,30 @@ def load_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFr
             raise
     write_table(compute(), path)
     return spark.read.parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; in local mode, where that is unset, a folder of our own."""
+    context = spark.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="factorspark-"))
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+
+
+def staged(spark: SparkSession, name: str, compute: Callable[[], DataFrame], bucket_by: str | None = None, sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """A derived table that is written to the shared folder when an application first asks for `name`, and read from
+    then on. With `bucket_by` it is bucketed by that column, so that windows, aggregates and joins within it need
+    no exchange."""
+    table = "factorspark_" + hashlib.sha1(f"{spark.sparkContext.applicationId}/{name}".encode()).hexdigest()[:20]
+    if not spark.catalog.tableExists(table):
+        df, n = compute(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.repartition(n, bucket_by).write.bucketBy(n, bucket_by).sortBy(bucket_by, *sort_by) if bucket_by else df.write
+        writer.option("path", f"{shared_folder(spark)}/{table}").mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metrics and importances of the training windows as JSON, a folder per window."""
+    metrics.write.mode("overwrite").partitionBy("window_id").json(path)

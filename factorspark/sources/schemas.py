@@ -13,6 +13,11 @@ VALUATION = _table(code="s", time="d", close="f", turnover_ratio="f", pe_ratio="
 INDUSTRY = _table(code="s", time="d", industry="s", L1="s")
 REPORT = _table(code="s", time="d", quarter="s", np="f", eps="f", rd="f", roe="f")
 CALENDAR = _table(time="d", t="i")
+LISTING = _table(code="s", list_date="d")
+_FILED = {"code": "s", "pubDate": "d", "statDate": "d"}
+INCOME = _table(**_FILED, total_operating_revenue="f", operating_revenue="f", total_operating_cost="f", operating_cost="f", oth_compr_income="f", compr_inc_attr_p="f")
+BALANCE = _table(**_FILED, paidin_capital="f", shortterm_loan="f", total_assets="f", non_current_liability_in_one_year="f", longterm_account_payable="f", specific_account_payable="f", total_non_current_liability="f", total_liability="f", oth_eqt_tools_p_shr="f")
+CASHFLOW = _table(**_FILED, net_profit="f", net_operate_cash_flow="f", net_invest_cash_flow="f", fix_intan_other_asset_acqui_cash="f", cash_equivalent_increase="f", cash_and_equivalents_at_end="f", fixed_assets_depreciation="f", intangible_assets_amortization="f", defferred_expense_amortization="f")
 
 # Vendor column name -> canonical name.
 RENAMES = {
@@ -30,6 +35,7 @@ RENAMES = {
     "total_revenue": "total_operating_revenue",
     "revenue": "operating_revenue",
     "total_cogs": "total_operating_cost",
+    "oper_cost": "operating_cost",
     "st_borr": "shortterm_loan",
     "non_cur_liab_due_1y": "non_current_liability_in_one_year",
     "lt_payable": "longterm_account_payable",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import by_code, div, half_life_weights, lagged_sum, last_rows, decay, row_mean
 from ..operators.calendar import snap_map
-from ..operators.panel import fill_limited
+from ..operators.panel import fill_limited, with_industry
 from ..operators.rolling import dense_panel, ewma_deviation, full_window, sampled_lags, weighted_beta, weighted_sum
 from ..operators.xsection import group_relative, mad_winsorize, regression_residual
 
@@ -84,10 +84,9 @@ def reversal(prices: DataFrame, calendar: DataFrame, window: int = 21, half_life
 
 def seasonality(prices: DataFrame, calendar: DataFrame, years: int = 5, days: int = 21) -> DataFrame:
     """Mean over the years i of the return over the `days` trading days from the first one on or after time - 365 i."""
-    snap = snap_map(calendar.select("time")).join(calendar, "time").select(F.col("day").alias("_day"), F.col("t").alias("_from"))
-    first = calendar.agg(F.min("time").alias("_first"))
+    snap = snap_map(calendar).select(F.col("day").alias("_day"), F.col("t").alias("_from"))
     back = calendar.select("time", F.explode(F.sequence(F.lit(1), F.lit(years))).alias("i")).withColumn("_day", F.date_sub("time", F.col("i") * 365))
-    back = back.join(F.broadcast(first)).where(F.col("_day") >= F.col("_first")).join(F.broadcast(snap), "_day").select("time", "i", "_from")
+    back = back.join(F.broadcast(snap), "_day").select("time", "i", "_from")
     dense = dense_panel(prices, calendar, ["close"])
     dense = dense.withColumn("_last", F.last("close", ignorenulls=True).over(last_rows(days)))
     start = dense.withColumn("_end", F.lead("_last", days - 1).over(by_code()))
@@ -96,22 +95,23 @@ def seasonality(prices: DataFrame, calendar: DataFrame, years: int = 5, days: in
     return got.where("Seasonality is not null")
 
 
-def strength(prices: DataFrame, calendar: DataFrame, window: int, half_life: float, null_denominator: int | None = None) -> DataFrame:
+def strength(prices: DataFrame, calendar: DataFrame, window: int, half_life: float, null_denominator: int | None = None, null_share: float = 0.1) -> DataFrame:
     """code, time, t, RS: half-life weighted sum of log returns."""
     dense = dense_panel(prices, calendar, ["ret"])
-    return dense.select("code", "time", "t", weighted_sum(F.log(1 + F.col("ret")), window, half_life, 0.1, null_denominator).alias("RS"))
+    return dense.select("code", "time", "t", weighted_sum(F.log(1 + F.col("ret")), window, half_life, null_share, null_denominator).alias("RS"))
 
 
 def industry_momentum(prices: DataFrame, valuation: DataFrame, industry: DataFrame, calendar: DataFrame, window: int = 126, half_life: float = 21, null_denominator: int = 252) -> DataFrame:
-    """The industry's strength, weighted by sqrt(cap), minus the code's own."""
+    """The industry's strength, weighted by sqrt(cap), minus the code's own. An industry table that varies in time is
+    taken as of the month's first day."""
     rs = strength(prices, calendar, window, half_life, null_denominator).where("RS is not null")
-    rows = rs.join(valuation.select("code", "time", "circulating_market_cap"), ["code", "time"]).join(industry.select("code", "L1"), "code")
+    rows = with_industry(rs.join(valuation.select("code", "time", "circulating_market_cap"), ["code", "time"]), industry, month_start=True)
     return group_relative(rows, "RS", F.sqrt("circulating_market_cap"), ["time", "L1"]).select("code", "time", F.col("relative").alias("Industry_Momentum"))
 
 
-def relative_strength(prices: DataFrame, calendar: DataFrame, window: int = 252, half_life: float = 126, mean: int = 11, sign: int = 1, name: str = "Relative_strength") -> DataFrame:
+def relative_strength(prices: DataFrame, calendar: DataFrame, window: int = 252, half_life: float = 126, mean: int = 11, sign: int = 1, name: str = "Relative_strength", null_share: float = 0.1) -> DataFrame:
     """Mean of the last `mean` strengths; sign -1 for the long-term reversal."""
-    rs = strength(prices, calendar, window, half_life)
+    rs = strength(prices, calendar, window, half_life, None, null_share)
     return rs.select("code", "time", (sign * full_window(F.col("RS"), mean, F.avg)).alias(name)).where(F.col(name).isNotNull())
 
 
