@@ -4,12 +4,18 @@ The merges are compiled into a deterministic automaton over tokens, one gadget p
 one state that every byte token leads back to. The gadget of merge (u, v) -> w copies the state that u
 leads to, takes the transition on v out of the copy, leads u there, and lets w lead where v led, from every
 state that could read u then v. A sequence of tokens is accepted exactly if it is what the merges make of
-its bytes, so each pre-split word has one accepting path, which a left-to-right pass finds by table
-look-ups. Decoding emits the labels (bytes) on the path's arcs.
-
-States share nearly all transitions, so they are kept as copies with one transition less: `parent` and
-`removed`. Whether a state still has a transition then follows from the ranks along the right edge of the
-token that led there and the left edge of the token to read, in a few look-ups; results are remembered.
+its bytes.
+
+A copy differs from its original by one transition, so the transition table is kept as those differences:
+`state` (where a token leads), `removed` (which copy took a transition out), `owner`, `base` and `first` (the
+run of copies that a state ends, and the state before it), `born` and `left` (when and from what a token's
+transitions came). `step` looks a transition up there, in a few steps, and the transitions that occur are
+remembered.
+
+A word is encoded in one pass without a step back: every prefix of it has exactly one accepted sequence, so
+a place in the word has one state. At each place the tokens that end there are tried, longest first, on the
+state of the place where they begin, and the one whose transition exists gives the state. The arcs that lead
+to the end of the word are its tokens; decoding emits the labels (bytes) on them.
 """
 
 from __future__ import annotations
@@ -17,13 +23,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 # The pre-splitting pattern of byte-level BPE, as the vocabulary's pre-tokenizer has it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS, CACHED_PAIRS = 300_000, 1_000_000
+CACHED_WORDS, CACHED_STEPS = 300_000, 1_000_000
+_BITS = 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -33,107 +41,99 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class _Reach(dict):
-    def __missing__(self, key: bytes) -> int:
-        return 2
-
-
 class Automaton:
     """Merge-gadget automaton of a byte-level BPE vocabulary."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[int, int, int]]):
         self.labels = {t: b for b, t in vocab.items()}
-        self.rank: dict[int, int] = {}  # of the merge that makes a token; byte tokens have none
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.merge: dict[tuple[int, int], int] = {}
-        self.parent, self.removed = [-1], [-1]
-        self.state = {t: 0 for b, t in vocab.items() if len(b) == 1}
-        self._pairs: dict[int, bool] = {}
-        for rank, (u, v, w) in enumerate(merges):
-            self._gadget(rank, u, v, w)
-        self._pairs = {}
-        self.tokens = {self.labels[t]: t for t in self.state}
-        # for the search: a token's length, its longest proper prefix that is a token (-1: none), and the
-        # length of the longest token with the same first three bytes
-        self.lengths = {t: len(b) for b, t in self.tokens.items()}
-        self.shorter = {t: next((self.tokens[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.tokens), -1) for b, t in self.tokens.items()}
-        self.reach = _Reach()
-        for b in self.tokens:
-            if len(b) > 2:
-                self.reach[b[:3]] = max(len(b), self.reach[b[:3]])
-
-    def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        if u not in self.state or v not in self.state or w in self.state or not self._follows(u, v):
+        size = max(vocab.values(), default=-1) + 1
+        self.state = [-1] * size  # where a token leads; -1: no state reads it
+        self.left, self.born = [-1] * size, [0] * size
+        self.owner, self.base, self.first = [-1], [0], [0]
+        self.removed: dict[int, int] = {}
+        for label, t in vocab.items():
+            if len(label) == 1:
+                self.state[t] = 0
+        for u, v, w in merges:
+            self._gadget(u, v, w)
+        self.tokens = {label: t for label, t in vocab.items() if self.state[t] >= 0}
+        self._steps: dict[int, int] = {}
+        self._ends: ahocorasick.Automaton | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_steps": {}, "_ends": None}
+
+    def _gadget(self, u: int, v: int, w: int) -> None:
+        if self.state[u] < 0 or self.state[v] < 0 or self.state[w] >= 0 or self.step(self.state[u], v) < 0:
             return  # no state reads u then v: the gadget adds nothing
-        target = self.state[v]
-        self.parent.append(self.state[u])
-        self.removed.append(v)
-        self.state[u] = len(self.parent) - 1
-        self.state[w] = target
-        self.merge[u, v] = self.rank[w] = rank
-        self.left[w], self.right[w] = u, v
-
-    def _follows(self, a: int, b: int) -> bool:
-        """Whether the state that `a` leads to has a transition on `b`.
-
-        It is out if a copy on the state's way took it out (a merge of a token y on the right edge of `a`
-        with `b`, done before y went into the next larger token), or if, when `b` was made, the transition
-        on its left part was out.
+        old, copy = self.state[u], len(self.owner)
+        again = self.owner[old] == u
+        self.owner.append(u)
+        self.base.append(self.base[old] if again else old)
+        self.first.append(self.first[old] if again else copy)
+        self.removed[u << _BITS | v] = copy
+        self.state[w] = self.state[v]
+        self.state[u] = copy
+        self.left[w], self.born[w] = u, copy
+
+    def step(self, state: int, token: int) -> int:
+        """The state that `state` leads to on `token`, or -1.
+
+        The transition is out if a copy on the way to `state` took it out after the token was made, or if
+        the state's original of that time had none on the token's left part.
         """
-        merge, rank = self.merge, self.rank
-        y, before = a, len(rank) + 1
-        while True:
-            z, until = b, len(rank) + 1
-            while True:
-                s = merge.get((y, z))
-                if s is not None and s < before and s <= until:
-                    return False
-                if z not in self.left:
-                    break
-                until = rank[z]
-                z = self.left[z]
-            if y not in self.right:
-                return True
-            before = rank[y]
-            y = self.right[y]
+        owner, base, first, removed, born, left = self.owner, self.base, self.first, self.removed, self.born, self.left
+        run = until = state
+        part = token
+        while run and part >= 0:
+            since = born[part]
+            while until > since:
+                copy = removed.get(owner[run] << _BITS | part)
+                if copy is not None and copy <= until:
+                    return -1
+                if first[run] <= since:
+                    until = since
+                else:
+                    run = until = base[run]
+            part = left[part]
+        return self.state[token]
+
+    def _tokens_by_end(self) -> ahocorasick.Automaton:
+        if self._ends is None:
+            self._ends = ahocorasick.Automaton()
+            for label, t in self.tokens.items():
+                self._ends.add_word(label.decode("latin-1"), (len(label), t))
+            self._ends.make_automaton()
+        return self._ends
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens on the accepting path of `word`: longest arcs first, back where none leads on.
-
-        A place that turned out a dead end is closed, so that no place is tried twice from its left.
-        """
-        tokens, pairs, reach, shorter, lengths = self.tokens, self._pairs, self.reach, self.shorter, self.lengths
-        if len(pairs) > CACHED_PAIRS:
-            pairs.clear()
-        size, at, path, closed = len(word), 0, [], None
-        token = None
-        while at < size:
-            if token is None:
-                end = min(size, at + reach[word[at : at + 3]] if size - at > 2 else size)
-                while (token := tokens.get(word[at:end])) is None:
-                    end -= 1
-            while token >= 0:
-                end = at + lengths[token]
-                if closed is None or end not in closed:
-                    if not path:
-                        break
-                    pair = path[-1] << 20 | token
-                    ok = pairs.get(pair)
-                    if ok is None:
-                        ok = pairs[pair] = self._follows(path[-1], token)
-                    if ok:
-                        break
-                token = shorter[token]
-            if token >= 0:
-                path.append(token)
-                at, token = end, None
-            else:
-                closed = {at} if closed is None else closed | {at}
-                token = path.pop()
-                at -= lengths[token]
-                token = shorter[token]
-        return path
+        """The tokens on the accepting path of `word`."""
+        whole = self.tokens.get(word)
+        if whole is not None:
+            return [whole]
+        steps = self._steps
+        if len(steps) > CACHED_STEPS:
+            steps.clear()
+        at = len(word)
+        states, arcs = [0] + [-1] * at, [(0, 0)] * (at + 1)
+        for last, arc in (self._ends or self._tokens_by_end()).iter(word.decode("latin-1")):
+            last += 1
+            if states[last] < 0:
+                size, token = arc
+                before = states[last - size]
+                key = before << _BITS | token
+                after = steps.get(key)
+                if after is None:
+                    after = steps[key] = self.step(before, token)
+                if after >= 0:
+                    states[last] = after
+                    arcs[last] = arc
+        path = []
+        while at:
+            size, token = arcs[at]
+            path.append(token)
+            at -= size
+        return path[::-1]
 
 
 class Tokenizer:
