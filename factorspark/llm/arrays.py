@@ -6,6 +6,7 @@ Everything works on one slice of a batch at a time (`slices`), so a task's memor
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
+LONG_SPAN = 512
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE, _ALL = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers = [np.ones(1, U64), np.ones(1, U64)]
@@ -41,16 +43,50 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[e] - P[s] = sum of (byte + 1) * b^i over s <= i < e, modulo 2^64."""
+    """P with P[e] - P[s] = sum of (byte + 1) * b^i over s <= i < e, modulo 2^64: a rolling hash, which picks
+    places in a text and decides nothing (different bytes can be made to collide)."""
     out = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * powers(len(data))[0][:-1], dtype=U64, out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    inverse = powers(len(prefix))[1]
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through `mix` with all that came before, so no pattern in the bytes cancels out.
+    Spans of over LONG_SPAN bytes are hashed by BLAKE2b one by one.
+    """
+    size = (end - start).astype(np.int64)
+    out = mix(size.astype(U64) + U64((seed + 1) * _BASE & _ALL))
+    if not len(size):
+        return out
+    raw = np.concatenate((data, np.zeros(8, np.uint8)))
+    chunks = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, left = start[live], size[live]
+    while len(live):
+        spare = (U64(8) * np.maximum(8 - left, 0).astype(U64)).astype(U64)
+        out[live] = mix((out[live] + U64(_BASE)) ^ ((chunks[at] << spare) >> spare))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(raw[start[k] : end[k]].data, digest_size=8, salt=seed.to_bytes(4, "little"))
+        out[k] = U64(int.from_bytes(digest.digest(), "little"))
+    return out
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are equal, for each of the pairs."""
+    out = np.ones(len(a), bool)
+    raw = np.concatenate((data, np.zeros(8, np.uint8)))
+    chunks = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    live, done = np.flatnonzero(size > 0), 0
+    while len(live):
+        spare = U64(8) * np.maximum(8 - (size[live] - done), 0).astype(U64)
+        out[live] = (chunks[a[live] + done] << spare) == (chunks[b[live] + done] << spare)
+        done += 8
+        live = live[out[live] & (size[live] > done)]
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +136,7 @@ class Words:
         self.end = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1 if n else np.zeros(0, np.int64)
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.row, np.arange(len(offsets)))
-        self.hash = span_hash(prefix_hash(data), self.start, self.end)
+        self.hash = span_hash(data, self.start, self.end)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, hash) of every k-word window; a row of fewer words has one, of all its words."""
@@ -109,18 +145,18 @@ class Words:
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         at = np.flatnonzero(np.arange(n) + k <= self.first[self.row + 1])
-        total = np.zeros(len(at), U64)
+        total = np.full(len(at), k, U64)
         for j in range(k):
-            total = total * U64(_BASE) + self.hash[at + j]
-        rows, hashes = [self.row[at]], [mix(total + U64(k))]
+            total = mix(total + self.hash[at + j])
+        rows, hashes = [self.row[at]], [total]
         for few in range(1, k):
             short = np.flatnonzero(count == few)
             if len(short):
-                total = np.zeros(len(short), U64)
+                total = np.full(len(short), few, U64)
                 for j in range(few):
-                    total = total * U64(_BASE) + self.hash[self.first[short] + j]
+                    total = mix(total + self.hash[self.first[short] + j])
                 rows.append(short)
-                hashes.append(mix(total + U64(few)))
+                hashes.append(total)
         row, out = np.concatenate(rows), np.concatenate(hashes)
         if len(rows) > 1:
             order = np.argsort(row, kind="stable")

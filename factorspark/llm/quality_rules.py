@@ -6,8 +6,10 @@ and is pruned on the rest; covering ends when a new rule is right in under `prec
 The list becomes one ordered chain of Spark conditionals (`as_column`) that can be read and edited.
 
 Defined results: NULL texts count as empty; a document without words has zero statistics; NaN cannot
-occur, as all ratios divide by at least 1. The labelled sample is bounded by `most` documents, chosen by a
-hash of the id. With no labels of either class the list is empty and keeps all.
+occur, as all ratios divide by at least 1. Lines and windows of words are compared by 64-bit hashes that are
+no polynomial (`arrays.span_hash`). The labelled sample is bounded by `most` documents, chosen by a hash of
+the id, one row per id. With no labels of either class the list is empty and keeps all. Rows are judged one
+by one, also where they share an id or have none; other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrays import Words, distinct, mix, slices, span_hash, prefix_hash, utf8
+from .arrays import Words, distinct, mix, slices, span_hash, utf8
+from .graph import checkpointed
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_upper", "n_digits", "n_marks", "n_distinct")
 SYMBOLS = b"#*$%&|<>"
@@ -55,7 +58,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.minimum(follow, offsets[line_row + 1])
         end = end - ((end > start) & (data[np.maximum(end - 1, 0)] == 10)) if len(start) else end
         full = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
-        line_row, value = line_row[full], span_hash(prefix_hash(data), start[full], end[full])
+        line_row, value = line_row[full], span_hash(data, start[full], end[full])
         n_lines = each(line_row)
         n_dup_lines = n_lines - each(distinct(line_row, value)[0])
         # words in windows of three that occur again in the text
@@ -169,10 +172,12 @@ def as_column(rules: list[Rule]) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled documents, chosen by a hash of the id."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    """(doc_id, text, label) of at most `most` labelled documents, chosen by a hash of the id: one row per id,
+    with the largest of its labels and the least of its texts (NULL first)."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return checkpointed(rows.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("one")).select("doc_id", "one.text", "one.label"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, base: Column, most: int = 20_000) -> DataFrame:
