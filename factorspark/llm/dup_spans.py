@@ -12,15 +12,16 @@ with equal anchors. So it is enough to suffix-sort the snippets of each anchor b
 1. documents are dealt out by a hash of their id into groups; each group sends its anchors' hashes
    (4 bytes for some 16 bytes of text), to buckets dealt out by that hash, and hears which are shared;
 2. for shared anchors it sends the snippet, once per distinct snippet, with the smallest id that has it;
-3. a bucket lays the distinct snippets behind each other in order of the ids, builds the suffix order to
-   depth `length`, and takes the previous smaller position of each suffix: the longest previous factor
-   reaches `length` exactly if that position lies among the neighbours with an equal prefix. It answers
-   with a bit for each window;
+3. a bucket lays the distinct snippets behind each other in order of the ids and builds the suffix array to
+   depth `length`. The nearest entries before and after a suffix in that order whose document is smaller are
+   where its longest previous factor stands: the factor reaches `length` if one of the two shares that many
+   bytes. The bucket answers with a bit for each window;
 4. the group marks the windows in its texts.
 
 A string in a third of all documents reaches a bucket once per group, not once per document. Only
 hashes of k-grams and the bytes of shared snippets are shuffled, besides one exchange of the texts that
-all passes share. No answer rests on a hash alone but for the equality of whole snippets (64 bits).
+all passes share. No answer rests on a hash: snippets of equal hashes are compared byte by byte. The
+number of groups and of buckets follows the bytes of the texts, so a task's memory does not grow with them.
 
 Defined results: a NULL or empty text has no bytes and no spans; texts under `length` bytes stay whole;
 rows with the same id never cover each other; other columns of the input are dropped.
@@ -34,9 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import SLICE_BYTES, U64, binary, mix, powers, prefix_hash, ragged, span_hash, utf8
+from .arrays import SLICE_BYTES, U64, binary, mix, powers, prefix_hash, ragged, same_bytes, span_hash, utf8
 
 GRAM = 20
+#: Text of a group, and text for which there is one bucket (the number of shuffle partitions at least).
+GROUP_BYTES, BUCKET_BYTES = 32 << 20, 128 << 20
 #: Parts of a bucket that are suffix-sorted one after another, which bounds a task's memory.
 PARTS = 8
 _HIGH, _LOW = U64(0xFFFFFFFF00000000), U64(0xFFFFFFFF)
@@ -68,7 +71,7 @@ def _windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             stop = np.ones(len(least), bool)
             stop[:-1] = change[1:] | ~fits[1:]
             last = np.flatnonzero(fits & stop)
-            out.append((grams[anchor[first]], span_hash(prefix, first, last + length), first + low, last - first + 1, row[first] + a))
+            out.append((grams[anchor[first]], span_hash(part, first, last + length), first + low, last - first + 1, row[first] + a))
     if not out:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -83,6 +86,15 @@ def _cuts(slot: np.ndarray, buckets: int, parts: int = 1) -> np.ndarray:
     return np.searchsorted((slot >> U64(32)) // U64(PARTS // parts), np.arange(buckets * parts + 1, dtype=U64))
 
 
+def _changes(data: np.ndarray, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of snippets ordered by `keys`, which ones differ from the one before, in a key or in a byte."""
+    new = np.ones(len(start), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in (*keys, size)])
+    alike = np.flatnonzero(~new)
+    new[alike] = ~same_bytes(data, start[alike], start[alike - 1], size[alike])
+    return new
+
+
 class _Group:
     """What each pass derives again from a group's texts, the same each time."""
 
@@ -113,8 +125,7 @@ class _Group:
                 shared[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=int(cut[k + 1] - cut[k])).astype(bool)
         use = np.flatnonzero(shared[np.searchsorted(slot, self.slot)]) if len(slot) else np.zeros(0, np.int64)
         order = use[np.lexsort((self.row[use], self.content[use], self.slot[use]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (self.slot[order][1:] != self.slot[order][:-1]) | (self.content[order][1:] != self.content[order][:-1])
+        new = _changes(self.data, self.first[order], self.count[order] + self.length - 1, self.slot[order], self.content[order])
         return order[new], order, np.cumsum(new) - 1
 
 
@@ -186,16 +197,53 @@ def prefix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def smaller_before(value: np.ndarray) -> np.ndarray:
+    """For each place, the nearest one before it with a smaller value, or -1: up a tree of minima to the first
+    smaller left neighbour, then down it to the last place."""
+    n = len(value)
+    size = 1 << max(1, (n - 1).bit_length())
+    tree = np.full(2 * size, np.iinfo(np.int64).max)
+    tree[size : size + n] = value
+    level = size
+    while level > 1:
+        np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2], out=tree[level // 2 : level])
+        level //= 2
+    node = np.arange(size, size + n)
+    climbing = np.arange(n)
+    while len(climbing):
+        at = node[climbing]
+        found = (at & 1 == 1) & (tree[at - 1] < value[climbing])
+        node[climbing] = np.where(found, at - 1, at >> 1)
+        climbing = climbing[~found & (at >> 1 > 1)]
+    none = node <= 1
+    down = np.flatnonzero(~none & (node < size))
+    while len(down):
+        right = 2 * node[down] + 1
+        node[down] = np.where(tree[right] < value[down], right, right - 1)
+        down = down[node[down] < size]
+    return np.where(none, -1, node - size)
+
+
+def longest_previous(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor of each suffix has the full depth, in suffix order: `rank` tells to
+    that depth which suffixes are equal, and previous are those of a smaller owner. The longest common prefix with
+    any of them is that with the nearest one before or after in suffix order."""
+    n = len(rank)
+    before = smaller_before(owner)
+    after = n - 1 - smaller_before(owner[::-1])[::-1]
+    out = (before >= 0) & (rank[before] == rank)
+    return out | ((after < n) & (rank[np.minimum(after, n - 1)] == rank))
+
+
 def covered_windows(doc: np.ndarray, count: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """For each snippet (its document, its number of windows, its bytes), a bit for each window that a
     snippet of a smaller document also has."""
     size = count + length - 1
     start = np.cumsum(size) - size
-    content = span_hash(prefix_hash(data), start, start + size)
+    content = span_hash(data, start, start + size)
     # equal snippets are suffix-sorted once, for the smallest id
     order = np.lexsort((doc, content))
-    new = np.ones(len(order), bool)
-    new[1:] = content[order][1:] != content[order][:-1]
+    new = _changes(data, start[order], size[order], content[order])
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     head = order[new]
@@ -209,14 +257,9 @@ def covered_windows(doc: np.ndarray, count: np.ndarray, data: np.ndarray, length
     window = ragged(np.cumsum(size[head]) - size[head], count[head])
     owner = np.repeat(doc[head], count[head])
     rank = prefix_ranks(text, length)[window]
-    # suffix order, equal prefixes in order of position and so of id: the first of a run has the
-    # smallest id, and a previous smaller position of the others lies in the run
-    sa = np.argsort(rank, kind="stable")
-    first = np.ones(len(sa), bool)
-    first[1:] = rank[sa][1:] != rank[sa][:-1]
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(sa)), 0))
-    covered = np.zeros(len(sa), bool)
-    covered[sa] = owner[sa[lead]] < owner[sa]
+    suffix_array = np.argsort(rank, kind="stable")
+    covered = np.zeros(len(window), bool)
+    covered[suffix_array] = longest_previous(rank[suffix_array], owner[suffix_array])
     bit = (np.arange(len(window)) - np.repeat(begin, count[head])).astype(U64)
     mask = np.bitwise_or.reduceat(np.where(covered, U64(1) << bit, U64(0)), begin)
     full = (U64(1) << count.astype(U64)) - U64(1)
@@ -310,11 +353,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """Per document: doc_id, n_bytes, spans (removed byte ranges, maximal, in order), kept (the other bytes)."""
     if not GRAM < length <= GRAM + 31:
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 31}")
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = 2 * n, n
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    groups, buckets = max(2 * n, -(-size // GROUP_BYTES)), max(n, -(-size // BUCKET_BYTES))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition(n, "g")
+    texts = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), "doc_id", "text").repartition(max(n, groups // 2), "g")
     asked = texts.groupBy("g").applyInArrow(_ask(length, buckets), "bucket int, g int, anchors binary, many binary")
     shared = asked.groupBy("bucket").applyInArrow(_share, "bucket int, g int, bits binary")
     sent = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send(length, buckets), "bucket int, g int, ids array<binary>, counts array<binary>, snippets array<binary>")
