@@ -2,37 +2,97 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..sources.io import shared_folder
 
 BROADCAST_IDS = 1_000_000
+#: Blocks of members that are left over, and of those that they meet, over the first blocks.
+LARGER = 4
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage in the shared folder of spark.checkpoint.dir (a folder of our own where unset)."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="factorspark-"))
+    """`df` cut from its lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def with_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Rows of `df` whose `on` is (left_semi) or is not (left_anti) among `ids`: a broadcast of up to
-    BROADCAST_IDS ids, a shuffle of more."""
+def with_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """`df` joined with `ids` on `on`: a broadcast of up to BROADCAST_IDS rows, a shuffle of more."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
-def tiles(df: DataFrame, count: Column, member: Column, most: int) -> DataFrame:
-    """Deals a group of `count` members out into blocks of about `most`, and gives each pair of blocks a
-    tile (columns `ti`, `tj`): every pair of members meets in a tile, and no tile holds over two blocks."""
-    blocks = F.ceil(count / F.lit(most)).cast("int")
-    df = df.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    df = df.select("*", other.alias("_other"))
-    return df.withColumn("ti", F.least("_own", "_other")).withColumn("tj", F.greatest("_own", "_other")).drop("_blocks", "_own", "_other")
+def _block(member: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(member), blocks).cast("int")
+
+
+def connected(members: DataFrame, group: str, member: str, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) by the links between members of each group.
+
+    `members` has `group`, `member` and `blocks`: into how many blocks the group is dealt. `links` gets tiles
+    (group, ti, tj, member, pivot, many) of two blocks at most and returns rows (a, b, loose): a spanning forest of each
+    tile, and for tiles with `many`, as (group, member, true), the members that the tile does not connect with the
+    largest component of its pivots (`spanning`).
+
+    Every block meets the first one, whose members are its pivots: in a group of near copies that connects all.
+    Members that are left over then meet every other block, so that no pair is left out that may connect two
+    components; the work is quadratic only in those members.
+    """
+    deal = members.withColumn("_own", _block(member, F.col("blocks"))).withColumn("many", F.col("blocks") > 1)
+    tile = F.when((F.col("_own") == 0) & F.col("many"), F.sequence(F.lit(1), F.greatest(F.lit(2), "blocks") - 1)).otherwise(F.array("_own"))
+    tiles = deal.withColumn("pivot", (F.col("_own") == 0) & F.col("many")).withColumn("tj", F.explode(tile)).withColumn("ti", F.lit(0))
+    found = checkpointed(links(tiles.drop("_own", "blocks")))
+    forest = found.where("not loose").select("a", "b")
+    loose = found.where("loose").select(F.col("a").alias(group), F.col("b").alias(member)).distinct()
+    outside = checkpointed(loose.groupBy(group).agg(F.count("*").cast("int").alias("_left")))
+    if not outside.isEmpty():
+        rows = with_ids(members, outside, group, "inner")
+        most = F.ceil(F.count("*") / F.first("blocks")) * LARGER
+        sizes = rows.groupBy(group).agg(most.alias("_most"), F.count("*").cast("int").alias("_all"))
+        deal = rows.join(sizes, group).join(loose.withColumn("_loose", F.lit(True)), [group, member], "left")
+        first, rest = F.ceil(F.col("_left") / F.col("_most")).cast("int"), F.greatest(F.ceil((F.col("_all") - F.col("_left")) / F.col("_most")), F.lit(1)).cast("int")
+        deal = deal.withColumns({"_first": first, "_rest": rest})
+        own = F.when(F.col("_loose"), _block(member, F.col("_first"))).otherwise(F.col("_first") + _block(member, F.col("_rest")))
+        others = F.when(F.col("_loose"), F.sequence(F.lit(0), F.col("_first") + F.col("_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("_first") - 1))
+        tiles = deal.withColumn("_own", own).withColumn("_other", F.explode(others))
+        tiles = tiles.select(group, member, F.least("_own", "_other").alias("ti"), F.greatest("_own", "_other").alias("tj"), F.lit(False).alias("pivot"), F.lit(False).alias("many"))
+        forest = forest.unionByName(links(tiles).where("not loose").select("a", "b"))
+    return checkpointed(components(forest))
+
+
+def spanning(near: np.ndarray, pivot: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of a tile (pairs of places), given which pairs are linked, and which places are not connected
+    with the largest component of the pivots' own links."""
+    def reach(start: int, allowed: np.ndarray, links: list[tuple[int, int]] | None) -> np.ndarray:
+        seen = np.zeros(len(near), bool)
+        seen[start] = True
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & allowed & ~seen)
+            seen[new] = True
+            todo += new.tolist()
+            if links is not None:
+                links += [(at, int(k)) for k in new]
+        return seen
+
+    best, left = np.zeros(len(near), bool), pivot.copy()
+    while left.any():
+        own = reach(int(np.flatnonzero(left)[0]), pivot, None)
+        best = own if own.sum() > best.sum() else best
+        left &= ~own
+    forest: list[tuple[int, int]] = []
+    main = np.zeros(len(near), bool)
+    left = np.ones(len(near), bool)
+    while left.any():
+        own = reach(int(np.flatnonzero(left)[0]), left, forest)
+        main |= own if (own & best).any() else False
+        left &= ~own
+    return forest, ~main
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:

@@ -11,9 +11,11 @@ probability 1 - s. Pairs whose signatures differ in at most ERRORS slots are fou
 * within a cluster the full sets decide: linked are pairs with 100 * |A & B| >= percent * |A | B|.
 
 At a similarity of 0.8 a pair differs in 12.8 of 64 slots on average, and in over 28 of them with a
-probability of 3e-6, which bounds what the signatures can miss. Equal sets are collapsed first, so copies
+probability of 4e-6, which bounds what the signatures can miss. Equal sets are collapsed first, so copies
 cost nothing; large buckets and clusters are cut into tiles of two blocks, so that no task gets a group
-whole, and each tile returns a spanning forest of its links instead of all pairs.
+whole, each tile returns a spanning forest of its links instead of all pairs, and pairs that are connected
+already are not compared again (`graph.connected`). Shingles are compared by 64-bit hashes that are no
+polynomial, so no pattern of words makes different shingles equal.
 
 Defined results: NULL, empty or blank texts have an empty set and are linked with nothing; a text of
 fewer than k words has one shingle, the whole sequence; rows with equal ids are documents of their own
@@ -30,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, Forest, Words, distinct, lower_ascii, mix, slices, utf8
-from .graph import checkpointed, components, tiles, whole_groups, with_ids
+from .graph import checkpointed, connected, spanning, whole_groups, with_ids
 
 SLOTS, ERRORS, CHUNKS = 64, 28, 15
-BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 512
+# Members of a block: signatures in a bucket, sets in a cluster; and shingles of a block of sets.
+BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 256, 128, 1 << 20
 _MULTIPLIERS = mix(np.arange(1, SLOTS + 1, dtype=U64)) | U64(1)
 
 
@@ -44,6 +47,17 @@ def shingle_sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(row, np.arange(part.num_rows + 1)), value
 
 
+def digests(offsets: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """A digest of each set, equal for equal sets."""
+    out = np.zeros((len(offsets) - 1, 2), U64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        at = offsets[:-1][full]
+        out[full, 0] = np.add.reduceat(mix(value + U64(1)), at)
+        out[full, 1] = np.bitwise_xor.reduceat(mix(value ^ U64(0x5BD1E995)), at)
+    return [x.tobytes() for x in out]
+
+
 def _signatures(k: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -51,16 +65,13 @@ def _signatures(k: int):
             count = np.diff(offsets)
             full = np.flatnonzero(count)
             minima = np.zeros((part.num_rows, SLOTS), np.uint16)
-            digest = np.zeros((part.num_rows, 2), U64)
             if len(full):
                 at = offsets[:-1][full]
                 for j in range(SLOTS):
                     least = np.minimum.reduceat((value * _MULTIPLIERS[j]) >> U64(16), at)
                     minima[full, j] = mix(least).astype(np.uint16)
-                digest[full, 0] = np.add.reduceat(mix(value + U64(1)), at)
-                digest[full, 1] = np.bitwise_xor.reduceat(mix(value ^ U64(0x5BD1E995)), at)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(count), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([x.tobytes() for x in minima], pa.binary())],
+                [part.column("id"), pa.array(count), pa.array(digests(offsets, value), pa.binary()), pa.array([x.tobytes() for x in minima], pa.binary())],
                 names=["id", "n_shingles", "digest", "signature"],
             )
 
@@ -91,27 +102,51 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
 
 
-def _forest_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+_LINKS = "a long, b long, loose boolean"
+
+
+def _links(found: list[tuple[int, int]], loose: list[tuple[int, int]]) -> pa.RecordBatch:
+    rows = found + loose
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([False] * len(found) + [True] * len(loose))], names=["a", "b", "loose"])
+
+
+def _spread(near: np.ndarray, ids: np.ndarray, pivot: np.ndarray, group: int, tile: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links of a tile of a large group, and its loose members; those of the pivots are told by the first tile only."""
+    forest, loose = spanning(near, pivot)
+    if tile > 1:
+        loose &= ~pivot
+    return [(int(ids[a]), int(ids[b])) for a, b in forest], [(group, k) for k in ids[loose].tolist()]
+
+
+def _tiles(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the rows, and where each tile begins, and the end."""
+    key = np.stack([table[c].to_numpy() for c in keys], 1)
+    return key, np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the pairs within ERRORS in each bucket's tile."""
     forest = Forest()
     for table in whole_groups(batches, ["key", "ti", "tj"], 8192):
-        ids, signature = table["id"].to_numpy(), _matrix(table["signature"])
-        key = np.stack([table[c].to_numpy() for c in ("key", "ti", "tj")], 1)
-        new = np.ones(len(ids), bool)
-        new[1:] = (key[1:] != key[:-1]).any(1)
-        group = np.cumsum(new)
-        found = []
+        key, edge = _tiles(table, ["key", "ti", "tj"])
+        ids, signature, pivot = table["id"].to_numpy(), _matrix(table["signature"]), table["pivot"].to_numpy()
+        many = table["many"].to_numpy()
+        found, loose = [], []
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if many[low]:
+                own = signature[low:high]
+                near = np.stack([(own != row).sum(1) <= ERRORS for row in own])
+                more, left = _spread(near, ids[low:high], pivot[low:high], int(key[low, 0]), int(key[low, 2]))
+                found, loose = found + more, loose + left
+        rest = np.flatnonzero(~many)
+        ids, signature, group = ids[rest], signature[rest], np.repeat(np.arange(len(edge) - 1), np.diff(edge))[rest]
         for apart in range(1, len(ids)):
             left = np.flatnonzero(group[apart:] == group[:-apart])
             if not len(left):
                 break
             near = left[(signature[left] != signature[left + apart]).sum(1) <= ERRORS]
             found += [(a, b) for a, b in zip(ids[near].tolist(), ids[near + apart].tolist(), strict=True) if forest.union(a, b)]
-        yield _forest_batch(found)
+        yield _links(found, loose)
 
 
 def _sets(k: int):
@@ -119,7 +154,7 @@ def _sets(k: int):
         for part in slices(batches, "text"):
             offsets, value = shingle_sets(part, k)
             data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(value))])
-            yield pa.RecordBatch.from_arrays([part.column("id"), data], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests(offsets, value), pa.binary()), data], names=["id", "digest", "set"])
 
     return sets
 
@@ -128,51 +163,72 @@ def _linked(percent: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A spanning forest of the links in each cluster's tile, from the full sets."""
         for table in whole_groups(batches, ["cluster", "ti", "tj"], 256):
-            key = np.stack([table[c].to_numpy() for c in ("cluster", "ti", "tj")], 1)
-            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
+            key, edge = _tiles(table, ["cluster", "ti", "tj"])
+            ids, pivot, many = (table[c].to_numpy() for c in ("id", "pivot", "many"))
             found: list[tuple[int, int]] = []
+            loose: list[tuple[int, int]] = []
             for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                found += links_within(table["id"].slice(low, high - low).to_numpy(), table["set"].slice(low, high - low).to_pylist(), percent)
-            yield _forest_batch(found)
+                near = alike(table["set"].slice(low, high - low).to_pylist(), percent)
+                more, left = _spread(near, ids[low:high], pivot[low:high], int(key[low, 0]), int(key[low, 2]))
+                found += more
+                loose += left if many[low] else []
+            yield _links(found, loose)
 
     return linked
 
 
-def links_within(ids: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sets are similar enough; every pair is compared."""
+def alike(sets: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of sets are similar enough; every pair is compared."""
     size = np.array([len(x) // 8 for x in sets])
     start = np.cumsum(size) - size
     word = np.unique(np.frombuffer(b"".join(sets), U64), return_inverse=True)[1]
     mark = np.zeros(len(word) + 1, np.int32)
-    forest, found = Forest(), []
-    for i in range(len(ids) - 1):
+    near = np.zeros((len(sets), len(sets)), bool)
+    for i in range(len(sets) - 1):
         own = word[start[i] : start[i] + size[i]]
         mark[own] = 1
         rest = start[i + 1]
         both = np.add.reduceat(mark[word[rest:]], start[i + 1 :] - rest)
         mark[own] = 0
-        near = np.flatnonzero(100 * both >= percent * (size[i] + size[i + 1 :] - both)) + i + 1
-        found += [(int(ids[i]), j) for j in ids[near].tolist() if forest.union(int(ids[i]), j)]
-    return found
+        near[i, i + 1 :] = 100 * both >= percent * (size[i] + size[i + 1 :] - both)
+    return near | near.T
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable through links)."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = checkpointed(texts.mapInArrow(_signatures(k), "id long, n_shingles long, digest binary, signature binary"))
-    kinds = checkpointed(base.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature")))
-    index = kinds.select("id", "signature").mapInArrow(_index, "key long, id long")
-    same = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
-    buckets = checkpointed(same.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"))
-    pairs = index.join(buckets, "key").join(kinds.select("id", "signature"), "id")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tile = tiles(pairs, F.col("n"), F.col("id"), BUCKET_BLOCK).select("key", "ti", "tj", "id", "signature")
-    close = tile.repartition(n, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "id").mapInArrow(_close, "a long, b long")
-    clusters = checkpointed(components(close).withColumnRenamed("component", "cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    sets = with_ids(texts, clusters.select("id"), "id").mapInArrow(_sets(k), "id long, set binary")
-    tile = tiles(sets.join(clusters.join(sizes, "cluster"), "id"), F.col("n"), F.col("id"), CLUSTER_BLOCK)
-    tile = tile.select("cluster", "ti", "tj", "id", "set").repartition(n, "cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj", "id")
-    group = components(tile.mapInArrow(_linked(percent), "a long, b long"))
-    named = checkpointed(kinds.select("digest", "id").join(group, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
-    return base.join(named, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "id").alias("component_id"))
+    # one member per distinct set
+    kinds = base.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    kinds = checkpointed(kinds.withColumn("kind", F.monotonically_increasing_id()))
+    index = kinds.select(F.col("kind").alias("id"), "signature").mapInArrow(_index, "key long, id long").withColumnRenamed("id", "kind")
+    same = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind")).alias("who")).where("n > 1")
+    buckets = checkpointed(same.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")))
+    near = checkpointed(index.join(buckets, "key").select("key", "kind", "blocks"))
+
+    def close(tiles: DataFrame) -> DataFrame:
+        tiles = tiles.join(kinds.select("kind", "signature"), "kind").withColumnRenamed("kind", "id").select("key", "ti", "tj", "id", "pivot", "many", "signature")
+        return tiles.repartition(n, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "id").mapInArrow(_close, _LINKS)
+
+    clusters = connected(near, "key", "kind", close).select(F.col("id").alias("kind"), F.col("component").alias("cluster"))
+    clusters = checkpointed(clusters.join(kinds.select("kind", "digest", "id", "n_shingles"), "kind"))
+    blocks = F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int")
+    members = checkpointed(clusters.join(clusters.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("kind", "cluster", "blocks", "digest", "id"))
+    # rows that repeat an id and a text
+    repeated = base.join(members, ["id", "digest"], "left_semi").count() > members.count()
+
+    def same(tiles: DataFrame) -> DataFrame:
+        some = tiles.select("kind").distinct().join(members.select("kind", "id", "digest"), "kind")
+        sets = with_ids(texts, some.select("id").distinct(), "id").mapInArrow(_sets(k), "id long, digest binary, set binary").join(some, ["id", "digest"]).select("kind", "set")
+        sets = sets.dropDuplicates(["kind"]) if repeated else sets
+        tiles = tiles.join(sets, "kind").withColumnRenamed("kind", "id").select("cluster", "ti", "tj", "id", "pivot", "many", "set")
+        return tiles.repartition(n, "cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj", "id").mapInArrow(_linked(percent), _LINKS)
+
+    group = connected(members.select("cluster", "kind", "blocks"), "cluster", "kind", same).withColumnRenamed("id", "kind").join(kinds.select("kind", "digest", "id"), "kind")
+    least = group.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = group.join(least, "component").select("digest", "component_id")
+    copied = kinds.where("copies > 1").join(named, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    named = checkpointed(named.unionByName(copied).distinct())
+    out = with_ids(base.select("id", "n_shingles", "digest"), named, "digest", "left")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "id").alias("component_id"))
