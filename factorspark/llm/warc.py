@@ -1,23 +1,28 @@
 """WARC archives with deduplicated payloads and a merged capture index (operator 8).
 
 Writing: one record per page through Spark's text sink, whose line separator is the blank line that ends
-a record, so the files are WARC 1.1 (gzip) on any file system that Spark writes to. Of the pages with equal
-payloads of at least `least` bytes, the one with the largest page_id is a response; the others are revisits
-without a body that name it.
+a record, so the files are WARC 1.1 on any file system that Spark writes to. They are not compressed, so that
+the `offset` of the index is a place to read from (the sink cannot write a gzip member per record). Of the
+pages with equal payloads of at least `least` bytes, the one with the largest page_id is a response; the
+others are revisits without a body that name it. Payloads are not exchanged: digests that occur once need no
+join, and the others are joined by the digest, broadcast where they are few.
 
 Reading: each file is parsed record by record, the payload of a response is checked against its digest, and
 its captures are sorted by URL key (host reversed, scheme dropped) and time into a run. The runs are cut at
 sampled key boundaries, and each key range merges its pieces of all runs with a loser tree, which takes one
-comparison per level for each capture. The ranges in order are the globally ordered capture histories.
+comparison per level for each capture. The ranges in order are the globally ordered capture histories; there
+are so many of them that one has about RANGE captures, however many there are.
 
 Defined results: a NULL html is an empty payload, a NULL url an empty one; line breaks in a url are
-percent-encoded; equal page_ids are records of their own. A NULL page_id has an empty urn, is dated as page 0 and read
-back as NULL, first among equal keys; its record is always a response, and no revisit names it. Files hold at most RECORDS records.
+percent-encoded; equal page_ids are records of their own. A page is dated page_id seconds after 2020-01-01;
+beyond the years that a date has room for (1 to 9999), at the first or last second, so that the order of the
+dates is that of the ids. A NULL page_id has an empty urn, is dated as page 0 and read back as NULL, first
+among equal keys; its record is always a response, and no revisit names it. Other columns of the input are
+dropped. A file holds FILE_BYTES on average.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
 from base64 import b32encode
@@ -27,9 +32,11 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .graph import checkpointed
+from ..sources.io import shared_folder
+from .graph import checkpointed, with_ids
 
-RECORDS = 4000
+FILE_BYTES, RANGE = 32 << 20, 50_000
+EPOCH, FIRST, LAST = 1_577_836_800, -62_135_596_800, 253_402_300_799  # 2020-01-01 and the bounds of a date, in seconds
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _INDEX = "run string, url_key string, timestamp string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long"
 
@@ -44,15 +51,17 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """The WARC records of pages (page_id, url, html), as text without the final blank line."""
+def records(pages: DataFrame, least: int = 0) -> tuple[DataFrame, int]:
+    """The WARC records of pages (page_id, url, html) as text without the final blank line, and their mean size."""
     payload = F.coalesce("html", F.lit(""))
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).alias("size"), base32_sha1(payload).alias("digest"))
-    kept = checkpointed(page.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("owner")))
-    page = page.join(kept, "digest", "left")
+    mean = 400 + int(page.agg(F.avg("size")).first()[0] or 0)
+    several = page.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    several = checkpointed(several.select("digest", "owner"))
+    page = with_ids(page, several, "digest", "left")
     revisit = (F.col("size") >= least) & (F.col("page_id") < F.col("owner"))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    date = F.date_format(F.timestamp_seconds(F.lit(1_577_836_800) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(EPOCH + F.greatest(F.least(F.coalesce("page_id", F.lit(0)), F.lit(LAST - EPOCH)), F.lit(FIRST - EPOCH))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = [
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         ("WARC-Target-URI", url),
@@ -65,12 +74,13 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     ]
     lines = [F.lit("WARC/1.1\r\n"), *[x for name, value in header for x in (F.lit(f"{name}: "), value, F.lit("\r\n"))]]
     refers = F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), "owner", F.lit(">\r\n"))).otherwise("")
-    return page.select(F.concat(*lines, refers, F.lit("\r\n"), F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
+    return page.select(F.concat(*lines, refers, F.lit("\r\n"), F.when(revisit, "").otherwise(F.col("payload"))).alias("value")), mean
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes the pages as gzipped WARC files under `path`."""
-    records(pages, least).write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS).text(path)
+    """Writes the pages as WARC files under `path`."""
+    rows, mean = records(pages, least)
+    rows.write.options(lineSep="\r\n\r\n", compression="none", maxRecordsPerFile=max(1, FILE_BYTES // mean)).text(path)
 
 
 def url_key(url: str) -> str:
@@ -114,7 +124,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             rows = []
-            for at, fields, body in parse(gzip.decompress(content.as_py())):
+            for at, fields, body in parse(content.as_py()):
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = int(fields["WARC-Payload-Length"])
                 revisit = fields["WARC-Type"] == "revisit"
@@ -176,7 +186,7 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One key range: its piece of every run, merged."""
+    """One key range: its pieces of the runs, each in order, merged."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -186,24 +196,22 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     runs: dict[str, list[tuple]] = {}
     for key, run in zip(keys, table["run"].to_pylist(), strict=True):
         runs.setdefault(run, []).append(key)
-    pieces = [x if all(a <= b for a, b in zip(x, x[1:], strict=False)) else sorted(x) for _, x in sorted(runs.items())]
-    order = [key[-1] for key in LoserTree(pieces)]
+    order = [key[-1] for key in LoserTree(list(runs.values()))]
     yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """The archives' captures in global order of URL key and time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     runs = checkpointed(files.mapInArrow(_read, _INDEX))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(n, "url_key", "timestamp", "page_id").mapInArrow(_merge, _INDEX)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE))
+    cut = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id")
+    return cut.sortWithinPartitions("run", "url_key", "timestamp", "page_id", "offset").mapInArrow(_merge, _INDEX)
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes `pages` to archives in the shared checkpoint folder, reads them back and returns their index."""
     spark = pages.sparkSession
-    checkpointed(spark.range(1))  # sets a folder where none is set
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    path = f"{base}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
     return capture_index(spark, path)
