@@ -86,26 +86,30 @@ class _Block:
 
     def overlaps(self, words: Words, least: int) -> list[tuple[int, int | None, int]]:
         """(row, item's id, equal words) for each row and item that contaminates it."""
-        shifts = []
+        best: dict[tuple[int, int], int] = {}
+        seen: set[tuple[int, int, int]] = set()
         for at, seed in _seeds(words, self.masks):
             hit = np.flatnonzero(self.maybe[seed >> U64(64 - _BITS)])
             low, high = np.searchsorted(self.seed, seed[hit], "left"), np.searchsorted(self.seed, seed[hit], "right")
-            while (more := np.flatnonzero(low < high)).size:
-                item_at = self.at[low[more]]
-                shifts.append(np.stack((words.row[at[hit[more]]], self.words.row[item_at], at[hit[more]] - item_at), 1))
-                low = low + 1
-        if not shifts:
-            return []
-        best: dict[tuple[int, int], int] = {}
-        for row, item, shift in np.unique(np.concatenate(shifts), axis=0).tolist():
-            a, b = self.words.first[item], self.words.first[item + 1]
-            start = max(a, words.first[row] - shift)
-            stop = min(b, words.first[row + 1] - shift)
-            equal = self.words.hash[start:stop] == words.hash[start + shift : stop + shift]
-            if top := equal_words(equal, int(b - a), least):
-                best[row, item] = max(top, best.get((row, item), 0))
+            live = np.flatnonzero(low < high)
+            while len(live):  # the k-th item of each hit, so that no more is held than there are hits
+                item_at, place = self.at[low[live]], at[hit[live]]
+                found = np.stack((words.row[place], self.words.row[item_at], place - item_at), 1)
+                for row, item, shift in map(tuple, np.unique(found, axis=0).tolist()):
+                    if (row, item, shift) not in seen:
+                        seen.add((row, item, shift))
+                        if top := self._equal(words, row, item, shift, least):
+                            best[row, item] = max(top, best.get((row, item), 0))
+                low[live] += 1
+                live = live[low[live] < high[live]]
         return [(row, self.ids[item], n) for (row, item), n in best.items()]
 
+    def _equal(self, words: Words, row: int, item: int, shift: int, least: int) -> int:
+        a, b = self.words.first[item], self.words.first[item + 1]
+        start = max(a, words.first[row] - shift)
+        stop = min(b, words.first[row + 1] - shift)
+        return equal_words(self.words.hash[start:stop] == words.hash[start + shift : stop + shift], int(b - a), least)
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Per document: doc_id, items (ids of the benchmark items in it, ascending, NULL last), n_equal (most
