@@ -1,29 +1,38 @@
 """Toxicity scores by a weighted finite-state pattern grammar (operator 10).
 
-Two transducers are composed over each clause (text between sentence marks, line ends or semicolons). The
-lexicon transducer maps words to classes: insult, threat, target, negation, report. Its insults are
-learned: words and word beginnings that labelled toxic documents have and clean ones do not. Learned too are
-suspects: beginnings that go on in many ways and that toxic documents have far more often than clean ones,
-so that one proves little and several prove much. The grammar transducer reads the classes from left to
-right; its state holds whether a negation stands just before and whether the clause reports speech, and it
-writes one symbol per insult or threat: plain, aimed (a target in the clause), negated, reported or threat.
-A suspect is written as such; negated or reported it is passed over. The number of each symbol in a document
-is weighted, that of suspects in steps, at the second, third and fourth; the weights
-are fitted to the labels by logistic regression with a prior that holds aimed insults and threats to be
-worse and negated and reported ones to be milder than plain ones.
+Over each clause (text between sentence marks, line ends or semicolons) run five transducers, composed into one
+table beforehand (`compose`). The lexicon writes the class of each word: insult, suspect, verb of violence, intent,
+target, negation or report; other words write nothing. Then
+
+* `negation` marks insults and verbs that stand after a negation in the clause;
+* `threat` makes a threat of a verb after an intent, and drops other verbs;
+* `target` makes insults aimed if the clause names a target, before or after them, and drops threats without one;
+* `report` makes all of a clause reported that reports speech, before or after.
+
+What comes out is plain, aimed, negated, reported, threat or suspect. Insults are learned: words and word beginnings
+that labelled toxic documents have and clean ones do not. Learned too are suspects: beginnings that go on in many
+ways and that toxic documents have far more often than clean ones, so that one proves little and several prove much;
+negated or reported ones are passed over. The arcs of a last machine, which tallies each symbol over the document,
+carry the weights: the first three occurrences add one, those of suspects the second, third and fourth. The weights
+are fitted to the labels by logistic regression with a prior that holds aimed insults and threats to be worse and
+negated and reported ones to be milder than plain ones.
 
 Only matched clauses count: a document without a match gets the intercept's score, which is low. NULL and
-empty texts have no clause. Labels come from rows with crc32(id) mod 3 <> 1, at most `most` of them, chosen
-by a hash of the id; label, language, source and id are no inputs of a score.
+empty texts have no clause. Rows are scored one by one, also where they share an id or have none (which is not held
+out); other columns are dropped. Labels come from rows with crc32(id) mod 3 <> 1, at most `most` ids, chosen by a hash
+of the id, one row each; label, language, source and id are no inputs of a score. What is learned on the driver, the
+lexicon, is bounded by that sample; without labels it is empty.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +55,8 @@ CLAUSE_MARKS = ".!?;\n"
 _CLAUSE_END = re.compile(f"[{CLAUSE_MARKS}]")
 _VERB = re.compile("|".join(sorted(VERBS)))
 SHORTEST, LONGEST = 4, 8
+#: Contexts and words are counted in 64 bits, so no more of them are asked for than those can tell apart.
+MOST_WAYS = 32
 
 
 def _entries(word: str) -> list[str]:
@@ -107,29 +118,122 @@ def choose_entries(pure: list[tuple[str, int]], mixed: list[tuple[str, int]]) ->
             insults["=" + word] = None
             done.update(beginnings)
 
-    def longest(stem: str, among: dict[str, int]) -> str:
+    def longest(stem: str, among: dict[str, int], longer: dict[str, list[str]]) -> str:
         n = among[stem]
-        while longer := [s for s, m in among.items() if len(s) == len(stem) + 1 and s.startswith(stem) and m >= 0.9 * n]:
-            stem = longer[0]
+        while following := [s for s in longer.get(stem, ()) if among[s] >= 0.9 * n]:
+            stem = following[0]
         return stem
 
-    suspects: dict[str, None] = {}
-    for stem in sorted(loose, key=lambda s: (len(s), s)):
-        if stem not in done and not stem.startswith(tuple(suspects)):
-            best = longest(stem, loose)
-            if best not in done:
-                suspects[best] = None
-    chosen: dict[str, None] = {}
-    for stem in sorted(stems, key=lambda s: (len(s), s)):
-        if stem not in done and not stem.startswith((*chosen, *suspects)):
-            best = longest(stem, stems)
-            if best not in done:
-                chosen[best] = None
+    def chosen_from(among: dict[str, int], *others: dict[str, None]) -> dict[str, None]:
+        own: dict[str, None] = {}
+        longer: dict[str, list[str]] = {}
+        for s in among:
+            longer.setdefault(s[:-1], []).append(s)
+        for stem in sorted(among, key=lambda s: (len(s), s)):
+            if stem not in done and not any(stem[:k] in held for held in (own, *others) for k in range(SHORTEST, len(stem) + 1)):
+                best = longest(stem, among, longer)
+                if best not in done:
+                    own[best] = None
+        return own
+
+    suspects = chosen_from(loose)
+    chosen = chosen_from(stems, suspects)
     return [*insults, *chosen], list(suspects)
 
 
+END = "end"
+CLASSES = ("insult", "suspect", "verb", "intent", "target", "negation", "report", END)
+Arcs = dict[tuple[int, str], tuple[int, tuple[str, ...]]]
+
+
+@dataclass
+class Transducer:
+    """A deterministic transducer from state 0: `arcs` has the next state and the output for a state and a symbol;
+    a symbol without an arc is copied and leaves the state as it is."""
+
+    arcs: Arcs
+
+    def step(self, state: int, symbol: str) -> tuple[int, tuple[str, ...]]:
+        return self.arcs.get((state, symbol), (state, (symbol,)))
+
+    def run(self, symbols: list[str]) -> list[str]:
+        state, out = 0, []
+        for symbol in symbols:
+            state, written = self.step(state, symbol)
+            out += written
+        return out
+
+
+def compose(first: Transducer, second: Transducer, alphabet: tuple[str, ...] = CLASSES) -> Transducer:
+    """The transducer that gives what `second` makes of the output of `first`; its states are the reachable pairs."""
+    number, arcs = {(0, 0): 0}, {}
+    pairs = [(0, 0)]
+    for pair in pairs:
+        for symbol in alphabet:
+            a, written = first.step(pair[0], symbol)
+            b, out = pair[1], ()
+            for middle in written:
+                b, more = second.step(b, middle)
+                out += more
+            if (a, b) not in number:
+                number[a, b] = len(number)
+                pairs.append((a, b))
+            arcs[number[pair], symbol] = (number[a, b], out)
+    return Transducer(arcs)
+
+
+def negation() -> Transducer:
+    """State 1: a negation stands before."""
+    arcs: Arcs = {(k, "negation"): (1, ()) for k in (0, 1)}
+    return Transducer(arcs | {(1, "insult"): (1, ("negated",)), (1, "verb"): (1, ("no verb",)), (1, "suspect"): (1, ()), (1, END): (0, (END,))})
+
+
+def threat() -> Transducer:
+    """State 1: an intent stands before."""
+    arcs: Arcs = {(k, "intent"): (1, ()) for k in (0, 1)} | {(0, v): (0, ()) for v in ("verb", "no verb")}
+    return Transducer(arcs | {(1, "verb"): (1, ("threat",)), (1, "no verb"): (1, ("no threat",)), (1, END): (0, (END,))})
+
+
+def _held(caps: dict[str, int], flushed: dict[str, str], at_end: dict[str, str], then: Arcs, turn: str, seen: int = 0) -> Transducer:
+    """Holds back symbols, up to `caps` of each, until `turn`, where they are written as `flushed` has it and the arcs
+    `then` of state `seen` go on, or until the clause ends, where they are written as `at_end` has it."""
+    names = list(caps)
+    counts = list(itertools.product(*(range(caps[n] + 1) for n in names)))
+    number = {c: k + (k > 0) for k, c in enumerate(counts)}  # state 1 is left for what comes after `turn`
+    write = lambda c, to: tuple(to[n] for n, k in zip(names, c, strict=True) if n in to for _ in range(k))
+    arcs: Arcs = dict(then)
+    for c, state in number.items():
+        arcs[state, turn] = (1, write(c, flushed))
+        arcs[state, END] = (0, (*write(c, at_end), END))
+        for j, n in enumerate(names):
+            more = tuple(min(caps[n], k + (i == j)) for i, k in enumerate(c))
+            arcs[state, n] = (number[more], ())
+    arcs[1, turn] = (1, ())
+    arcs[1, END] = (0, (END,))
+    return Transducer(arcs)
+
+
+def target() -> Transducer:
+    """State 1: the clause has named a target; before, insults and threats are held back."""
+    aimed = {"insult": "aimed", "threat": "threat", "no threat": "negated"}
+    return _held(dict.fromkeys(aimed, 3), aimed, {"insult": "plain"}, {(1, a): (1, (b,)) for a, b in aimed.items()}, "target")
+
+
+def report() -> Transducer:
+    """State 1: the clause has reported speech; before, all is held back."""
+    said = dict.fromkeys(("plain", "aimed", "negated", "threat"), "reported")
+    after: Arcs = {(1, a): (1, (b,)) for a, b in said.items()} | {(1, "suspect"): (1, ())}
+    caps = dict.fromkeys(said, 3) | {"suspect": max(STEPS)}
+    return _held(caps, said, {n: n for n in caps}, after, "report")
+
+
+def machine() -> Transducer:
+    """The composed transducers."""
+    return compose(compose(compose(negation(), threat()), target()), report())
+
+
 class Grammar:
-    """The composed transducers: from a text to the number of each output symbol."""
+    """The lexicon and the composed machine: from a text to the number of each output symbol."""
 
     def __init__(self, entries: list[str], suspects: list[str] | None = None):
         self.suspects = frozenset(suspects or ())
@@ -139,29 +243,27 @@ class Grammar:
         self.lengths = sorted({len(s) for s in self.stems})
         parts = sorted({e.lstrip("=") for e in entries} | self.suspects | VERBS, key=lambda s: (-len(s), s))
         self.hint = re.compile("|".join(map(re.escape, parts)))
-
-    def insult(self, word: str) -> bool:
-        return word in self.words or any(word[:n] in self.stems for n in self.lengths)
+        self.closed = {w: name for name, words in (("verb", VERBS), ("target", TARGETS), ("intent", INTENTS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
+        self.arcs = machine().arcs
+
+    def word_class(self, word: str) -> str | None:
+        """The lexicon transducer, of one state."""
+        found = self.closed.get(word)
+        if found is None or found == "verb":
+            if word in self.words or any(word[:n] in self.stems for n in self.lengths):
+                return "insult"
+            if found is None and any(word[:n] in self.suspects for n in self.begins):
+                return "suspect"
+        return found
 
     def clause(self, words: list[str]) -> Counter:
-        """One pass of the grammar over a clause."""
-        out: Counter = Counter()
-        aimed, reported, negated, intent = not TARGETS.isdisjoint(words), False, 0, 0
+        """One pass of the machine over a clause."""
+        state, out, arcs = 0, Counter(), self.arcs
         for word in words:
-            if word in REPORTS:
-                reported = True
-            elif word in NEGATIONS:
-                negated = 4
-            elif word in INTENTS:
-                intent = 4
-            elif self.insult(word):
-                out["reported" if reported else "negated" if negated > 0 else "aimed" if aimed else "plain"] += 1
-            elif word in VERBS and intent > 0 and aimed:
-                out["reported" if reported else "negated" if negated > 0 else "threat"] += 1
-            elif negated <= 0 and not reported and any(word[:n] in self.suspects for n in self.begins):
-                out["suspect"] += 1
-            negated -= 1
-            intent -= 1
+            if symbol := self.word_class(word):
+                state, written = arcs[state, symbol]
+                out.update(written)
+        out.update(arcs[state, END][1][:-1])
         return out
 
     def symbols(self, text: str) -> list[int]:
@@ -217,7 +319,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chan
 
     A lexicon entry needs so many toxic documents that chance alone, at the labels' share of toxic ones,
     would give it with a probability under `chance`, as many different contexts (so that copies of one
-    document do not add up), and at least 20 toxic documents for each clean one. A suspect needs that many too,
+    document do not add up; MOST_WAYS at most), and at least 20 toxic documents for each clean one. A suspect needs that many too,
     as many different words that begin with it, four times the labels' odds of toxic to clean documents, and that chance would give its share of toxic
     documents with a probability under `chance` (Chernoff's bound).
     """
@@ -229,10 +331,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = 15_000, chan
     support = max(4, math.ceil(math.log(chance) / math.log(min(max(share, 1e-6), 0.9))))
     toxic, clean, usual = F.col("toxic").cast("double"), F.col("clean").cast("double"), min(max(share, 1e-6), 1 - 1e-6)
     surprise = toxic * F.log(toxic / ((toxic + clean) * usual)) + F.when(clean > 0, clean * F.log(clean / ((toxic + clean) * (1 - usual)))).otherwise(0.0)
+    ways = min(support, MOST_WAYS)
     strong = toxic >= 20 * clean
-    weak = (F.col("ways") >= support) & (toxic * (1 - usual) >= 4 * usual * clean) & (surprise >= -math.log(chance))
-    kinds = counts.where(F.least("toxic", "contexts") >= support).where(strong | weak).select("entry", "toxic", strong.alias("strong"))
-    found = kinds.orderBy(F.desc("toxic"), "entry").limit(20_000).collect()
+    weak = (F.col("ways") >= ways) & (toxic * (1 - usual) >= 4 * usual * clean) & (surprise >= -math.log(chance))
+    kinds = counts.where((F.col("toxic") >= support) & (F.col("contexts") >= ways)).where(strong | weak).select("entry", "toxic", strong.alias("strong"))
+    found = kinds.collect()  # entries of the sample, which is bounded
     entries, suspects = choose_entries([(r.entry, r.toxic) for r in found if r.strong], [(r.entry, r.toxic) for r in found if not r.strong])
     grammar = spark.sparkContext.broadcast(Grammar(entries, suspects))
     schema = "doc_id long, " + ", ".join(f"{s} long" for s in SYMBOLS)
