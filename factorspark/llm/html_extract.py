@@ -14,8 +14,9 @@ class names: containers are renamed, and menus, notices, adverts, forms and comm
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined
 by line breaks in page order; nothing is capped. A NULL or empty html, and a page without main text, give
-the empty string. Pages are labelled in batches of BATCH, sorted by length; a page's labels do not depend on
-the others in its batch.
+the empty string. Pages are labelled in batches of like length, of at most STEPS blocks with the padding; a longer
+page is read alone, CHUNK blocks at a time in either direction. A page's labels do not depend on the others in
+its batch. Equal page_ids are pages of their own, and other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .arrays import slices
+
 PATHS, WORDS, MEASURES, HIDDEN, BATCH = 96, 24, 6, 16, 128
+STEPS, CHUNK = 1 << 14, 1 << 12
 INPUTS = PATHS + WORDS + MEASURES
 
 # HTML element kinds and the usual names of page parts.
@@ -163,11 +167,10 @@ class Labeller:
             self.p[f"{d}c"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
         self.p |= {"out": rng.normal(0, scale, 2 * HIDDEN).astype(np.float32), "skip": np.zeros(INPUTS, np.float32), "bias": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """Hidden states of a direction over x (steps, pages, inputs)."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """Hidden states of a direction over x (steps, pages, inputs), what the gradients need, and the last state."""
         steps, pages, _ = x.shape
-        h = np.zeros((pages, HIDDEN), np.float32)
-        c = np.zeros_like(h)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         out = np.zeros((steps, pages, HIDDEN), np.float32)
         past = []
         given = x @ self.p[f"{d}x"] + self.p[f"{d}c"]
@@ -182,18 +185,29 @@ class Labeller:
                 past.append((t, h, c, i, f, o, g, squashed))
             h, c = np.where(m, o * squashed, h), np.where(m, c2, c)
             out[t] = h
-        return out, past
+        return out, past, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Probability of main text, (steps, pages)."""
-        f, _ = self._run(x, mask, "f", False)
-        b, _ = self._run(x, mask, "b", False)
+        f, b = (self._run(x, mask, d, False)[0] for d in "fb")
         z = f @ self.p["out"][:HIDDEN] + b @ self.p["out"][HIDDEN:] + x @ self.p["skip"] + self.p["bias"]
         return 1 / (1 + np.exp(-np.clip(z, -20, 20)))
 
+    def long_page(self, blocks: list[Block]) -> np.ndarray:
+        """As `forward` of one page, whose vectors are made and read CHUNK blocks at a time."""
+        z = np.zeros(len(blocks), np.float32)
+        cuts = [(low, min(low + CHUNK, len(blocks))) for low in range(0, len(blocks), CHUNK)]
+        for d, way, w in (("f", cuts, self.p["out"][:HIDDEN]), ("b", cuts[::-1], self.p["out"][HIDDEN:])):
+            state = None
+            for low, high in way:
+                x = vectors(blocks[low:high])[:, None]
+                out, _, state = self._run(x, np.ones(x.shape[:2], bool), d, False, state)
+                z[low:high] += out[:, 0] @ w + (x[:, 0] @ self.p["skip"] + self.p["bias"] if d == "f" else 0)
+        return 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        f, past_f = self._run(x, mask, "f", True)
-        b, past_b = self._run(x, mask, "b", True)
+        f, past_f, _ = self._run(x, mask, "f", True)
+        b, past_b, _ = self._run(x, mask, "b", True)
         z = f @ self.p["out"][:HIDDEN] + b @ self.p["out"][HIDDEN:] + x @ self.p["skip"] + self.p["bias"]
         error = np.where(mask, 1 / (1 + np.exp(-np.clip(z, -20, 20))) - y, 0).astype(np.float32) / mask.sum()
         g = {"out": np.concatenate([(error[..., None] * s).sum((0, 1)) for s in (f, b)]), "skip": (error[..., None] * x).sum((0, 1)), "bias": np.array([error.sum()], np.float32)}
@@ -288,28 +302,45 @@ def train_labeller(pages: list[str], examples: int = 1000, longest: int = 60, se
 def extract(labeller: Labeller, pages: list[str]) -> list[str]:
     """Main text of each page of a batch."""
     blocks = [parse_blocks(p) for p in pages]
-    order = sorted(range(len(pages)), key=lambda k: len(blocks[k]))
     out = [""] * len(pages)
-    for low in range(0, len(order), BATCH):
-        own = [k for k in order[low : low + BATCH] if blocks[k]]
-        if own:
-            main = labeller.forward(*padded([vectors(blocks[k]) for k in own])) > 0.5
-            for col, k in enumerate(own):
-                out[k] = "\n".join(b.text for b, m in zip(blocks[k], main[:, col], strict=False) if m)
+    main: dict[int, np.ndarray] = {}
+    for own in _batches([len(b) for b in blocks]):
+        if len(blocks[own[0]]) > STEPS:
+            main[own[0]] = labeller.long_page(blocks[own[0]]) > 0.5
+        else:
+            labels = labeller.forward(*padded([vectors(blocks[k]) for k in own])) > 0.5
+            main |= {k: labels[:, col] for col, k in enumerate(own)}
+    for k, labels in main.items():
+        out[k] = "\n".join(b.text for b, m in zip(blocks[k], labels, strict=False) if m)
     return out
 
 
+def _batches(sizes: list[int]) -> Iterator[list[int]]:
+    """Pages with blocks, in batches of like length: up to BATCH pages and STEPS blocks, or one page."""
+    batch: list[int] = []
+    for k in sorted((k for k, n in enumerate(sizes) if n), key=lambda k: sizes[k]):
+        if batch and (len(batch) == BATCH or sizes[k] * (len(batch) + 1) > STEPS):
+            yield batch
+            batch = []
+        batch.append(k)
+    if batch:
+        yield batch
+
+
 def main_text(pages: DataFrame, train_pages: int = 256) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+    """Per page: page_id, url, text, n_chars.
+
+    Training reads one page of each of at most `train_pages` ids, chosen before any html is read for it.
+    """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    chosen = own.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(train_pages)
-    labeller = pages.sparkSession.sparkContext.broadcast(train_labeller([r["html"] for r in chosen.collect()]))
+    ids = own.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
+    chosen = own.join(F.broadcast(ids), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    sample = sorted(chosen.collect(), key=lambda r: r["page_id"])
+    labeller = pages.sparkSession.sparkContext.broadcast(train_labeller([r["html"] for r in sample]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2 * BATCH):
-                part = batch.slice(low, 2 * BATCH)
-                text = extract(labeller.value, part.column("html").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for part in slices(batches, "html"):
+            text = extract(labeller.value, part.column("html").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return own.mapInArrow(label, "page_id long, url string, text string, n_chars long")
