@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -57,6 +58,25 @@ def test_raw_and_hidden_elements_end():
     assert html_extract.parse_blocks("<script>never ends <p>x</p>") == []
 
 
+def test_long_pages_are_read_in_pieces(spark, data, monkeypatch):
+    """A page beyond STEPS blocks has the labels that it has in one piece, and batches keep to their bounds."""
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    labeller = html_extract.train_labeller(pages[:20], examples=100)
+    page = "".join(pages[:12])
+    whole = html_extract.extract(labeller, [page, *pages[:5]])
+    monkeypatch.setattr(html_extract, "STEPS", 40)
+    monkeypatch.setattr(html_extract, "CHUNK", 7)
+    assert html_extract.extract(labeller, [page, *pages[:5]]) == whole
+    sizes = [3, 0, 50, 7, 7, 7, 1, 400]
+    batches = list(html_extract._batches(sizes))
+    assert sorted(k for b in batches for k in b) == [0, 2, 3, 4, 5, 6, 7]
+    assert all(len(b) == 1 or len(b) * max(sizes[k] for k in b) <= 40 for b in batches)
+    rows = [(1, "u", "<p>x</p>")] * 3 + [(None, None, "<article><p>y</p></article>"), (2, "v", None)]
+    odd = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, n_chars long")
+    out = html_extract.main_text(odd).collect()
+    assert len(out) == 5 and {r.n_chars == len(r.text) for r in out} == {True}
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     net = html_extract.Labeller(1)
@@ -94,6 +114,23 @@ def test_shards_balance_and_slots(spark, data):
     assert sharding.balanced_shards(empty(spark)).count() == 0
 
 
+def test_shards_of_many_rows_and_levels(spark, monkeypatch):
+    """Several levels of buckets and a group of NULL texts with half the rows: balanced, groups whole."""
+    monkeypatch.setattr(sharding, "BUCKET", 50)
+    rng = random.Random(6)
+    rows = [(k if k % 9 else None, None if k % 2 else f"{k % 700} " * rng.randint(1, 60)) for k in range(4000)]
+    out = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    sums, places = {}, {}
+    for r in out:
+        sums[r.shard] = sums.get(r.shard, 0) + r["size"]
+        places.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(out) == 4000 and set(sums) == set(range(8)) and all(len(p) == 1 for p in places.values())
+    assert max(sums.values()) - min(sums.values()) <= 0.01 * sum(sums.values())
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)}
+    for k in range(8):
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+
+
 def test_differencing_is_a_partition_and_tight():
     rng = random.Random(3)
     sizes = [rng.randint(1, 10_000) for _ in range(2000)]
@@ -122,6 +159,47 @@ def test_text_stats_equal_plain_ones(spark, data):
     assert quality_rules.text_stats(empty(spark)).count() == 0
 
 
+def test_quality_edges(spark, data):
+    """NULL, repeated and clashing rows have verdicts; labels that repeat an id count once."""
+    rows, docs = with_edges(spark, data)
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    from pyspark.sql import functions as F
+
+    out = quality_rules.quality_verdicts(docs, labels.unionByName(labels), F.lit(False)).collect()
+    assert len(out) == len(rows) and all(r.good in (True, False) for r in out)
+    assert quality_rules.quality_verdicts(empty(spark), labels, F.lit(False)).count() == 0
+    assert quality_rules.quality_verdicts(docs, labels.limit(0), F.lit(False)).where("not good").count() == 0
+    many = docs.unionByName(docs).unionByName(docs)
+    sample = quality_rules.labelled_sample(many, labels.unionByName(labels), "quality", 50)
+    assert sample.count() == sample.select("doc_id").distinct().count() <= 50
+    twin = "".join("ab"[bin(k).count("1") & 1] for k in range(4096))
+    text = twin + "\n" + twin.translate(str.maketrans("ab", "ba")) + "\n" + twin
+    assert quality_rules.text_stats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_dup_lines == 1
+
+
+def test_wrappers_have_their_columns(spark, data):
+    """The registered queries' digests follow from the operators' own results."""
+    from factorspark.llm import bpe, dup_spans, neardup, secrets
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    import public_tokenizers
+
+    one = {r.doc_id: (r.n_tokens, sha(r.ids.encode()), sha(bytes(r.decoded))) for r in bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert {r.doc_id: tuple(r)[1:] for r in queries.op1_bpe(spark, data).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()} == one
+    two = {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), sha(bytes(r.kept))) for r in dup_spans.remove_repeats(docs).collect()}
+    assert {r.doc_id: tuple(r)[1:] for r in queries.op2_suffix_dedup(spark, data).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()} == two
+    four = {(r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in neardup.near_duplicates(docs, 4).collect()}
+    assert {tuple(r) for r in queries.op4_minhash(spark, data).select("doc_id", "n_shingles", "component_id", "kept").collect()} == four
+    plain = {r.doc_id: [(secrets.KINDS[k], s, e) for s, k, e in secrets.find_secrets(r.text or "")] for r in docs.collect()}
+    for r in queries.op6_secrets(spark, data).collect():
+        want = plain[r.doc_id]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex")]
+        assert r.base_sha256 == sha(",".join(f"{k}:{s}:{e}" for k, s, e in want if k != "crc").encode())
+    assert all(r.predicted == int(r.score >= 0.7) for r in queries.op10_toxicity(spark, data).collect())
+
+
 def test_rules_cover_and_translate(spark, data):
     rng = np.random.default_rng(2)
     x = rng.random((600, len(quality_rules.FEATURES)))
@@ -165,6 +243,23 @@ def test_warc_of_null_ids(spark):
     assert keys == sorted(keys)
 
 
+def test_warc_of_any_long_id(spark):
+    ids = [0, 1, 10**9, 3 * 10**11, 3 * 10**11 + 1, 10**15, 2**63 - 1, -5, -(10**12), -(2**63)]
+    out = warc.archive_pages(spark.createDataFrame([(k, "u", f"text {k}") for k in ids], "page_id long, url string, html string").repartition(3)).collect()
+    assert [r.page_id for r in out] == sorted(ids)
+    assert all(len(r.timestamp) == 20 and r.timestamp[4] == "-" for r in out)
+
+
+def test_warc_offsets_are_places_in_the_files(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.com/{k}", f"text {k} " * k) for k in range(50)], "page_id long, url string, html string").repartition(4)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    for r in warc.capture_index(spark, str(tmp_path / "w")).collect():
+        with open(r.run.removeprefix("file:"), "rb") as file:
+            file.seek(r.offset)
+            _, fields, body = next(warc.parse(file.read()))
+        assert fields["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and body.decode() == f"text {r.page_id} " * r.page_id
+
+
 def test_loser_tree_merges():
     rng = random.Random(4)
     for runs in (0, 1, 2, 3, 7, 16, 33):
@@ -198,6 +293,46 @@ def test_grammar_scores_clauses():
     assert grammar.symbols("an idiotic overloweih") == [0, 0, 0, 0, 0, 0]
     assert grammar.symbols("snarly snark. not snarly; they said snark") == [0, 0, 0, 0, 0, 2]
     assert grammar.symbols("they said " + "so and " * 1000 + "idiot") == [0, 0, 0, 1, 0, 0]
+    assert grammar.symbols("not a single one of you is an idiot") == [0, 0, 1, 0, 0, 0]
+    assert grammar.symbols("idiot, he said") == [0, 0, 0, 1, 0, 0]
+    assert grammar.symbols("I will definitely and certainly kill you. I will never kill you. Kill you, I will") == [0, 0, 1, 0, 1, 0]
+
+
+def test_composed_machine_is_the_cascade():
+    """The composition writes what the transducers write one after another, and what the rules say of a clause."""
+    parts, whole = [toxicity.negation(), toxicity.threat(), toxicity.target(), toxicity.report()], toxicity.machine()
+    rng = random.Random(8)
+    for _ in range(3000):
+        clauses = [[rng.choice(toxicity.CLASSES[:-1]) for _ in range(rng.randint(0, 7))] for _ in range(rng.randint(1, 3))]
+        line = [s for clause in clauses for s in (*clause, toxicity.END)]
+        out = line
+        for part in parts:
+            out = part.run(out)
+        assert out == whole.run(line)
+        for clause in clauses:
+            plain = []
+            for k, symbol in enumerate(clause):
+                no = "negation" in clause[:k]
+                if symbol == "insult":
+                    plain.append("negated" if no else "aimed" if "target" in clause else "plain")
+                elif symbol == "verb" and "intent" in clause[:k] and "target" in clause:
+                    plain.append("negated" if no else "threat")
+                elif symbol == "suspect" and not no and "report" not in clause:
+                    plain.append("suspect")
+            if "report" in clause:
+                plain = ["reported" for s in plain if s != "suspect"]
+            count = lambda s, x=plain: min(x.count(s), 3)
+            got = whole.run([*clause, toxicity.END])
+            assert [min(got.count(s), 3) for s in toxicity.SYMBOLS] == [count(s) for s in toxicity.SYMBOLS], clause
+
+
+def test_composition_follows_every_path():
+    double = toxicity.Transducer({(0, "a"): (1, ("x", "x")), (1, "a"): (0, ())})
+    swap = toxicity.Transducer({(0, "x"): (1, ("y",)), (1, "x"): (0, ("z",))})
+    both = toxicity.compose(double, swap, ("a", "b"))
+    for n in range(7):
+        for line in itertools.product("ab", repeat=n):
+            assert both.run(list(line)) == swap.run(double.run(list(line)))
 
 
 def test_beginnings_that_go_on_in_many_ways_are_suspects():

@@ -1,11 +1,12 @@
 import hashlib
-import json
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from factorspark.llm import bpe, decontaminate, dup_spans, neardup, secrets
+from factorspark.llm import arrays, bpe, decontaminate, dup_spans, graph, neardup, secrets
 
 from .helpers import empty, with_edges
 
@@ -64,6 +65,58 @@ def test_gadgets_of_a_small_vocabulary():
         assert automaton.encode(word) == merged(word), word
 
 
+def test_tables_drive_the_encoding():
+    """The states' transitions are those of the gadgets, and a spoilt table changes what is encoded."""
+    vocab = {bytes([c]): k for k, c in enumerate(b"abc")} | {b"aa": 3, b"ab": 4, b"aab": 5, b"bc": 6, b"abc": 7}
+    merges = [(0, 0, 3), (0, 1, 4), (3, 1, 5), (1, 2, 6), (4, 2, 7)]
+    automaton = bpe.Automaton(vocab, merges)
+    follows = lambda a, b: automaton.step(automaton.state[a], b) >= 0
+    labels = {t: b for b, t in vocab.items()}
+    for a in labels:
+        for b in labels:
+            assert follows(a, b) == (automaton.encode(labels[a] + labels[b]) == [a, b]), (a, b)
+    assert automaton.encode(b"aabc") == [5, 2]
+    own = bpe.Tokenizer(PATH)
+    words = [a + b for a in ("un", "re", "inter", "over", "mis") for b in ("happiness", "tokenization", "nationally", "considered", "thinking", "represented")]
+    before = [own.automaton.encode(w.encode()) for w in words]
+    own.automaton.removed.clear()
+    own.automaton._steps.clear()
+    assert before != [own.automaton.encode(w.encode()) for w in words]
+
+
+def test_span_hashes_have_no_polynomial_collision():
+    """A Thue-Morse word and its complement collide under any polynomial hash modulo 2^64."""
+    bits = np.array([bin(k).count("1") & 1 for k in range(4096)], np.uint8)
+    for word in (bits + 97, (bits[:400] + 97).astype(np.uint8)):
+        both = np.concatenate((word, 195 - word)).astype(np.uint8)
+        n = len(word)
+        one, two = arrays.span_hash(both, np.array([0, n]), np.array([n, 2 * n]))
+        assert one != two
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 3000, dtype=np.uint8)
+    start = rng.integers(0, 2000, 500)
+    end = start + rng.integers(0, 900, 500)
+    groups = {}
+    for h, a, b in zip(arrays.span_hash(data, start, end).tolist(), start, end, strict=True):
+        assert groups.setdefault(h, data[a:b].tobytes()) == data[a:b].tobytes()
+    assert len(groups) == len({data[a:b].tobytes() for a, b in zip(start, end, strict=True)})
+    assert arrays.same_bytes(data, start, start, end - start).all()
+    other = data.copy()
+    other[start[0] + (end[0] - start[0]) // 2] ^= 1
+    assert not arrays.same_bytes(np.concatenate((data, other)), start[:1], start[:1] + len(data), (end - start)[:1])[0]
+
+
+def test_previous_factors_by_smaller_neighbours():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 5, 40, 300):
+        value = np.array([rng.randrange(6) for _ in range(n)], np.int64)
+        want = [max((j for j in range(i) if value[j] < value[i]), default=-1) for i in range(n)]
+        assert dup_spans.smaller_before(value).tolist() == want
+        rank = np.sort(np.array([rng.randrange(9) for _ in range(n)], np.int64))
+        plain = [any(rank[j] == rank[i] and value[j] < value[i] for j in range(n)) for i in range(n)]
+        assert dup_spans.longest_previous(rank, value).tolist() == plain
+
+
 def brute_repeats(rows, length):
     first = {}
     for doc, text in rows:
@@ -144,6 +197,55 @@ def test_large_groups_are_tiled(spark, monkeypatch):
     assert out == {k: 0 if k < 100 else 100 for k, _ in rows}
 
 
+def test_components_of_blocked_groups(spark, monkeypatch):
+    """Whatever links there are inside large groups, the components are those of all pairs."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "LARGER", 1)
+    rng = random.Random(7)
+    edges, members = [], []
+    for group, n, kind in ((0, 60, "path"), (1, 60, "star"), (2, 60, "few"), (3, 60, "none"), (4, 3, "path"), (5, 80, "halves")):
+        ids = [group * 1000 + k for k in rng.sample(range(1000), n)]
+        members += [(group, k) for k in ids]
+        pairs = {"path": zip(ids, ids[1:]), "star": ((ids[0], k) for k in ids[1:]), "few": (rng.sample(ids, 2) for _ in range(25)), "none": (), "halves": [(ids[k % 2], ids[k]) for k in range(2, n)]}[kind]
+        edges += [tuple(sorted(e)) for e in pairs]
+    rows = spark.createDataFrame(members, "g long, m long").withColumn("blocks", F.when(F.col("g") == 4, 1).otherwise(9))
+
+    pairs = {frozenset(e) for e in edges}
+
+    def tile(key, rows):
+        ids = rows["m"].to_numpy()
+        assert len(ids) <= 45
+        near = np.array([[frozenset((a, b)) in pairs for b in ids.tolist()] for a in ids.tolist()])
+        forest, loose = graph.spanning(near, rows["pivot"].to_numpy(bool))
+        out = [(int(ids[a]), int(ids[b]), False) for a, b in forest]
+        return pd.DataFrame(out + [(key[0], int(k), True) for k in ids[loose] if rows["many"].iloc[0]], columns=["a", "b", "loose"])
+
+    links = lambda tiles: tiles.groupBy("g", "ti", "tj").applyInPandas(tile, "a long, b long, loose boolean")
+    got = {r.id: r.component for r in graph.connected(rows, "g", "m", links).collect()}
+    parent = {m: m for _, m in members}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    assert {m: got.get(m, m) for _, m in members} == {m: root(m) for _, m in members}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Rows that share an id are members of their own; equal rows are one."""
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    rows = [(1, words("a")), (1, words("b")), (1, words("b") + " x"), (2, words("b")), (3, words("a") + " x"), (4, words("c"))] + [(5, words("c") + " y")] * 30
+    rows += [(6, "aaaa " * 3), (7, "".join("ab"[bin(k).count("1") & 1] for k in range(4096))), (8, "".join("ba"[bin(k).count("1") & 1] for k in range(4096)))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8)}
+    assert len(out) == len(rows)
+
+
 def plain_secrets(text):
     out = [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -226,10 +328,58 @@ def test_decontamination_tolerates_one_in_five_anywhere(spark):
     assert {r.doc_id: r["items"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()} == want
 
 
+def plain_overlaps(doc, item, least=13):
+    """Most equal words over all shifts, by the rule as it is stated; 0 if the item does not contaminate."""
+    best = 0
+    for shift in range(-len(item) + 1, len(doc)):
+        equal = [0 <= k + shift < len(doc) and item[k] == doc[k + shift] for k in range(len(item))]
+        whole = sum(equal)
+        inside = [k for k in range(len(item)) if 0 <= k + shift < len(doc)]
+        run = 0
+        if whole >= min(least, 4 * len(item) / 5):
+            total = [0]
+            for k in inside:
+                total.append(total[-1] + equal[k])
+            run = max((total[j] - total[i] for i in range(len(total)) for j in range(i + 1, len(total)) if 5 * (total[j] - total[i]) >= 4 * (j - i)), default=0)
+        if 5 * whole >= 4 * len(item):
+            best = max(best, run, whole)
+        elif run >= least:
+            best = max(best, run)
+    return best
+
+
+def test_op9_equals_brute_force(spark, data):
+    from factorspark.llm import queries
+
+    fold = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
+    docs = [(r.doc_id, fold(r.text)) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    items = [(r.item_id, fold(r.text)) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    want = {}
+    for doc, words in docs:
+        have, found, most = set(words), [], 0
+        for item, text in items:
+            # fewer common words than the rule asks for cannot contaminate
+            if text and sum(w in have for w in text) >= min(13, 4 * len(text) / 5) and (n := plain_overlaps(words, text)):
+                found.append(item)
+                most = max(most, n)
+        want[doc] = (sorted(found), most, bool(found))
+    out = queries.op9_decontaminate(spark, data).collect()
+    assert {r.doc_id: (r["items"], r.n_equal, r.contaminated) for r in out} == want
+    assert any(x[2] for x in want.values())
+
+
 def test_decontamination_in_blocks(spark, data, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(tuple, decontaminate.contaminated(docs, benchmark).select("doc_id", "contaminated", "n_equal").collect()))
     one = rows()
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
     assert rows() == one
-    assert json.dumps(one)
+
+
+def test_frequent_seeds_and_ties(spark):
+    """Items that share a beginning, repeated items and a document full of it: each item is judged by itself."""
+    head = "what is the capital city of the land called"
+    items = [(k, f"{head} w{k} v{k} u{k} t{k} s{k}") for k in range(60)] + [(100, f"{head} w1 v1 u1 t1 s1")]
+    docs = [(1, " ".join([head] * 50)), (2, f"so {items[7][1]} and {items[9][1]}"), (3, items[1][1]), (3, items[2][1])]
+    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r["items"]) for r in out) == [(1, []), (2, [7, 9]), (3, [1, 100]), (3, [2])]
