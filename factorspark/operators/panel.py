@@ -25,7 +25,7 @@ def select_statements(df: DataFrame, start: dt.date | None = None, end: dt.date
     """Statements of a window of report periods: from any two of start, end and count, where count is a number of
     distinct statDates."""
     bounds = resolve_window(ordinals(df, "statDate"), start, end, count)
-    inside = F.col("statDate").between(F.coalesce(bounds.select("start").scalar(), F.lit(dt.date.min)), F.coalesce(bounds.select("end").scalar(), F.lit(dt.date.max)))
+    inside = F.col("statDate").between(F.coalesce(bounds.select("start").scalar(), "statDate"), F.coalesce(bounds.select("end").scalar(), "statDate"))
     return select_panel(df.where(inside), codes, fields=None if fields is None else ["pubDate", *fields], time="statDate")
 
 

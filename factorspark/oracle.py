@@ -6,11 +6,18 @@
 from __future__ import annotations
 
 
+def _whole(c: str) -> str:
+    return f"CAST(round({c} * 100) AS BIGINT)"
+
+
+_E, _D, _X, _N = _whole("l_extendedprice"), _whole("l_discount"), _whole("l_tax"), "CAST(l_quantity AS BIGINT)"
+SUMS = ", ".join(f"CAST(sum({term}) AS DOUBLE) / {unit} AS {name}" for name, term, unit in (("e", _E, "100e0"), ("d", f"{_E} * {_D}", "10000e0"), ("x", f"{_E} * {_X}", "10000e0"), ("n", _N, "1e0"), ("nd", f"{_N} * {_D}", "100e0"), ("nx", f"{_N} * {_X}", "100e0"), ("sd", _D, "100e0")))
+
+
 def panel(unit: str = "week") -> str:
-    return f"""px AS (SELECT l_suppkey AS code, CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS time, sum(l_extendedprice) / sum(l_quantity) AS close, min(l_extendedprice / l_quantity) AS open,
-        sum(l_extendedprice) AS market_cap, sum(l_extendedprice * (1 - l_discount)) AS cap, sum(l_quantity) AS turnover_ratio,
-        sum(l_extendedprice) / nullif(sum(l_extendedprice * l_tax), 0) AS pb_ratio, sum(l_extendedprice) / nullif(sum(l_extendedprice * l_discount), 0) AS pe_ratio,
-        sum(l_extendedprice) / nullif(round(sum(l_quantity * (l_discount - l_tax)), 6), 0) AS pcf_ratio, round(100 * avg(l_discount), 6) AS dv_ratio FROM lineitem GROUP BY 1, 2),
+    return f"""px0 AS (SELECT l_suppkey AS code, CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS time, min(l_extendedprice / l_quantity) AS open, count(*) AS k, {SUMS} FROM lineitem GROUP BY 1, 2),
+    px AS (SELECT code, time, e / n AS close, open, e AS market_cap, e - d AS cap, n AS turnover_ratio, e / nullif(x, 0) AS pb_ratio, e / nullif(d, 0) AS pe_ratio,
+        e / nullif(round(nd - nx, 6), 0) AS pcf_ratio, round(100 * sd / k, 6) AS dv_ratio FROM px0),
     cal AS (SELECT time, row_number() OVER (ORDER BY time) AS t FROM (SELECT DISTINCT time FROM px)),
     p0 AS (SELECT px.*, cal.t, lag(close) OVER (PARTITION BY code ORDER BY cal.t) AS pre_close FROM px JOIN cal USING (time)),
     p AS (SELECT *, close / pre_close - 1 AS ret FROM p0),
@@ -20,7 +27,7 @@ def panel(unit: str = "week") -> str:
     mkt AS (SELECT time, avg(ret) AS m FROM p GROUP BY time)"""
 
 
-FINANCE = """q AS (SELECT l_suppkey AS code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q, sum(l_extendedprice) AS e, sum(l_extendedprice * l_discount) AS d, sum(l_extendedprice * l_tax) AS x, sum(l_quantity) AS n FROM lineitem GROUP BY 1, 2),
+FINANCE = f"""q AS (SELECT l_suppkey AS code, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS q, {SUMS} FROM lineitem GROUP BY 1, 2),
     f0 AS (SELECT code, year(q) * 4 + quarter(q) AS k, last_day(q + INTERVAL 2 MONTH) AS statDate,
         sum(e) OVER y AS operating_revenue, sum(e + x) OVER y AS total_operating_revenue, sum(e - d) OVER y AS operating_cost, sum(e - d + x) OVER y AS total_operating_cost, sum(d) OVER y AS compr_inc_attr_p,
         CASE WHEN (year(q) * 4 + quarter(q)) % 5 <> 0 THEN sum(x) OVER y END AS oth_compr_income, CASE WHEN quarter(q) IN (2, 4) THEN sum(d) OVER y END AS net_profit,
@@ -58,6 +65,10 @@ def asof(source: str, date: str, columns: list[str], order: str, name: str = "al
     {name} AS (SELECT g.code, g.time, g.t, {fill} FROM (SELECT code, cal.t, cal.time FROM (SELECT code, min(t) AS f FROM {name}0 GROUP BY code) JOIN cal ON cal.t >= f) g LEFT JOIN {name}0 z ON z.code = g.code AND z.t = g.t)"""
 
 
+#: Added before rounding, as in the queries: exact halves, which engines round either way, all go up.
+NUDGE = "3e-10"
+
+
 class Sql(str):
     """A query, and the same without rounding, to be read by another."""
 
@@ -67,7 +78,7 @@ class Sql(str):
 def _sql(parts: list[str], keys: str, values: list[str], source: str) -> Sql:
     names = [k.strip() for k in keys.split(",") if k.strip()]
     head = "WITH " + ",\n    ".join(parts) + "\n" if parts else ""
-    out = Sql(head + f"SELECT {', '.join([*names, *[f'round({v.rsplit(" AS ", 1)[0]}, 6) + 0 AS {v.rsplit(" AS ", 1)[-1]}' for v in values]])} {source}")
+    out = Sql(head + f"SELECT {', '.join([*names, *[f'round(({v.rsplit(" AS ", 1)[0]}) + {NUDGE}, 6) + 0 AS {v.rsplit(" AS ", 1)[-1]}' for v in values]])} {source}")
     out.exact = head + f"SELECT {', '.join([*names, *values])} {source}"
     return out
 
@@ -115,8 +126,8 @@ def forecast(value: str, ahead: int = 0, shift: int = 0) -> str:
     return f"""{rep},
     ends AS (SELECT year(time) AS own, max(t) AS e FROM cal GROUP BY 1), starts AS (SELECT own, time AS first FROM ends JOIN cal ON cal.t = greatest(e - 1094, 1)),
     rows0 AS (SELECT code, rep.time, own, {value} AS v FROM rep JOIN starts ON own = year - {ahead} WHERE time >= first AND year(time) <= own),
-    days AS (SELECT code, own, time, count(*) AS n, count(v) AS k, sum(CAST(v AS DECIMAL(24, 8))) AS s, sum(CAST(v * v AS DECIMAL(24, 8))) AS ss FROM rows0 GROUP BY ALL),
-    so AS (SELECT code, own, time, sum(n) OVER o AS n, sum(k) OVER o AS k, CAST(sum(s) OVER o AS DOUBLE) AS s, CAST(sum(ss) OVER o AS DOUBLE) AS ss FROM days WINDOW o AS (PARTITION BY code, own ORDER BY time ROWS UNBOUNDED PRECEDING)),
+    days AS (SELECT code, own, time, count(*) AS n, count(v) AS k, sum(CAST(round(v * 1e8) AS HUGEINT)) AS s, sum(CAST(round(v * v * 1e8) AS HUGEINT)) AS ss FROM rows0 GROUP BY ALL),
+    so AS (SELECT code, own, time, sum(n) OVER o AS n, sum(k) OVER o AS k, CAST(sum(s) OVER o AS DOUBLE) / 1e8 AS s, CAST(sum(ss) OVER o AS DOUBLE) / 1e8 AS ss FROM days WINDOW o AS (PARTITION BY code, own ORDER BY time ROWS UNBOUNDED PRECEDING)),
     known AS (SELECT code * 10000 + own AS code, time AS day, s / k AS mean, sqrt(greatest(ss / k - (s / k) * (s / k), 0)) AS std FROM so WHERE n >= 5),
     {asof("known", "day", ["mean", "std"], "day", "fa")},
     fc AS (SELECT code // 10000 AS code, time, t, mean, std FROM fa WHERE year(time) = code % 10000)"""

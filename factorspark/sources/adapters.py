@@ -7,7 +7,7 @@ aggregations of `lineitem`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import div
 from ..operators.calendar import ordinals
@@ -19,20 +19,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sums() -> list[Column]:
+    """Sums over line items: price e, price times discount d and tax x, quantity n, quantity times discount nd and tax nx,
+    and discount _d. They are sums of whole cents and percents, so that their order does not matter."""
+    whole = lambda c: F.round(F.col(c) * 100).cast("long")
+    e, d, x, n = whole("l_extendedprice"), whole("l_discount"), whole("l_tax"), F.col("l_quantity").cast("long")
+    terms = {"e": (e, 100), "d": (e * d, 10_000), "x": (e * x, 10_000), "n": (n, 1), "nd": (n * d, 100), "nx": (n * x, 100), "_d": (d, 100)}
+    return [(F.sum(term).cast("double") / F.lit(float(unit))).alias(name) for name, (term, unit) in terms.items()]
+
+
 def panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """code, time, t, open, close, pre_close, ret and valuation columns."""
-    ext, qty, disc, tax = (F.col(f"l_{c}") for c in ("extendedprice", "quantity", "discount", "tax"))
     rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.date_trunc(unit, "l_shipdate").cast("date").alias("time"))
-    rows = rows.agg(
-        (F.sum(ext) / F.sum(qty)).alias("close"),
-        F.min(ext / qty).alias("open"),
-        F.sum(ext).alias("market_cap"),
-        F.sum(ext * (1 - disc)).alias("circulating_market_cap"),
-        F.sum(qty).alias("turnover_ratio"),
-        div(F.sum(ext), F.sum(ext * tax)).alias("pb_ratio"),
-        div(F.sum(ext), F.sum(ext * disc)).alias("pe_ratio"),
-        div(F.sum(ext), F.round(F.sum(qty * (disc - tax)), 6)).alias("pcf_ratio"),
-        F.round(100 * F.avg(disc), 6).alias("dv_ratio"),
+    rows = rows.agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("open"), F.count("*").alias("_k"), *_sums())
+    rows = rows.select(
+        "code",
+        "time",
+        (F.col("e") / F.col("n")).alias("close"),
+        "open",
+        F.col("e").alias("market_cap"),
+        (F.col("e") - F.col("d")).alias("circulating_market_cap"),
+        F.col("n").alias("turnover_ratio"),
+        div("e", "x").alias("pb_ratio"),
+        div("e", "d").alias("pe_ratio"),
+        div("e", F.round(F.col("nd") - F.col("nx"), 6)).alias("pcf_ratio"),
+        F.round(100 * F.col("_d") / F.col("_k"), 6).alias("dv_ratio"),
     )
     rows = rows.join(F.broadcast(ordinals(rows)), "time")  # one row per trading day
     before = F.lag("close").over(Window.partitionBy("code").orderBy("t"))
@@ -62,9 +73,8 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw statements per supplier and quarter: a few periods missing, a few filed twice."""
-    ext, qty, disc, tax = (F.col(f"l_{c}") for c in ("extendedprice", "quantity", "discount", "tax"))
     q = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.date_trunc("quarter", "l_shipdate").cast("date").alias("q"))
-    q = q.agg(F.sum(ext).alias("e"), F.sum(ext * disc).alias("d"), F.sum(ext * tax).alias("x"), F.sum(qty).alias("n"))
+    q = q.agg(*_sums())
     q = q.withColumn("k", F.year("q") * 4 + F.quarter("q"))
     year = Window.partitionBy("code", F.year("q")).orderBy("q")
     ever = Window.partitionBy("code").orderBy("q")
