@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorspark.functions.columns import half_life_weights, report_deadline
-from factorspark.operators import attribution, calendar, evaluate, panel, rolling, training, xsection
+from factorspark.operators import attribution, calendar, evaluate, events, fundamentals, panel, rolling, training, xsection
+from factorspark.plans import factors
 from factorspark.sources import io, schemas
-from factorspark.styles import price
+from factorspark.styles import price, statements
 
 DAY = dt.date(2020, 1, 6)
 
@@ -116,6 +117,107 @@ def test_asof_never_looks_ahead_and_fills_by_column(spark, prices):
     assert out[1, DAY + dt.timedelta(4)] == (3.0, 5.0) == out[1, DAY + dt.timedelta(39)]
 
 
+def test_asof_takes_records_of_any_age_and_several_tables(spark, prices):
+    _, cal = prices
+    old = spark.createDataFrame([(1, dt.date(1990, 5, 1), dt.date(1990, 3, 31), 1.0), (1, dt.date(1991, 5, 1), dt.date(1991, 3, 31), 2.0), (3, None, None, 5.0)], "code long, pubDate date, statDate date, a double")
+    new = spark.createDataFrame([(1, DAY + dt.timedelta(2), 7.0), (2, DAY + dt.timedelta(2), 8.0), (2, DAY + dt.timedelta(2), None)], "code long, day date, b double")
+    both = {(r.code, r.time): (r.a, r.b) for r in panel.asof_align_all([(old, "pubDate", ["a"], "statDate"), (new, "day", ["b"], "day")], cal).collect()}
+    assert both[1, DAY] == (2.0, None) and both[1, DAY + dt.timedelta(2)] == (2.0, 7.0) and both[2, DAY + dt.timedelta(39)] == (None, 8.0)
+    assert {c for c, _ in both} == {1, 2} and len(both) == 40 + 38
+    alone = {(r.code, r.time): r.a for r in panel.asof_align(old, cal, "pubDate", ["a"], "statDate").collect()}
+    assert alone == {k: v[0] for k, v in both.items() if k[0] == 1}
+
+
+def test_trailing_sums_by_their_kind(spark):
+    q = [dt.date(y, m, d) for y in (2019, 2020) for m, d in ((3, 31), (6, 30), (9, 30), (12, 31))]
+    flow = [1.0, 3.0, 6.0, 10.0, 2.0, 5.0, 9.0, 14.0]
+    rows = [(1, d, v, v if d.month in (6, 12) else None, 1.0 * k) for k, (d, v) in enumerate(zip(q, flow, strict=True))]
+    df = spark.createDataFrame(rows, "code long, statDate date, operating_revenue double, net_profit double, cash_equivalent_increase double")
+    for c in ("total_operating_revenue", "total_operating_cost", "np_parent_company_owners", "operating_cost"):
+        df = df.withColumn(c, F.col("operating_revenue"))
+    out = {r.statDate: r for r in fundamentals.trailing(df).collect()}
+    assert [out[d].operating_revenue_ttm for d in q] == [None] * 3 + [10.0, 11.0, 12.0, 13.0, 14.0]
+    assert [out[d].net_profit_ttm for d in q] == [None, None, None, 10.0, None, 12.0, None, 14.0]
+    assert [out[d].cash_equivalent_increase_ttm for d in q] == [None] * 3 + [6.0, 10.0, 14.0, 18.0, 22.0]
+
+
+def test_leverage_and_accruals_by_hand(spark, prices):
+    _, cal = prices
+    at = [dt.date(2018, 12, 31), dt.date(2019, 6, 30)]
+    base = {"code": 1, "pubDate": None, "oth_eqt_tools_p_shr": 3.0, "total_non_current_liability": 4.0, "total_assets": 100.0, "total_liability": 60.0, "cash_and_equivalents_at_end": 10.0, "non_current_liability_in_one_year": 5.0, "shortterm_loan": 6.0}
+    base |= {"fixed_assets_depreciation": 1.0, "intangible_assets_amortization": 2.0, "defferred_expense_amortization": None, "net_operate_cash_flow": 7.0, "net_invest_cash_flow": -3.0, "net_profit": 9.0}
+    two = [base | {"statDate": at[0], "pubDate": dt.date(2019, 3, 1)}, base | {"statDate": at[1], "pubDate": dt.date(2019, 8, 1), "total_assets": 120.0}]
+    kinds = ", ".join(f"{c} {'long' if c == 'code' else 'date' if c.endswith('Date') else 'double'}" for c in two[0])
+    finance = spark.createDataFrame([tuple(r.values()) for r in two], kinds)
+    valuation = spark.createDataFrame([(1, DAY, 50.0, 2.0)], "code long, time date, market_cap double, pb_ratio double")
+    got = statements.leverage(finance, valuation, cal, 1.0).first()
+    assert (got.Market_Leverage, got.Book_Leverage, got.Debt_to_asset_ratio) == ((50 + 7) / 50, (25 + 7) / 50, 0.5)
+    got = statements.accruals(finance, cal).where(F.col("time") == F.lit(DAY)).first()
+    assert math.isclose(got.ABS, -(20 - 3) / 120) and math.isclose(got.ACF, -(9 - 4 + 3) / 120)
+
+
+def test_forecasts_expand_within_their_year(spark):
+    days = [dt.date(2019, 12, 20) + dt.timedelta(k) for k in range(60)]
+    cal = calendar.ordinals(spark.createDataFrame([(d,) for d in days if d.weekday() < 5], "time date"))
+    values = [(dt.date(2019, 12, 24), 0.1), (dt.date(2019, 12, 28), 0.2), (dt.date(2019, 12, 28), None), (dt.date(2020, 1, 7), 0.3), (dt.date(2020, 1, 11), 0.7), (dt.date(2020, 1, 20), 0.9)]
+    rows = spark.createDataFrame([(1, t, "2020Q4", 2020, v) for t, v in values], "code long, time date, quarter string, year int, rd double")
+    got = {r.time: (r.mean, r.std) for r in events.expanding_forecast(events.forecast_days(rows, ["rd"]), cal, "rd").collect()}
+    for d in days:
+        if d.weekday() > 4 or d.year < 2020:
+            assert d not in got
+            continue
+        known = [v for t, v in values if t <= d]
+        if len(known) < 5:
+            assert d not in got
+            continue
+        have = [v for v in known if v is not None]
+        assert math.isclose(got[d][0], sum(have) / len(have)) and math.isclose(got[d][1], np.std(have), abs_tol=1e-7)
+    early = events.expanding_forecast(events.forecast_days(rows, ["rd"]), cal, "rd", least=2)
+    assert early.agg(F.min("time")).first()[0] == dt.date(2020, 1, 1)
+    assert panel.select_reports(rows.withColumn("quarter", F.when(F.col("rd") > 0.5, "2021Q1").otherwise(F.col("quarter"))), [2021]).count() == 2
+
+
+def test_selectors(spark, prices):
+    df, cal = prices
+    stats = [dt.date(2019, m, 28) for m in (3, 6, 9, 12)]
+    rows = spark.createDataFrame([(c, d, d, 1.0) for c in (1, 2) for d in stats[c - 1 :]], "code long, pubDate date, statDate date, a double")
+    assert sorted({r.statDate for r in panel.select_statements(rows, end=dt.date(2019, 11, 1), count=2).collect()}) == stats[1:3]
+    assert panel.select_statements(rows, end=dt.date(2019, 4, 1), count=9).count() == 1
+    assert [r.code for r in panel.listed_before(spark.createDataFrame([("a", stats[0]), ("b", stats[3])], "code string, list_date date"), stats[1]).collect()] == ["a"]
+    codes = spark.createDataFrame([("600000",), ("000001",), ("830001",)], "code string")
+    assert {r.code for r in panel.with_prefix(codes, ["0", "6", "3"]).collect()} == {"600000", "000001"}
+    varying = df.select("code", "time", F.concat(F.lit("i"), F.month("time"), F.dayofmonth("time")).alias("L1"))
+    dated = panel.with_industry(df.select("code", "time"), varying, month_start=True).collect()
+    assert {r.time.month: r.L1 for r in dated} == {1: "i16", 2: "i21"}
+    assert all(r.L1 == f"i{r.time.month}{r.time.day}" for r in panel.with_industry(df.select("code", "time"), varying).collect())
+    window = evaluate.forward_return(df, 2, "close", calendar=cal, start=DAY + dt.timedelta(3), end=DAY + dt.timedelta(9)).where("code = 0")
+    assert [r.time for r in window.orderBy("time").collect()] == [DAY + dt.timedelta(k) for k in range(3, 10)]
+    assert evaluate.forward_return(df, 2, "close", calendar=cal, end=DAY + dt.timedelta(9), fill=False).where("code = 0").count() == 8
+    assert [r.time for r in calendar.rebalance_of(cal).collect()] == [dt.date(2019, 9, 1)]
+
+
+def test_windows_are_trained_scored_and_written(spark, prices, tmp_path):
+    df, cal = prices
+    rows = evaluate.labels(df.where("code <> 4").dropna(subset=["ret"]), 1)
+    spans = training.walk_forward(cal, 20, 5)
+    n = spans.count()
+    for kind, names in (("regression", ["rmse", "r2"]), ("classifier", ["accuracy", "f1", "auc"])):
+        built = training.walk_forward_run(rows, spans, ["x", "ret"], kind, rounds=2)
+        found = {r.window_id: r for r in built["metrics"].collect()}
+        scored = built["portfolio"].toPandas()
+        assert len(found) == n == scored.window_id.nunique()
+        for k, r in found.items():
+            own = scored[scored.window_id == k]
+            assert r.n == len(own) and r.start < r.end < r.test and set(own.time) == {r.test} and all(m in r.asDict() for m in names)
+            assert [x.feature for x in r.importances] == sorted((x.feature for x in r.importances), key=lambda f, r=r: (-next(y.importance for y in r.importances if y.feature == f), f))
+            if kind == "regression":
+                assert math.isclose(r.rmse, math.sqrt(((own.return_ratio - own.score) ** 2).mean()), abs_tol=1e-12)
+            else:
+                assert math.isclose(r.accuracy, ((own.score >= 0.5) == (own.class_label == 1)).mean())
+        io.write_metrics(built["metrics"], str(tmp_path / kind))
+        assert sorted(p.name for p in (tmp_path / kind).glob("window_id=*")) == sorted(f"window_id={k}" for k in found)
+
+
 def test_pure_factor_returns_equal_dense_solution(spark):
     rng, rows = np.random.default_rng(5), []
     for d in range(3):
@@ -188,6 +290,14 @@ def test_sources_and_sinks(spark, tmp_path):
     io.write_table(df, str(tmp_path / "y"), "csv", by_year_of="time")
     assert (tmp_path / "y" / "year=2020").exists()
     assert io.read_table(spark, str(tmp_path / "t"), schemas._table(code="s", time="d")).columns == ["code", "time"]
+    for code in "ab":
+        (tmp_path / f"{code}.csv").write_text(f"code,time,open,close,pre_close\n{code},2020-01-02,1.5,2,1\n")
+    (tmp_path / "empty.csv").write_text("code,time,open,close,pre_close\n")
+    many = io.read_table(spark, [str(tmp_path / f"{c}.csv") for c in ("a", "b", "empty")], schemas.PRICE, "csv")
+    assert many.schema == schemas.PRICE and sorted(r.code for r in many.collect()) == ["a", "b"]
+    once = [io.staged(spark, str(tmp_path), compute, "code", ("time",)) for _ in range(2)]
+    assert calls == [1, 1] and [df.count() for df in once] == [1, 1]
+    assert "Exchange" not in once[0].groupBy("code").count()._jdf.queryExecution().executedPlan().toString().replace("AQEShuffleRead", "")
 
 
 def test_boosted_trees_rank_a_clear_signal(spark):
@@ -213,3 +323,27 @@ def test_boosted_queries_train_and_score_every_window(spark, data):
             assert sorted(r["rank"] for r in rows if r.window_id == k) == list(range(1, 1 + sum(r.window_id == k for r in rows)))
     found = QUERIES["feature_importance"](spark, data).collect()
     assert sorted((r.window_id, r.feature) for r in found) == sorted((s.window_id, c) for s in spans for c in ("turnover_ratio", "dv_ratio", "ret"))
+
+
+def test_factors_are_built_and_written(spark, data, tmp_path):
+    """Workload A whole, on keys of the price rows, each table once."""
+    from factorspark.queries import WEEKLY, Tables
+
+    x = Tables(spark, data)
+    kept = []
+
+    def keep(name, compute):
+        kept.append(name)
+        return io.load_or_compute(spark, str(tmp_path / "kept" / name), compute)
+
+    built = factors.build_factors(x.p, x.cal, x.industry_panel, x.finance, x.days, x.dates, WEEKLY, n=2, keep=keep)
+    assert len(kept) == len(set(kept)) and len(factors.DESCRIPTORS) == 45 and len(factors.STYLES) == 9
+    assert built["descriptors"].columns == ["code", "time", *factors.DESCRIPTORS]
+    assert built["descriptors"].count() == x.p.count() == built["styles"].count()
+    for t, group in built["styles"].toPandas().groupby("time"):
+        means = group[list(factors.STYLES)].mean().dropna()
+        assert (means.abs() < 1e-6).all(), t
+    assert {r.factor for r in built["icir"].collect()} <= set(factors.DESCRIPTORS)
+    factors.write_factors({n: built[n] for n in ("styles", "ic", "icir", "returns")}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "styles")).count() == x.p.count()
+    assert {r.factor for r in spark.read.parquet(str(tmp_path / "out" / "returns")).select("factor").distinct().collect()} >= {"country", *factors.STYLES}
