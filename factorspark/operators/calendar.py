@@ -1,9 +1,16 @@
-"""Trading calendar: a small table (time, t) with t = 1, 2, .. in order of time."""
+"""Trading calendar: a small table (time, t) with t = 1, 2, .. in order of time.
+
+It has one row per trading day, so what is derived from it alone (`snap_map`, bounds, months) is worked out on the driver
+and enters plans as a local table.
+"""
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import report_deadline
@@ -43,17 +50,51 @@ def shift_days(df: DataFrame, calendar: DataFrame, n: int, time: str = "time") -
     return df.join(F.broadcast(to), time, "left").withColumn("shifted", F.coalesce("_time", F.date_add(time, n))).drop("_time")
 
 
+_steps: weakref.WeakKeyDictionary[DataFrame, list[tuple[dt.date, int]]] = weakref.WeakKeyDictionary()
+
+
+def steps(calendar: DataFrame) -> list[tuple[dt.date, int]]:
+    """The calendar's rows in order."""
+    if calendar not in _steps:
+        _steps[calendar] = sorted((r["time"], r["t"]) for r in calendar.select("time", "t").collect())
+    return _steps[calendar]
+
+
+def local(like: DataFrame, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A small table of the driver's."""
+    arrays = zip(*rows, strict=True) if rows else [[] for _ in columns]
+    return like.sparkSession.createDataFrame(pa.table({n: pa.array(x, t) for (n, t), x in zip(columns.items(), arrays, strict=True)}))
+
+
 def snap_map(calendar: DataFrame) -> DataFrame:
     """(day, time, t): for every day from the first to the last trading day, the first trading day on or after it."""
-    before = F.lag("time").over(Window.orderBy("time"))
-    spans = calendar.select("time", "t", F.coalesce(F.date_add(before, 1), F.col("time")).alias("_from"))
-    return spans.select("time", "t", F.explode(F.sequence("_from", "time")).alias("day"))
+    rows, day = [], None
+    for time, t in steps(calendar):
+        day = time if day is None else day
+        while day <= time:
+            rows.append((day, time, t))
+            day += dt.timedelta(1)
+    return local(calendar, rows, day=pa.date32(), time=pa.date32(), t=pa.int32())
 
 
 def snapped(df: DataFrame, calendar: DataFrame, date_col: str) -> DataFrame:
     """Adds (time, t), the first trading day on or after `date_col`; rows after the last trading day are dropped."""
-    day = F.greatest(F.col(date_col), calendar.agg(F.min("time")).scalar())
-    return df.withColumn("day", day).where(F.col(date_col).isNotNull()).join(F.broadcast(snap_map(calendar)), "day").drop("day")
+    first = steps(calendar)[0][0] if steps(calendar) else None
+    day = F.greatest(F.col(date_col), F.lit(first).cast("date"))
+    return df.where(F.col(date_col).isNotNull()).withColumn("day", day).join(F.broadcast(snap_map(calendar)), "day").drop("day")
+
+
+def years_back(calendar: DataFrame, years: int) -> DataFrame:
+    """(time, t): for every day and each number of years back, the step of the first trading day on or after 365 days a
+    year before; years that begin before the calendar are left out."""
+    days = steps(calendar)
+    rows = []
+    for time, _ in days:
+        for i in range(1, years + 1):
+            day = time - dt.timedelta(365 * i)
+            if day >= days[0][0]:
+                rows.append((time, days[bisect.bisect_left(days, (day, 0))][1]))
+    return local(calendar, rows, time=pa.date32(), t=pa.int32())
 
 
 def period_ends(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
@@ -85,7 +126,8 @@ def rebalance_of(calendar: DataFrame) -> DataFrame:
 
 
 def month_starts(calendar: DataFrame) -> DataFrame:
-    """(time, month_start): the first trading day of each day's month."""
-    days = calendar.select("time").distinct()
-    first = days.groupBy(F.trunc("time", "month").alias("_m")).agg(F.min("time").alias("month_start"))
-    return days.withColumn("_m", F.trunc("time", "month")).join(F.broadcast(first), "_m").drop("_m")
+    """(time, month_start): the first trading day of each day's month, for days that need no ordinal."""
+    first: dict[tuple[int, int], dt.date] = {}
+    days = sorted(r["time"] for r in calendar.select("time").distinct().collect())
+    rows = [(d, first.setdefault((d.year, d.month), d)) for d in days]
+    return local(calendar, rows, time=pa.date32(), month_start=pa.date32())

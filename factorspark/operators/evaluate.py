@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.columns import div
+from .calendar import steps
 
 
 def _code() -> WindowSpec:
@@ -23,8 +24,8 @@ def forward_return(prices: DataFrame, n: int, cost: str = "open", close: str = "
     if start is not None:
         prices = prices.where(F.col("time") >= F.lit(start))
     if end is not None:
-        last = calendar.where(F.col("time") <= F.lit(end)).agg(F.max("t") + (n if fill else 0))
-        prices = prices.where(F.col("t") <= last.scalar())
+        last = max((t for time, t in steps(calendar) if time <= end), default=0)
+        prices = prices.where(F.col("t") <= last + (n if fill else 0))
     out = prices.withColumn("forward", div(F.lead(close, n).over(_code()), F.lead(cost, 1).over(_code())) - 1)
     return out.where("forward is not null")
 

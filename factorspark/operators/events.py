@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import by_code, div
-from .calendar import snapped
+from .calendar import local, snapped, steps
 from .panel import last_known
 
 LOOK_BACK = 1095
@@ -28,9 +29,11 @@ def expanding_forecast(days: DataFrame, calendar: DataFrame, value: str, ahead:
     each trading day has the mean and population deviation of the target's forecasts so far, from the `look_back`
     trading days before that year's end on, once there are `least` of them (NULLs count).
     """
-    ends = calendar.groupBy(F.year("time").alias("own")).agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
-    start = calendar.select(F.col("t").alias("_t"), F.col("time").alias("_first"))
-    years = ends.join(F.broadcast(start), F.greatest(F.col("_high") - (look_back - 1), F.lit(1)) == F.col("_t")).drop("_t")
+    spans: dict[int, list[int]] = {}
+    place = dict((t, time) for time, t in steps(calendar))
+    for t, time in place.items():
+        spans.setdefault(time.year, []).append(t)
+    years = local(calendar, [(y, min(t), max(t), place[max(max(t) - look_back + 1, min(place))]) for y, t in spans.items()], own=pa.int32(), _low=pa.int32(), _high=pa.int32(), _first=pa.date32())
     rows = days.withColumn("own", F.col("year") - ahead).join(F.broadcast(years), "own").where((F.col("time") >= F.col("_first")) & (F.year("time") <= F.col("own")))
     over = Window.partitionBy("code", "own").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.sum(c).over(over)
@@ -58,11 +61,12 @@ def decayed_changes(df: DataFrame, values: dict[str, str], n: int, terms: int =
 
     A name is NULL before the code's first value and on dates before any code has a change.
     """
+    # a change is known n steps after a value other than 0, for the first time after the first of all codes
+    first = df.agg(F.struct(*[F.min(F.when(F.col(c) != 0, F.col("t"))).alias(name) for name, c in values.items()])).scalar()
     df = df.withColumns({f"_k{name}": last_known(c) for name, c in values.items()})
     df = df.withColumns({f"_c{name}": padded_change(f"_k{name}", n) for name in values})
-    first = {name: df.agg(F.min(F.when(F.col(f"_c{name}").isNotNull(), F.col("t")))).scalar() for name in values}
     df = df.withColumns({f"_s{name}": _decayed(f"_c{name}", n, terms) for name in values})
-    df = df.withColumns({name: F.when((F.col("t") >= first[name]) & F.col(f"_k{name}").isNotNull(), F.col(f"_s{name}")) for name in values})
+    df = df.withColumns({name: F.when((F.col("t") >= first[name] + n) & F.col(f"_k{name}").isNotNull(), F.col(f"_s{name}")) for name in values})
     return df.drop(*[f"_{x}{name}" for x in "kcs" for name in values])
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import by_code
-from .calendar import month_starts, ordinals, resolve_window, snapped
+from .calendar import month_starts, ordinals, resolve_window, snapped, steps
 
 
 def select_panel(df: DataFrame, codes: DataFrame | None = None, start: dt.date | None = None, end: dt.date | None = None, fields: list[str] | None = None, time: str = "time") -> DataFrame:
@@ -79,8 +79,9 @@ def complete_codes(tables: list[DataFrame], periods: DataFrame, key: str = "stat
 
 def densify(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """A row for every code and calendar step from the code's first row to the calendar's end (needs `t`)."""
-    span = df.groupBy("code").agg(F.min("t").alias("_from"))
-    grid = span.select("code", F.explode(F.sequence(F.col("_from"), calendar.agg(F.max("t")).scalar())).alias("t"))
+    last = max((t for _, t in steps(calendar)), default=0)
+    span = df.groupBy("code").agg(F.min("t").alias("_from")).where(F.col("_from") <= last)
+    grid = span.select("code", F.explode(F.sequence(F.col("_from"), F.lit(last))).alias("t"))
     grid = grid.join(F.broadcast(calendar), "t")
     return grid.join(df.drop("time"), ["code", "t"], "left")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,39 +48,39 @@ class Tables:
     def keep(self, name: str, compute: Callable[[], DataFrame], by: str | None = "code", then: tuple[str, ...] = ()) -> DataFrame:
         return io.staged(self.spark, f"{self.sf}/{name}", compute, by, then)
 
-    @property
+    @cached_property
     def p(self) -> DataFrame:
         return self.keep(f"panel-{self.unit}", lambda: adapters.panel(self.spark, self.sf, self.unit), then=("t",))
 
-    @property
+    @cached_property
     def cal(self) -> DataFrame:
         return self.keep(f"calendar-{self.unit}", lambda: calendar.ordinals(self.p), None)
 
-    @property
+    @cached_property
     def industry(self) -> DataFrame:
         return adapters.industry(self.spark, self.sf)
 
-    @property
+    @cached_property
     def industry_panel(self) -> DataFrame:
         return self.keep(f"industry-{self.unit}", lambda: adapters.industry_panel(self.spark, self.sf, self.p), then=("time",))
 
-    @property
+    @cached_property
     def filings(self) -> DataFrame:
         return self.keep("filings", lambda: adapters.filings(self.spark, self.sf), then=("statDate",))
 
-    @property
+    @cached_property
     def finance(self) -> DataFrame:
         return self.keep("finance", lambda: adapters.finance(self.filings), then=("statDate",))
 
-    @property
+    @cached_property
     def reports(self) -> DataFrame:
         return adapters.reports(self.spark, self.sf)
 
-    @property
+    @cached_property
     def days(self) -> DataFrame:
         return self.keep("forecast-days", lambda: events.forecast_days(self.reports, ["np", "rd", "roe"]), then=("year", "time"))
 
-    @property
+    @cached_property
     def dates(self) -> DataFrame:
         return self.keep(f"rebalance-{self.unit}", lambda: calendar.rebalance_of(self.cal), None)
 

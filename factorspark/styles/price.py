@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import by_code, div, half_life_weights, lagged_sum, last_rows, decay, row_mean
-from ..operators.calendar import snap_map
+from ..operators.calendar import years_back
 from ..operators.panel import fill_limited, with_industry
 from ..operators.rolling import dense_panel, ewma_deviation, full_window, sampled_lags, weighted_beta, weighted_sum
 from ..operators.xsection import group_relative, mad_winsorize, regression_residual
@@ -84,9 +84,7 @@ def reversal(prices: DataFrame, calendar: DataFrame, window: int = 21, half_life
 
 def seasonality(prices: DataFrame, calendar: DataFrame, years: int = 5, days: int = 21) -> DataFrame:
     """Mean over the years i of the return over the `days` trading days from the first one on or after time - 365 i."""
-    snap = snap_map(calendar).select(F.col("day").alias("_day"), F.col("t").alias("_from"))
-    back = calendar.select("time", F.explode(F.sequence(F.lit(1), F.lit(years))).alias("i")).withColumn("_day", F.date_sub("time", F.col("i") * 365))
-    back = back.join(F.broadcast(snap), "_day").select("time", "i", "_from")
+    back = years_back(calendar, years).withColumnRenamed("t", "_from")
     dense = dense_panel(prices, calendar, ["close"])
     dense = dense.withColumn("_last", F.last("close", ignorenulls=True).over(last_rows(days)))
     start = dense.withColumn("_end", F.lead("_last", days - 1).over(by_code()))
