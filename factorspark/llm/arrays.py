@@ -50,6 +50,12 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def rolling_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] from the prefix hash of data: cheap, for what is compared byte by byte then."""
+    inverse = powers(len(prefix))[1]
+    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand.
 

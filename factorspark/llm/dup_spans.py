@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import SLICE_BYTES, U64, binary, mix, powers, prefix_hash, ragged, same_bytes, span_hash, utf8
+from .arrays import SLICE_BYTES, U64, binary, mix, powers, prefix_hash, ragged, rolling_hash, same_bytes, utf8
 
 GRAM = 20
 #: Text of a group, and text for which there is one bucket (the number of shuffle partitions at least).
@@ -71,7 +71,7 @@ def _windows(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             stop = np.ones(len(least), bool)
             stop[:-1] = change[1:] | ~fits[1:]
             last = np.flatnonzero(fits & stop)
-            out.append((grams[anchor[first]], span_hash(part, first, last + length), first + low, last - first + 1, row[first] + a))
+            out.append((grams[anchor[first]], rolling_hash(prefix, first, last + length), first + low, last - first + 1, row[first] + a))
     if not out:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -181,20 +181,42 @@ def _send(length: int, buckets: int):
 
 
 def prefix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the suffix at each position in the suffix order to depth `length` (at least 8), by prefix
-    doubling; positions in the last length - 1 bytes have none."""
+    """Rank of the suffix at each position in the suffix order to depth `length` (at least 8), by prefix doubling;
+    positions in the last length - 1 bytes have none that counts.
+
+    A rank is the place of the first suffix that is equal to the depth so far; only suffixes that have others beside
+    them at their place are sorted again at the next depth.
+    """
     n = len(text) - 7
     key = np.zeros(n, U64)
     for j in range(8):
         key = (key << U64(8)) | text[j : n + j].astype(U64)
-    rank = np.unique(key, return_inverse=True)[1]
-    size = 8
-    while size < length:
+    rank, size = np.zeros(n + length, np.int64), 8
+    active, old = np.argsort(key), None
+    key = key[active]
+    while True:
+        new = np.ones(len(active), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(active)))
+        if old is None:
+            place = np.repeat(first, count)
+        else:  # places within what was equal before
+            head = np.ones(len(active), bool)
+            head[1:] = old[1:] != old[:-1]
+            start = np.flatnonzero(head)
+            start = np.repeat(start, np.diff(np.append(start, len(active))))
+            place = old + np.repeat(first, count) - start
+        rank[active] = place
+        if size >= length:
+            return rank[:n]
         step = min(size, length - size)
-        pair = rank[:-step].astype(U64) << U64(32) | rank[step:].astype(U64)
-        rank = np.unique(pair, return_inverse=True)[1]
+        active = active[np.repeat(count > 1, count)]
+        key = rank[active].astype(U64) << U64(32) | rank[active + step].astype(U64)
+        order = np.argsort(key)
+        active, key = active[order], key[order]
+        old = (key >> U64(32)).astype(np.int64)
         size += step
-    return rank
 
 
 def smaller_before(value: np.ndarray) -> np.ndarray:
@@ -228,11 +250,15 @@ def longest_previous(rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Whether the longest previous factor of each suffix has the full depth, in suffix order: `rank` tells to
     that depth which suffixes are equal, and previous are those of a smaller owner. The longest common prefix with
     any of them is that with the nearest one before or after in suffix order."""
-    n = len(rank)
+    out = np.zeros(len(rank), bool)
+    same = rank[1:] == rank[:-1]
+    # the common prefix with a neighbour is the longest there is: without one of full depth, no factor has it
+    some = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same))) if len(rank) else out
+    rank, owner, n = rank[some], owner[some], len(some)
     before = smaller_before(owner)
     after = n - 1 - smaller_before(owner[::-1])[::-1]
-    out = (before >= 0) & (rank[before] == rank)
-    return out | ((after < n) & (rank[np.minimum(after, n - 1)] == rank))
+    out[some] = ((before >= 0) & (rank[before] == rank)) | ((after < n) & (rank[np.minimum(after, n - 1)] == rank))
+    return out
 
 
 def covered_windows(doc: np.ndarray, count: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
@@ -240,7 +266,7 @@ def covered_windows(doc: np.ndarray, count: np.ndarray, data: np.ndarray, length
     snippet of a smaller document also has."""
     size = count + length - 1
     start = np.cumsum(size) - size
-    content = span_hash(data, start, start + size)
+    content = rolling_hash(prefix_hash(data), start, start + size)
     # equal snippets are suffix-sorted once, for the smallest id
     order = np.lexsort((doc, content))
     new = _changes(data, start[order], size[order], content[order])

@@ -107,7 +107,7 @@ _LINKS = "a long, b long, loose boolean"
 
 def _links(found: list[tuple[int, int]], loose: list[tuple[int, int]]) -> pa.RecordBatch:
     rows = found + loose
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([False] * len(found) + [True] * len(loose))], names=["a", "b", "loose"])
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([False] * len(found) + [True] * len(loose), pa.bool_())], names=["a", "b", "loose"])
 
 
 def _spread(near: np.ndarray, ids: np.ndarray, pivot: np.ndarray, group: int, tile: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
