@@ -10,7 +10,7 @@ from .calendar import local, snapped, steps
 from .panel import last_known
 
 LOOK_BACK = 1095
-EXACT = "decimal(24,8)"
+EXACT, UNIT = "decimal(24,8)", 1e8
 
 
 def forecast_days(reports: DataFrame, values: list[str]) -> DataFrame:
@@ -37,8 +37,8 @@ def expanding_forecast(days: DataFrame, calendar: DataFrame, value: str, ahead:
     rows = days.withColumn("own", F.col("year") - ahead).join(F.broadcast(years), "own").where((F.col("time") >= F.col("_first")) & (F.year("time") <= F.col("own")))
     over = Window.partitionBy("code", "own").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda c: F.sum(c).over(over)
-    so_far = rows.select("code", "own", "_low", "_high", "time", total("n").alias("n"), total(f"k_{value}").alias("k"), total(f"s_{value}").cast("double").alias("s"), total(f"ss_{value}").cast("double").alias("ss"))
-    mean = div("s", "k")
+    so_far = rows.select("code", "own", "_low", "_high", "time", total("n").alias("n"), total(f"k_{value}").alias("k"), F.rint(total(f"s_{value}").cast("double") * UNIT).alias("s"), total(f"ss_{value}").cast("double").alias("ss"))
+    mean = div(F.col("s"), F.col("k") * UNIT)  # one division of whole numbers: equal means are equal to the last bit
     spread = F.sqrt(F.greatest(div("ss", "k") - mean * mean, F.lit(0.0)))
     known = so_far.where(F.col("n") >= least).select("code", "own", "_low", "_high", F.col("time").alias("_on"), mean.alias("mean"), spread.alias("std"))
     # what is known before the year stands on its first trading day

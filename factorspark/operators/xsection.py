@@ -57,13 +57,14 @@ def mad_standardize(df: DataFrame, columns: list[str], by: str | list[str] = "ti
 
 def regression_residual(df: DataFrame, y: str, x: str, weight: Column, by: str | list[str] = "time") -> DataFrame:
     """Adds `residual` of y on (1, x) with weights, per date; NULL where x does not vary."""
-    over, w, a, b = _over(by), F.col("_w"), F.col(x), F.col(y)
-    total = lambda c: F.sum(c).over(over)
+    over, w, a, b = _over(by), F.col("_w"), F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    total = lambda c: F.sum(w * c).over(over)
     rows = df.withColumn("_w", F.when(F.col(y).isNotNull() & F.col(x).isNotNull(), weight))
-    rows = rows.withColumns({"_sw": total(w), "_sx": total(w * a), "_sy": total(w * b), "_sxx": total(w * a * a), "_sxy": total(w * a * b)})
-    rows = rows.withColumn("_b", div(F.col("_sw") * F.col("_sxy") - F.col("_sx") * F.col("_sy"), F.col("_sw") * F.col("_sxx") - F.col("_sx") * F.col("_sx")))
-    fitted = div(F.col("_sy") - F.col("_b") * F.col("_sx"), F.col("_sw")) + F.col("_b") * a
-    return rows.withColumn("residual", b - fitted).drop("_w", "_sw", "_sx", "_sy", "_sxx", "_sxy", "_b")
+    used = F.when(w.isNotNull(), F.col(x))
+    rows = rows.withColumns({"_mx": div(total(F.col(x)), F.sum(w).over(over)), "_my": div(total(F.col(y)), F.sum(w).over(over)), "_varies": F.min(used).over(over) < F.max(used).over(over)})
+    # sums of deviations from the means: those of the plain values would cancel
+    rows = rows.withColumn("_b", F.when(F.col("_varies"), div(total(a * b), total(a * a))))
+    return rows.withColumn("residual", b - F.col("_b") * a).drop("_w", "_mx", "_my", "_varies", "_b")
 
 
 def group_relative(df: DataFrame, value: str, weight: Column, by: list[str]) -> DataFrame:

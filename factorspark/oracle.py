@@ -16,14 +16,14 @@ SUMS = ", ".join(f"CAST(sum({term}) AS DOUBLE) / {unit} AS {name}" for name, ter
 
 def panel(unit: str = "week") -> str:
     return f"""px0 AS (SELECT l_suppkey AS code, CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS time, min(l_extendedprice / l_quantity) AS open, count(*) AS k, {SUMS} FROM lineitem GROUP BY 1, 2),
-    px AS (SELECT code, time, e / n AS close, open, e AS market_cap, e - d AS cap, n AS turnover_ratio, e / nullif(x, 0) AS pb_ratio, e / nullif(d, 0) AS pe_ratio,
+    px AS (SELECT code, time, e / n AS close, open, e AS market_cap, e - d AS cap, n AS turnover_ratio, round(e / nullif(x, 0), 6) AS pb_ratio, round(e / nullif(d, 0), 6) AS pe_ratio,
         e / nullif(round(nd - nx, 6), 0) AS pcf_ratio, round(100 * sd / k, 6) AS dv_ratio FROM px0),
     cal AS (SELECT time, row_number() OVER (ORDER BY time) AS t FROM (SELECT DISTINCT time FROM px)),
     p0 AS (SELECT px.*, cal.t, lag(close) OVER (PARTITION BY code ORDER BY cal.t) AS pre_close FROM px JOIN cal USING (time)),
     p AS (SELECT *, close / pre_close - 1 AS ret FROM p0),
     ind AS (SELECT s_suppkey AS code, n_name AS industry, r_name AS L1 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
     grid AS (SELECT code, cal.t, cal.time FROM (SELECT code, min(t) AS f FROM p GROUP BY code) JOIN cal ON cal.t >= f),
-    d AS (SELECT grid.code, grid.t, grid.time, p.close, p.pre_close, p.ret, p.turnover_ratio / 100 AS x FROM grid LEFT JOIN p ON p.code = grid.code AND p.t = grid.t),
+    d AS (SELECT grid.code, grid.t, grid.time, p.close, p.pre_close, p.ret, p.turnover_ratio / 100 AS x, p.turnover_ratio AS whole FROM grid LEFT JOIN p ON p.code = grid.code AND p.t = grid.t),
     mkt AS (SELECT time, avg(ret) AS m FROM p GROUP BY time)"""
 
 
@@ -127,8 +127,8 @@ def forecast(value: str, ahead: int = 0, shift: int = 0) -> str:
     ends AS (SELECT year(time) AS own, max(t) AS e FROM cal GROUP BY 1), starts AS (SELECT own, time AS first FROM ends JOIN cal ON cal.t = greatest(e - 1094, 1)),
     rows0 AS (SELECT code, rep.time, own, {value} AS v FROM rep JOIN starts ON own = year - {ahead} WHERE time >= first AND year(time) <= own),
     days AS (SELECT code, own, time, count(*) AS n, count(v) AS k, sum(CAST(round(v * 1e8) AS HUGEINT)) AS s, sum(CAST(round(v * v * 1e8) AS HUGEINT)) AS ss FROM rows0 GROUP BY ALL),
-    so AS (SELECT code, own, time, sum(n) OVER o AS n, sum(k) OVER o AS k, CAST(sum(s) OVER o AS DOUBLE) / 1e8 AS s, CAST(sum(ss) OVER o AS DOUBLE) / 1e8 AS ss FROM days WINDOW o AS (PARTITION BY code, own ORDER BY time ROWS UNBOUNDED PRECEDING)),
-    known AS (SELECT code * 10000 + own AS code, time AS day, s / k AS mean, sqrt(greatest(ss / k - (s / k) * (s / k), 0)) AS std FROM so WHERE n >= 5),
+    so AS (SELECT code, own, time, sum(n) OVER o AS n, sum(k) OVER o AS k, CAST(sum(s) OVER o AS DOUBLE) AS s, CAST(sum(ss) OVER o AS DOUBLE) / 1e8 AS ss FROM days WINDOW o AS (PARTITION BY code, own ORDER BY time ROWS UNBOUNDED PRECEDING)),
+    known AS (SELECT code * 10000 + own AS code, time AS day, s / (k * 1e8) AS mean, sqrt(greatest(ss / k - (s / (k * 1e8)) * (s / (k * 1e8)), 0)) AS std FROM so WHERE n >= 5),
     {asof("known", "day", ["mean", "std"], "day", "fa")},
     fc AS (SELECT code // 10000 AS code, time, t, mean, std FROM fa WHERE year(time) = code % 10000)"""
 
@@ -209,8 +209,8 @@ def cleaned(source: str, columns: list[str], clip: tuple[float, float]) -> list[
 Q["clean_panel"] = _sql([PW, *cleaned("p", ["ret", "dv_ratio"], (0.05, 0.95))], "code, time", ["ret", "dv_ratio"], "FROM cl")
 Q["mad_winsorize"] = _sql([PW, mad("p", "turnover_ratio", 2.0)], "code, time", ["turnover_ratio"], "FROM md")
 Q["mad_standardize"] = _sql([PW, "s AS (SELECT code, time, ret, turnover_ratio FROM p)", filled("s", ["ret", "turnover_ratio"], "f"), mad("f", "ret", 2.0), mad("md", "turnover_ratio", 2.0, name="me")], "code, time", zscore("me", ["ret", "turnover_ratio"], "0"), "FROM me")
-SIZE = f"""s0 AS (SELECT code, time, ln(cap + 1) AS l, sqrt(cap) AS w FROM p), s1 AS (SELECT time, sum(w) AS sw, sum(w * l) AS sx, sum(w * l * l * l) AS sy, sum(w * l * l) AS sxx, sum(w * l * l * l * l) AS sxy FROM s0 GROUP BY time),
-    s2 AS (SELECT time, (sw * sxy - sx * sy) / nullif(sw * sxx - sx * sx, 0) AS b, sw, sx, sy FROM s1), s3 AS (SELECT code, time, l, l * l * l - (sy - b * sx) / sw - b * l AS residual FROM s0 JOIN s2 USING (time)), {mad("s3", "residual", 5.0)}"""
+SIZE = f"""s0 AS (SELECT code, time, ln(cap + 1) AS l, sqrt(cap) AS w FROM p), s1 AS (SELECT time, sum(w * l) / sum(w) AS mx, sum(w * l * l * l) / sum(w) AS my FROM s0 GROUP BY time),
+    s2 AS (SELECT time, mx, my, CASE WHEN min(l) < max(l) THEN sum(w * (l - mx) * (l * l * l - my)) / sum(w * (l - mx) * (l - mx)) END AS b FROM s0 JOIN s1 USING (time) GROUP BY ALL), s3 AS (SELECT code, time, l, l * l * l - my - b * (l - mx) AS residual FROM s0 JOIN s2 USING (time)), {mad("s3", "residual", 5.0)}"""
 Q["size_lncap"] = _sql([PW], "code, time", ["ln(cap + 1) AS LNCAP"], "FROM p")
 Q["size_midcap"] = _sql([PW, SIZE], "code, time", ["(residual - avg(residual) OVER (PARTITION BY time)) / nullif(stddev_pop(residual) OVER (PARTITION BY time), 0) AS MIDCAP"], "FROM md")
 Q["group_relative"] = _sql([PW], "code, time", ["sum(CASE WHEN ret IS NOT NULL THEN sqrt(cap) * ret END) OVER (PARTITION BY time, L1) / sum(CASE WHEN ret IS NOT NULL THEN sqrt(cap) END) OVER (PARTITION BY time, L1) - ret AS relative"], "FROM p JOIN ind USING (code)")
@@ -236,7 +236,7 @@ _rest = ", ".join(f"CASE WHEN {a} IS NOT NULL THEN {b} END" for a, b in zip(_pad
 Q["cumulative_range"] = _sql([PW, """h0 AS (SELECT code, time, t, close, pre_close, last_value(close IGNORE NULLS) OVER o AS lc, last_value(CASE WHEN close IS NOT NULL THEN t END IGNORE NULLS) OVER o AS ct, last_value(pre_close IGNORE NULLS) OVER o AS lp, last_value(CASE WHEN pre_close IS NOT NULL THEN t END IGNORE NULLS) OVER o AS pt FROM d WINDOW o AS (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING)),
     h1 AS (SELECT code, time, t, CASE WHEN t - ct <= 2 THEN lc END AS c, CASE WHEN t - pt <= 2 THEN lp END AS pc FROM h0)""", f"h2 AS (SELECT code, time, t, {_pts} FROM h1 WINDOW o AS (PARTITION BY code ORDER BY t)), h3 AS (SELECT code, time, t, [{_rest}] AS z FROM h2)"], "code, time", ["ln(list_max(z)) - ln(list_min(z)) AS Cumulative_range"], "FROM h3 WHERE t >= 52 AND list_max(z) IS NOT NULL")
 _m = [f"lag(m, {3 * k}) OVER o" if k else "m" for k in range(12)]
-TURN = f"u0 AS (SELECT code, time, t, CASE WHEN count(x) {over(3)} = 3 THEN sum(x) {over(3)} END AS m FROM d), u1 AS (SELECT code, time, t, ln(m) AS Monthly_share_turnover, CASE WHEN t >= 36 THEN ln({mean_of(*_m[:3])}) END AS Quarterly_share_turnover, CASE WHEN t >= 36 THEN ln({mean_of(*_m)}) END AS Annual_share_turnover FROM u0 WINDOW o AS (PARTITION BY code ORDER BY t))"
+TURN = f"u0 AS (SELECT code, time, t, CASE WHEN count(whole) {over(3)} = 3 THEN sum(whole) {over(3)} END AS m FROM d), u1 AS (SELECT code, time, t, ln(m / 100) AS Monthly_share_turnover, CASE WHEN t >= 36 THEN ln({mean_of(*_m[:3])} / 100) END AS Quarterly_share_turnover, CASE WHEN t >= 36 THEN ln({mean_of(*_m)} / 100) END AS Annual_share_turnover FROM u0 WINDOW o AS (PARTITION BY code ORDER BY t))"
 for _name in ("Monthly", "Quarterly", "Annual"):
     Q[f"turnover_{_name.lower()}"] = _sql([PW, TURN], "code, time", [f"{_name}_share_turnover"], f"FROM u1 WHERE {_name}_share_turnover IS NOT NULL")
 Q["traded_value_ratio"] = _sql([PW, f"v AS (SELECT code, time, t, sum(x * pow(2.0, t / 13.0)) {over(52)} / pow(2.0, (t + 1) / 13.0) * 52 / {norm(52, 13)!r} * 52 / nullif(count(x) {over(52)}, 0) AS a FROM d)"], "code, time", ["a AS Annualized_traded_value_ratio"], "FROM v WHERE t >= 52 AND a IS NOT NULL")

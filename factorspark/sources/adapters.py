@@ -40,8 +40,8 @@ def panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
         F.col("e").alias("market_cap"),
         (F.col("e") - F.col("d")).alias("circulating_market_cap"),
         F.col("n").alias("turnover_ratio"),
-        div("e", "x").alias("pb_ratio"),
-        div("e", "d").alias("pe_ratio"),
+        F.round(div("e", "x"), 6).alias("pb_ratio"),
+        F.round(div("e", "d"), 6).alias("pe_ratio"),
         div("e", F.round(F.col("nd") - F.col("nx"), 6)).alias("pcf_ratio"),
         F.round(100 * F.col("_d") / F.col("_k"), 6).alias("dv_ratio"),
     )

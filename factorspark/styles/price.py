@@ -58,12 +58,12 @@ def cumulative_range(prices: DataFrame, calendar: DataFrame, step: int = 21, cou
 
 def turnover(valuation: DataFrame, calendar: DataFrame, month: int = 21, months: int = 12) -> DataFrame:
     """Log turnover of a month, and log means of the last 3 and of all `months` monthly sums."""
-    dense = dense_panel(valuation, calendar, ["turnover_ratio"]).withColumn("_m", full_window(F.col("turnover_ratio") / 100, month))
+    dense = dense_panel(valuation, calendar, ["turnover_ratio"]).withColumn("_m", full_window(F.col("turnover_ratio"), month))
     lags = {f"_l{k}": c for k, c in enumerate(sampled_lags(F.col("_m"), month, months))}
     dense = dense.withColumns(lags)
     far = F.col("t") >= month * months
-    mean = lambda n: F.when(far, F.log(row_mean(list(lags)[:n])))
-    return dense.select("code", "time", F.log("_m").alias("Monthly_share_turnover"), mean(3).alias("Quarterly_share_turnover"), mean(months).alias("Annual_share_turnover"))
+    mean = lambda n: F.when(far, F.log(row_mean(list(lags)[:n]) / 100))
+    return dense.select("code", "time", F.log(F.col("_m") / 100).alias("Monthly_share_turnover"), mean(3).alias("Quarterly_share_turnover"), mean(months).alias("Annual_share_turnover"))
 
 
 def traded_value_ratio(valuation: DataFrame, calendar: DataFrame, window: int = 252, half_life: float = 63) -> DataFrame:
