@@ -17,8 +17,8 @@ SLICE_BYTES = 1 << 21
 LONG_SPAN = 512
 U64 = np.uint64
 _BASE, _ALL = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+NO_SPACE = np.ones(256, bool)
+NO_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -130,17 +130,24 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the maximal runs of bytes for which `inside` (by byte value) holds, within each row."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    word = inside[data]
+    start = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
+    end = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a slice: byte spans, row, hash and each row's first word."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n = len(data)
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        word = ~_SPACE[data]
-        self.start = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1])))) if n else np.zeros(0, np.int64)
-        self.end = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1 if n else np.zeros(0, np.int64)
-        self.row = np.searchsorted(offsets, self.start, "right") - 1
+        self.start, self.end, self.row = word_spans(data, offsets, NO_SPACE)
         self.first = np.searchsorted(self.row, np.arange(len(offsets)))
         self.hash = span_hash(data, self.start, self.end)
 
