@@ -37,12 +37,14 @@ def _solve(styles: list[str]):
     return solve
 
 
-def pure_factor_returns(rows: DataFrame, styles: list[str]) -> DataFrame:
+def pure_factor_returns(rows: DataFrame, styles: list[str], capital: DataFrame | None = None) -> DataFrame:
     """(time, factor, simple, log) from rows (time, L1, styles, cap, next_ret, next_log).
 
     Weights are sqrt(cap), normalized per date, which does not change the solution; missing capital or return
-    counts as 0; rows need industry and styles. Industry factors weighted by capital sum to 0. Only sums per
-    (date, industry) leave the executors' partial aggregation, at most a few dozen rows a date.
+    counts as 0; rows need industry and styles. Industry factors weighted by capital sum to 0: by that of `capital`
+    (time, L1, cap), the sums over all codes with an industry, or else by that of the rows. A date has a factor for each
+    of its industries in `capital`, with rows or without; where the system is singular, the smallest solution counts.
+    Only sums per (date, industry) leave the executors' partial aggregation, at most a few dozen rows a date.
     """
     rows = rows.dropna(subset=["L1", *styles]).fillna(0.0, ["cap", "next_ret", "next_log"])
     v = F.sqrt(F.col("cap"))
@@ -52,4 +54,8 @@ def pure_factor_returns(rows: DataFrame, styles: list[str]) -> DataFrame:
         sums += [F.sum(v * F.col(x) * F.col(r)).alias(f"r{a}_{c}") for c, r in enumerate(("next_ret", "next_log"))]
         sums += [F.sum(v * F.col(x) * F.col(y)).alias(f"w{a}_{b}") for b, y in enumerate(styles) if b >= a]
     grouped = rows.groupBy("time", "L1").agg(*sums)
+    if capital is not None:
+        dates = grouped.select("time").distinct()
+        whole = capital.where("L1 is not null").join(dates, "time", "left_semi").select("time", "L1", F.col("cap").alias("_cap"))
+        grouped = whole.join(grouped, ["time", "L1"], "left").withColumn("cap", F.col("_cap")).drop("_cap").fillna(0.0)
     return grouped.groupBy("time").applyInPandas(_solve(styles), "time date, factor string, simple double, log double")

@@ -368,4 +368,44 @@ ALL_IC = [*CLEAN, FWD.format(n=5), f"lo AS (UNPIVOT (SELECT cl.time, {', '.join(
 Q["all_factor_ic"] = _sql(ALL_IC, "time, factor", ["ic"], "FROM ic")
 Q["all_icir"] = _sql(ALL_IC, "factor", ["avg(ic) AS mean", "stddev_samp(ic) AS std", "min(ic) AS min", "max(ic) AS max", "avg(ic) / nullif(stddev_samp(ic), 0) AS icir"], ", count(ic) AS n FROM ic GROUP BY factor")
 
+
+def index_of(unit: str) -> str:
+    """CTE `ix`: returns of the index."""
+    return f"""ix0 AS (SELECT CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS time, {SUMS} FROM lineitem GROUP BY 1), ix1 AS (SELECT time, round(e / n, 4) AS close FROM ix0),
+    ix AS (SELECT time, close / lag(close) OVER (ORDER BY time) - 1 AS m FROM ix1)"""
+
+
+Q["beta_on_index"] = _sql([PW, index_of("week"), "ri AS (SELECT p.*, m FROM p JOIN ix USING (time))", beta("ri", 52, 13, 13)], "code, time", ["beta AS BETA", "sigma AS Hist_sigma"], "FROM fit WHERE ret IS NOT NULL AND beta IS NOT NULL")
+Q["alpha_on_index"] = _sql([PM, index_of("month"), "di AS (SELECT d.*, m FROM d JOIN ix USING (time))", beta("di", 12, 6, 6), f"m9 AS (SELECT code, time, CASE WHEN count(alpha) {over(3)} = 3 THEN avg(alpha) {over(3)} END AS v FROM fit)"], "code, time", ["v AS Hist_alpha"], "FROM m9 WHERE v IS NOT NULL")
+
+
+def returns_sql(parts: list[str], source: str, styles: list[str], industries: str) -> Sql:
+    """Pure factor returns of `styles` in `source` (code, time): per date the normal equations of the regression with the
+    last industry's factor put in terms of the others, solved by elimination, a column a step."""
+    n = len(styles)
+    return _sql(
+        [
+            *parts,
+            f"own AS (SELECT p.code, p.time, p.t, p.cap, j.L1 FROM p JOIN {industries})",
+            "caps AS (SELECT time, list(L1 ORDER BY L1) AS names, list(c ORDER BY L1) AS caps FROM (SELECT time, L1, coalesce(sum(cap), 0) AS c FROM own GROUP BY ALL) GROUP BY time)",
+            f"ex AS (SELECT own.*, [{', '.join(f's.{c}' for c in styles)}] AS f, coalesce(nx.ret, 0) AS r0, coalesce(ln(1 + nx.ret), 0) AS r1 FROM own JOIN {source} s ON s.code = own.code AND s.time = own.time LEFT JOIN p nx ON nx.code = own.code AND nx.t = own.t + 1 WHERE {' AND '.join(f's.{c} IS NOT NULL' for c in styles)})",
+            "zr AS (SELECT ex.time, sqrt(coalesce(cap, 0)) AS v, r0, r1, list_concat([1.0::DOUBLE], list_transform(range(1, len(names)), lambda i: CASE WHEN names[i] = L1 THEN 1.0 WHEN names[len(names)] = L1 AND caps[len(names)] <> 0 THEN -caps[i] / caps[len(names)] ELSE 0.0 END), f) AS z FROM ex JOIN caps USING (time))",
+            "gr AS (SELECT time, i, j, sum(v * z[i] * CASE WHEN j <= len(z) THEN z[j] WHEN j = len(z) + 1 THEN r0 ELSE r1 END) AS g FROM (SELECT *, unnest(range(1, len(z) + 3)) AS j FROM (SELECT *, unnest(range(1, len(z) + 1)) AS i FROM zr)) GROUP BY ALL)",
+            "mx AS (SELECT time, list(g ORDER BY i) AS m FROM (SELECT time, i, list(g ORDER BY j) AS g FROM gr GROUP BY ALL) GROUP BY time)",
+            "el AS (SELECT time, 1 AS k, m FROM mx UNION ALL SELECT time, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / m[k][k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= len(m))",
+            f"so AS (SELECT el.time, names, caps, list_transform(m, lambda r: r[len(m) + 1]) AS a, list_transform(m, lambda r: r[len(m) + 2]) AS b FROM el JOIN caps USING (time) WHERE k = len(m) + 1)",
+            "la AS (SELECT *, len(names) AS q, CASE WHEN caps[len(names)] <> 0 THEN coalesce(list_sum(list_transform(range(1, len(names)), lambda i: -caps[i] / caps[len(names)] * a[i + 1])), 0) ELSE 0 END AS xa, CASE WHEN caps[len(names)] <> 0 THEN coalesce(list_sum(list_transform(range(1, len(names)), lambda i: -caps[i] / caps[len(names)] * b[i + 1])), 0) ELSE 0 END AS xb FROM so)",
+            f"fr AS (SELECT time, unnest(list_concat(['country'], names, [{', '.join(repr(c) for c in styles)}])) AS factor, unnest(list_concat(a[1:q], [xa], a[q + 1:q + {n}])) AS simple, unnest(list_concat(b[1:q], [xb], b[q + 1:q + {n}])) AS log FROM la)",
+        ],
+        "time, factor",
+        ["simple", "log"],
+        "FROM fr",
+    )
+
+
+_two = ["turnover_ratio", "dv_ratio"]
+_recursive = lambda text: Sql(text.replace("WITH ", "WITH RECURSIVE ", 1))
+Q["pure_factor_returns"] = _recursive(returns_sql([PM, f"sz AS (SELECT code, time, {', '.join(zscore('p', _two))} FROM p)"], "sz", _two, "ind j ON j.code = p.code"))
+Q["style_returns"] = _recursive(returns_sql([*CLEAN, f"sy AS (SELECT code, time, {', '.join(f'{mean_of(*c)} AS {n}' for n, c in GROUPS.items())} FROM cl)", f"sz AS MATERIALIZED (SELECT code, time, {', '.join(zscore('sy', list(GROUPS)))} FROM sy)", INDP], "sz", list(GROUPS), "ip j ON j.code = p.code AND j.time = p.time"))
+
 ORACLE_SQL = Q

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import by_code, div
+from ..functions.columns import div
 from ..operators.attribution import pure_factor_returns
 from ..operators.evaluate import factor_ic, forward_return, icir
 from ..operators.events import expanding_forecast
@@ -64,12 +64,12 @@ def slice_ic(prices: DataFrame, window: int, half_life: float, n: int = 2) -> Da
     return factor_ic(cleaned, forward_return(prices, n), names, "spearman")
 
 
-def price_descriptors(prices: DataFrame, calendar: DataFrame, industry: DataFrame, w: Windows) -> list[DataFrame]:
-    """Tables (code, time, descriptors) from prices and valuations."""
+def price_descriptors(prices: DataFrame, calendar: DataFrame, industry: DataFrame, w: Windows, index: DataFrame | None = None) -> list[DataFrame]:
+    """Tables (code, time, descriptors) from prices and valuations; the regressions run on `index` (`price.benchmark`)."""
     long, half, mean = w.longterm
     return [
         price.size(prices),
-        price.market_beta(prices, *w.beta).drop("alpha"),
+        price.market_beta(prices, *w.beta, index=index).drop("alpha"),
         price.daily_std(prices, calendar, w.deviation),
         price.cumulative_range(prices, calendar, *w.range),
         price.turnover(prices, calendar, *w.turnover),
@@ -78,9 +78,9 @@ def price_descriptors(prices: DataFrame, calendar: DataFrame, industry: DataFram
         price.seasonality(prices, calendar, *w.seasons),
         price.industry_momentum(prices, prices, industry, calendar, *w.industry),
         price.relative_strength(prices, calendar, *w.strength, null_share=w.null_share),
-        price.smoothed_alpha(prices, calendar, *w.strength),
+        price.smoothed_alpha(prices, calendar, *w.strength, index=index),
         price.relative_strength(prices, calendar, long, half, mean, -1, "Longterm_Relative_strength", w.null_share),
-        price.smoothed_alpha(prices, calendar, long, half, mean, -1, "Longterm_Alpha"),
+        price.smoothed_alpha(prices, calendar, long, half, mean, -1, "Longterm_Alpha", index),
         price.value_ratios(prices),
         price.dividend(prices),
     ]
@@ -112,13 +112,13 @@ def descriptor_panel(prices: DataFrame, calendar: DataFrame, window: int = 12, h
     return reduce(lambda a, b: a.join(b, ["code", "time"], "full_outer"), parts)
 
 
-def descriptor_table(prices: DataFrame, calendar: DataFrame, industry: DataFrame, finance: DataFrame, days: DataFrame, dates: DataFrame, w: Windows = Windows(), keep: Keep = lambda name, compute: compute()) -> DataFrame:
+def descriptor_table(prices: DataFrame, calendar: DataFrame, industry: DataFrame, finance: DataFrame, days: DataFrame, dates: DataFrame, w: Windows = Windows(), keep: Keep = lambda name, compute: compute(), index: DataFrame | None = None) -> DataFrame:
     """(code, time) of the price rows with all DESCRIPTORS.
 
     Tables bucketed by code are joined without an exchange, so all the sorts of a chain of joins run in one task; AT_ONCE
     tables at a time are joined and kept, which bounds a task's memory.
     """
-    parts = [*price_descriptors(prices, calendar, industry, w), statement_descriptors(prices, calendar, finance, dates, w), *forecast_descriptors(prices, calendar, days, w)]
+    parts = [*price_descriptors(prices, calendar, industry, w, index), statement_descriptors(prices, calendar, finance, dates, w), *forecast_descriptors(prices, calendar, days, w)]
     keys = prices.select("code", "time")
     beside = lambda tables: reduce(lambda a, b: a.join(b, ["code", "time"], "left"), tables, keys)
     while len(parts) > 1:
@@ -127,23 +127,26 @@ def descriptor_table(prices: DataFrame, calendar: DataFrame, industry: DataFrame
     return parts[0].select("code", "time", *DESCRIPTORS)
 
 
-def style_returns(styles: DataFrame, prices: DataFrame, industry: DataFrame) -> DataFrame:
-    """Pure factor returns of the styles over the next trading day."""
-    ahead = prices.withColumn("next_ret", F.lead("ret").over(by_code())).withColumn("next_log", F.log(1 + F.col("next_ret")))
-    rows = styles.join(ahead.select("code", "time", F.col("circulating_market_cap").alias("cap"), "next_ret", "next_log"), ["code", "time"])
-    return pure_factor_returns(with_industry(rows, industry), list(STYLES))
+def factor_returns(exposures: DataFrame, names: list[str], prices: DataFrame, industry: DataFrame) -> DataFrame:
+    """Pure factor returns of the exposures (code, time, `names`) over the next trading day: the calendar's next day, on
+    which a suspended code has none. Capital is weighed over all codes that have an industry on the date."""
+    own = with_industry(prices.select("code", "time", "t", F.col("circulating_market_cap").alias("cap")), industry)
+    ahead = prices.select("code", (F.col("t") - 1).alias("t"), F.col("ret").alias("next_ret"), F.log(1 + F.col("ret")).alias("next_log"))
+    rows = own.join(exposures.select("code", "time", *names), ["code", "time"]).join(ahead, ["code", "t"], "left")
+    return pure_factor_returns(rows, names, own.groupBy("time", "L1").agg(F.coalesce(F.sum("cap"), F.lit(0.0)).alias("cap")))
 
 
-def build_factors(prices: DataFrame, calendar: DataFrame, industry: DataFrame, finance: DataFrame, days: DataFrame, dates: DataFrame, w: Windows = Windows(), n: int = 5, keep: Keep = lambda name, compute: compute()) -> dict[str, DataFrame]:
-    """Descriptors (raw and cleaned), styles, IC and ICIR of the descriptors, and the styles' pure factor returns.
+def build_factors(prices: DataFrame, calendar: DataFrame, industry: DataFrame, finance: DataFrame, days: DataFrame, dates: DataFrame, w: Windows = Windows(), n: int = 5, keep: Keep = lambda name, compute: compute(), index: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Descriptors (raw and cleaned), styles, IC and ICIR of the descriptors, and the styles' pure factor returns. With
+    `index` (`price.benchmark`) betas and alphas are those on the index, else on the mean return of all codes.
 
     Tables that several others read go through `keep(name, compute)`, such as `load_or_compute` with a path.
     """
-    raw = descriptor_table(prices, calendar, industry, finance, days, dates, w, keep)
+    raw = descriptor_table(prices, calendar, industry, finance, days, dates, w, keep, index)
     cleaned = keep("cleaned", lambda: clean_panel(raw, prices, DESCRIPTORS))
     styles = style_composite(cleaned, STYLES)
     ic = keep("ic", lambda: factor_ic(cleaned, forward_return(prices, n), DESCRIPTORS))
-    return {"descriptors": raw, "cleaned": cleaned, "styles": styles, "ic": ic, "icir": icir(ic), "returns": style_returns(styles, prices, industry)}
+    return {"descriptors": raw, "cleaned": cleaned, "styles": styles, "ic": ic, "icir": icir(ic), "returns": factor_returns(styles, list(STYLES), prices, industry)}
 
 
 def write_factors(built: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:

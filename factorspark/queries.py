@@ -12,11 +12,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.columns import by_code
-from .operators import attribution, calendar, evaluate, events, fundamentals, panel, rolling, training, xsection
-from .plans.factors import Windows, build_factors, descriptor_panel, slice_ic
+from .operators import calendar, evaluate, events, fundamentals, panel, rolling, training, xsection
+from .plans.factors import Windows, build_factors, descriptor_panel, factor_returns, slice_ic
 from .sources import adapters, io
 from .styles import price, statements
+from .styles.price import benchmark
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,16 +37,30 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _bucket_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings in which joins on (code, time) stay in a bucket of code."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return own
+
+
 class Tables:
-    """The derived tables of a folder, each written once per application and bucketed by code, so that the fact table
-    is read once for each of them and what works per code needs no exchange."""
+    """The derived tables of a folder, each written once per application and state of the folder, and bucketed by code,
+    so that the fact table is read once for each of them and what works per code needs no exchange."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, unit: str = "week"):
-        self.spark, self.sf, self.unit = spark, sf_dir, unit
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # joins on (code, time) stay in a bucket
+        self.spark, self.sf, self.unit = _bucket_session(spark), sf_dir, unit
+        self.stages = io.Stages(self.spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")])
 
     def keep(self, name: str, compute: Callable[[], DataFrame], by: str | None = "code", then: tuple[str, ...] = ()) -> DataFrame:
-        return io.staged(self.spark, f"{self.sf}/{name}", compute, by, then)
+        return self.stages.keep(name, compute, by, then)
+
+    def stage_all(self) -> None:
+        """Writes the tables that most queries read."""
+        _ = self.p, self.cal, self.industry_panel, self.filings, self.finance, self.days, self.dates
 
     @cached_property
     def p(self) -> DataFrame:
@@ -56,6 +70,10 @@ class Tables:
     def cal(self) -> DataFrame:
         return self.keep(f"calendar-{self.unit}", lambda: calendar.ordinals(self.p), None)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        return self.keep(f"index-{self.unit}", lambda: adapters.index_prices(self.spark, self.sf, self.unit), None)
+
     @cached_property
     def industry(self) -> DataFrame:
         return adapters.industry(self.spark, self.sf)
@@ -145,6 +163,8 @@ style("industry_momentum_varying", lambda x: price.industry_momentum(x.p, x.p, x
 style("relative_strength", lambda x: price.relative_strength(x.p, x.cal, 12, 6, 3), "month")
 style("hist_alpha", lambda x: price.smoothed_alpha(x.p, x.cal, 12, 6, 3), "month")
 style("longterm_strength", lambda x: price.relative_strength(x.p, x.cal, 36, 12, 3, -1, "Longterm_Relative_strength"), "month")
+style("beta_on_index", lambda x: price.market_beta(x.p, W, H, index=benchmark(x.index)).select("code", "time", "BETA", "Hist_sigma"))
+style("alpha_on_index", lambda x: price.smoothed_alpha(x.p, x.cal, 12, 6, 3, index=benchmark(x.index)), "month")
 style("longterm_alpha", lambda x: price.smoothed_alpha(x.p, x.cal, 36, 12, 3, -1, "Longterm_Alpha"), "month")
 style("panel_rolling_apply", lambda x: rolling.panel_rolling_apply(x.p.select("code", "time", "turnover_ratio"), "time", "code", "turnover_ratio", 4, lambda s: 4 * s.std(ddof=0) / s.mean()), "month")
 
@@ -179,9 +199,8 @@ style("cumulative_returns", lambda x: evaluate.cumulative(x.p.select(F.col("code
 
 
 def _attribution(x: Tables) -> DataFrame:
-    nxt = x.p.join(x.industry, "code").withColumn("cap", F.col("circulating_market_cap"))
-    ahead = F.lead("ret").over(by_code())
-    return attribution.pure_factor_returns(xsection.zscore(nxt.withColumn("next_ret", ahead).withColumn("next_log", F.log(1 + F.col("next_ret"))), ["turnover_ratio", "dv_ratio"]), ["turnover_ratio", "dv_ratio"])
+    columns = ["turnover_ratio", "dv_ratio"]
+    return factor_returns(xsection.zscore(x.p.select("code", "time", *columns), columns), columns, x.p, x.industry)
 
 
 style("pure_factor_returns", _attribution, "month")
@@ -240,7 +259,7 @@ WEEKLY = Windows(beta=(W, H), deviation=10, range=(4, 13, 2), turnover=(3, 12),
 
 
 def _factors(x: Tables) -> dict[str, DataFrame]:
-    keep = lambda name, compute: x.keep(f"factors-{name}", compute, "code" if name != "ic" else None)
+    keep = lambda name, compute: x.keep(f"factors-{WEEKLY}-{name}", compute, "code" if name != "ic" else None)
     return build_factors(x.p, x.cal, x.industry_panel, x.finance, x.days, x.dates, WEEKLY, keep=keep)
 
 

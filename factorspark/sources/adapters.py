@@ -50,6 +50,13 @@ def panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     return rows.withColumn("pre_close", before).withColumn("ret", F.col("close") / F.col("pre_close") - 1)
 
 
+def index_prices(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
+    """code, time, close, pre_close of one index: the mean price of all that was sold in a period, in four decimals."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.date_trunc(unit, "l_shipdate").cast("date").alias("time")).agg(*_sums())
+    rows = rows.select(F.lit("ALL").alias("code"), "time", F.round(F.col("e") / F.col("n"), 4).alias("close"))
+    return rows.withColumn("pre_close", F.lag("close").over(Window.partitionBy("code").orderBy("time")))  # a row per period
+
+
 def industry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, industry, L1: the supplier's nation and region."""
     nation = _table(spark, sf_dir, "nation").join(F.broadcast(_table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))

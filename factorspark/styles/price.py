@@ -31,9 +31,15 @@ def with_market(prices: DataFrame, index: DataFrame | None = None) -> DataFrame:
     return prices.join(F.broadcast(index), "time")  # one row per trading day
 
 
-def market_beta(prices: DataFrame, window: int = 252, half_life: float = 63, least: int | None = None) -> DataFrame:
-    """BETA, Hist_sigma and alpha of returns on the market."""
-    fit = weighted_beta(with_market(prices), "ret", "mkt_ret", window, half_life, least)
+def benchmark(index: DataFrame, code: str | None = None) -> DataFrame:
+    """(time, mkt_ret) of the index prices (time, close, pre_close), of one `code` if the table has several."""
+    rows = index if code is None else index.where(F.col("code") == code)
+    return rows.select("time", (div("close", "pre_close") - 1).alias("mkt_ret"))
+
+
+def market_beta(prices: DataFrame, window: int = 252, half_life: float = 63, least: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """BETA, Hist_sigma and alpha of returns on the market, or on an index (`benchmark`), which has no row of its own."""
+    fit = weighted_beta(with_market(prices, index), "ret", "mkt_ret", window, half_life, least)
     return fit.where("ret is not null and beta is not null").select("code", "time", F.col("beta").alias("BETA"), F.col("sigma").alias("Hist_sigma"), "alpha")
 
 
@@ -113,10 +119,10 @@ def relative_strength(prices: DataFrame, calendar: DataFrame, window: int = 252,
     return rs.select("code", "time", (sign * full_window(F.col("RS"), mean, F.avg)).alias(name)).where(F.col(name).isNotNull())
 
 
-def smoothed_alpha(prices: DataFrame, calendar: DataFrame, window: int = 252, half_life: float = 126, mean: int = 11, sign: int = 1, name: str = "Hist_alpha") -> DataFrame:
-    """Mean of the last `mean` intercepts of the market regression."""
+def smoothed_alpha(prices: DataFrame, calendar: DataFrame, window: int = 252, half_life: float = 126, mean: int = 11, sign: int = 1, name: str = "Hist_alpha", index: DataFrame | None = None) -> DataFrame:
+    """Mean of the last `mean` intercepts of the regression on the market, or on an index (`benchmark`)."""
     dense = dense_panel(prices, calendar, ["ret"])
-    index = prices.groupBy("time").agg(F.avg("ret").alias("mkt_ret"))
+    index = prices.groupBy("time").agg(F.avg("ret").alias("mkt_ret")) if index is None else index.select("time", "mkt_ret")
     fit = weighted_beta(dense.join(F.broadcast(index), "time"), "ret", "mkt_ret", window, half_life)
     return fit.select("code", "time", (sign * full_window(F.col("alpha"), mean, F.avg)).alias(name)).where(F.col(name).isNotNull())
 

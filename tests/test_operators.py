@@ -295,7 +295,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("code,time,open,close,pre_close\n")
     many = io.read_table(spark, [str(tmp_path / f"{c}.csv") for c in ("a", "b", "empty")], schemas.PRICE, "csv")
     assert many.schema == schemas.PRICE and sorted(r.code for r in many.collect()) == ["a", "b"]
-    once = [io.staged(spark, str(tmp_path), compute, "code", ("time",)) for _ in range(2)]
+    once = [io.Stages(spark, [str(tmp_path)]).keep("once", compute, "code", ("time",)) for _ in range(2)]
     assert calls == [1, 1] and [df.count() for df in once] == [1, 1]
     assert "Exchange" not in once[0].groupBy("code").count()._jdf.queryExecution().executedPlan().toString().replace("AQEShuffleRead", "")
 
