@@ -2,7 +2,8 @@
 
 A lenient parser cuts a page into leaf blocks: runs of text between block-level tags, with the path of open
 tags. Scripts, styles, comments and form controls never make blocks: a RAW element ends at its own literal end
-tag, whatever stands in it, and an UNSHOWN one with its parent at the latest. Formulas are text. Each block has a vector of its tag
+tag, whatever stands in it; an UNSHOWN one without an end tag hides only the text that follows it at once. Formulas are
+text. A quote opens an attribute's value only after "=". Each block has a vector of its tag
 path (hashed tag names, class, id and role words), a vector of its hashed words, and a few measures. A
 bidirectional LSTM in numpy reads the vectors of a page in order, so each label depends on the whole page,
 and classifies every block as main text or not.
@@ -10,7 +11,8 @@ and classifies every block as main text or not.
 The weights are trained here, on at most `train_pages` pages chosen by a hash of the id. Their first labels
 come from what page authors state: blocks in `article` or `main` are main text unless an element of a
 boilerplate kind lies between. Altered copies of the training pages teach the labeller to use context and
-class names: containers are renamed, and menus, notices, adverts, forms and comments are put in anywhere.
+class names and nothing else: containers are renamed, lists, tables, quotes, code and captions hold main text and
+boilerplate alike, and menus, notices, adverts, forms and comments are put in anywhere.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined
 by line breaks in page order; nothing is capped. A NULL or empty html, and a page without main text, give
@@ -34,22 +36,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import slices
 
-PATHS, WORDS, MEASURES, HIDDEN, BATCH = 96, 24, 6, 16, 128
+PATHS, WORDS, MEASURES, HIDDEN, BATCH = 256, 24, 8, 16, 128
 STEPS, CHUNK = 1 << 14, 1 << 12
 INPUTS = PATHS + WORDS + MEASURES
 
 # HTML element kinds and the usual names of page parts.
 RAW = frozenset("script style title textarea noscript iframe".split())
-UNSHOWN = frozenset("template svg select optgroup option button object annotation annotation-xml".split())
+UNSHOWN = frozenset("template svg select button object video audio canvas annotation annotation-xml".split())
+OPTIONS = frozenset("option optgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mspace msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br input".split()) | MATH
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark meter nobr output picture progress q rb rp rt rtc ruby s samp small source span strike strong sub sup time track tt u var wbr img br input".split()) | MATH
+PHRASES = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd figcaption caption summary pre".split())
+CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 MAIN = frozenset("article main content post entry story body-text maincontent post-content entry-content article-body".split())
 OTHER = frozenset("nav aside footer header form menu sidebar comment comments reply notice notices cookie cookies consent banner ad ads advert adverts advertisement sponsored promo newsletter subscribe related share social breadcrumb breadcrumbs login signup search copyright widget pagination toolbar popup modal".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+# A quote opens a value only after "=", and closes it where a name, "/" or ">" can follow, or before the next ">".
+_VALUE = r"""=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>])|"[^">]*+"|'[^'>]*+')"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:{_VALUE}|[^>])*+)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for tag in RAW}
+_SPANS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in UNSHOWN}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _PART = re.compile(r"[\s_]+")
 
@@ -62,26 +69,38 @@ class Block:
     tags: frozenset[str] = field(default_factory=frozenset)
 
 
+def _unshown_end(page: str, tag: str, at: int) -> int:
+    """Where an element that is not shown ends: after its end tag, or, if that is missing, where its own text does. A
+    button does not hold another one, so the end tag of a later one is not its own."""
+    deep = 1
+    for token in _SPANS[tag].finditer(page, at):
+        if not token[1] and tag in ("button", "select"):
+            break
+        deep += -1 if token[1] else not token[0].endswith("/>")
+        if not deep:
+            return token.end()
+    own = page.find("<", at)
+    return own if own >= 0 else len(page)
+
+
 def parse_blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, bool]] = []  # tag, tag and names, whether it is inline
     text: list[str] = []
-    at = linked = links = hidden = 0
+    at = linked = links = 0
 
     def close() -> None:
         nonlocal text, linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                path = tuple(name for tag, name in stack if tag not in INLINE)
-                blocks.append(Block(joined, path, linked))
+                blocks.append(Block(joined, tuple(name for _, name, inline in stack if not inline), linked))
         text, linked = [], 0
 
     def cut(low: int) -> None:
-        nonlocal links, hidden
-        links -= sum(t == "a" for t, _ in stack[low:])
-        hidden -= sum(t in UNSHOWN for t, _ in stack[low:])
+        nonlocal links
+        links -= sum(x[0] == "a" for x in stack[low:])
         del stack[low:]
 
     while token := _TOKEN.match(page, at):
@@ -89,18 +108,16 @@ def parse_blocks(page: str) -> list[Block]:
         tag = token[2]
         if tag is None:
             piece = token[0]
-            if not hidden and (piece[0] != "<" or piece == "<"):
+            if piece[0] != "<" or piece == "<":
                 text.append(piece)
                 linked += len(piece) if links else 0
             continue
         tag = tag.lower()
-        if tag not in INLINE:
-            close()
-        elif tag == "br":
-            text.append(" ")
         if token[1]:
             low = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if low is not None and not (tag in INLINE and any(t not in INLINE for t, _ in stack[low:])):
+            if not (tag in INLINE or tag in UNSHOWN or tag in RAW or tag in OPTIONS or low is None and "-" in tag or low is not None and stack[low][2]):
+                close()
+            if low is not None and not (stack[low][2] and any(not x[2] for x in stack[low:])):
                 cut(low)
             continue
         if tag in RAW:
@@ -108,33 +125,44 @@ def parse_blocks(page: str) -> list[Block]:
                 end = _ENDS[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if tag in VOID or token[0].endswith("/>") and (hidden or tag in UNSHOWN or tag in MATH):
+        if tag in UNSHOWN:
+            at = at if token[0].endswith("/>") else _unshown_end(page, tag, at)
+            continue
+        if tag in OPTIONS:
+            at = at if (own := page.find("<", at)) < 0 else own
+            continue
+        # an element of the page's own kind is inline where a phrase is under way
+        inline = tag in INLINE or "-" in tag and bool(stack and (stack[-1][2] or stack[-1][0] in PHRASES) or "".join(text).strip())
+        if not inline:
+            close()
+        elif tag == "br":
+            text.append(" ")
+        if tag in VOID or token[0].endswith("/>") and tag in MATH:
             continue
-        closes = CLOSES.get(tag, set() if tag in UNSHOWN else {"p"})
-        while stack and tag not in INLINE and (stack[-1][0] in closes or stack[-1][0] in INLINE and tag not in UNSHOWN):
+        closes = CLOSES.get(tag, {"p"})
+        while stack and not inline and (stack[-1][0] in closes or stack[-1][2]):
             cut(len(stack) - 1)
         names = " ".join(x for m in _NAMES.findall(token[3]) for x in m if x).lower() if token[3] and "=" in token[3] else ""
-        stack.append((tag, f"{tag} {names}" if names else tag))
+        stack.append((tag, f"{tag} {names}" if names else tag, inline))
         links += tag == "a"
-        hidden += tag in UNSHOWN
     close()
     return blocks
 
 
+def kinds_of(path: tuple[str, ...]) -> tuple[bool, bool]:
+    """Whether a path has an element of a main kind, and one of a boilerplate kind; the header of a main element is part
+    of it."""
+    main = other = False
+    for name in path:
+        words = set(_PART.split(name))
+        other = other or bool(words & OTHER) and not (main and words & OTHER == {"header"})
+        main = main or bool(words & MAIN)
+    return main, other
+
+
 def stated_labels(blocks: list[Block]) -> list[int]:
-    """1 where the innermost element of a main or boilerplate kind is of a main kind."""
-    out = []
-    for block in blocks:
-        label = 0
-        for name in block.path:
-            words = set(_PART.split(name))
-            if words & OTHER:
-                label = 0
-                break
-            if words & MAIN:
-                label = 1
-        out.append(label)
-    return out
+    """1 where a block lies in an element of a main kind and in none of a boilerplate kind."""
+    return [int(main and not other) for main, other in (kinds_of(b.path) for b in blocks)]
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
@@ -151,7 +179,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         n = len(words)
         row[PATHS : PATHS + WORDS] /= n
         marks = sum(block.text.count(c) for c in ".,;:!?")
-        row[PATHS + WORDS :] = (np.log1p(n) / 4, min(1.0, block.linked / len(block.text)), marks / n, depth / 8, block.text[-1] in ".!?", 1)
+        row[PATHS + WORDS :] = (np.log1p(n) / 4, min(1.0, block.linked / len(block.text)), marks / n, depth / 8, block.text[-1] in ".!?", 1, *kinds_of(block.path))
     return np.minimum(out, 3)
 
 
@@ -235,7 +263,8 @@ class Labeller:
         step = 0
         order = sorted(range(len(pages)), key=lambda k: len(pages[k][1]))
         groups = [order[k : k + batch] for k in range(0, len(order), batch)]
-        for _ in range(rounds):
+        for done in range(rounds):
+            pace = rate * (1 - done / rounds)
             for k in rng.permutation(len(groups)):
                 x, mask = padded([pages[j][0] for j in groups[k]])
                 y = np.zeros(mask.shape, np.float32)
@@ -246,7 +275,7 @@ class Labeller:
                     value = np.clip(value, -1, 1)
                     first[name] += 0.1 * (value - first[name])
                     second[name] += 0.001 * (value**2 - second[name])
-                    self.p[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+                    self.p[name] -= pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,28 +288,60 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+# What a block can stand in, in main text and boilerplate alike.
+LEAVES = [tuple(x.split()) for x in ("p", "p", "p", "", "ul li", "ol li", "ul li p", "table tr td", "table tbody tr td", "table tr th", "blockquote p", "blockquote", "pre", "figure figcaption", "dl dt", "dl dd", "h1", "h2", "h3", "h4", "div", "section p", "section h2", "div p", "details summary", "address", "center")]
+WRAPPERS = [(), (), (), ("div",), ("div wrapper",), ("section",), ("div container", "div row"), ("div inner",), ("center",)]
+
+
 def altered(blocks: list[Block], labels: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
-    """A copy of a page with its main container renamed and boilerplate of other kinds put in."""
-    mains, others = sorted(MAIN), sorted(OTHER)
-    name = mains[rng.integers(len(mains))]
-    name = name if name in ("article", "main") else ("div", "section")[rng.integers(2)] + " " + name
-    rename = lambda path: tuple(name if n.split(" ")[0] in ("article", "main") else n for n in path)
-    out = [Block(b.text, rename(b.path), b.linked) for b in blocks]
-    marks = list(labels)
-    texts = [b.text for b in blocks] or ["menu"]
+    """A copy of a page in which only the kinds of its parts tell main text from boilerplate: the main container gets
+    another name, or none; blocks of either kind stand in leaves and wrappers drawn from the same ones, with texts and
+    links of any block; boilerplate of other kinds is put in anywhere, and more main text beside main text."""
+    mains, others, texts = sorted(MAIN), sorted(OTHER), [b.text for b in blocks] or ["menu"]
+    draw = lambda items: items[rng.integers(len(items))]
+    name = draw(mains)
+    name = name if name in ("article", "main") else draw(("div", "section")) + " " + name
+    name = draw(("div", "section")) if rng.random() < 0.15 else name
+    wrapped = draw(WRAPPERS)
+
+    def part(path: tuple[str, ...], kinds: frozenset[str]) -> int:
+        return next((k + 1 for k, n in enumerate(path) if set(_PART.split(n)) & kinds), 0)
+
+    def block(text: str, path: tuple[str, ...], linked: int) -> Block:
+        if rng.random() < 0.5:
+            text = draw(texts)
+            if rng.random() < 0.5:
+                text = " ".join(text.split()[: 1 + rng.integers(4)])
+            linked = len(text) if rng.random() < 0.3 else 0
+        return Block(text, path, linked)
+
+    out, marks, body = [], [], ("html", "body")
+    for b, y in zip(blocks, labels, strict=True):
+        low = part(b.path, MAIN if y else OTHER)
+        if y:
+            body = (*b.path[: low - 1], *wrapped, name)
+            for _ in range(1 + (rng.integers(1, 4) if rng.random() < 0.2 else 0)):
+                leaf = b.path[low:] if rng.random() < 0.4 else (("header", draw(("h1", "p"))) if rng.random() < 0.08 else draw(WRAPPERS) + draw(LEAVES))
+                out.append(block(b.text, (*body, *leaf), b.linked))
+                marks.append(1)
+        else:
+            leaf = b.path[low:] if not low or rng.random() < 0.4 else draw(WRAPPERS) + draw(LEAVES)
+            out.append(block(b.text, (*b.path[:low], *leaf), b.linked) if low else b)
+            marks.append(0)
     for _ in range(rng.integers(1, 6)):
         at = int(rng.integers(len(out) + 1))
         near = out[max(0, at - 1)].path if out else ("html", "body")
-        other = others[rng.integers(len(others))]
-        own = other if other in ("nav", "aside", "footer", "header", "form") and rng.random() < 0.7 else ("div", "section", "ul", "p")[rng.integers(4)] + " " + other
-        base = near[: next((k for k, n in enumerate(near) if set(_PART.split(n)) & OTHER), len(near))] if rng.random() < 0.6 else near[:2]
-        run = [Block(texts[rng.integers(len(texts))], (*base, own, *(("p",), ("li",), (), ("div",))[rng.integers(4)]), 0) for _ in range(rng.integers(1, 5))]
+        other = draw(others)
+        own = other if other in ("nav", "aside", "footer", "header", "form") and rng.random() < 0.7 else draw(("div", "section", "ul", "p")) + " " + other
+        inside = rng.random() < 0.6 and not own.startswith("header")  # a header inside would be the article's
+        base = near[: next((k for k, n in enumerate(near) if set(_PART.split(n)) & OTHER), len(near))] if inside else near[:2]
+        run = [block(draw(texts), (*base, own, *draw(WRAPPERS), *draw(LEAVES)), 0) for _ in range(rng.integers(1, 5))]
         out[at:at] = run
         marks[at:at] = [0] * len(run)
     return out, marks
 
 
-def train_labeller(pages: list[str], examples: int = 1000, longest: int = 60, seed: int = 7) -> Labeller:
+def train_labeller(pages: list[str], examples: int = 1200, longest: int = 60, seed: int = 7) -> Labeller:
     """Trains on `pages` and altered copies of them, about `examples` in all; training reads at most
     `longest` blocks in a row of one."""
     rng = np.random.default_rng(seed)
