@@ -1,17 +1,17 @@
-"""Walk-forward training, scoring and ranking with Spark ML."""
+"""Walk-forward training, scoring and ranking."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import div
+from ..sources.io import existing, shared_folder
+from .boosting import Boosted, Options, fit
 from .evaluate import average_rank
 from .panel import with_industry
 from .xsection import dummies, zscore
@@ -38,65 +38,83 @@ def time_split(rows: DataFrame, by: list[str], share: float = 0.8, time: str = "
     return rows.join(F.broadcast(cut), by).withColumn("is_train", day < F.col("_cut")).drop("_cut")  # one row per window
 
 
-def _prepared(train: DataFrame, columns: list[str], scale: bool):
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw" if scale else "features", handleInvalid="keep")]
-    if scale:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(stages[0].transform(train.where("is_train"))))
-    return lambda df: reduce(lambda d, s: s.transform(d), stages, df)
+def standardized(train: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """The columns less their means and over their deviations, both those of the rows of `train`; a column that does not
+    vary keeps its scale."""
+    found = train.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"d{k}") for k, c in enumerate(columns)]).first()
+    return {c: (F.col(c) - F.lit(found[f"m{k}"])) / F.lit(found[f"d{k}"] or 1.0) for k, c in enumerate(columns)}
 
 
-def fit_regression(rows: DataFrame, columns: list[str], label: str = "return_ratio", rounds: int = 50, rate: float = 0.05, seed: int = 42):
+def fit_regression(rows: DataFrame, columns: list[str], label: str = "return_ratio", rounds: int = 1000, rate: float = 0.01, seed: int = 42, **options) -> tuple[Callable[[DataFrame], DataFrame], Boosted]:
     """Boosted trees on the rows of `is_train`, stopped early on the others; features are scaled on the
     training rows and the same scaling applies to every row scored. Returns (score function, model)."""
-    rows = rows.dropna(subset=[label, *columns])
-    prepare = _prepared(rows, columns, True)
-    model = GBTRegressor(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=4, subsamplingRate=0.8, featureSubsetStrategy="0.9", validationIndicatorCol="_late", seed=seed).fit(prepare(rows.withColumn("_late", ~F.col("is_train"))))
-    return lambda df: model.transform(prepare(df.dropna(subset=columns))).withColumn("score", F.col("prediction")).drop("raw", "features", "prediction"), model
+    scaled = standardized(rows.where("is_train"), columns)
+    model = fit(rows.withColumns(scaled), columns, label, Options(rounds=rounds, rate=rate, seed=seed, **options), key=_keys(rows))
+    return lambda df: model.score(df, inputs=scaled), model
 
 
-def fit_classifier(rows: DataFrame, columns: list[str], label: str = "class_label", rounds: int = 50, rate: float = 0.05, seed: int = 42):
+def fit_classifier(rows: DataFrame, columns: list[str], label: str = "class_label", rounds: int = 1000, rate: float = 0.01, seed: int = 42, **options) -> tuple[Callable[[DataFrame], DataFrame], Boosted]:
     """Boosted trees for up or down with class weights n / (2 n_class). Returns (score function, model)."""
-    prepare = _prepared(rows, columns, False)
-    counts = rows.where("is_train").groupBy(label).count()
-    total = counts.agg(F.sum("count").alias("_all"))
-    weights = counts.join(F.broadcast(total)).select(label, (F.col("_all") / (2.0 * F.col("count"))).alias("_weight"))
-    known = rows.dropna(subset=[label, *columns]).withColumn("_late", ~F.col("is_train")).join(F.broadcast(weights), label)  # two rows
-    model = GBTClassifier(labelCol=label, weightCol="_weight", maxIter=rounds, stepSize=rate, maxDepth=4, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.9", validationIndicatorCol="_late", seed=seed).fit(prepare(known))
-    return lambda df: model.transform(prepare(df.dropna(subset=columns))).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction"), model
-
-
-def fit_windows(rows: DataFrame, spans: DataFrame, fit: Callable, columns: list[str], time: str = "time", **options) -> list[tuple[int, DataFrame, object]]:
-    """(window_id, scored rows of the test day, model) of every window of `walk_forward`, in order: the loop
-    runs over windows, and each fit is distributed over the window's rows."""
-    out = []
-    rows = rows.persist()
-    for span in spans.orderBy("window_id").collect():  # one row per training window
-        own = rows.withColumn("window_id", F.lit(span["window_id"]))
-        train = time_split(own.where(F.col(time).between(F.lit(span["start"]), F.lit(span["end"]))), ["window_id"], time=time)
-        score, model = fit(train, columns, **options)
-        out.append((span["window_id"], score(own.where(F.col(time) == F.lit(span["test"]))), model))
-    rows.unpersist()
-    return out
-
-
-def walk_forward_run(rows: DataFrame, spans: DataFrame, columns: list[str], kind: str = "regression", **options) -> dict[str, DataFrame]:
-    """Trains and scores every window: `portfolio` has the ranked test days, `importance` the features of each window
-    by gain, and `metrics` a row per window with its span, its test day's metrics and its importances."""
-    fit = {"regression": fit_regression, "classifier": fit_classifier}[kind]
-    runs = fit_windows(rows, spans, fit, columns, **options)
+    counts = {r[0]: r[1] for r in rows.where("is_train").where(F.col(label).isNotNull()).groupBy(label).count().collect()}  # two classes
+    weight = F.lit(1.0)
+    for kind, n in counts.items():
+        weight = F.when(F.col(label) == kind, sum(counts.values()) / (2.0 * n)).otherwise(weight)
+    given = {"features": 0.8, "l1": 0.1, "l2": 0.1} | options
+    model = fit(rows.withColumn("_balance", weight), columns, label, Options(goal="binary", rounds=rounds, rate=rate, seed=seed, **given), weight="_balance", key=_keys(rows))
+    return model.score, model
+
+
+def _keys(rows: DataFrame) -> list[str] | None:
+    return ["code", "time"] if {"code", "time"} <= set(rows.columns) else None
+
+
+FITS = {"regression": fit_regression, "classifier": fit_classifier}
+IMPORTANCE = "feature string, importance double, splits long"
+
+
+def train_windows(rows: DataFrame, spans: DataFrame, columns: list[str], kind: str, folder: str, workers: int = 4, time: str = "time", **options) -> None:
+    """Trains and scores every window of `walk_forward` and writes it to `folder`: the scored rows of its test day, the
+    importances, and last its span, which marks the window as done. Windows that are done are left alone, so a run that
+    was stopped goes on where it was. `workers` windows run at a time, each in a scheduler pool of its own; `rows` are
+    read once by each window, so they should be a written table, best in order of time."""
+    spark = rows.sparkSession
+    done = existing(spark, f"{folder}/done")
+    have = set() if done is None else {r[0] for r in done.select("window_id").distinct().collect()}  # a row per window
+
+    def train(span) -> None:
+        k = span["window_id"]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"window-{k}")
+        own = rows.where(F.col(time).between(F.lit(span["start"]), F.lit(span["end"]))).withColumn("window_id", F.lit(k))
+        score, model = FITS[kind](time_split(own, ["window_id"], time=time), columns, **options)
+        test = rows.where(F.col(time) == F.lit(span["test"]))
+        score(test).write.mode("overwrite").parquet(f"{folder}/scored/window_id={k}")
+        spark.createDataFrame(model.importance(), IMPORTANCE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/importance/window_id={k}")
+        mark = [(span["start"], span["end"], span["test"], len(model.trees))]
+        spark.createDataFrame(mark, "start date, end date, test date, rounds int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done/window_id={k}")
+
+    todo = [s for s in spans.orderBy("window_id").collect() if s["window_id"] not in have]  # a row per window
+    with ThreadPoolExecutor(workers) as pool:
+        list(pool.map(inheritable_thread_target(spark)(train), todo))
+
+
+def walk_forward_run(rows: DataFrame, spans: DataFrame, columns: list[str], kind: str = "regression", folder: str | None = None, **options) -> dict[str, DataFrame]:
+    """Trains and scores every window (`train_windows`): `portfolio` has the ranked test days, `importance` the features
+    of each window by gain and number of splits, and `metrics` a row per window with its span, its rounds, its test day's
+    metrics and its importances. The tables are read from `folder`, so their plans do not grow with the windows."""
     spark = rows.sparkSession
-    scored = reduce(DataFrame.unionByName, (out for _, out, _ in runs))
-    importance = reduce(DataFrame.unionByName, (feature_importance(spark, model, columns).select(F.lit(k).alias("window_id"), "*") for k, _, model in runs))
+    folder = folder or f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    train_windows(rows, spans, columns, kind, folder, **options)
+    read = lambda name: spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").withColumn("window_id", F.col("window_id").cast("int"))
+    scored, importance, done = read("scored"), read("importance").select("window_id", "feature", "importance", "splits"), read("done")
     found = regression_metrics(scored, "return_ratio", "score", ["window_id"]) if kind == "regression" else class_metrics(scored, "class_label", "score", ["window_id"])
-    listed = importance.groupBy("window_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("importance"), "feature"))), lambda x: F.struct(x.feature.alias("feature"), (-x.col1).alias("importance"))).alias("importances"))
-    metrics = spans.join(found, "window_id").join(listed, "window_id")
-    return {"portfolio": rank_portfolio(scored), "importance": importance, "metrics": metrics}
+    listed = importance.groupBy("window_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("splits")).alias("n"), (-F.col("importance")).alias("gain"), "feature"))), lambda x: F.struct(x.feature.alias("feature"), (-x.gain).alias("importance"), (-x.n).alias("splits"))).alias("importances"))
+    metrics = done.join(found, "window_id", "left").join(listed, "window_id")
+    return {"portfolio": rank_portfolio(scored), "importance": importance, "metrics": metrics.select("window_id", "start", "end", "test", "rounds", *[c for c in found.columns if c != "window_id"], "importances")}
 
 
-def feature_importance(spark, model, columns: list[str]) -> DataFrame:
-    """(feature, importance), by gain, the largest first."""
-    rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), "feature string, importance double")
+def feature_importance(spark, model: Boosted) -> DataFrame:
+    """(feature, importance, splits): gain and number of splits of each feature."""
+    return spark.createDataFrame(model.importance(), IMPORTANCE)
 
 
 def regression_metrics(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import calendar, evaluate, events, fundamentals, panel, rolling, training, xsection
-from .plans.factors import Windows, build_factors, descriptor_panel, factor_returns, slice_ic
+from .plans.factors import DESCRIPTORS, Windows, build_factors, descriptor_panel, factor_returns, slice_ic
 from .sources import adapters, io
 from .styles import price, statements
 from .styles.price import benchmark
@@ -242,9 +242,15 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAINED = ["turnover_ratio", "dv_ratio", "ret"]
 
 
+def _in_time(df: DataFrame) -> DataFrame:
+    """Rows in order of time, so that a window's dates are a part of the files."""
+    return df.repartitionByRange("time").sortWithinPartitions("time")
+
+
 def _run(x: Tables, kind: str) -> dict[str, DataFrame]:
-    """Every walk-forward window, trained and scored."""
-    return training.walk_forward_run(evaluate.labels(x.p, 3), training.walk_forward(x.cal, 40, 20, 5), TRAINED, kind, rounds=10)
+    """Every walk-forward window of three columns, trained and scored."""
+    rows = x.keep("training-rows-3", lambda: _in_time(evaluate.labels(x.p, 3)), None)
+    return training.walk_forward_run(rows, training.walk_forward(x.cal, 40, 20, 5), TRAINED, kind, x.stages.folder(f"windows-40-20-5-10-{kind}"), rounds=10, rate=0.1)
 
 
 RANKED = ["window_id", "code", "time", "return_ratio", "class_label", "score", "rank"]
@@ -268,5 +274,20 @@ style("all_styles", lambda x: _factors(x)["styles"])
 style("all_factor_ic", lambda x: _factors(x)["ic"])
 style("all_icir", lambda x: _factors(x)["icir"])
 style("style_returns", lambda x: _factors(x)["returns"])
+
+
+def _strategy(x: Tables, kind: str) -> dict[str, DataFrame]:
+    """All descriptors with the industries of the day, trained and scored in windows of 150 weeks, 60 weeks apart; test
+    days come so late that no label of the training rows reaches beyond them."""
+    inputs = [*DESCRIPTORS, *[f"L1_{r}" for r in REGIONS], "country"]
+    table = lambda: _in_time(training.training_table(_factors(x)["descriptors"], DESCRIPTORS, x.industry_panel, REGIONS, evaluate.labels(x.p, 5)))
+    rows = x.keep(f"training-rows-5-{WEEKLY}", table, None)
+    return training.walk_forward_run(rows, training.walk_forward(x.cal, 150, 60, 5), inputs, kind, x.stages.folder(f"strategy-150-60-5-10-{kind}-{WEEKLY}"), rounds=10, rate=0.1)
+
+
+style("strategy_portfolio", lambda x: _strategy(x, "classifier")["portfolio"].select(RANKED))
+style("strategy_metrics", lambda x: _strategy(x, "classifier")["metrics"].drop("importances"))
+style("strategy_importance", lambda x: _strategy(x, "classifier")["importance"])
+style("strategy_regression", lambda x: _strategy(x, "regression")["metrics"].drop("importances"))
 EIGHT = ["LNCAP", "MIDCAP", "BETA", "Hist_sigma", "Daily_std", "Book_to_price", "Earning_to_price", "Dividend_to_Price"]
 style("descriptor_panel", lambda x: descriptor_panel(x.p, x.cal).select("code", "time", *EIGHT), "month")

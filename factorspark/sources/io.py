@@ -160,8 +160,14 @@ class Stages:
                     self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{old.name}")
         return self.spark.table(f"{self.database}.{table}")
 
+    def folder(self, name: str) -> str:
+        """A folder for files of `name` that follow from the inputs, beside the tables and dropped with them."""
+        mark = hashlib.sha1(f"{sorted(self.inputs)}/{name}/{self.mark[0]}".encode()).hexdigest()[:24]
+        return f"{shared_folder(self.spark)}/{self.database}/files-{mark}"
+
     def drop(self) -> None:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+        delete(self.spark, f"{shared_folder(self.spark)}/{self.database}")
         del self.database  # made again by the next use
 
 

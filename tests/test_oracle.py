@@ -52,4 +52,4 @@ def test_query_equals_sql(spark, data, duck, name):
 
 
 def test_only_models_and_solvers_have_no_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"boosted_regression", "boosted_classifier", "feature_importance", "walk_forward_regression", "walk_forward_classifier"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"boosted_regression", "boosted_classifier", "feature_importance", "walk_forward_regression", "walk_forward_classifier", "strategy_portfolio", "strategy_metrics", "strategy_importance", "strategy_regression"}
