@@ -34,10 +34,7 @@ def half_life_weights(window: int, half_life: float, standardize: bool = True) -
 
 
 def decay(half_life: float, t: Column | str = "t") -> Column:
-    """2 ** (t / half_life): the growing part of a half-life weight, to be used inside a window sum.
-
-    The double range allows t up to about 1000 half-lives; shorter half-lives use `lagged_sum`.
-    """
+    """2 ** (t / half_life): the growing part of a half-life weight, for a `t` that does not reach 1000 half-lives."""
     return F.pow(F.lit(2.0), (F.col(t) if isinstance(t, str) else t) / F.lit(float(half_life)))
 
 

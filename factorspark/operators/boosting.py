@@ -277,7 +277,10 @@ def grow(splits: Callable[[Tree, list[int]], dict[int, tuple]], o: Options) -> T
                 gain, feature, at, missing, parts = known[k]
                 made.feature[k], made.bin[k], made.missing_left[k], made.gain[k] = feature, at, missing, gain
                 made.left[k], made.right[k] = made.add(), made.add()
-                sums[made.left[k]], sums[made.right[k]] = parts[:3], parts[3:]
+                for child, own in ((made.left[k], parts[:3]), (made.right[k], parts[3:])):
+                    sums[child] = own
+                    if own[2] < 2 * o.least_rows or own[1] < 2 * o.least_hessian:
+                        known[child] = None  # too small for a split
             chosen.append(k)
             for child in (made.left[k], made.right[k]):
                 if child not in known:

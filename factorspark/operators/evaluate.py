@@ -52,24 +52,26 @@ def correlation(a: str, b: str) -> Column:
     return div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def inversions(y: np.ndarray) -> int:
+    """Pairs of places with a greater whole number before a smaller one: level by level, those between the halves of each
+    block, whose sorted left halves are looked up by the right ones."""
+    place, top, total, size = np.arange(len(y)), int(y.max(initial=0)) + 1, 0, 1
+    while size < len(y):
+        block, late = place // (2 * size), place // size % 2 == 1
+        keys = block * top + y
+        left = np.sort(keys[~late])
+        end = np.searchsorted(left, (block[late] + 1) * top, "left")
+        total += int((end - np.searchsorted(left, keys[late], "right")).sum())
+        size *= 2
+    return total
+
+
 def _kendall(rows: pd.DataFrame) -> pd.DataFrame:
-    """tau-b; sorting by x and y and counting inversions by insertion into a sorted array keeps memory linear."""
+    """tau-b, by the inversions of y in the order of x and y."""
     x, y = rows["value"].to_numpy(float), rows["forward"].to_numpy(float)
     order = np.lexsort((y, x))
     x, y = x[order], np.unique(y[order], return_inverse=True)[1]
-    n = len(x)
-    tree = np.zeros(y.max(initial=0) + 2, np.int64)
-    swaps = 0
-    for k, v in enumerate(y.tolist()):
-        at, below = v + 1, 0
-        while at > 0:
-            below += tree[at]
-            at -= at & -at
-        swaps += k - below
-        at = v + 1
-        while at < len(tree):
-            tree[at] += 1
-            at += at & -at
+    n, swaps = len(x), inversions(y)
     pairs = lambda c: (c * (c - 1) // 2).sum()
     tx, ty = (pairs(np.unique(z, return_counts=True)[1]) for z in (x, y))
     txy = pairs(np.unique(np.stack((x, y)), axis=1, return_counts=True)[1])

@@ -48,14 +48,15 @@ def listed_before(listing: DataFrame, start: dt.date) -> DataFrame:
     return listing.where(F.col("list_date") <= F.lit(start)).select("code").distinct()
 
 
-def with_industry(df: DataFrame, industry: DataFrame, columns: tuple[str, ...] = ("L1",), month_start: bool = False, how: str = "inner") -> DataFrame:
+def with_industry(df: DataFrame, industry: DataFrame, columns: tuple[str, ...] = ("L1",), month_start: bool = False, how: str = "inner", calendar: DataFrame | None = None) -> DataFrame:
     """Adds industry columns: those of the code, or of (code, time) if the industry table varies in time; with
-    `month_start`, those of the first day of the month."""
+    `month_start`, those of the first day of the month: of the calendar's days, or else of those of `df`, which has to be
+    computed for it."""
     if "time" not in industry.columns:
         return df.join(industry.select("code", *columns), "code", how)
     if not month_start:
         return df.join(industry.select("code", "time", *columns), ["code", "time"], how)
-    dated = df.join(F.broadcast(month_starts(df)), "time")  # one row per trading day
+    dated = df.join(F.broadcast(month_starts(df if calendar is None else calendar)), "time")  # one row per trading day
     return dated.join(industry.select("code", F.col("time").alias("month_start"), *columns), ["code", "month_start"], how).drop("month_start")
 
 

@@ -20,25 +20,43 @@ def full_window(value: Column, n: int, how: Callable[[Column], Column] = F.sum)
     return F.when(F.count(value).over(over) == n, how(value).over(over))
 
 
+def decayed_sum(value: Column, window: int, half_life: float) -> Column:
+    """Sum over the last `window` calendar steps of the values, each times 0.5 ** (age / half_life); NULL without values.
+
+    Weights count from the start of blocks of `window` steps. A window meets two neighbouring blocks at most, so the sums
+    over even and odd blocks are those over this block and the one before, and no weight leaves the range of doubles
+    however long the calendar is.
+    """
+    over, block = last_rows(window), F.floor(F.col("t") / window)
+    even = block % 2 == 0
+    grown = decay(half_life, F.col("t") - block * window)
+    sums = [F.sum(F.when(side, value * grown)).over(over) for side in (even, ~even)]
+    this, before = F.when(even, sums[0]).otherwise(sums[1]), F.when(even, sums[1]).otherwise(sums[0])
+    earlier = before * F.lit(0.5 ** (window / half_life))
+    return (F.coalesce(this + earlier, this, earlier)) / grown
+
+
 def weighted_beta(df: DataFrame, y: str, x: str, window: int, half_life: float, least: int | None = None) -> DataFrame:
     """Adds alpha, beta and sigma of y on x with half-life weights over `window` calendar steps.
 
     Rows with both values count; at least `least` of them are needed and `window` steps of calendar. sigma is
-    the population deviation of the unweighted residuals. All are NULL where x does not vary.
+    the population deviation of the unweighted residuals. All are NULL where x does not vary. Sums are taken of
+    deviations from the code's means, so that large values with small changes keep their digits.
     """
     over, least = last_rows(window), half_life if least is None else least
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
-    w = F.when(both, decay(half_life, F.col("t")))
-    a, b = F.col(x), F.col(y)
-    total = lambda c: F.sum(c).over(over)
-    ys, xs = F.when(both, b), F.when(both, a)
-    df = df.withColumns({"_n": F.count(w).over(over), "_w": total(w), "_x": total(w * a), "_y": total(w * b), "_xx": total(w * a * a), "_xy": total(w * a * b), "_vy": F.var_pop(ys).over(over), "_vx": F.var_pop(xs).over(over), "_c": F.covar_pop(ys, xs).over(over)})
+    ys, xs = F.when(both, F.col(y)), F.when(both, F.col(x))
+    whole = Window.partitionBy("code")
+    df = df.withColumns({"_my": F.avg(ys).over(whole), "_mx": F.avg(xs).over(whole)})
+    a, b = xs - F.col("_mx"), ys - F.col("_my")
+    total = lambda c: decayed_sum(c, window, half_life)
+    df = df.withColumns({"_n": F.count(ys).over(over), "_w": total(F.when(both, F.lit(1.0))), "_x": total(a), "_y": total(b), "_xx": total(a * a), "_xy": total(a * b), "_vy": F.var_pop(ys).over(over), "_vx": F.var_pop(xs).over(over), "_c": F.covar_pop(ys, xs).over(over)})
     enough = (F.col("_n") >= least) & (F.col("t") >= window)
     spread = F.col("_w") * F.col("_xx") - F.col("_x") * F.col("_x")
     df = df.withColumn("beta", F.when(enough & (F.col("_vx") > 0), div(F.col("_w") * F.col("_xy") - F.col("_x") * F.col("_y"), spread)))
-    df = df.withColumn("alpha", div(F.col("_y") - F.col("beta") * F.col("_x"), F.col("_w")))
+    df = df.withColumn("alpha", div(F.col("_y") - F.col("beta") * F.col("_x"), F.col("_w")) + F.col("_my") - F.col("beta") * F.col("_mx"))
     left = F.col("_vy") + F.col("beta") * F.col("beta") * F.col("_vx") - 2 * F.col("beta") * F.col("_c")
-    return df.withColumn("sigma", F.sqrt(F.greatest(left, F.lit(0.0)))).withColumn("sigma", F.when(F.col("beta").isNotNull(), F.col("sigma"))).drop("_n", "_w", "_x", "_y", "_xx", "_xy", "_vy", "_vx", "_c")
+    return df.withColumn("sigma", F.sqrt(F.greatest(left, F.lit(0.0)))).withColumn("sigma", F.when(F.col("beta").isNotNull(), F.col("sigma"))).drop("_n", "_w", "_x", "_y", "_xx", "_xy", "_vy", "_vx", "_c", "_my", "_mx")
 
 
 def weighted_sum(value: Column, window: int, half_life: float, null_share: float = 0.1, null_denominator: int | None = None) -> Column:
@@ -46,7 +64,7 @@ def weighted_sum(value: Column, window: int, half_life: float, null_share: float
     (over `null_denominator`, the window by default) exceeds `null_share` or the calendar is too short."""
     over = last_rows(window)
     norm = sum(half_life_weights(window, half_life, standardize=False))
-    total = F.coalesce(F.sum(value * decay(half_life)).over(over), F.lit(0.0)) / decay(half_life, F.col("t") + 1) / F.lit(norm)
+    total = F.coalesce(decayed_sum(value, window, half_life), F.lit(0.0)) * F.lit(0.5 ** (1 / half_life) / norm)
     missing = window - F.count(value).over(over)
     return F.when((missing / F.lit(float(null_denominator or window)) <= null_share) & (F.col("t") >= window), total)
 

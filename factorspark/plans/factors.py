@@ -94,7 +94,7 @@ def statement_descriptors(prices: DataFrame, calendar: DataFrame, finance: DataF
     return rows.select("code", "time", *[c for c in DESCRIPTORS if c in rows.columns])
 
 
-def forecast_descriptors(prices: DataFrame, calendar: DataFrame, days: DataFrame, w: Windows) -> list[DataFrame]:
+def forecast_descriptors(prices: DataFrame, calendar: DataFrame, days: DataFrame, w: Windows, keep: Keep = lambda name, compute: compute()) -> list[DataFrame]:
     """Tables of the descriptors from forecasts (`events.forecast_days`)."""
     profit = expanding_forecast(days, calendar, "np").join(prices.select("code", "time", "market_cap"), ["code", "time"])
     per_cap = lambda c: div(F.col(c) / w.forecast_scale, F.col("market_cap"))
@@ -102,7 +102,7 @@ def forecast_descriptors(prices: DataFrame, calendar: DataFrame, days: DataFrame
         profit.select("code", "time", per_cap("mean").alias("forecast_EP_mean"), per_cap("std").alias("forecast_EP_std")),
         statements.forecast(days.withColumn("year", F.col("year") + 2), None, calendar, "roe", "mean", "roe_mean", ahead=2),
         statements.forecast(days, None, calendar, "rd", "mean", "Forecast_Dividend_to_Price"),
-        statements.sentiment(days, prices, calendar, w.change, w.forecast_scale),
+        statements.sentiment(days, prices, calendar, w.change, w.forecast_scale, keep),
     ]
 
 
@@ -118,7 +118,7 @@ def descriptor_table(prices: DataFrame, calendar: DataFrame, industry: DataFrame
     Tables bucketed by code are joined without an exchange, so all the sorts of a chain of joins run in one task; AT_ONCE
     tables at a time are joined and kept, which bounds a task's memory.
     """
-    parts = [*price_descriptors(prices, calendar, industry, w, index), statement_descriptors(prices, calendar, finance, dates, w), *forecast_descriptors(prices, calendar, days, w)]
+    parts = [*price_descriptors(prices, calendar, industry, w, index), statement_descriptors(prices, calendar, finance, dates, w), *forecast_descriptors(prices, calendar, days, w, keep)]
     keys = prices.select("code", "time")
     beside = lambda tables: reduce(lambda a, b: a.join(b, ["code", "time"], "left"), tables, keys)
     while len(parts) > 1:

@@ -128,7 +128,7 @@ style("select_statements", lambda x: panel.select_statements(x.finance, end=END,
 style("select_reports", lambda x: panel.select_reports(x.reports, [1998, 1999], start=START, end=END).groupBy("code", "year").agg(F.count("*").alias("n"), F.max("np").alias("np")))
 style("code_prefix", lambda x: panel.with_prefix(x.p.select("code", "time", "close"), ["1", "3", "6"]))
 style("listed_before", lambda x: panel.listed_before(adapters.listing(x.spark, x.sf), dt.date(1995, 1, 20)))
-style("industry_month_start", lambda x: panel.with_industry(x.p.select("code", "time", "close"), x.industry_panel, ("industry", "L1"), month_start=True))
+style("industry_month_start", lambda x: panel.with_industry(x.p.select("code", "time", "close"), x.industry_panel, ("industry", "L1"), month_start=True, calendar=x.cal))
 style("industry_map", lambda x: panel.map_category(x.industry, x.industry.where("industry not like 'A%'").select("industry", "L1").distinct(), "industry", "L1").select("code", "industry", "L1"))
 style("fill_limited", lambda x: panel.densify(x.p.select("code", "time", "t", "close"), x.cal).select("code", "time", panel.fill_limited("close", 2).alias("close")))
 
@@ -184,7 +184,7 @@ style("forecast_dividend", lambda x: statements.forecast(x.days, None, x.cal, "r
 style("forecast_ep_mean", lambda x: statements.forecast(x.days, x.p, x.cal, "np", "mean", "forecast_EP_mean"))
 style("forecast_ep_std", lambda x: statements.forecast(x.days, x.p, x.cal, "np", "std", "forecast_EP_std"))
 style("forecast_roe", lambda x: statements.forecast(x.days.withColumn("year", F.col("year") + 2), None, x.cal, "roe", "mean", "roe_mean", ahead=2))
-style("sentiment_change", lambda x: statements.sentiment(x.days, x.p, x.cal, 13, 1.0))
+style("sentiment_change", lambda x: statements.sentiment(x.days, x.p, x.cal, 13, 1.0, x.keep))
 
 # evaluation
 style("forward_return", lambda x: evaluate.forward_return(x.p, 4).select("code", "time", "forward"))
@@ -282,7 +282,7 @@ def _strategy(x: Tables, kind: str) -> dict[str, DataFrame]:
     inputs = [*DESCRIPTORS, *[f"L1_{r}" for r in REGIONS], "country"]
     table = lambda: _in_time(training.training_table(_factors(x)["descriptors"], DESCRIPTORS, x.industry_panel, REGIONS, evaluate.labels(x.p, 5)))
     rows = x.keep(f"training-rows-5-{WEEKLY}", table, None)
-    return training.walk_forward_run(rows, training.walk_forward(x.cal, 150, 60, 5), inputs, kind, x.stages.folder(f"strategy-150-60-5-10-{kind}-{WEEKLY}"), rounds=10, rate=0.1)
+    return training.walk_forward_run(rows, training.walk_forward(x.cal, 150, 60, 5), inputs, kind, x.stages.folder(f"strategy-150-60-5-10-15-{kind}-{WEEKLY}"), rounds=10, rate=0.1, leaves=15)
 
 
 style("strategy_portfolio", lambda x: _strategy(x, "classifier")["portfolio"].select(RANKED))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import by_code, div, half_life_weights, lagged_sum, last_rows, decay, row_mean
+from ..functions.columns import by_code, div, half_life_weights, lagged_sum, last_rows, row_mean
 from ..operators.calendar import years_back
 from ..operators.panel import fill_limited, with_industry
-from ..operators.rolling import dense_panel, ewma_deviation, full_window, sampled_lags, weighted_beta, weighted_sum
+from ..operators.rolling import decayed_sum, dense_panel, ewma_deviation, full_window, sampled_lags, weighted_beta, weighted_sum
 from ..operators.xsection import group_relative, mad_winsorize, regression_residual
 
 
@@ -76,7 +76,7 @@ def traded_value_ratio(valuation: DataFrame, calendar: DataFrame, window: int =
     """`window` times the mean of the known turnovers, weighted by half-life weights with a mean of 1."""
     dense = dense_panel(valuation, calendar, ["turnover_ratio"]).withColumn("_x", F.col("turnover_ratio") / 100)
     over, norm = last_rows(window), sum(half_life_weights(window, half_life, standardize=False))
-    total = F.sum(F.col("_x") * decay(half_life)).over(over) / decay(half_life, F.col("t") + 1) * F.lit(window / norm)
+    total = decayed_sum(F.col("_x"), window, half_life) * F.lit(0.5 ** (1 / half_life) * window / norm)
     value = F.when(F.col("t") >= window, div(total * window, F.count("_x").over(over).cast("double")))
     return dense.select("code", "time", value.alias("Annualized_traded_value_ratio")).where("Annualized_traded_value_ratio is not null")
 
@@ -107,9 +107,9 @@ def strength(prices: DataFrame, calendar: DataFrame, window: int, half_life: flo
 
 def industry_momentum(prices: DataFrame, valuation: DataFrame, industry: DataFrame, calendar: DataFrame, window: int = 126, half_life: float = 21, null_denominator: int = 252) -> DataFrame:
     """The industry's strength, weighted by sqrt(cap), minus the code's own. An industry table that varies in time is
-    taken as of the month's first day."""
+    taken as of the month's first day, of those with a full window behind them."""
     rs = strength(prices, calendar, window, half_life, null_denominator).where("RS is not null")
-    rows = with_industry(rs.join(valuation.select("code", "time", "circulating_market_cap"), ["code", "time"]), industry, month_start=True)
+    rows = with_industry(rs.join(valuation.select("code", "time", "circulating_market_cap"), ["code", "time"]), industry, month_start=True, calendar=calendar.where(F.col("t") >= window))
     return group_relative(rows, "RS", F.sqrt("circulating_market_cap"), ["time", "L1"]).select("code", "time", F.col("relative").alias("Industry_Momentum"))
 
 

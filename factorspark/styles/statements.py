@@ -7,6 +7,8 @@ of what was last known. `aligned` carries the records of any number of descripto
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import div
@@ -137,9 +139,10 @@ def enterprise_multiple(finance: DataFrame, valuation: DataFrame, calendar: Data
     return rows.select("code", "time", enterprise_column(scale).alias("Enterprise_multiple"))
 
 
-def sentiment(days: DataFrame, valuation: DataFrame, calendar: DataFrame, n: int = 63, scale: float = 1e4) -> DataFrame:
-    """Decayed changes of the mean forecast, per market cap and as it is."""
+def sentiment(days: DataFrame, valuation: DataFrame, calendar: DataFrame, n: int = 63, scale: float = 1e4, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] = lambda name, compute: compute()) -> DataFrame:
+    """Decayed changes of the mean forecast, per market cap and as it is. The daily means, which are read three times, go
+    through `keep(name, compute)`."""
     mean = forecast(days, None, calendar, "np", "mean", "m", scale).join(valuation.select("code", "time", "market_cap"), ["code", "time"], "left")
-    both = mean.select("code", "time", div("m", "market_cap").alias("ep"), F.col("m").alias("eps")).join(F.broadcast(calendar), "time")
+    both = keep(f"mean-forecasts-{scale}", lambda: mean.select("code", "time", div("m", "market_cap").alias("ep"), F.col("m").alias("eps")).join(F.broadcast(calendar), "time"))
     out = decayed_changes(densify(both, calendar), {"Pred_EP_chg": "ep", "Pred_EPS_chg": "eps"}, n)
     return out.where("Pred_EP_chg is not null or Pred_EPS_chg is not null").select("code", "time", "Pred_EP_chg", "Pred_EPS_chg")

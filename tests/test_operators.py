@@ -62,6 +62,32 @@ def test_beta_equals_least_squares(prices):
     assert checked > 60
 
 
+def test_long_calendars_and_large_values_keep_their_digits(spark):
+    """Half-life 5 over 10,000 steps, 2,000 half-lives; returns of 1e-4 on a level of 1e3."""
+    rng = np.random.default_rng(6)
+    n, window, half = 10_000, 40, 5
+    x = 1e3 + rng.normal(0, 1e-4, n)
+    y = 2 * x + rng.normal(0, 1e-4, n)
+    df = spark.createDataFrame([(1, k + 1, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "code int, t int, x double, y double")
+    out = rolling.weighted_beta(df, "y", "x", window, half).withColumn("total", rolling.weighted_sum(F.col("x") - 1e3, window, half)).where("t % 997 = 0 or t > 9990").collect()
+    assert len(out) > 15
+    for r in out:
+        a, b = x[r.t - window : r.t], y[r.t - window : r.t]
+        w = 0.5 ** ((np.arange(window)[::-1] + 1) / half)
+        ca, cb = a - (w * a).sum() / w.sum(), b - (w * b).sum() / w.sum()
+        beta = (w * ca * cb).sum() / (w * ca * ca).sum()
+        assert math.isclose(r.beta, beta, rel_tol=1e-9)
+        assert math.isclose(r.alpha, (w * b).sum() / w.sum() - beta * (w * a).sum() / w.sum(), rel_tol=1e-9)
+        assert math.isclose(r.total, (w * (a - 1e3)).sum() / w.sum(), rel_tol=1e-9, abs_tol=1e-15)
+
+
+def test_inversions():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 64, 301):
+        y = rng.integers(0, max(1, n // 2), n)
+        assert evaluate.inversions(y) == sum(int(a > b) for k, b in enumerate(y) for a in y[:k])
+
+
 def test_ewma_restarts_after_gaps(prices):
     df, cal = prices
     out = {(r.code, r.time): r.Daily_std for r in price.daily_std(df, cal, 4).collect()}
