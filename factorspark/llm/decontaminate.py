@@ -12,8 +12,9 @@ that has a mask of its own. Shorter items have masks of their own length that ig
 Benchmark seeds are looked up at every position of every document; a hit names an item and the shift, and
 there the words are compared one by one.
 
-The benchmark is cut into blocks of at most BLOCK_BYTES of text, read and broadcast one at a time: memory
-is bounded whatever the benchmark's size, and every document meets every block. NULL and empty texts are
+The benchmark is cut into blocks of about BLOCK_BYTES of text, each read and broadcast, and every document meets every
+block. A pass over the documents takes AT_ONCE blocks, after which what is found is checkpointed and their broadcasts go:
+memory does not grow with the benchmark, but a large one costs a pass for every AT_ONCE blocks. NULL and empty texts are
 clean, and items without words are in no document. An item with a NULL id is named NULL. Rows are returned as they come, one per input
 row, with repeated ids kept; other columns are dropped.
 """
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, Words, lower_ascii, mix, slices, utf8
+from .graph import checkpointed
 
 SPAN = 9
 # Which words in a row each mask keeps. Masks of SPAN words serve all items from SPAN words on, the
 # others items of just their length.
 MASKS = ("111000110", "101100101", "100011011", "010111100", "011011001", "001110110", "010101011", "110110010")
 MASKS += tuple("1" * n for n in range(1, 5)) + tuple("1" * k + "0" + "1" * (n - k - 1) for n in range(5, SPAN) for k in range(n)) + ("111111000111111",)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, AT_ONCE = 8 << 20, 4
 _BITS = 22
 
 
@@ -119,6 +121,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 13, id_col:
     size = items.agg(F.sum(F.octet_length("item_text").cast("long"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_equal"))
+    held = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == k).orderBy("item", "item_text").collect()
         block = spark.sparkContext.broadcast(_Block([r[0] for r in rows], [r[1] for r in rows]))
@@ -133,4 +136,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 13, id_col:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(found, pa.list_(pa.int64())), pa.array(most, pa.int64())], names=["doc_id", "text", "items", "n_equal"])
 
         out = out.mapInArrow(search, "doc_id long, text string, items array<long>, n_equal long")
+        held.append(block)
+        if len(held) == AT_ONCE and k < blocks - 1:
+            out = checkpointed(out)
+            for used in held:
+                used.unpersist()
+            held = []
     return out.select("doc_id", F.array_sort(F.array_distinct("items")).alias("items"), "n_equal", (F.size("items") > 0).alias("contaminated"))
