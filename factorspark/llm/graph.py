@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..sources.io import shared_folder
 
 BROADCAST_IDS = 1_000_000
+PART_LINKS = 1 << 18
 #: Blocks of members that are left over, and of those that they meet, over the first blocks.
 LARGER = 4
 
@@ -123,17 +124,20 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable, for every id in `links` (columns a, b).
 
     Alternating large-star and small-star steps: each step hangs neighbours on the smallest id in reach,
-    through aggregates with partial sums and joins that can be split, so a hot id is no one task's work.
+    through aggregates with partial sums and joins that can be split, so a hot id is no one task's work. What is left of
+    the links is kept in as many parts as their number asks for, so that few links make few files.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    found = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    parts = found.count() // PART_LINKS + 1
+    edges = found.coalesce(parts)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        edges = checkpointed(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        edges = checkpointed(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(parts))
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         star = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(star.where("u <> v").distinct())
+        edges = checkpointed(star.where("u <> v").distinct().coalesce(parts))
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

@@ -137,7 +137,8 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = signature[low:high]
                 near = np.stack([(own != row).sum(1) <= ERRORS for row in own])
                 more, left = _spread(near, ids[low:high], pivot[low:high], int(key[low, 0]), int(key[low, 2]))
-                found, loose = found + more, loose + left
+                found += [(a, b) for a, b in more if forest.union(a, b)]
+                loose += left
         rest = np.flatnonzero(~many)
         ids, signature, group = ids[rest], signature[rest], np.repeat(np.arange(len(edge) - 1), np.diff(edge))[rest]
         for apart in range(1, len(ids)):
@@ -203,13 +204,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     kinds = base.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     kinds = checkpointed(kinds.withColumn("kind", F.monotonically_increasing_id()))
     index = kinds.select(F.col("kind").alias("id"), "signature").mapInArrow(_index, "key long, id long").withColumnRenamed("id", "kind")
-    same = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind")).alias("who")).where("n > 1")
-    buckets = checkpointed(same.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")))
+    same = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind")).alias("who"), F.min("kind").alias("lead")).where("n > 1")
+    buckets = checkpointed(same.groupBy("n", "who").agg(F.min("key").alias("key"), F.first("lead").alias("lead")).select("key", "lead", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")))
     near = checkpointed(index.join(buckets, "key").select("key", "kind", "blocks"))
+    leads = checkpointed(buckets.where("blocks > 1").select("key", "lead", F.lit(True).alias("large")))
 
     def close(tiles: DataFrame) -> DataFrame:
-        tiles = tiles.join(kinds.select("kind", "signature"), "kind").withColumnRenamed("kind", "id").select("key", "ti", "tj", "id", "pivot", "many", "signature")
-        return tiles.repartition(n, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "id").mapInArrow(_close, _LINKS)
+        tiles = tiles.join(kinds.select("kind", "signature"), "kind").withColumnRenamed("kind", "id")
+        # buckets of one large group of near copies have the same blocks, and mostly the same first member: their tiles
+        # meet in a task, which returns a link once
+        tiles = with_ids(tiles, leads, "key", "left").withColumn("deal", F.when(F.col("large"), F.xxhash64("lead", "ti", "tj")).otherwise(F.xxhash64("key", "ti", "tj")))
+        tiles = tiles.repartition(n, "deal").sortWithinPartitions("key", "ti", "tj", "id").select("key", "ti", "tj", "id", "pivot", "many", "signature")
+        return tiles.mapInArrow(_close, _LINKS)
 
     clusters = connected(near, "key", "kind", close).select(F.col("id").alias("kind"), F.col("component").alias("cluster"))
     clusters = checkpointed(clusters.join(kinds.select("kind", "digest", "id", "n_shingles"), "kind"))
