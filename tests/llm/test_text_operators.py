@@ -368,11 +368,15 @@ def test_op9_equals_brute_force(spark, data):
     assert any(x[2] for x in want.values())
 
 
-def test_decontamination_in_blocks(spark, data, monkeypatch):
+def test_decontamination_with_a_full_filter_and_split_texts(spark, data, monkeypatch):
+    """The same rows where every place passes the filter and where every text is dealt to many tasks."""
     docs, benchmark = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(tuple, decontaminate.contaminated(docs, benchmark).select("doc_id", "contaminated", "n_equal").collect()))
     one = rows()
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "PART_PLACES", 2)
+    assert rows() == one
+    monkeypatch.setattr(decontaminate, "BITS_PER_SEED", 1)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 8)
     assert rows() == one
 
 
