@@ -55,16 +55,34 @@ def connected(members: DataFrame, group: str, member: str, links: Callable[[Data
         most = F.ceil(F.count("*") / F.first("blocks")) * LARGER
         sizes = rows.groupBy(group).agg(most.alias("_most"), F.count("*").cast("int").alias("_all"))
         deal = rows.join(sizes, group).join(loose.withColumn("_loose", F.lit(True)), [group, member], "left")
-        first, rest = F.ceil(F.col("_left") / F.col("_most")).cast("int"), F.greatest(F.ceil((F.col("_all") - F.col("_left")) / F.col("_most")), F.lit(1)).cast("int")
-        deal = deal.withColumns({"_first": first, "_rest": rest})
-        own = F.when(F.col("_loose"), _block(member, F.col("_first"))).otherwise(F.col("_first") + _block(member, F.col("_rest")))
-        others = F.when(F.col("_loose"), F.sequence(F.lit(0), F.col("_first") + F.col("_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("_first") - 1))
-        tiles = deal.withColumn("_own", own).withColumn("_other", F.explode(others))
-        tiles = tiles.select(group, member, F.least("_own", "_other").alias("ti"), F.greatest("_own", "_other").alias("tj"), F.lit(False).alias("pivot"), F.lit(False).alias("many"))
-        forest = forest.unionByName(links(tiles).where("not loose").select("a", "b"))
+        forest = forest.unionByName(links(_against(deal, group, member)).where("not loose").select("a", "b"))
     return checkpointed(components(forest))
 
 
+def _against(deal: DataFrame, group: str, member: str) -> DataFrame:
+    """Tiles (group, ti, tj, member, pivot, many) in which the `_left` members with `_loose` meet all `_all` of their group,
+    as their pivots; `_most` to a block."""
+    first, rest = F.ceil(F.col("_left") / F.col("_most")).cast("int"), F.greatest(F.ceil((F.col("_all") - F.col("_left")) / F.col("_most")), F.lit(1)).cast("int")
+    deal = deal.withColumns({"_first": first, "_rest": rest, "_loose": F.coalesce("_loose", F.lit(False))})
+    own = F.when(F.col("_loose"), _block(member, F.col("_first"))).otherwise(F.col("_first") + _block(member, F.col("_rest")))
+    others = F.when(F.col("_loose"), F.sequence(F.lit(0), F.col("_first") + F.col("_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("_first") - 1))
+    tiles = deal.withColumn("_own", own).withColumn("_other", F.explode(others))
+    return tiles.select(group, member, F.least("_own", "_other").alias("ti"), F.greatest("_own", "_other").alias("tj"), F.col("_loose").alias("pivot"), F.lit(False).alias("many"))
+
+
+def across(members: DataFrame, group: str, member: str, known: str, block: int, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, component) over the components `known`, by the links between members of each group that are in different ones.
+
+    In a group the members outside its largest component meet all, in tiles of two blocks of about `block` members, as
+    for `connected`; `links` returns the linked pairs (a, b) of components. Pairs within the largest component are not
+    compared, so a group that is nearly all one component costs little more than its members.
+    """
+    parts = members.groupBy(group, known).agg(F.count("*").alias("_n"))
+    parts = parts.groupBy(group).agg(F.max_by(known, F.struct("_n", known)).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_n"))
+    deal = with_ids(members, checkpointed(parts), group, "inner").withColumns({"_loose": F.col(known) != F.col("_main"), "_left": F.col("_all") - F.col("_n"), "_most": F.lit(block)})
+    return checkpointed(components(links(_against(deal, group, member)).select("a", "b")))
+
+
 def spanning(near: np.ndarray, pivot: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     """A spanning forest of a tile (pairs of places), given which pairs are linked, and which places are not connected
     with the largest component of the pivots' own links."""

@@ -7,7 +7,9 @@ probability 1 - s. Pairs whose signatures differ in at most ERRORS slots are fou
 * the slots are cut into CHUNKS chunks. By pigeonhole, two signatures within ERRORS have a chunk with at
   most ERRORS // CHUNKS differing slots; each chunk is indexed under every choice of slots left out, so
   such a pair shares a key. Keys that hold the same documents count once;
-* in each bucket of equal keys, pairs within ERRORS are linked; components of these links are clusters;
+* pairs within ERRORS are linked in the buckets of equal whole chunks first, which connects most of a large group in a
+  quarter of the keys; buckets of the keys with slots left out then compare only members of different components, and
+  buckets of one component are dropped before their members are joined. Components of all links are clusters;
 * within a cluster the full sets decide: linked are pairs with 100 * |A & B| >= percent * |A | B|.
 
 At a similarity of 0.8 a pair differs in 12.8 of 64 slots on average, and in over 28 of them with a
@@ -19,7 +21,7 @@ polynomial, so no pattern of words makes different shingles equal.
 
 Defined results: NULL, empty or blank texts have an empty set and are linked with nothing; a text of
 fewer than k words has one shingle, the whole sequence; rows with equal ids are documents of their own
-that share an id. Other columns of the input are dropped.
+that share an id; rows without an id are linked with nothing and have no component. Other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, Forest, Words, distinct, lower_ascii, mix, slices, utf8
-from .graph import checkpointed, connected, spanning, whole_groups, with_ids
+from .graph import LARGER, across, checkpointed, connected, spanning, whole_groups, with_ids
 
 SLOTS, ERRORS, CHUNKS = 64, 28, 15
 # Members of a block: signatures in a bucket, sets in a cluster; and shingles of a block of sets.
@@ -82,24 +84,34 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(fewer: int):
+    """Keys of each signature: its chunks under every choice of `fewer` slots left out."""
     cut = [SLOTS * c // CHUNKS for c in range(CHUNKS + 1)]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        signature = _matrix(batch.column("signature")).astype(U64)
-        keys = []
-        for c in range(CHUNKS):
-            chunk = range(cut[c], cut[c + 1])
-            for left_out in combinations(chunk, ERRORS // CHUNKS):
-                key = np.full(len(signature), len(keys) + 1, U64)
-                for j in chunk:
-                    if j not in left_out:
-                        key = mix(key * U64(0x9E3779B97F4A7C15) + signature[:, j])
-                keys.append(key)
-        keys = np.stack(keys, 1)
-        ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+    chosen = [[j for j in range(cut[c], cut[c + 1]) if j not in left_out] for c in range(CHUNKS) for left_out in combinations(range(cut[c], cut[c + 1]), fewer)]
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signature = _matrix(batch.column("signature")).astype(U64)
+            keys = np.empty((len(signature), len(chosen)), U64)
+            for n, slots in enumerate(chosen):
+                key = np.full(len(signature), n + 1, U64)
+                for j in slots:
+                    key = mix(key * U64(0x9E3779B97F4A7C15) + signature[:, j])
+                keys[:, n] = key
+            kind, known = (np.repeat(batch.column(c).to_numpy(), len(chosen)) for c in ("kind", "known"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(kind), pa.array(known)], names=["key", "kind", "known"])
+
+    return index
+
+
+def _buckets(kinds: DataFrame, fewer: int) -> DataFrame:
+    """(key, kind, known, n) of the keys whose `n` members are in several components; keys of the same members count once."""
+    index = kinds.select("kind", "known", "signature").mapInArrow(_index(fewer), "key long, kind long, known long")
+    several = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind")).alias("who"), F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
+    once = checkpointed(several.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"))
+    return checkpointed(index.join(once, "key"))
 
 
 _LINKS = "a long, b long, loose boolean"
@@ -125,28 +137,36 @@ def _tiles(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs within ERRORS in each bucket's tile."""
+    """A spanning forest, over the components known, of the pairs within ERRORS in each bucket's tile."""
     forest = Forest()
     for table in whole_groups(batches, ["key", "ti", "tj"], 8192):
         key, edge = _tiles(table, ["key", "ti", "tj"])
-        ids, signature, pivot = table["id"].to_numpy(), _matrix(table["signature"]), table["pivot"].to_numpy()
-        many = table["many"].to_numpy()
+        ids, known, pivot, many = (table[c].to_numpy() for c in ("kind", "known", "pivot", "many"))
+        signature = _matrix(table["signature"])
         found, loose = [], []
+        few = np.ones(len(ids), bool)
         for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own = signature[low:high]
             if many[low]:
-                own = signature[low:high]
                 near = np.stack([(own != row).sum(1) <= ERRORS for row in own])
                 more, left = _spread(near, ids[low:high], pivot[low:high], int(key[low, 0]), int(key[low, 2]))
                 found += [(a, b) for a, b in more if forest.union(a, b)]
                 loose += left
-        rest = np.flatnonzero(~many)
-        ids, signature, group = ids[rest], signature[rest], np.repeat(np.arange(len(edge) - 1), np.diff(edge))[rest]
-        for apart in range(1, len(ids)):
+            elif pivot[low:high].any():
+                for at in (np.flatnonzero(pivot[low:high]) + low).tolist():
+                    near = np.flatnonzero(((own != signature[at]).sum(1) <= ERRORS) & (known[low:high] != known[at])) + low
+                    found += [(int(known[at]), b) for b in np.unique(known[near]).tolist() if forest.union(int(known[at]), b)]
+            else:
+                continue
+            few[low:high] = False
+        rest = np.flatnonzero(few)
+        ends, signature, group = known[rest], signature[rest], np.repeat(np.arange(len(edge) - 1), np.diff(edge))[rest]
+        for apart in range(1, len(ends)):
             left = np.flatnonzero(group[apart:] == group[:-apart])
             if not len(left):
                 break
             near = left[(signature[left] != signature[left + apart]).sum(1) <= ERRORS]
-            found += [(a, b) for a, b in zip(ids[near].tolist(), ids[near + apart].tolist(), strict=True) if forest.union(a, b)]
+            found += [(a, b) for a, b in zip(ends[near].tolist(), ends[near + apart].tolist(), strict=True) if forest.union(a, b)]
         yield _links(found, loose)
 
 
@@ -203,22 +223,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # one member per distinct set
     kinds = base.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     kinds = checkpointed(kinds.withColumn("kind", F.monotonically_increasing_id()))
-    index = kinds.select(F.col("kind").alias("id"), "signature").mapInArrow(_index, "key long, id long").withColumnRenamed("id", "kind")
-    same = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind")).alias("who"), F.min("kind").alias("lead")).where("n > 1")
-    buckets = checkpointed(same.groupBy("n", "who").agg(F.min("key").alias("key"), F.first("lead").alias("lead")).select("key", "lead", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")))
-    near = checkpointed(index.join(buckets, "key").select("key", "kind", "blocks"))
-    leads = checkpointed(buckets.where("blocks > 1").select("key", "lead", F.lit(True).alias("large")))
-
-    def close(tiles: DataFrame) -> DataFrame:
-        tiles = tiles.join(kinds.select("kind", "signature"), "kind").withColumnRenamed("kind", "id")
-        # buckets of one large group of near copies have the same blocks, and mostly the same first member: their tiles
-        # meet in a task, which returns a link once
-        tiles = with_ids(tiles, leads, "key", "left").withColumn("deal", F.when(F.col("large"), F.xxhash64("lead", "ti", "tj")).otherwise(F.xxhash64("key", "ti", "tj")))
-        tiles = tiles.repartition(n, "deal").sortWithinPartitions("key", "ti", "tj", "id").select("key", "ti", "tj", "id", "pivot", "many", "signature")
-        return tiles.mapInArrow(_close, _LINKS)
-
-    clusters = connected(near, "key", "kind", close).select(F.col("id").alias("kind"), F.col("component").alias("cluster"))
-    clusters = checkpointed(clusters.join(kinds.select("kind", "digest", "id", "n_shingles"), "kind"))
+
+    def close(of: DataFrame):
+        def links(tiles: DataFrame) -> DataFrame:
+            tiles = tiles.select("key", "ti", "tj", "kind", "pivot", "many").join(of.select("kind", "known", "signature"), "kind")
+            return tiles.repartition(n, "key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "kind").mapInArrow(_close, _LINKS)
+
+        return links
+
+    kinds = kinds.withColumn("known", F.col("kind"))
+    whole = _buckets(kinds, 0).withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
+    first = connected(whole.select("key", "kind", "blocks"), "key", "kind", close(kinds)).withColumnRenamed("id", "kind")
+    kinds = checkpointed(kinds.drop("known").join(first, "kind", "left").withColumn("known", F.coalesce("component", "kind")))
+    second = across(_buckets(kinds, ERRORS // CHUNKS), "key", "kind", "known", BUCKET_BLOCK * LARGER, close(kinds)).select(F.col("id").alias("known"), F.col("component").alias("cluster"))
+    clusters = checkpointed(kinds.join(second, "known", "left").withColumn("cluster", F.coalesce("cluster", "component")).where("cluster is not null").select("kind", "cluster", "digest", "id", "n_shingles"))
     blocks = F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int")
     members = checkpointed(clusters.join(clusters.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").select("kind", "cluster", "blocks", "digest", "id"))
     # rows that repeat an id and a text
@@ -237,4 +255,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     copied = kinds.where("copies > 1").join(named, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     named = checkpointed(named.unionByName(copied).distinct())
     out = with_ids(base.select("id", "n_shingles", "digest"), named, "digest", "left")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "id").alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "id")).alias("component_id"))
