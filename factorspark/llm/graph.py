@@ -31,7 +31,7 @@ def _block(member: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(member), blocks).cast("int")
 
 
-def connected(members: DataFrame, group: str, member: str, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connected(members: DataFrame, group: str, member: str, links: Callable[[DataFrame], DataFrame], rest: bool = True) -> DataFrame:
     """(id, component) by the links between members of each group.
 
     `members` has `group`, `member` and `blocks`: into how many blocks the group is dealt. `links` gets tiles
@@ -41,13 +41,16 @@ def connected(members: DataFrame, group: str, member: str, links: Callable[[Data
 
     Every block meets the first one, whose members are its pivots: in a group of near copies that connects all.
     Members that are left over then meet every other block, so that no pair is left out that may connect two
-    components; the work is quadratic only in those members.
+    components; the work is quadratic only in those members. Without `rest` they do not, for a first step that another
+    one (`across`) completes.
     """
     deal = members.withColumn("_own", _block(member, F.col("blocks"))).withColumn("many", F.col("blocks") > 1)
     tile = F.when((F.col("_own") == 0) & F.col("many"), F.sequence(F.lit(1), F.greatest(F.lit(2), "blocks") - 1)).otherwise(F.array("_own"))
     tiles = deal.withColumn("pivot", (F.col("_own") == 0) & F.col("many")).withColumn("tj", F.explode(tile)).withColumn("ti", F.lit(0))
     found = checkpointed(links(tiles.drop("_own", "blocks")))
     forest = found.where("not loose").select("a", "b")
+    if not rest:
+        return checkpointed(components(forest))
     loose = found.where("loose").select(F.col("a").alias(group), F.col("b").alias(member)).distinct()
     outside = checkpointed(loose.groupBy(group).agg(F.count("*").cast("int").alias("_left")))
     if not outside.isEmpty():
@@ -73,13 +76,12 @@ def _against(deal: DataFrame, group: str, member: str) -> DataFrame:
 def across(members: DataFrame, group: str, member: str, known: str, block: int, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) over the components `known`, by the links between members of each group that are in different ones.
 
-    In a group the members outside its largest component meet all, in tiles of two blocks of about `block` members, as
-    for `connected`; `links` returns the linked pairs (a, b) of components. Pairs within the largest component are not
-    compared, so a group that is nearly all one component costs little more than its members.
+    `members` has `group`, `member`, `known`, and of the group: `n` members, `largest`, the component with most of them,
+    and `within`, how many those are. The members outside the largest component meet all, in tiles of two blocks of about
+    `block` members, as for `connected`; `links` returns the linked pairs (a, b) of components. Pairs within the largest
+    component are not compared, so a group that is nearly all one component costs little more than its members.
     """
-    parts = members.groupBy(group, known).agg(F.count("*").alias("_n"))
-    parts = parts.groupBy(group).agg(F.max_by(known, F.struct("_n", known)).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_n"))
-    deal = with_ids(members, checkpointed(parts), group, "inner").withColumns({"_loose": F.col(known) != F.col("_main"), "_left": F.col("_all") - F.col("_n"), "_most": F.lit(block)})
+    deal = members.withColumns({"_loose": F.col(known) != F.col("largest"), "_left": F.col("n") - F.col("within"), "_all": F.col("n"), "_most": F.lit(block)})
     return checkpointed(components(links(_against(deal, group, member)).select("a", "b")))
 
 

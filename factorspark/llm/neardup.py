@@ -107,10 +107,14 @@ def _index(fewer: int):
 
 
 def _buckets(kinds: DataFrame, fewer: int) -> DataFrame:
-    """(key, kind, known, n) of the keys whose `n` members are in several components; keys of the same members count once."""
+    """(key, kind, known, n, largest, within) of the keys whose `n` members are in several components, `within` of them in
+    the `largest`; keys of the same members count once."""
     index = kinds.select("kind", "known", "signature").mapInArrow(_index(fewer), "key long, kind long, known long")
-    several = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("kind")).alias("who"), F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
-    once = checkpointed(several.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n"))
+    parts = index.groupBy("key", "known").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("kind")).alias("who"))
+    most = F.max(F.struct("m", "known")).alias("most")
+    several = parts.groupBy("key").agg(F.sum("m").alias("n"), F.bit_xor("who").alias("who"), F.count("*").alias("parts"), most).where("parts > 1")
+    once = several.groupBy("n", "who").agg(F.min(F.struct("key", "most")).alias("first"))
+    once = checkpointed(once.select("first.key", "n", F.col("first.most.known").alias("largest"), F.col("first.most.m").alias("within")))
     return checkpointed(index.join(once, "key"))
 
 
@@ -233,7 +237,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     kinds = kinds.withColumn("known", F.col("kind"))
     whole = _buckets(kinds, 0).withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
-    first = connected(whole.select("key", "kind", "blocks"), "key", "kind", close(kinds)).withColumnRenamed("id", "kind")
+    first = connected(whole.select("key", "kind", "blocks"), "key", "kind", close(kinds), rest=False).withColumnRenamed("id", "kind")
     kinds = checkpointed(kinds.drop("known").join(first, "kind", "left").withColumn("known", F.coalesce("component", "kind")))
     second = across(_buckets(kinds, ERRORS // CHUNKS), "key", "kind", "known", BUCKET_BLOCK * LARGER, close(kinds)).select(F.col("id").alias("known"), F.col("component").alias("cluster"))
     clusters = checkpointed(kinds.join(second, "known", "left").withColumn("cluster", F.coalesce("cluster", "component")).where("cluster is not null").select("kind", "cluster", "digest", "id", "n_shingles"))

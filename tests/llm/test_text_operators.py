@@ -236,6 +236,50 @@ def test_components_of_blocked_groups(spark, monkeypatch):
     assert {m: got.get(m, m) for _, m in members} == {m: root(m) for _, m in members}
 
 
+def test_links_across_known_components(spark):
+    """Members of different components meet in every group, wherever most of it stands; nothing within the largest does."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows, pairs = [], set()
+    for group in range(6):
+        ids = [group * 1000 + k for k in range(70)]
+        known = {k: group * 1000 + (0 if rng.random() < (0.95, 0.5, 0.0)[group % 3] else k % 1000) for k in ids}
+        rows += [(group, k, known[k]) for k in ids]
+        pairs |= {frozenset(rng.sample(ids, 2)) for _ in range(25)}
+    known = {m: c for _, m, c in rows}
+    frame = spark.createDataFrame(rows, "g long, m long, known long")
+    own = frame.groupBy("g", "known").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("n"), F.max(F.struct("k", "known")).alias("x"))
+    members = frame.join(own.select("g", "n", F.col("x.known").alias("largest"), F.col("x.k").alias("within")), "g")
+
+    def tile(rows):
+        ids = rows["m"].tolist()
+        assert len(ids) <= 50
+        out = {(known[a], known[b]) for a, p in zip(ids, rows["pivot"]) if p for b in ids if frozenset((a, b)) in pairs}
+        return pd.DataFrame(list(out), columns=["a", "b"])
+
+    links = lambda tiles: tiles.groupBy("g", "ti", "tj").applyInPandas(tile, "a long, b long")
+    got = {r.id: r.component for r in graph.across(members, "g", "m", "known", 12, links).collect()}
+    parent = {c: c for c in known.values()}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in map(sorted, pairs):
+        a, b = sorted((root(known[a]), root(known[b])))
+        parent[b] = a
+    assert {c: got.get(c, c) for c in parent} == {c: root(c) for c in parent}
+
+
+def test_rows_without_id_have_no_component(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, text), (None, text + " x"), (7, text), (8, text + " y"), (None, "alone")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 0), (0, 0), (7, 7), (8, 7)]
+
+
 def test_repeated_ids_with_different_texts(spark):
     """Rows that share an id are members of their own; equal rows are one."""
     words = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
