@@ -1,4 +1,4 @@
-"""Shared steps over links between documents: lineage cuts, bounded joins, tiles and components."""
+"""Shared steps over links between documents: lineage cuts, bounded joins and filters, tiles and components."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.io import shared_folder
+from .arrays import U64
 
 BROADCAST_IDS = 1_000_000
+#: Bits of a filter for each key, and at most (as a power of two); bits that Spark puts together in one row.
+BITS_PER_KEY, FILTER_BITS, ROW_BITS = 16, 28, 15
 PART_LINKS = 1 << 18
 #: Blocks of members that are left over, and of those that they meet, over the first blocks.
 LARGER = 4
@@ -27,6 +30,24 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "lef
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of hashed keys, as bytes, put together by Spark: at most 2^FILTER_BITS bits, however many keys there are.
+    A full one lets more keys pass (`passes`) that are not among them; none of them is ever held back."""
+    bits = min(FILTER_BITS, max(ROW_BITS + 1, (BITS_PER_KEY * keys.count() - 1).bit_length()))
+    spread = keys.select(F.expr(f"`{key}` & {(1 << bits) - 1}L").alias("bit")).select(F.shiftright("bit", ROW_BITS).alias("row"), (F.col("bit") % (1 << ROW_BITS)).alias("place"))
+    found = spread.repartition("row").groupBy("row").agg(F.bitmap_construct_agg("place").alias("bits")).toArrow()
+    out = np.zeros((1 << (bits - ROW_BITS), 1 << (ROW_BITS - 3)), np.uint8)
+    for row, own in zip(found["row"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[row] = np.frombuffer(own, np.uint8)
+    return out.reshape(-1)
+
+
+def passes(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which unsigned keys may be in the filter."""
+    bit = key & U64(8 * len(table) - 1)
+    return (table[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def _block(member: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(member), blocks).cast("int")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, Forest, Words, distinct, lower_ascii, mix, slices, utf8
-from .graph import LARGER, across, checkpointed, connected, spanning, whole_groups, with_ids
+from .graph import LARGER, across, checkpointed, connected, key_filter, passes, spanning, whole_groups, with_ids
 
 SLOTS, ERRORS, CHUNKS = 64, 28, 15
 # Members of a block: signatures in a bucket, sets in a cluster; and shingles of a block of sets.
@@ -84,8 +84,8 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
 
 
-def _index(fewer: int):
-    """Keys of each signature: its chunks under every choice of `fewer` slots left out."""
+def _index(fewer: int, table=None):
+    """Keys of each signature: its chunks under every choice of `fewer` slots left out; those that pass the filter, if given."""
     cut = [SLOTS * c // CHUNKS for c in range(CHUNKS + 1)]
     chosen = [[j for j in range(cut[c], cut[c + 1]) if j not in left_out] for c in range(CHUNKS) for left_out in combinations(range(cut[c], cut[c + 1]), fewer)]
 
@@ -100,16 +100,28 @@ def _index(fewer: int):
                 for j in slots:
                     key = mix(key * U64(0x9E3779B97F4A7C15) + signature[:, j])
                 keys[:, n] = key
-            kind, known = (np.repeat(batch.column(c).to_numpy(), len(chosen)) for c in ("kind", "known"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(kind), pa.array(known)], names=["key", "kind", "known"])
+            keys = keys.reshape(-1)
+            at = np.arange(len(keys)) if table is None else np.flatnonzero(passes(table.value, keys))
+            kind, known = (batch.column(c).to_numpy()[at // len(chosen)] for c in ("kind", "known"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(kind), pa.array(known)], names=["key", "kind", "known"])
 
     return index
 
 
+_KEYS = "key long, kind long, known long"
+
+
 def _buckets(kinds: DataFrame, fewer: int) -> DataFrame:
     """(key, kind, known, n, largest, within) of the keys whose `n` members are in several components, `within` of them in
-    the `largest`; keys of the same members count once."""
-    index = kinds.select("kind", "known", "signature").mapInArrow(_index(fewer), "key long, kind long, known long")
+    the `largest`; keys of the same members count once.
+
+    Of most keys all members are in one component. Which have several is asked first, in the one exchange of the whole
+    index, with two numbers to a key; a filter of those keys goes to the tasks, and what passes it is all that is summed
+    and joined then."""
+    signed = kinds.select("kind", "known", "signature")
+    parts = signed.mapInArrow(_index(fewer), _KEYS).groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high"))
+    mixed = checkpointed(parts.where("low < high").select("key"))
+    index = signed.mapInArrow(_index(fewer, kinds.sparkSession.sparkContext.broadcast(key_filter(mixed, "key"))), _KEYS)
     parts = index.groupBy("key", "known").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("kind")).alias("who"))
     most = F.max(F.struct("m", "known")).alias("most")
     several = parts.groupBy("key").agg(F.sum("m").alias("n"), F.bit_xor("who").alias("who"), F.count("*").alias("parts"), most).where("parts > 1")
@@ -247,10 +259,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     repeated = base.join(members, ["id", "digest"], "left_semi").count() > members.count()
 
     def same(tiles: DataFrame) -> DataFrame:
-        some = tiles.select("kind").distinct().join(members.select("kind", "id", "digest"), "kind")
-        sets = with_ids(texts, some.select("id").distinct(), "id").mapInArrow(_sets(k), "id long, digest binary, set binary").join(some, ["id", "digest"]).select("kind", "set")
-        sets = sets.dropDuplicates(["kind"]) if repeated else sets
-        tiles = tiles.join(sets, "kind").withColumnRenamed("kind", "id").select("cluster", "ti", "tj", "id", "pivot", "many", "set")
+        tiles = tiles.join(members.select("kind", "id", "digest"), "kind")
+        sets = with_ids(texts, tiles.select("id").distinct(), "id").mapInArrow(_sets(k), "id long, digest binary, set binary")
+        sets = sets.dropDuplicates(["id", "digest"]) if repeated else sets
+        tiles = tiles.join(sets, ["id", "digest"]).select("cluster", "ti", "tj", F.col("kind").alias("id"), "pivot", "many", "set")
         return tiles.repartition(n, "cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj", "id").mapInArrow(_linked(percent), _LINKS)
 
     group = connected(members.select("cluster", "kind", "blocks"), "cluster", "kind", same).withColumnRenamed("id", "kind").join(kinds.select("kind", "digest", "id"), "kind")

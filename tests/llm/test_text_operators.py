@@ -197,6 +197,40 @@ def test_large_groups_are_tiled(spark, monkeypatch):
     assert out == {k: 0 if k < 100 else 100 for k, _ in rows}
 
 
+def test_filter_of_keys_holds_none_back(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 63), 1 << 63, 5000)
+    table = graph.key_filter(spark.createDataFrame(pd.DataFrame({"key": keys})), "key")
+    assert graph.passes(table, keys.view(np.uint64)).all()
+    assert graph.passes(table, rng.integers(0, 1 << 63, 20000).astype(np.uint64)).mean() < 0.1
+    assert not graph.passes(graph.key_filter(spark.createDataFrame([], "key long"), "key"), keys.view(np.uint64)).any()
+    monkeypatch.setattr(graph, "FILTER_BITS", 15)
+    full = graph.key_filter(spark.createDataFrame(pd.DataFrame({"key": keys})), "key")
+    assert len(full) == 1 << 12 and graph.passes(full, keys.view(np.uint64)).all()
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_index_is_exchanged_once(spark, monkeypatch, full):
+    """Of an index of mostly lone keys under 40 bytes a key are shuffled; a full filter changes that and no result."""
+    if full:
+        monkeypatch.setattr(neardup, "passes", lambda table, key: np.ones(len(key), bool))
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for k in range(4000)]
+    rows += [(10_000 + k, f"{rows[k][1]} w{k} x") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    group = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 4).collect()}
+    assert group == {k: k % 10_000 for k, _ in rows}
+    keys = len(rows) * (neardup.CHUNKS + neardup.SLOTS)
+    assert full or shuffled() - before < 40 * keys
+
+
 def test_components_of_blocked_groups(spark, monkeypatch):
     """Whatever links there are inside large groups, the components are those of all pairs."""
     from pyspark.sql import functions as F
