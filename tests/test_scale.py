@@ -1,11 +1,13 @@
 """What a query costs: each works out what it needs, and windows of any length cost the same."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factorspark.operators import evaluate, rolling, xsection
+from factorspark.operators import evaluate, rolling, training, xsection
 from factorspark.plans import factors
 from factorspark.queries import QUERIES
 
@@ -46,3 +48,29 @@ def test_dates_are_cleaned_at_once(spark):
     assert out[1, 1] == (None, None) and out[1, 2][1] is None
     assert np.allclose([out[k, 2][0] for k in (1, 2)], z(np.array([2.0, 4.0])))
     assert np.allclose([out[k, 3][0] for k in range(3, 7)], z(np.arange(3.0, 7.0))) and all(out[k, 3][1] is None for k in range(3, 7))
+
+
+def test_splits_of_a_pass_come_from_few_tasks_and_rows_are_split_once(spark, tmp_path, monkeypatch):
+    """A pass has no group of its own for each node and feature, and a window's cut is found once."""
+    frame = type(spark.range(1))
+    seen = []
+    monkeypatch.setattr(training, "time_split", lambda *_, **__: pytest.fail("the cut is worked out in every pass"))
+    monkeypatch.setattr(frame, "groupBy", (lambda real: lambda self, *by: (seen.append(by), real(self, *by))[1])(frame.groupBy))
+    day = dt.date(2020, 1, 1)
+    rng = np.random.default_rng(4)
+    rows = [(k, day + dt.timedelta(t), float(a := rng.normal()), a + float(rng.normal()) / 5) for t in range(30) for k in range(10)]
+    df = spark.createDataFrame(rows, "code long, time date, a double, return_ratio double")
+    spans = spark.createDataFrame([(0, day, day + dt.timedelta(20), day + dt.timedelta(22))], "window_id int, start date, end date, test date")
+    training.train_windows(df, spans, ["a"], "regression", str(tmp_path / "w"), rounds=3, rate=0.3, least_rows=5)
+    scored = spark.read.parquet(str(tmp_path / "w/scored"))
+    assert scored.count() == 10 and scored.corr("a", "score") > 0.5
+    assert ("node", "feature") not in seen
+
+
+def test_training_tables_equal_the_windows_of_a_date(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, t, float(rng.normal()) if rng.random() < 0.7 else None, 1.0 if k % 2 else None) for t in (1, 2, 3) for k in range(1 if t == 3 else 9)]
+    df = spark.createDataFrame(rows, "code long, t int, a double, b double").withColumn("time", F.make_date(F.lit(2020), F.lit(1), "t"))
+    key = lambda frame: sorted((r.code, r.t, *(None if v is None else round(v, 9) for v in (r.a, r.b))) for r in frame.collect())
+    for eps in (0.0, 1e-6):
+        assert key(xsection.zscore_many(df, ["a", "b"], "time", eps)) == key(xsection.zscore(df, ["a", "b"], "time", eps))
