@@ -74,3 +74,12 @@ def test_training_tables_equal_the_windows_of_a_date(spark):
     key = lambda frame: sorted((r.code, r.t, *(None if v is None else round(v, 9) for v in (r.a, r.b))) for r in frame.collect())
     for eps in (0.0, 1e-6):
         assert key(xsection.zscore_many(df, ["a", "b"], "time", eps)) == key(xsection.zscore(df, ["a", "b"], "time", eps))
+
+
+def test_descriptors_need_no_cleaning(spark, data, monkeypatch):
+    def unused(*_, **__):
+        pytest.fail("the descriptors are cleaned")
+
+    monkeypatch.setattr(xsection, "clean_panel", unused)
+    monkeypatch.setattr(factors, "clean_panel", unused)
+    assert QUERIES["all_descriptors"](spark, data).columns == ["code", "time", *factors.DESCRIPTORS]
