@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from factorspark.operators import evaluate, rolling, training, xsection
 from factorspark.plans import factors
-from factorspark.queries import QUERIES
+from factorspark.queries import QUERIES, Tables
 
 
 def test_returns_of_styles_need_no_ic(spark, data, monkeypatch):
     def unused(*_, **__):
         pytest.fail("the IC is worked out")
 
+    Tables(spark, data).stages.drop()  # what other tests left
     monkeypatch.setattr(evaluate, "factor_ic", unused)
     monkeypatch.setattr(factors, "factor_ic", unused)
     assert "simple" in QUERIES["style_returns"](spark, data).columns
@@ -80,6 +81,7 @@ def test_descriptors_need_no_cleaning(spark, data, monkeypatch):
     def unused(*_, **__):
         pytest.fail("the descriptors are cleaned")
 
+    Tables(spark, data).stages.drop()
     monkeypatch.setattr(xsection, "clean_panel", unused)
     monkeypatch.setattr(factors, "clean_panel", unused)
     assert QUERIES["all_descriptors"](spark, data).columns == ["code", "time", *factors.DESCRIPTORS]
